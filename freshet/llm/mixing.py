@@ -119,9 +119,9 @@ def layout(rows: DataFrame, key: Column, order: list[Column], buckets: int = LAY
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LIMIT) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, text_crc32 for every row of ``docs`` (doc_id, text, source)."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias("crc")))
+    rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), crc.alias("text_crc32")))
     targets, sources, words = source_targets(rows, limit)
     slots = stored(schedule(targets, sources, words, block_words))
     ends = slots.groupBy(F.col("sid").alias("slot_sid")).agg(F.count(F.lit(1)).alias("slots"))
@@ -129,16 +129,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LIMIT) ->
         F.col("source").alias("known_source"), "sid", "source_size", "target", F.coalesce("slots", F.lit(0)).alias("slots")
     )
     tagged = rows.join(_sized(known, sources), F.col("source").eqNullSafe(F.col("known_source"))).drop("source", "known_source")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("crc"), F.col("size")]
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     placed = layout(tagged.where("size > 0"), F.col("doc_id"), order)
     pieces = block_pieces(placed, block_words, limit)
     blocks = slots.select(F.col("sid").alias("s"), F.col("rank").alias("r")).hint("shuffle_merge")
     taken = (
         pieces.join(blocks, (F.col("sid") == F.col("s")) & (F.col("block") == F.col("r")), "left")
-        .groupBy("sid", "start", "doc_id", "size", "source_size", "target")
+        .groupBy("sid", "start", "doc_id", "text_crc32", "size", "source_size", "target")
         .agg(F.coalesce(F.sum(F.when(F.col("r").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("taken"))
     )
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "size", "source_size", "target", "taken", "text_crc32"]
     return taken.select(*columns).unionByName(tagged.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
 
 
@@ -162,4 +162,22 @@ def block_pieces(placed: DataFrame, block_words: int, limit: int) -> DataFrame:
     blocks = reached.withColumn("block", F.explode_outer(span))
     end = F.least(F.col("run.at") + F.col("size"), (F.col("block") + 1) * block_words)
     words = end - F.greatest(F.col("run.at"), F.col("block") * block_words)
-    return blocks.select("sid", "start", "doc_id", "size", "source_size", "target", "block", words.alias("words"))
+    return blocks.select("sid", "start", "doc_id", "text_crc32", "size", "source_size", "target", "block", words.alias("words"))
+
+
+def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LIMIT) -> DataFrame:
+    """The mix in whole documents: each row of ``docs`` as often as round(taken / size); all columns.
+
+    A source's slots take its documents in one run along its layout, so only the document
+    at the run's end is rounded. Documents without words stay once.
+    """
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    plan = mix(docs, block_words, limit).select(
+        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias("_copies")
+    )
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    rows = docs.withColumn("_row_crc", crc).withColumn("_n", nth("doc_id", "_row_crc"))
+    plan = plan.withColumn("_m", nth("_id", "_crc")).where("_copies > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_crc") == F.col("_crc")) & (F.col("_n") == F.col("_m"))
+    taken = rows.join(plan.hint("shuffle_merge"), same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, common, mixing, sharding, token_counts, url_filter
+from freshet.llm import chat, common, decontaminate, html_text, language_id, mixing, sharding, simhash, token_counts, topk_search, url_filter
+
+
+def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    vectors = common.stored(topk_search.quantized(rows))
+    return topk_search.search(vectors, vectors.where("id % 50 = 0"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +27,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(common.documents(spark, sf_dir))
+
+
 def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(common.documents(spark, sf_dir), 40)
 
@@ -22,6 +40,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(common.documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = chat.END + chat.START + "assistant ok"
     planted = spark.range(2).select(
@@ -38,7 +61,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_url_filter, op6_rendezvous_sharding, op7_token_counts, op9_chat_format, op10_source_mix)
+    for f in (
+        op1_maxscore_topk, op2_simhash_near_dedup, op3_html_main_text, op4_url_filter, op5_language_id,
+        op6_rendezvous_sharding, op7_token_counts, op8_decontamination, op9_chat_format, op10_source_mix,
+    )
 }
 
 
@@ -75,4 +101,15 @@ _CHAT_ORACLE = r"""
       sum(length(body) + length(role) + 24)::bigint as formatted_chars
     from e group by conv_id"""
 
-ORACLES = {"op4_url_filter": _url_oracle(), "op9_chat_format": _CHAT_ORACLE}
+_SEARCH_ORACLE = """
+    with v as (
+      select distinct vec_id::bigint as id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vec
+      from embeddings where vec_id is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = len(embedding)),
+    s as (
+      select a.id as query_id, b.id as vec_id, max(list_sum(list_transform(range(1, 1 + least(len(a.vec), len(b.vec))), lambda i: a.vec[i] * b.vec[i])))::bigint as score
+      from v a join v b on a.id <> b.id where a.id % 50 = 0 group by 1, 2)
+    select query_id, rank::int as rank, vec_id, score from (
+      select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+ORACLES = {"op1_maxscore_topk": _SEARCH_ORACLE, "op4_url_filter": _url_oracle(), "op9_chat_format": _CHAT_ORACLE}

@@ -60,8 +60,10 @@ def with_slots(df: DataFrame, shard: str, key: Column, order: Sequence[Column],
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, weights: Sequence[float] | None = None, extra: float = 1.0) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``.
+def shard_documents(
+    docs: DataFrame, shards: int = 40, weights: Sequence[float] | None = None, extra: float = 1.0, carry: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``, then its ``carry`` columns.
 
     ``grown_shard`` is the shard with one more shard of weight ``extra``.
     """
@@ -74,7 +76,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, weights: Sequence[float]
         F.lit("key").alias("law"),
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), [*weights, extra]).alias("grown_shard"),
+        *[F.col(c) for c in carry],
     )
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     out = with_slots(rows, "shard", F.col("doc_id"), order, len(weights))
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)
