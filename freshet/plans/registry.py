@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("freshet.plans.q_clean", "freshet.plans.q_agg", "freshet.plans.q_series")
 
 FLAGSHIP = "G13_first_crossing"
 
