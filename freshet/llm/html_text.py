@@ -8,8 +8,8 @@ are deleted. Then what is boilerplate by its mark-up goes, recurring or not: men
 headers, footers, sidebars, notices, adverts, forms, comments (by tag, ARIA role and words
 of class and id). Where a page has an article or main element, only blocks inside count.
 
-Prose inside an article (paragraphs, headings, lists, tables, quotes) and the article
-itself are never template: copies of an article on one host keep their text.
+Prose inside an article (paragraphs, headings, lists, tables, quotes, inline mark-up) and
+the article itself are never template: copies of an article on one host keep their text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by two line feeds. Nothing is capped.
@@ -28,7 +28,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import stored
@@ -155,7 +156,7 @@ class Page:
         top = self.stack[-1]
         drop, content = _boilerplate(tag, attrs, top.content)
         inside = top.content or content
-        fixed = tag in ("html", "body", "article", "main") or content or (top.content and tag in _PROSE)
+        fixed = tag in ("html", "body", "article", "main") or content or (top.content and (tag in _PROSE or tag not in _BLOCK))
         self.stack.append(_Element(tag, len(self.blocks), top.dropped or drop, inside, fixed))
 
     def _end(self, tag: str) -> None:
@@ -183,18 +184,40 @@ class Page:
 
 
 def page_blocks(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """page_id, url, host, blocks and subtrees of every page."""
+    """page_id, url, host, packed, around, content and subtrees of every page.
+
+    The blocks that mark-up doesn't rule out travel packed: their texts, which hold no line
+    feeds, joined by line feeds and compressed, so that the join with the templates moves
+    less. ``around`` and ``content`` have an entry for each of them; ``subtrees`` are all of
+    the page's subtrees.
+    """
     host, _ = split_url(F.col(url))
 
-    @F.pandas_udf("blocks array<struct<text string, around array<long>, dropped boolean, content boolean>>, subtrees array<long>")
+    @F.pandas_udf("packed binary, around array<array<long>>, content array<boolean>, subtrees array<long>")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=6).compress
         for sources in batches:
-            pages = [Page(s or "") for s in sources]
-            blocks = [[{"text": t, "around": a, "dropped": d, "content": c} for t, a, d, c in p.blocks] for p in pages]
-            yield pd.DataFrame({"blocks": blocks, "subtrees": [sorted(p.subtrees) for p in pages]})
+            rows = []
+            for source in sources:
+                page = Page(source or "")
+                kept = [b for b in page.blocks if not b[2]]
+                text = "\n".join(b[0] for b in kept).encode("utf-8", "replace")
+                rows.append((pack(text), [b[1] for b in kept], [b[3] for b in kept], sorted(page.subtrees)))
+            yield pd.DataFrame(rows, columns=["packed", "around", "content", "subtrees"])
+
+    return pages.select("page_id", F.col(url).alias("url"), host.alias("host"), read(F.col(source)).alias("page")).select("page_id", "url", "host", "page.*")
+
+
+def unpacked(packed: Column, keep: Column) -> Column:
+    """The blocks of a page for which ``keep`` (array<boolean>) holds, joined by two line feeds."""
+
+    @F.pandas_udf("string")
+    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for packs, kept in batches:
+            yield pd.Series(["\n\n".join(b for b, k in zip(unpack(p).decode().split("\n"), ks, strict=False) if k) for p, ks in zip(packs, kept, strict=True)], dtype="object")
 
-    read_pages = pages.select("page_id", F.col(url).alias("url"), host.alias("host"), read(F.col(source)).alias("page"))
-    return read_pages.select("page_id", "url", "host", F.col("page.blocks").alias("blocks"), F.col("page.subtrees").alias("subtrees"))
+    return text(packed, keep)
 
 
 def template_subtrees(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -204,19 +227,18 @@ def template_subtrees(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_template (blocks deleted as template) of every page."""
+    """page_id, url, text, n_chars, n_template (recurring subtrees) of every page."""
     read = stored(page_blocks(pages, url, source).withColumn("uid", F.monotonically_increasing_id()))
     template = stored(template_subtrees(read, min_pages))
     small = template.count() <= BROADCAST_SUBTREES
     hinted = F.broadcast(template) if small else template.hint("shuffle_merge")
     own = read.select("uid", "host", F.explode("subtrees").alias("subtree")).join(hinted, ["host", "subtree"])
     marked = own.groupBy("uid").agg(F.collect_list("subtree").alias("template")).withColumnRenamed("uid", "marked_uid")
-    joined = read.drop("subtrees").join(marked.hint("shuffle_hash"), F.col("uid") == F.col("marked_uid"), "left")
-    gone = lambda b: F.coalesce(F.arrays_overlap(b["around"], F.col("template")), F.lit(False))
-    has_content = F.exists("blocks", lambda b: b["content"] & ~b["dropped"])
-    kept = F.filter("blocks", lambda b: ~gone(b) & ~b["dropped"] & (b["content"] | ~F.col("has_content")))
-    return (
-        joined.withColumn("has_content", has_content)
-        .select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"), F.size(F.filter("blocks", gone)).cast("long").alias("n_template"))
-        .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+    joined = read.drop("subtrees", "host").join(marked.hint("shuffle_hash"), F.col("uid") == F.col("marked_uid"), "left")
+    gone = F.transform("around", lambda a: F.coalesce(F.arrays_overlap(a, F.col("template")), F.lit(False)))
+    inside = F.exists("content", lambda c: c)
+    keep = F.zip_with(gone, "content", lambda g, c: ~g & (c | ~F.col("inside")))
+    texts = joined.withColumn("inside", inside).select(
+        "page_id", "url", unpacked(F.col("packed"), keep).alias("text"), F.greatest(F.size("template"), F.lit(0)).cast("long").alias("n_template")
     )
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
