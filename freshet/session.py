@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +33,14 @@ def session(app: str = "freshet", master: str | None = None, **conf: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (any path Spark can read)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the folder that ``spark.checkpoint.dir`` names.
+
+    A folder of this machine is used only where the session names none.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="freshet-"))
+    return df.checkpoint()
