@@ -181,9 +181,9 @@ def g15(spark, sf):
     return rounded(ag.cell_sum(df, "row", "col", "area", 900.0, 45.0), "share")
 
 
-@query("G16_block_fraction", fx.sql("cells") + " select (row // 10)::bigint as block_row, (col // 10)::bigint as block_col, round(avg((land between 100 and 199 or land between 700 and 799)::int), 6) as fraction from cells group by 1, 2")
+@query("G16_block_fraction", fx.sql("cells") + " select (row // 10)::bigint as block_row, (col // 10)::bigint as block_col, round(avg((land between 90 and 199 or land between 700 and 799)::int), 6) as fraction from cells group by 1, 2")
 def g16(spark, sf):
-    return rounded(ag.block_fraction(fx.cells(spark, sf), 10, F.col("land").between(100, 199) | F.col("land").between(700, 799)), "fraction")
+    return rounded(ag.block_fraction(fx.cells(spark, sf), 10, F.col("land").between(90, 199) | F.col("land").between(700, 799)), "fraction")
 
 
 @query("G17_pyramid", fx.sql("cells") + ", a as (select row // 2 as row, col // 2 as col, max(score) as score, 1 as level from cells group by 1, 2), b as (select row // 2 as row, col // 2 as col, max(score) as score, 2 as level from a group by 1, 2) select row::bigint as row, col::bigint as col, score, level from a union all select row::bigint, col::bigint, score, level from b")

@@ -25,9 +25,9 @@ def w13(spark, sf):
     return grid.tpi(fx.cells(spark, sf), "z", 2).select("row", "col", F.round("tpi", 6).alias("tpi"))
 
 
-@query("W13_density", fx.sql("cells") + f" select a.row, a.col, round(avg((b.land < 30)::int), 6) as density from {_NEAR(4)} group by a.row, a.col")
+@query("W13_density", fx.sql("cells") + f" select a.row, a.col, round(avg((b.land % 3 = 0)::int), 6) as density from {_NEAR(4)} group by a.row, a.col")
 def w13b(spark, sf):
-    df = fx.cells(spark, sf).withColumn("hit", F.when(F.col("land") < 30, 1.0).otherwise(0.0))
+    df = fx.cells(spark, sf).withColumn("hit", F.when(F.col("land") % 3 == 0, 1.0).otherwise(0.0))
     return grid.window_mean(df, "hit", 4).select("row", "col", F.round("window_mean", 6).alias("density"))
 
 
@@ -65,9 +65,9 @@ def w17(spark, sf):
     return grid.d8(fx.cells(spark, sf), "z").select("row", "col", "d8")
 
 
-@query("R05_dist_to_seed", fx.sql("cells") + " select a.row, a.col, min(case when sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) <= 10 then round(30 * sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)), 6) end) as dist_m from cells a left join cells b on b.land < 5 group by 1, 2")
+@query("R05_dist_to_seed", fx.sql("cells") + " select a.row, a.col, min(case when sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) <= 10 then round(30 * sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)), 6) end) as dist_m from cells a left join cells b on b.land % 40 = 0 group by 1, 2")
 def r05(spark, sf):
-    return grid.dist_to_seed(fx.cells(spark, sf), F.col("land") < 5, 10, 30.0).select("row", "col", F.round("dist_m", 6).alias("dist_m"))
+    return grid.dist_to_seed(fx.cells(spark, sf), F.col("land") % 40 == 0, 10, 30.0).select("row", "col", F.round("dist_m", 6).alias("dist_m"))
 
 
 @query(

@@ -7,7 +7,15 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("freshet.plans.q_clean", "freshet.plans.q_agg", "freshet.plans.q_series", "freshet.plans.q_spatial", "freshet.plans.q_grid")
+MODULES: tuple[str, ...] = (
+    "freshet.plans.q_clean",
+    "freshet.plans.q_agg",
+    "freshet.plans.q_series",
+    "freshet.plans.q_spatial",
+    "freshet.plans.q_grid",
+    "freshet.plans.q_rel",
+    "freshet.plans.q_metrics",
+)
 
 FLAGSHIP = "G13_first_crossing"
 
