@@ -20,9 +20,9 @@ def w12(spark, sf):
     return grid.rel_height(fx.cells(spark, sf), "z", 3).select("row", "col", F.round("rel_height", 6).alias("rel_height"))
 
 
-@query("W13_tpi", fx.sql("cells") + f" select a.row, a.col, round(a.z - sum(b.z) / count(*), 6) as tpi from {_NEAR(2)} group by a.row, a.col, a.z")
+@query("W13_tpi", fx.sql("cells") + f" select a.row, a.col, round(a.z - sum(b.z) / count(*), 8) as tpi from {_NEAR(2)} group by a.row, a.col, a.z")
 def w13(spark, sf):
-    return grid.tpi(fx.cells(spark, sf), "z", 2).select("row", "col", F.round("tpi", 6).alias("tpi"))
+    return grid.tpi(fx.cells(spark, sf), "z", 2).select("row", "col", F.round("tpi", 8).alias("tpi"))
 
 
 @query("W13_density", fx.sql("cells") + f" select a.row, a.col, round(avg((b.land % 3 = 0)::int), 6) as density from {_NEAR(4)} group by a.row, a.col")
@@ -65,9 +65,9 @@ def w17(spark, sf):
     return grid.d8(fx.cells(spark, sf), "z").select("row", "col", "d8")
 
 
-@query("R05_dist_to_seed", fx.sql("cells") + " select a.row, a.col, min(case when sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) <= 10 then round(30 * sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)), 6) end) as dist_m from cells a left join cells b on b.land % 40 = 0 group by 1, 2")
+@query("R05_dist_to_seed", fx.sql("cells") + " select a.row, a.col, min(case when sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) <= 10 then round(30 * sqrt(pow(a.row - b.row, 2) + pow(a.col - b.col, 2)), 6) end) as dist_m from cells a left join cells b on b.land % 97 = 0 group by 1, 2")
 def r05(spark, sf):
-    return grid.dist_to_seed(fx.cells(spark, sf), F.col("land") % 40 == 0, 10, 30.0).select("row", "col", F.round("dist_m", 6).alias("dist_m"))
+    return grid.dist_to_seed(fx.cells(spark, sf), F.col("land") % 97 == 0, 10, 30.0).select("row", "col", F.round("dist_m", 6).alias("dist_m"))
 
 
 @query(
