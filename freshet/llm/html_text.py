@@ -227,18 +227,27 @@ def template_subtrees(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_template (recurring subtrees) of every page."""
+    """page_id, url, text, n_chars, n_template (blocks deleted as template) of every page.
+
+    Subtrees of all pages are counted. Only pages with a block inside a deletable subtree
+    go through the join with the templates; the others' blocks can't be deleted by it.
+    """
     read = stored(page_blocks(pages, url, source).withColumn("uid", F.monotonically_increasing_id()))
     template = stored(template_subtrees(read, min_pages))
     small = template.count() <= BROADCAST_SUBTREES
     hinted = F.broadcast(template) if small else template.hint("shuffle_merge")
-    own = read.select("uid", "host", F.explode("subtrees").alias("subtree")).join(hinted, ["host", "subtree"])
+    open_to = F.exists("around", lambda a: F.size(a) > 0)
+    asked = read.where(open_to)
+    own = asked.select("uid", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree")).join(hinted, ["host", "subtree"])
     marked = own.groupBy("uid").agg(F.collect_list("subtree").alias("template")).withColumnRenamed("uid", "marked_uid")
-    joined = read.drop("subtrees", "host").join(marked.hint("shuffle_hash"), F.col("uid") == F.col("marked_uid"), "left")
+    columns = ["page_id", "url", "packed", "around", "content"]
+    joined = asked.select("uid", *columns).join(marked.hint("shuffle_hash"), F.col("uid") == F.col("marked_uid"), "left").select(*columns, "template")
+    settled = read.where(~open_to).select(*columns, F.lit(None).cast("array<long>").alias("template"))
     gone = F.transform("around", lambda a: F.coalesce(F.arrays_overlap(a, F.col("template")), F.lit(False)))
-    inside = F.exists("content", lambda c: c)
-    keep = F.zip_with(gone, "content", lambda g, c: ~g & (c | ~F.col("inside")))
-    texts = joined.withColumn("inside", inside).select(
-        "page_id", "url", unpacked(F.col("packed"), keep).alias("text"), F.greatest(F.size("template"), F.lit(0)).cast("long").alias("n_template")
+    keep = F.zip_with("gone", "content", lambda g, c: ~g & (c | ~F.col("inside")))
+    texts = (
+        joined.unionByName(settled)
+        .withColumns({"inside": F.exists("content", lambda c: c), "gone": gone})
+        .select("page_id", "url", unpacked(F.col("packed"), keep).alias("text"), F.size(F.filter("gone", lambda g: g)).cast("long").alias("n_template"))
     )
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
