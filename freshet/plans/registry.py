@@ -15,6 +15,7 @@ MODULES: tuple[str, ...] = (
     "freshet.plans.q_grid",
     "freshet.plans.q_rel",
     "freshet.plans.q_metrics",
+    "freshet.plans.q_tables",
 )
 
 FLAGSHIP = "G13_first_crossing"
