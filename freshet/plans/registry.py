@@ -16,6 +16,7 @@ MODULES: tuple[str, ...] = (
     "freshet.plans.q_rel",
     "freshet.plans.q_metrics",
     "freshet.plans.q_tables",
+    "freshet.plans.q_models",
 )
 
 FLAGSHIP = "G13_first_crossing"
