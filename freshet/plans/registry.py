@@ -17,6 +17,7 @@ MODULES: tuple[str, ...] = (
     "freshet.plans.q_metrics",
     "freshet.plans.q_tables",
     "freshet.plans.q_models",
+    "freshet.plans.q_jobs",
 )
 
 FLAGSHIP = "G13_first_crossing"
