@@ -153,7 +153,7 @@ def fill(cells: DataFrame, value: str, eps: float = 0.0, keys: Sequence[str] = (
     now = checkpointed(now)
     for _ in range(max_rounds):
         least = _around(now.where("_w is not null").select(*ids, "_w"), keys).groupBy(*ids).agg(F.min("_w").alias("_l"))
-        raised = F.greatest("_z", F.col("_l") + eps)
+        raised = F.when(F.col("_l").isNotNull(), F.greatest("_z", F.col("_l") + eps))
         after = now.join(least, ids, "left").select(*ids, "_z", F.col("_w").alias("_old"), F.coalesce(F.least("_w", raised), F.col("_w"), raised).alias("_w"))
         after = checkpointed(after)
         changed = after.where(~F.col("_w").eqNullSafe(F.col("_old"))).limit(1).count()
