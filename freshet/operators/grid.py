@@ -23,10 +23,21 @@ def _line(keys: Sequence[str], across: str, along: str, r: int):
     return Window.partitionBy(*keys, across).orderBy(along).rangeBetween(-r, r)
 
 
+def _dense(cells: DataFrame, keys: Sequence[str], r: int) -> DataFrame:
+    """``cells`` with a row for each hole in a row's span, ``r`` wider on both sides (_real is NULL there).
+
+    A second pass along columns needs the first pass's result at holes too.
+    """
+    ids = [*keys, "row", "col"]
+    spans = cells.groupBy(*keys, "row").agg((F.min("col") - r).alias("_a"), (F.max("col") + r).alias("_b"))
+    places = spans.select(*keys, "row", F.explode(F.sequence("_a", "_b")).alias("col"))
+    return places.join(cells.withColumn("_real", F.lit(True)), ids, "left")
+
+
 def window_min(cells: DataFrame, value: str, r: int, keys: Sequence[str] = ()) -> DataFrame:
     """``cells`` with the least value of the square of radius ``r`` around each cell."""
-    by_row = cells.withColumn("_m", F.min(value).over(_line(keys, "row", "col", r)))
-    return by_row.withColumn("window_min", F.min("_m").over(_line(keys, "col", "row", r))).drop("_m")
+    by_row = _dense(cells, keys, r).withColumn("_m", F.min(value).over(_line(keys, "row", "col", r)))
+    return by_row.withColumn("window_min", F.min("_m").over(_line(keys, "col", "row", r))).where("_real").drop("_m", "_real")
 
 
 def rel_height(cells: DataFrame, value: str, r: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -35,9 +46,9 @@ def rel_height(cells: DataFrame, value: str, r: int, keys: Sequence[str] = ()) -
 
 def window_mean(cells: DataFrame, value: str, r: int, keys: Sequence[str] = ()) -> DataFrame:
     """``cells`` with the mean of the square around each cell; the window shrinks at edges."""
-    by_row = cells.withColumn("_s", F.sum(value).over(_line(keys, "row", "col", r))).withColumn("_n", F.count(value).over(_line(keys, "row", "col", r)))
+    by_row = _dense(cells, keys, r).withColumn("_s", F.sum(value).over(_line(keys, "row", "col", r))).withColumn("_n", F.count(value).over(_line(keys, "row", "col", r)))
     col = _line(keys, "col", "row", r)
-    return by_row.withColumn("window_mean", F.sum("_s").over(col) / F.sum("_n").over(col)).drop("_s", "_n")
+    return by_row.withColumn("window_mean", F.sum("_s").over(col) / F.sum("_n").over(col)).where("_real").drop("_s", "_n", "_real")
 
 
 def tpi(cells: DataFrame, value: str, r: int) -> DataFrame:
@@ -106,14 +117,14 @@ def dist_to_seed(cells: DataFrame, seed: Column, cap: int, cell_m: float) -> Dat
     Row pass: the least hypotenuse over the columns within ``cap``.
     """
     w = Window.partitionBy("col").orderBy("row")
-    mark = F.when(seed, F.col("row"))
+    mark = F.when(F.col("_real") & seed, F.col("row"))
     up = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    col_pass = cells.withColumn("_v", F.least(F.col("row") - up, down - F.col("row")))
+    col_pass = _dense(cells, (), cap).withColumn("_v", F.least(F.col("row") - up, down - F.col("row")))
     around = Window.partitionBy("row").orderBy("col").rangeBetween(-cap, cap)
     near = F.collect_list(F.when(F.col("_v") <= cap, F.struct(F.col("col").alias("c"), F.col("_v").alias("v")))).over(around)
     squared = F.array_min(F.transform(near, lambda s: F.pow(s["c"] - F.col("col"), F.lit(2)) + F.pow(s["v"], F.lit(2))))
-    return col_pass.withColumn("_d", F.sqrt(squared)).withColumn("dist_m", F.when(F.col("_d") <= cap, F.col("_d") * cell_m)).drop("_v", "_d")
+    return col_pass.withColumn("_d", F.sqrt(squared)).withColumn("dist_m", F.when(F.col("_d") <= cap, F.col("_d") * cell_m)).where("_real").drop("_v", "_d", "_real")
 
 
 def resample(cells: DataFrame, factor: int, cols: Sequence[str]) -> DataFrame:
