@@ -174,28 +174,25 @@ def fill(cells: DataFrame, value: str, eps: float = 0.0, keys: Sequence[str] = (
     raise RuntimeError(f"filling did not settle in {max_rounds} rounds")
 
 
-def flow_acc(directed: DataFrame, keys: Sequence[str] = (), max_rounds: int = 10_000) -> DataFrame:
+def flow_acc(directed: DataFrame, keys: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
     """(keys, row, col, acc): cells that drain through each cell, itself included.
 
-    ``directed`` has ``d8``. Each round settles the cells without an unsettled upstream.
+    ``directed`` has ``d8``. Every cell starts with one unit; each round moves all units one
+    cell down, and a cell's total over the rounds is its accumulation. The number of rounds is
+    the longest path; more than ``max_rounds`` is an error (a cycle, or tiles too large).
     """
     ids = [*keys, "row", "col"]
     step = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in D8]), F.col("d8") + 1)
-    flow = directed.select(*ids, (F.col("row") + step(0)).alias("_r"), (F.col("col") + step(1)).alias("_c"))
-    flow = checkpointed(flow)
-    down = flow.where("_r is not null")
-    to = [*keys, F.col("_r").alias("row"), F.col("_c").alias("col")]
-    open_cells = flow.select(*ids, F.lit(1).cast("long").alias("acc"))
-    settled = None
+    down = checkpointed(directed.where("d8 is not null").select(*[F.col(c).alias(f"_from_{c}") for c in ids], (F.col("row") + step(0)).alias("_r"), (F.col("col") + step(1)).alias("_c")))
+    units = checkpointed(directed.select(*ids, F.lit(1).cast("long").alias("acc")))
+    here = [F.col(c) == F.col(f"_from_{c}") for c in ids]
+    moved, total = units, units
     for _ in range(max_rounds):
-        upstream = open_cells.select(*ids).join(down, ids).select(*to).distinct()
-        ready = checkpointed(open_cells.join(upstream, ids, "left_anti"))
-        settled = ready if settled is None else settled.unionByName(ready)
-        passed = ready.join(down, ids).groupBy(*[F.col(k) for k in keys], F.col("_r").alias("row"), F.col("_c").alias("col")).agg(F.sum("acc").alias("_in"))
-        rest = open_cells.join(ready.select(*ids), ids, "left_anti")
-        open_cells = checkpointed(rest.join(passed, ids, "left").select(*ids, (F.col("acc") + F.coalesce("_in", F.lit(0))).alias("acc")))
-        if open_cells.limit(1).count() == 0:
-            return settled
+        passed = moved.join(down, here).groupBy(*keys, F.col("_r").alias("row_to"), F.col("_c").alias("col_to")).agg(F.sum("acc").alias("acc"))
+        moved = checkpointed(passed.select(*keys, F.col("row_to").alias("row"), F.col("col_to").alias("col"), "acc"))
+        if moved.limit(1).count() == 0:
+            return total.groupBy(*ids).agg(F.sum("acc").alias("acc"))
+        total = total.unionByName(moved)
     raise RuntimeError(f"flow did not settle in {max_rounds} rounds")
 
 
