@@ -2,20 +2,25 @@
 
 Each page is read once: every element's subtree is hashed (tag, own text and children's
 hashes), and the page becomes a list of text blocks, each with the hashes of the elements
-around it. Spark counts in how many pages of a host each subtree occurs; subtrees that
-recur in ``min_pages`` or more pages of the host are template, and the blocks inside them
-are deleted. Then what is boilerplate by its mark-up goes, recurring or not: menus,
+around it. Spark counts in how many different pages of a host each subtree occurs, where
+pages with the same main text (copies under other addresses, mirrored posts) are one;
+subtrees that recur in ``min_pages`` or more of them are template, and the blocks inside
+them are deleted. Then what is boilerplate by its mark-up goes, recurring or not: menus,
 headers, footers, sidebars, notices, adverts, forms, comments (by tag, ARIA role and words
 of class and id). Where a page has an article or main element, only blocks inside count.
 
-Prose inside an article (paragraphs, headings, lists, tables, quotes, inline mark-up) and
-the article itself are never template: copies of an article on one host keep their text.
+Prose inside an article (paragraphs, headings, lists, tables, quotes, inline mark-up), the
+article itself, every element that has an article or main element inside, and elements of
+an article that have paragraphs inside are never template. Nor is an element with over half
+of the page's main text, where it has paragraphs or ``MAIN_CHARS`` characters: on pages
+without article and main the innermost one stands for the article, or the paragraphs right
+below body do. So copies of an article on one host keep their text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by two line feeds. Nothing is capped.
 
-Defined results: null html is empty and has empty text; a null url belongs to the empty
-host; broken mark-up is read as far as it goes (unclosed elements end with their parent, a
+Defined results: null html is empty and has empty text; a page whose url is
+null or has no host belongs to no site, so nothing of it is template; broken mark-up is read as far as it goes (unclosed elements end with their parent, a
 stray ``<`` is text); repeated rows are pages of their own; an empty table gives an empty
 result. Output columns replace input columns of the same name.
 """
@@ -25,6 +30,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -36,6 +42,8 @@ from freshet.llm.common import stored
 from freshet.llm.url_filter import split_url
 
 MIN_PAGES = 10
+#: From so many characters on, text without paragraphs can be the main text of a page.
+MAIN_CHARS = 200
 #: Recurring subtrees up to this many rows are broadcast, more are joined by a shuffle.
 BROADCAST_SUBTREES = 20_000
 
@@ -47,6 +55,7 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption".split())
+_PARAGRAPH = frozenset("p pre blockquote".split())
 _DROPPED = frozenset("nav footer aside form button head menu dialog label input".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _WORDS = frozenset(
@@ -75,10 +84,14 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "kids", "first", "dropped", "content", "fixed")
+    __slots__ = ("tag", "kids", "first", "end", "dropped", "content", "fixed", "main", "prose", "top", "value")
 
-    def __init__(self, tag: str, first: int, dropped: bool, content: bool, fixed: bool):
+    def __init__(self, tag: str, first: int, dropped: bool, content: bool, fixed: bool, main: bool = False, top: bool = False):
         self.tag, self.first, self.dropped, self.content, self.fixed = tag, first, dropped, content, fixed
+        self.main = main and not dropped  # is or holds a container of main content
+        self.prose = tag in _PARAGRAPH and not dropped  # is or holds a paragraph
+        self.top = top  # right below body
+        self.end = self.value = 0
         self.kids: list[bytes] = []
 
 
@@ -106,6 +119,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[list] = []  # [text, hashes around it, boilerplate, inside main content]
         self.subtrees: set[int] = set()
+        self.closed: list[_Element] = []
         self.stack = [_Element("", 0, False, False, True)]
         self.pieces: list[str] = []
         for m in _TOKEN.finditer(source):
@@ -120,6 +134,26 @@ class Page:
         while len(self.stack) > 1:
             self._close()
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Hashes of the elements that can be template go to their blocks; ``key`` is the hash of the main text."""
+        inside = any(b[3] and not b[2] for b in self.blocks)
+        main = [b[0] if not b[2] and (b[3] or not inside) else "" for b in self.blocks]
+        self.key = xxhash.xxh3_64_intdigest("\n".join(filter(None, main)).encode("utf-8", "replace")) - (1 << 63)
+        chars = list(accumulate(map(len, main), initial=0))
+        size = lambda e: chars[e.end] - chars[e.first]
+        most = [2 * size(e) > chars[-1] and (e.prose or size(e) >= MAIN_CHARS) for e in self.closed]
+        # elements close inside out, so the first is the innermost
+        body = next((i for i, e in enumerate(self.closed) if most[i] and e.tag not in ("html", "body") and e.tag not in _PARAGRAPH), -1)
+        first = self.closed[body].first if body >= 0 else 0
+        below = body < 0 and 2 * sum(size(e) for e in self.closed if e.top and e.tag in _PARAGRAPH) > chars[-1]
+        for i, e in enumerate(self.closed):
+            prose = e.tag in _PROSE or e.tag not in _BLOCK
+            if not (e.fixed or most[i] or (i < body and e.first >= first and (prose or e.prose)) or (below and e.top and prose)):
+                self.subtrees.add(e.value)
+                for block in self.blocks[e.first : e.end]:
+                    block[1].append(e.value)
 
     def _flush(self) -> None:
         if self.pieces:
@@ -157,7 +191,8 @@ class Page:
         drop, content = _boilerplate(tag, attrs, top.content)
         inside = top.content or content
         fixed = tag in ("html", "body", "article", "main") or content or (top.content and (tag in _PROSE or tag not in _BLOCK))
-        self.stack.append(_Element(tag, len(self.blocks), top.dropped or drop, inside, fixed))
+        below = top.tag in ("", "html", "body")
+        self.stack.append(_Element(tag, len(self.blocks), top.dropped or drop, inside, fixed, content, below))
 
     def _end(self, tag: str) -> None:
         if any(e.tag == tag for e in self.stack[1:]):
@@ -176,24 +211,26 @@ class Page:
         if not e.kids:
             return
         value = xxhash.xxh3_64_intdigest(e.tag.encode("utf-8", "replace") + b"\x00" + b"\x01".join(e.kids)) - (1 << 63)
-        self.stack[-1].kids.append(value.to_bytes(8, "little", signed=True))
-        if not e.fixed and len(self.blocks) > e.first:
-            self.subtrees.add(value)
-            for block in self.blocks[e.first :]:
-                block[1].append(value)
+        above = self.stack[-1]
+        above.kids.append(value.to_bytes(8, "little", signed=True))
+        above.main, above.prose = above.main or e.main, above.prose or e.prose
+        if len(self.blocks) > e.first:
+            e.end, e.value = len(self.blocks), value
+            e.fixed = e.fixed or e.main or (e.content and e.prose)
+            self.closed.append(e)
 
 
 def page_blocks(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """page_id, url, host, packed, around, content and subtrees of every page.
+    """page_id, url, host, packed, around, content, subtrees and key of every page.
 
     The blocks that mark-up doesn't rule out travel packed: their texts, which hold no line
     feeds, joined by line feeds and compressed, so that the join with the templates moves
     less. ``around`` and ``content`` have an entry for each of them; ``subtrees`` are all of
-    the page's subtrees.
+    the page's subtrees that can be template, ``key`` is the hash of its main text.
     """
     host, _ = split_url(F.col(url))
 
-    @F.pandas_udf("packed binary, around array<array<long>>, content array<boolean>, subtrees array<long>")
+    @F.pandas_udf("packed binary, around array<array<long>>, content array<boolean>, subtrees array<long>, key long")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=6).compress
         for sources in batches:
@@ -202,8 +239,8 @@ def page_blocks(pages: DataFrame, url: str = "url", source: str = "html") -> Dat
                 page = Page(source or "")
                 kept = [b for b in page.blocks if not b[2]]
                 text = "\n".join(b[0] for b in kept).encode("utf-8", "replace")
-                rows.append((pack(text), [b[1] for b in kept], [b[3] for b in kept], sorted(page.subtrees)))
-            yield pd.DataFrame(rows, columns=["packed", "around", "content", "subtrees"])
+                rows.append((pack(text), [b[1] for b in kept], [b[3] for b in kept], sorted(page.subtrees), page.key))
+            yield pd.DataFrame(rows, columns=["packed", "around", "content", "subtrees", "key"])
 
     return pages.select("page_id", F.col(url).alias("url"), host.alias("host"), read(F.col(source)).alias("page")).select("page_id", "url", "host", "page.*")
 
@@ -221,8 +258,8 @@ def unpacked(packed: Column, keep: Column) -> Column:
 
 
 def template_subtrees(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtree) of the subtrees in ``min_pages`` or more pages of their host."""
-    each = read.select("host", F.explode("subtrees").alias("subtree"))
+    """(host, subtree) of the subtrees in ``min_pages`` or more pages of their host with different main texts."""
+    each = read.where("host <> ''").select("host", F.explode("subtrees").alias("subtree"), "key").distinct()
     return each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages).select("host", "subtree")
 
 

@@ -155,6 +155,29 @@ def test_html_long_and_copied_articles(spark):
     assert texts == {"Same" + "\n\nword < word" * 3000}
 
 
+def test_html_copies_inside_other_elements_keep_their_text(spark):
+    bodies = {
+        "wrapped": "<div id=wrap><div><article><p>First words.</p><p>More words.</p></article></div></div>",
+        "section": "<article><section><p>First words.</p></section><section><p>More words.</p></section></article>",
+        "parts": "<article><div>First words.</div><div>More words.</div><div>Last words.</div></article>",
+        "div": "<div><p>First words.</p><p>More words.</p></div>",
+        "plain": "<div>First words.</div><div>More words.</div><div>Last words.</div>",
+        "below": "<p>First words.</p><p>More words.</p>",
+    }
+    rows = [(f"http://{h}.example/?utm={i}", f"<html><body>{b}</body></html>") for h, b in bodies.items() for i in range(12)]
+    # the same text on pages that differ in a few words
+    rows += [(f"http://day-{h}.example/{i}", f"<html><body><div>day {i}</div>{b}</body></html>") for h, b in bodies.items() for i in range(12) if h != "plain"]
+    # without a host there is no site; on a host the notice is template
+    rows += [(u, f"<div>Page {i}</div><div>Shared words</div>") for u in (None, "no-scheme/x", "http://site.example/") for i in range(12)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: " ".join(r.text.split()) for r in html_text.main_text(df).collect()}
+    for i, (url, source) in enumerate(rows):
+        kept = [w for w in ("First", "More", "Last") if w in source]
+        assert [w for w in kept if f"{w} words." in got[i]] == kept, url
+        if "Shared" in source:
+            assert ("Shared words" in got[i]) == (url != "http://site.example/") and "Page" in got[i]
+
+
 def test_url_rules_and_vocabulary(spark):
     rows = [
         (1, "http://a.example.com/en/1"), (2, "https://www.example.com/en/1"), (3, "http://x.net/es/9"), (4, "http://X.NET/ES/9"), (5, "ftp://casino-win.org/"),
