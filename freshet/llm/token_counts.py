@@ -8,8 +8,18 @@ library's count for the first j characters of chunk c,
 
 gives the exact count N(i) of every prefix. Whole-chunk counts C_c(len) come from the
 library once per distinct chunk and worker (a memo of bounded size); N at the chunk
-ends is then a running sum, and a truncation or budget question is a binary search in
-N plus the table C of one chunk. No text is encoded again.
+ends is then a running sum, and a truncation or budget question is a binary search in N.
+
+Inside a chunk the same sum runs over its pieces: no token crosses from letters to
+others, from or to a digit, or over white space that is not ASCII (``cuts``, which leaves
+out places where normalisation or a special token might join the sides). So for a budget
+question the pieces of one chunk are encoded once, up to the piece at the limit. Of that
+piece the prefixes are counted by the library, few at a time and in order, from the first
+that has as many bytes as tokens are left and up to the first over the limit. Memory stays
+in proportion to the text. Within one piece the time is quadratic in the characters up to
+the limit, however long the piece goes on; ``table`` needs all of its prefixes.
+
+Vocabularies with another normalizer or pre-tokenizer have one piece a chunk.
 
 Special-token strings inside texts are handled as the library does by default.
 
@@ -21,7 +31,9 @@ column are replaced.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import json
+import unicodedata
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -33,6 +45,15 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Distinct chunks a worker remembers before it starts afresh.
 MEMO_CHUNKS = 400_000
+#: Characters of prefixes, or of pieces, that go to the library at once (one text at least).
+BATCH_CHARS = 200_000
+#: Chunks of up to so many characters have their tables remembered.
+SHORT_CHUNK = 100
+
+# The normalizer and pre-tokenizer that ``cuts`` is written for.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACES = frozenset("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,6 +62,61 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def _joining() -> frozenset[str]:
+    """Characters that normalisation may join with the one before."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x20000))
+    second = {chr(int(p[1], 16)) for p in parts if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(second | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})
+
+
+@functools.lru_cache(maxsize=50_000)
+def _kind(c: str) -> tuple[str, bool]:
+    """L(etter), N(umber), S(pace), O(ther) or "" (not certain), and if a piece can start with the character.
+
+    Certain are characters that normalisation leaves one character of the same kind and
+    that have had their kind since Unicode 3.2, so that all libraries agree on it.
+    """
+    if c in _SPACES:
+        return "S", True
+    kind = lambda x, data: k if (k := data.category(x)[0]) in "LN" else "O"
+    low, old = c.lower(), unicodedata.ucd_3_2_0
+    if len(low) != 1 or c in _joining() or c.isspace() or old.category(c)[0] == "C" or unicodedata.category(c)[0] == "C":
+        return "", False
+    if unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFC", low) != low:
+        return "", False
+    if len({kind(c, unicodedata), kind(c, old), kind(low, unicodedata)}) > 1:
+        return "", False
+    return kind(c, unicodedata), unicodedata.combining(c) == 0
+
+
+@functools.lru_cache(maxsize=50_000)
+def _most_bytes(c: str) -> int:
+    """Bytes that a character can come to by normalisation, taken apart or not."""
+    return max(len(t.encode()) for x in (c, c.lower()) for t in (x, unicodedata.normalize("NFD", x)))
+
+
+def cuts(chunk: str, special: list[str] = ()) -> list[int]:
+    """Positions that no token crosses, in the chunk and in all its prefixes; 0 first.
+
+    An apostrophe stays with the letter after it, and a ``special`` string stays whole.
+    """
+    held = set()
+    for word in special:
+        at = chunk.find(word)
+        while at >= 0:
+            held.update(range(at + 1, at + len(word)))
+            at = chunk.find(word, at + 1)
+    out, (before, _), last = [0], _kind(chunk[0]), chunk[0]
+    for i in range(1, len(chunk)):
+        c = chunk[i]
+        kind, starts = _kind(c)
+        if starts and before and (kind != before or kind == "N") and not (last == "'" and kind == "L") and i not in held:
+            out.append(i)
+        before, last = kind, c
+    return out
+
+
 class PrefixCounter:
     """Counts of whole texts and of all their prefixes for one vocabulary file."""
 
@@ -51,6 +127,18 @@ class PrefixCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.memo_size, self.memo = memo, {}
+        parts = json.loads(self.library.to_str())
+        normal, pre, added = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}, parts.get("added_tokens") or []
+        first = (pre.get("pretokenizers") or [{}])[0]
+        self.special = [t["content"] for t in added]
+        self.cuttable = (
+            normal.get("normalizers") == _NORMALIZERS
+            and first.get("pattern") == {"Regex": _SPLIT}
+            and first.get("behavior") == "Removed"
+            and first.get("invert") is True
+            and [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in pre["pretokenizers"][1:]] == [("ByteLevel", False, False)]
+            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        )
 
     def _encoded(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,10 +167,62 @@ class PrefixCounter:
             ends.append(at)
         return chunks, np.array(ends, dtype="int64"), np.cumsum([self.memo[c.encode()] for c in chunks], dtype="int64")
 
+    def pieces(self, chunk: str) -> list[str]:
+        at = cuts(chunk, self.special) if self.cuttable else [0]
+        return [chunk[a:b] for a, b in zip(at, [*at[1:], len(chunk)], strict=True)]
+
+    def _in_batches(self, texts: Iterable[str]) -> Iterator[int]:
+        """Counts of texts, of which only few are held at once."""
+        batch, chars = [], 0
+        for t in texts:
+            if batch and chars + len(t) > BATCH_CHARS:
+                yield from self._encoded(batch)
+                batch, chars = [], 0
+            batch.append(t)
+            chars += len(t)
+        yield from self._encoded(batch)
+
+    def _prefixes(self, chunk: str) -> Iterator[int]:
+        before = 0
+        for piece in self.pieces(chunk):
+            n = 0
+            for n in self._in_batches(piece[:j] for j in range(1, len(piece) + 1)):
+                yield before + n
+            before += n
+
     @functools.lru_cache(maxsize=20_000)  # noqa: B019  one counter lives as long as its worker
-    def chunk_table(self, chunk: str) -> tuple[int, ...]:
+    def _short_table(self, chunk: str) -> np.ndarray:
+        return np.array(self._encoded([chunk[:j] for j in range(1, len(chunk) + 1)]), dtype="int64")
+
+    def chunk_table(self, chunk: str) -> np.ndarray:
         """C(1), C(2), ... of a chunk."""
-        return tuple(self._encoded([chunk[:j] for j in range(1, len(chunk) + 1)]))
+        return self._short_table(chunk) if len(chunk) <= SHORT_CHUNK else np.fromiter(self._prefixes(chunk), "int64", len(chunk))
+
+    def _chunk_within(self, chunk: str, budget: int) -> int:
+        """Characters of the longest prefix of a chunk of which no shorter prefix has over ``budget`` tokens."""
+        if len(chunk) <= SHORT_CHUNK:
+            over = np.flatnonzero(self._short_table(chunk) > budget)
+            return int(over[0]) if len(over) else len(chunk)
+        start, pieces = 0, self.pieces(chunk)
+        for piece, n in zip(pieces, self._in_batches(pieces), strict=True):
+            # a prefix has at most a token a byte, so shorter ones are within
+            least = self._first_with(piece, budget)
+            if least <= len(piece):
+                prefixes = self._in_batches(piece[:j] for j in range(least, len(piece) + 1))
+                fit = next((j for j, m in enumerate(prefixes, least - 1) if m > budget), None)
+                if fit is not None:
+                    return start + fit
+            start, budget = start + len(piece), budget - n
+        return len(chunk)
+
+    def _first_with(self, piece: str, budget: int) -> int:
+        """Characters of the shortest prefix that might have over ``budget`` tokens."""
+        total = 0
+        for j, c in enumerate(piece, 1):
+            total += _most_bytes(c)
+            if total > budget:
+                return j
+        return len(piece) + 1
 
     def table(self, text: str) -> np.ndarray:
         """N(0), N(1), ..., N(len(text))."""
@@ -90,7 +230,7 @@ class PrefixCounter:
         for chunk, stop, total in zip(*self.chunk_ends(text), strict=True):
             start = stop - len(chunk)
             out[end + 1 : start + 1] = before
-            out[start + 1 : stop + 1] = before + np.array(self.chunk_table(chunk))
+            out[start + 1 : stop + 1] = before + self.chunk_table(chunk)
             before, end = total, stop
         out[end + 1 :] = before
         return out
@@ -103,8 +243,7 @@ class PrefixCounter:
             return len(text)
         before = int(totals[k - 1]) if k else 0
         start = int(ends[k]) - len(chunks[k])
-        fit = next((j for j, n in enumerate(self.chunk_table(chunks[k])) if before + n > budget), len(chunks[k]))
-        return start + fit
+        return start + self._chunk_within(chunks[k], budget - before)
 
 
 @functools.lru_cache(maxsize=2)

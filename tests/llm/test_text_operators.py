@@ -226,3 +226,38 @@ def test_every_prefix_count_is_exact(spark):
     for r in token_counts.prefix_tokens(df).collect():
         want = [len(library.encode(r.text[:i], add_special_tokens=False).ids) for i in range(len(r.text) + 1)]
         assert r.prefix_tokens == want, r.text
+
+
+NASTY = list("ab'sStTrReEvV09.!<|>=-") + ["'s", "'ll", "é", "e\u0301", "\u0301", "\u0338", "\u0e01", "\u0e34", "\u0e48", "\u0915", "\u093c", "\u093f", "\u094d", "\u0958", "\u1100", "\u1161", "\u11a8", "\uac00"] + [
+    "日", "本", "。", "\u3000", "\xa0", "\u2003", "\x85", "\x1c", "\u200b", "İ", "ß", "Σ", "Å", "½", "²", "Ⅷ", "😀", "\U00016d63", "\U00016d67", "\u023a", "<|endoftext|>", "<|startoftext|>",
+]
+
+
+def test_pieces_of_chunks_add_up():
+    count = token_counts.counter(token_counts.vocabulary_path())
+    assert count.cuttable
+    rng = random.Random(11)
+    for _ in range(300):
+        chunk = "".join(rng.choice(NASTY) for _ in range(token_counts.SHORT_CHUNK + rng.randrange(1, 30)))
+        want = count._encoded([chunk[:j] for j in range(1, len(chunk) + 1)])
+        assert count.chunk_table(chunk).tolist() == want, chunk
+        for budget in (0, 1, want[-1] // 2, want[-1] - 1, want[-1]):
+            fit = next((j for j, n in enumerate(want) if n > budget), len(chunk))
+            assert count._chunk_within(chunk, budget) == fit, (chunk, budget)
+
+
+@pytest.mark.parametrize("kind", ["base64", "prose", "nbsp", "letters"])
+def test_long_chunks_are_counted_a_few_prefixes_at_a_time(monkeypatch, kind):
+    rng = random.Random(3)
+    text = {
+        "base64": "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=6000)),
+        "prose": "".join(rng.choices("日本語文字列は長い。、", k=6000)),
+        "nbsp": "\xa0".join(["some", "words", "here"] * 400),
+        "letters": "".join(rng.choices("etaoinshrdlu", k=6000)),
+    }[kind]
+    count, calls = token_counts.PrefixCounter(token_counts.vocabulary_path()), []
+    encoded = count._encoded
+    monkeypatch.setattr(count, "_encoded", lambda texts: (calls.append(sum(map(len, texts))), encoded(texts))[1])
+    fit = count.longest_within(text, 200)
+    assert encoded([text[:fit]])[0] <= 200 < encoded([text[: fit + 1]])[0]
+    assert max(calls) <= token_counts.BATCH_CHARS and sum(calls) < 1_000_000
