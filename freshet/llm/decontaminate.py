@@ -20,6 +20,7 @@ others; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.llm.common import shared_dir
+
 ERROR_RATE = 0.08
 GROUP_CHARS = 1_000_000
 
@@ -129,9 +132,14 @@ def item_groups(items: DataFrame, group_chars: int = GROUP_CHARS) -> list[DataFr
 def contaminated(
     docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, group_chars: int = GROUP_CHARS
 ) -> DataFrame:
-    """doc_id, item_id, distance, budget, match_end: every document that holds an item."""
-    found = None
-    for group in item_groups(items.select("item_id", "text"), group_chars):
+    """doc_id, item_id, distance, budget, match_end: every document that holds an item.
+
+    With several groups each one's hits are written before the next is collected, and the
+    plan that comes back reads the hits alone.
+    """
+    groups = item_groups(items.select("item_id", "text"), group_chars)
+    path = f"{shared_dir(docs.sparkSession)}/freshet-{uuid.uuid4().hex}" if len(groups) > 1 else None
+    for group in groups:
         held = [(r["item_id"], r["text"]) for r in group.collect()]  # at most a group's characters
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -141,10 +149,13 @@ def contaminated(
                 out = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "budget", "match_end"])
                 yield out.astype({"doc_id": "Int64", "item_id": "Int64", "distance": "int32", "budget": "int32", "match_end": "int64"})
 
-        hits = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
             scan, "doc_id long, item_id long, distance int, budget int, match_end long"
         )
-        found = hits if found is None else found.unionByName(hits)
+        if path:
+            found.write.mode("append").option("compression", "zstd").parquet(path)
+    if path:
+        found = docs.sparkSession.read.schema(found.schema).parquet(path)
     best = Window.partitionBy("doc_id", "item_id").orderBy("distance", "match_end")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 

@@ -62,6 +62,15 @@ def test_contaminated_equals_brute_force(spark, group_chars):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(d for d, _ in docs if d is not None and d not in {x for x, _ in want})
 
 
+def test_contaminated_keeps_no_group_in_the_plan(spark):
+    items = spark.createDataFrame([(i, f"item number {i} with some words of its own") for i in range(20)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("text"))
+    assert len(decontaminate.item_groups(items, 100)) > 5
+    found = decontaminate.contaminated(docs, items, rate=0.0, group_chars=100)
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(20)]
+
+
 def test_contaminated_of_nothing(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, items).collect() == []
