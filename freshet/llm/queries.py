@@ -104,12 +104,12 @@ _CHAT_ORACLE = r"""
 _SEARCH_ORACLE = """
     with v as (
       select distinct vec_id::bigint as id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vec
-      from embeddings where vec_id is not null and len(embedding) > 0
+      from embeddings where embedding is not null
         and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = len(embedding)),
     s as (
-      select a.id as query_id, b.id as vec_id, max(list_sum(list_transform(range(1, 1 + least(len(a.vec), len(b.vec))), lambda i: a.vec[i] * b.vec[i])))::bigint as score
-      from v a join v b on a.id <> b.id where a.id % 50 = 0 group by 1, 2)
+      select a.id as query_id, b.id as vec_id, max(coalesce(list_sum(list_transform(range(1, 1 + least(len(a.vec), len(b.vec))), lambda i: a.vec[i] * b.vec[i])), 0))::bigint as score
+      from v a join v b on a.id is distinct from b.id where a.id % 50 = 0 group by 1, 2)
     select query_id, rank::int as rank, vec_id, score from (
-      select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+      select *, row_number() over (partition by query_id order by score desc, vec_id nulls last) as rank from s) where rank <= 5"""
 
 ORACLES = {"op1_maxscore_topk": _SEARCH_ORACLE, "op4_url_filter": _url_oracle(), "op9_chat_format": _CHAT_ORACLE}

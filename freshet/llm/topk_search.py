@@ -12,18 +12,24 @@ full row where most vectors have one. For one query and one shard:
    time, only for vectors whose sum plus the remaining bounds is still competitive;
 4. shards' lists are merged per query.
 
-Vectors (in shards) meet queries (in blocks) by an equi-join on (shard, block), so a task
-holds one shard and one block, of bounded sizes.
-
-Defined results: vectors that are null, empty or hold null or non-finite components take
-no part; a shorter vector has weight 0 in the missing dimensions; repeated rows of an id
-count once, several different vectors of one id count with their best score; a query's own
-id is no candidate; ties go to smaller ids; an empty table gives an empty result. Scores
-are exact while |scores| < 2^63.
+Every vector is shuffled once, to its shard; queries go to all shards and stream past the
+shard that a task holds, a batch at a time. A shard grows with the square root of the
+number of vectors, up to ``SHARD_CELLS`` components, so that fewer copies of the queries
+are needed; ``seen`` and ``probes`` tell what the bounds save.
+
+Defined results: vectors that are null or hold null or non-finite components take no part;
+an empty vector scores 0 with all others; a shorter vector has weight 0 in the missing
+dimensions; repeated rows of an id count once, several different vectors of one id count
+with their best score; a query's own id is no candidate; a null id is no query, but one
+candidate, after all others in ties (the largest long, which stands for it inside, is taken
+for null); ties go to smaller ids; an empty table gives an empty result; other columns are
+not read. Scores are exact while |scores| < 2^63.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,8 +37,11 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 K = 5
+#: Least rows and most components (rows by dimensions) of a shard.
 SHARD_ROWS = 8192
-QUERY_ROWS = 1024
+SHARD_CELLS = 4_000_000
+#: The id that stands for null: it loses ties.
+NULL_ID = (1 << 63) - 1
 #: A posting that holds more than this share of a shard is kept as a full row.
 FULL_SHARE = 0.25
 SEED_TERMS = 8
@@ -43,8 +52,9 @@ def quantized(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     """(id, vec array<long>) of the usable vectors; repeated rows once."""
     component = lambda x: F.floor(x.cast("double") * F.lit(float(scale)))
     finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))
-    usable = F.col(id_col).isNotNull() & (F.size(vector) > 0) & F.forall(F.col(vector), finite)
-    return df.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, component).alias("vec")).distinct()
+    usable = F.col(vector).isNotNull() & F.forall(F.col(vector), finite)
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    return df.where(usable).select(known.alias("id"), F.transform(vector, component).alias("vec")).distinct()
 
 
 class Shard:
@@ -59,10 +69,31 @@ class Shard:
         self.largest = largest
         self.vectors = self.vectors.astype("float64" if self.exact_float else "int64")
         self.rows = np.ascontiguousarray(self.vectors.T)
-        self.low, self.high = self.rows.min(axis=1), self.rows.max(axis=1)
+        self.low, self.high = self.rows.min(axis=1, initial=0), self.rows.max(axis=1, initial=0)
         share = (self.rows != 0).mean(axis=1)
         self.full = share > FULL_SHARE
         self.sparse = {d: np.flatnonzero(self.rows[d]) for d in np.flatnonzero(~self.full)}
+        #: of all vectors asked about, those in essential postings; of all probes of other terms, those made
+        self.asked = self.seen = self.probes = self.all_probes = 0
+
+    @classmethod
+    def of(cls, pairs: list[tuple[int, np.ndarray]]) -> "Shard":
+        vectors = [v for _, v in pairs]
+        return cls(np.array([i for i, _ in pairs], dtype="int64"), _matrix(vectors, max(map(len, vectors))))
+
+    def answers(self, asked: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of the k best vectors for each of some queries (id, vector)."""
+        width = self.vectors.shape[1]
+        wanted = _matrix([v[:width] for _, v in asked], width)
+        if self.exact_float and width * self.largest * float(np.abs(wanted).max(initial=0)) >= 2.0**52:
+            self.exact_float = False
+            self.vectors, self.rows = self.vectors.astype("int64"), self.rows.astype("int64")
+            self.low, self.high = self.low.astype("int64"), self.high.astype("int64")
+        out = []
+        for (own, _), query in zip(asked, wanted, strict=True):
+            ids, scores = self.top(query, own, k)
+            out += [(own, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
+        return out
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors other than ``own``, best first."""
@@ -90,14 +121,17 @@ class Shard:
         total = query[essential] @ self.rows[essential] if len(seen) == n else self.vectors[np.ix_(seen, essential)] @ query[essential]
         keep = other[seen]
         seen, total = seen[keep], total[keep]
+        self.asked, self.seen, self.all_probes = self.asked + n, self.seen + len(seen), self.all_probes + n * (len(order) - split)
         for at in range(split, len(order) + 1, PROBE_TERMS):
             if len(seen) > k:
                 best = np.argpartition(-total, min(4 * k, len(seen) - 1))[: 4 * k]
-                raised = self._kth(query, seen[best], other, k)
-                floor = raised if floor is None else max(floor, raised)
-                keep = total + tail[min(at, len(order))] >= floor
-                seen, total = seen[keep], total[keep]
+                known = [f for f in (floor, self._kth(query, seen[best], other, k)) if f is not None]
+                floor = max(known, default=None)
+                if floor is not None:
+                    keep = total + tail[min(at, len(order))] >= floor
+                    seen, total = seen[keep], total[keep]
             terms = order[at : at + PROBE_TERMS]
+            self.probes += len(seen) * len(terms)
             total = total + self.vectors[np.ix_(seen, terms)] @ query[terms]
         best = np.lexsort((self.ids[seen], -total))
         chosen = self._distinct(seen[best], k)
@@ -119,37 +153,39 @@ class Shard:
         return rows[np.sort(first)[:k]]
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
+def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), dtype="int64")
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
-def search(
-    vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS
-) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, shard_cells: int = SHARD_CELLS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries`` (id, vec)."""
-    shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // query_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", every(blocks))
-    right = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards))
-
-    def scan(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(held) and len(asked):
-            width = max(held["vec"].map(len).max(), asked["vec"].map(len).max())
-            shard = Shard(held["id"].to_numpy(), _matrix(held["vec"], width))
-            wanted = _matrix(asked["vec"], width)
-            if width * shard.largest * float(np.abs(wanted).max()) >= 2.0**52:
-                shard.vectors, shard.rows = shard.vectors.astype("int64"), shard.rows.astype("int64")
-            for query_id, vec in zip(asked["id"].tolist(), wanted, strict=True):
-                ids, scores = shard.top(vec, query_id, k)
-                out += [(query_id, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "query_id long, vec_id long, score long")
+    rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    size = max(shard_rows, min(int(rows**0.5) * 16, shard_cells // max(1, width or 1)))
+    shards = max(1, -(-rows // size))
+    placed = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"))
+    asking = queries.where(F.col("id") != NULL_ID).select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"))
+    dealt = placed.unionByName(asking).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shards of a partition one after the other: first the vectors, then the queries."""
+        number, held, shard = None, [], None
+        for batch in batches:
+            for at, part in batch.groupby("shard", sort=False):
+                if at != number:
+                    number, held, shard = at, [], None
+                asks = part["asks"].to_numpy()
+                pairs = list(zip(part["id"].tolist(), part["vec"], strict=True))
+                held += [p for p, a in zip(pairs, asks, strict=True) if not a]
+                if asks.any() and held:
+                    shard = shard or Shard.of(held)
+                    found = shard.answers([p for p, a in zip(pairs, asks, strict=True) if a], k)
+                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+    found = dealt.mapInPandas(scan, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     merged = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = best.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.nullif("vec_id", F.lit(NULL_ID)).alias("vec_id"), "score")

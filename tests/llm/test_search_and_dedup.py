@@ -14,22 +14,22 @@ from freshet.llm import simhash, topk_search
 def brute_topk(rows, k, every):
     vecs = {}
     for i, v in rows:
-        if i is None or not v or any(x is None or math.isnan(x) or math.isinf(x) for x in v):
+        if v is None or any(x is None or math.isnan(x) or math.isinf(x) for x in v):
             continue
         vecs.setdefault(i, set()).add(tuple(math.floor(256 * x) for x in v))
     out = set()
     for q in vecs:
-        if q % every:
+        if q is None or q % every:
             continue
         best = sorted(
-            ((max(sum(a * b for a, b in zip(x, y, strict=False)) for x in vecs[q] for y in vecs[c]), c) for c in vecs if c != q), key=lambda s: (-s[0], s[1])
+            ((max(sum(a * b for a, b in zip(x, y, strict=False)) for x in vecs[q] for y in vecs[c]), c) for c in vecs if c != q), key=lambda s: (-s[0], s[1] is None, s[1])
         )[:k]
         out |= {(q, r, c, s) for r, (s, c) in enumerate(best, 1)}
     return out
 
 
-@pytest.mark.parametrize("shard_rows,query_rows,sparse", [(8192, 1024, False), (17, 5, False), (20, 7, True)])
-def test_maxscore_equals_brute_force(spark, shard_rows, query_rows, sparse):
+@pytest.mark.parametrize("shard_rows,cells,sparse", [(8192, 4_000_000, False), (17, 200, False), (20, 240, True)])
+def test_maxscore_equals_brute_force(spark, shard_rows, cells, sparse):
     rnd = random.Random(shard_rows)
     value = lambda: 0.0 if sparse and rnd.random() < 0.85 else rnd.gauss(0, 0.2)
     rows = [(i, [value() for _ in range(12)]) for i in range(120)]
@@ -37,7 +37,7 @@ def test_maxscore_equals_brute_force(spark, shard_rows, query_rows, sparse):
     rows += [(300, rows[0][1]), (301, rows[0][1]), rows[5], (6, [1.0] * 12)]  # ties, a repeated row, an id with two vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     vectors = topk_search.quantized(df)
-    got = {tuple(r) for r in topk_search.search(vectors, vectors.where("id % 10 = 0"), 5, shard_rows, query_rows).collect()}
+    got = {tuple(r) for r in topk_search.search(vectors, vectors.where("id % 10 = 0"), 5, shard_rows, cells).collect()}
     assert got == brute_topk(rows, 5, 10)
 
 
@@ -49,6 +49,24 @@ def test_maxscore_fewer_than_k_and_empty(spark):
     assert topk_search.search(none, none).collect() == []
 
 
+def test_maxscore_many_vectors_of_one_id_and_empty_ones(spark):
+    rows = [(7, [float(i % 9), float(i % 5), 1.0]) for i in range(50)] + [(i, [float(i), 1.0, -1.0]) for i in range(6)] + [(50, []), (51, []), (None, [])]
+    v = topk_search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    for shard_rows, cells in ((8192, 4_000_000), (3, 9)):
+        got = {tuple(r) for r in topk_search.search(v, v, 5, shard_rows, cells).collect()}
+        assert got == brute_topk(rows, 5, 1)
+    empty = topk_search.quantized(spark.createDataFrame([(i, []) for i in range(3)], "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in topk_search.search(empty, empty).collect()} == {(0, 1, 1, 0), (0, 2, 2, 0), (1, 1, 0, 0), (1, 2, 2, 0), (2, 1, 0, 0), (2, 2, 1, 0)}
+
+
+def test_maxscore_bounds_save_work():
+    rnd = random.Random(2)
+    sparse = [(i, [rnd.random() * 100 if rnd.random() < 0.05 else 0 for _ in range(60)]) for i in range(2000)]
+    shard = topk_search.Shard.of([(i, [int(x) for x in v]) for i, v in sparse])
+    shard.answers([(i, [int(x) for x in v]) for i, v in sparse[:20]], 5)
+    assert shard.seen < 0.9 * shard.asked and shard.probes < 0.7 * shard.all_probes
+
+
 def test_maxscore_large_integers_stay_exact(spark):
     rows = [(i, [float(2**20 + i), float(i)]) for i in range(20)]
     v = topk_search.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
@@ -87,8 +105,7 @@ def test_fingerprints_equal_the_definition(spark):
     assert got == {i: f"{naive_fingerprint(t):016x}" for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("crowd", [256, 2])
-def test_links_connect_what_brute_force_connects(spark, crowd):
+def test_links_connect_what_brute_force_connects(spark):
     rnd = random.Random(7)
     fps = {rnd.getrandbits(64) for _ in range(40)}
     for base in list(fps)[:12]:
@@ -98,9 +115,13 @@ def test_links_connect_what_brute_force_connects(spark, crowd):
                 f ^= 1 << rnd.randrange(64)
             fps.add(f)
             base = f if rnd.random() < 0.5 else base
+    for apart in (1, 2, 3, 4):  # pairs with no other fingerprint near, bits of one half and of both
+        for _ in range(60):
+            base = rnd.getrandbits(64)
+            fps |= {base, base ^ sum(1 << b for b in rnd.sample(range(64) if rnd.random() < 0.6 else rnd.choice([range(32), range(32, 64)]), apart))}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    edges = simhash.links(df, crowd)
+    edges = simhash.links(df)
     assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 3 for r in edges.collect())
     tree = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in simhash.components(edges).collect()}
     want = naive_components(fps)
@@ -124,6 +145,16 @@ def test_near_duplicates_classes_and_dedup(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_a_crowd_of_near_copies_is_one_class(spark):
+    chain, f = [0], 0
+    for i in range(1200):  # a Gray code: each differs from the one before by one bit
+        f ^= (i + 1) & -(i + 1)
+        chain.append(f)
+    df = spark.createDataFrame([(f,) for f in chain], "fp long")
+    tree = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    assert set(tree) == set(chain) and set(tree.values()) == {0}
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == []
