@@ -50,3 +50,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", heavy: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for each ``key`` and ``n``, the number of rows with it.
+
+    Keys with over 1 / ``heavy`` of all rows are fewer than ``heavy``, so they are broadcast,
+    whatever the sizes; the others' rows are shuffled, and no task gets a heavy key. ``how``
+    is inner or left. ``keyed`` is written once; ``rows`` is read twice.
+    """
+    keyed = stored(keyed)
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    many = F.col("n") * heavy > total
+    other = [F.col(c) for c in keyed.columns if c not in (key, "n")]
+    heavy_rows = F.broadcast(keyed.where(many).select(F.col(key).alias("_key"), *other))
+    light_rows = keyed.where(~many).select(F.col(key).alias("_key"), *other)
+    same = F.col(key) == F.col("_key")
+    hot = rows.join(heavy_rows, same)
+    cold = rows.join(F.broadcast(keyed.where(many).select(F.col(key).alias("_key"))), same, "left_anti").join(light_rows.hint("shuffle_merge"), same, how)
+    return hot.unionByName(cold).drop("_key")

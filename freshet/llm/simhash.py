@@ -4,26 +4,30 @@ A text's fingerprint has 64 bits, bit i set if it is set in over half of the XXH
 (seed 42) of the text's 3-word shingles, repeats included. Fingerprints link at ``RADIUS``
 = 3 or fewer differing bits; a document's class is the smallest doc_id reachable by links.
 
-Search: two fingerprints within 3 bits are within floor(3 / 2) = 1 bit on one of their two
-32-bit halves. So every distinct fingerprint emits, for each half, all variants within half
-the radius (33 values) and its own half as a centre; variants and centres meet in one
-shuffle on (half, value), colliding pairs are verified on all 64 bits and deduplicated.
-(Balls of half the radius, rounded up to 2, over all 64 bits at once would be 2,081
-variants for every fingerprint instead of 66.)
-
-A value that more than ``CROWD`` distinct fingerprints share as their own half would give
-pairs by the square. Its members (centres and visitors) leave that join and use the
-64-bit balls: all 65 variants within 1 bit and all 2,081 within 2 bits meet, and everyone
-who reaches a variant within 2 bits is tied to one fingerprint that reaches it within 1.
-These ties are links, they connect what the members' pairs would connect, and their number
-is linear in the members. Exact copies share a fingerprint and never form pairs.
-
-Classes: large-star / small-star rounds over the distinct links, in Spark, with reliable
-checkpoints; nothing is collected.
+Search: half the radius is 1.5, so two balls meet in the middle, one of radius 1 and one of
+radius 2. Every distinct fingerprint emits its 65 variants within 1 bit; those at up to 2
+bits from each other share one. Fingerprints at exactly 3 bits differ in parity, and two of
+their three bits lie in the same half of the 64; so it is enough that each fingerprint of
+even parity also emits its 992 variants with two flips in one half: one of them is within 1
+bit of the other. One shuffle brings equal variants together: it deals them by the bits that
+the two flips leave (the other half and 8 bits of the flipped one), so that most variants of
+a fingerprint travel side by side and compress; fingerprints of odd parity, which have to be
+met under both halves, emit their variants for each. There the fingerprints that reach a
+variant are tied to the least that reaches it within 1 bit; ties are verified on
+all 64 bits and deduplicated. They are links, and they connect whatever shares a variant,
+so their number is linear in the emitted rows and no pairs within a group are made. At most
+65 distinct fingerprints are within 1 bit of a variant, and at most 2,081 within 2, so no
+group is large however the texts are distributed. Exact copies share a fingerprint.
+
+Classes: large-star / small-star rounds over the distinct links, in Spark, each written to
+the shared folder; nothing is collected.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a
 null doc_id takes part but is nobody's class (a class of only null ids is null); repeated
-rows share a class; an empty table gives an empty result.
+rows share a class; very long texts are read whole, word by word; an empty table gives an
+empty result; ``near_duplicates`` reads doc_id and text only, ``deduplicated`` returns all
+columns of its input, of which none may be named _hash, _rest or _n. Of the rows of a class
+that one stays whose doc_id is least, then its text's hash, then the hash of all its columns.
 """
 
 from __future__ import annotations
@@ -37,12 +41,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import checkpointed, stored
+from freshet.llm.common import join_counted, stored
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-CROWD = 256
+#: The bits that deal variants with two flips in the low and in the high half.
+KEPT_BY_LOW = -(1 << 24)
+KEPT_BY_HIGH = (0xFF << 56 | 0xFFFFFFFF) - (1 << 64)
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -71,75 +77,49 @@ def fingerprints(text: Column) -> Column:
     return marked(text)
 
 
-def _half(fp: Column, half: int) -> Column:
-    return F.shiftrightunsigned(fp, 32) if half else fp.bitwiseAND(F.lit(0xFFFFFFFF))
+def _flips(width: int, low: int = 0) -> Column:
+    """The masks that flip one of ``width`` bits from bit ``low`` on."""
+    return F.transform(F.sequence(F.lit(low), F.lit(low + width - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
 
 
-def _key(half: int, value: Column) -> Column:
-    """One long for (half, 32-bit value)."""
-    return value.bitwiseOR(F.lit(half << 32)) if half else value
+def _pair_flips(width: int, low: int) -> Column:
+    """The masks that flip two of ``width`` bits from bit ``low`` on."""
+    ones = _flips(width, low)
+    return F.flatten(F.transform(ones, lambda a: F.transform(F.filter(ones, lambda b: F.shiftrightunsigned(b, low) < F.shiftrightunsigned(a, low)), lambda b: a.bitwiseOR(b))))
 
 
-def _masks(width: int, distance: int) -> list[int]:
-    """All masks of ``width`` bits with at most ``distance`` set, as signed 64-bit numbers."""
-    found = [0]
-    if distance >= 1:
-        found += [1 << i for i in range(width)]
-    if distance >= 2:
-        found += [1 << i | 1 << j for i in range(width) for j in range(i)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in found]
+def links(fps: DataFrame) -> DataFrame:
+    """Distinct links (a, b), a < b, that connect all distinct fingerprints ``fps`` (fp) within the radius."""
+    fp = F.col("fp")
+    ones, even = _flips(64), F.bit_count("fp") % 2 == 0
 
+    def emitted(some: DataFrame, flips: Column, dealt_by: int) -> DataFrame:
+        reached = some.select("fp", F.explode(flips).alias("flip")).select(fp.bitwiseXOR(F.col("flip")).alias("variant"), "fp")
+        return reached.select(F.col("variant").bitwiseAND(F.lit(dealt_by)).alias("part"), "variant", "fp")
 
-def _emit(fps: DataFrame, masks: list[int], value, name: str) -> DataFrame:
-    flips = F.array(*[F.lit(m) for m in masks]) if len(masks) < 100 else None
-    if flips is None:  # pairs of single flips, so that the plan holds 65 literals and not 2,081
-        ones = F.array(*[F.lit(m) for m in _masks(64, 1)])
-        flips = F.array_distinct(F.flatten(F.transform(ones, lambda a: F.transform(ones, lambda b: a.bitwiseXOR(b)))))
-    return fps.withColumn("flip", F.explode(flips)).select(value.alias(name), "fp")
-
-
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Distinct links (a, b), a < b, that connect all fingerprints ``fps`` (fp) within the radius."""
-    centres = fps.select(F.explode(F.array(*[_key(h, _half(F.col("fp"), h)) for h in (0, 1)])).alias("key"), F.col("fp").alias("centre"))
-    variants = [
-        _emit(fps, _masks(32, 1), _key(h, _half(F.col("fp"), h).bitwiseXOR(F.col("flip"))), "key").select("key", F.col("fp").alias("visitor")) for h in (0, 1)
-    ]
-    visits = variants[0].unionByName(variants[1])
-    crowded = stored(centres.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"))
-    near = (F.col("centre") != F.col("visitor")) & (F.bit_count(F.col("centre").bitwiseXOR(F.col("visitor"))) <= RADIUS)
-    some = crowded.limit(1).count() > 0
-    open_centres = centres.join(crowded.hint("shuffle_hash"), "key", "left_anti") if some else centres
-    pairs = visits.join(open_centres.withColumnRenamed("key", "at").hint("shuffle_merge"), (F.col("key") == F.col("at")) & near)
-    found = pairs.select(F.least("centre", "visitor").alias("a"), F.greatest("centre", "visitor").alias("b"))
-    if some:
-        met = visits.join(crowded.hint("shuffle_hash"), "key", "left_semi").select(F.col("visitor").alias("fp"))
-        found = found.unionByName(_ties(stored(met.distinct())))
-    return found.distinct()
-
-
-def _ties(fps: DataFrame) -> DataFrame:
-    """Links of ``fps`` among each other by 64-bit balls: a star for each variant."""
-    value = F.col("fp").bitwiseXOR(F.col("flip"))
-    hubs = _emit(fps, _masks(64, 1), value, "at").groupBy("at").agg(F.min("fp").alias("hub"))
-    reach = _emit(fps, _masks(64, 2), value, "variant")
-    tied = reach.join(hubs.hint("shuffle_merge"), (F.col("variant") == F.col("at")) & (F.col("fp") != F.col("hub")))
-    return tied.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+    reach = emitted(fps, F.concat(F.array(F.lit(0).cast("long")), ones), KEPT_BY_LOW)
+    reach = reach.unionByName(emitted(fps.where(~even), ones, KEPT_BY_HIGH))
+    reach = reach.unionByName(emitted(fps.where(even), _pair_flips(32, 0), KEPT_BY_LOW))
+    reach = reach.unionByName(emitted(fps.where(even), _pair_flips(32, 32), KEPT_BY_HIGH))
+    near = F.when(F.bit_count(F.col("variant").bitwiseXOR(fp)) <= 1, fp)
+    hub = F.min(near).over(Window.partitionBy("part", "variant"))
+    tied = reach.repartition("part").withColumn("hub", hub).where((F.col("hub") != fp) & (F.bit_count(F.col("hub").bitwiseXOR(fp)) <= RADIUS))
+    return tied.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for the nodes of ``edges`` (a, b)."""
-    edges, last = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    edges, last = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     for _ in range(rounds):
         # large star: every larger neighbour is tied to the smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least.hint("shuffle_merge"), "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = stored(join_counted(both, least, "a").where("b > a and m < b").select(F.col("m").alias("a"), "b").distinct())
         # small star: the smaller neighbours and the node itself are tied to the smallest
-        large = large.where("a < b")
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        tied = large.join(down.hint("shuffle_merge"), "b")
+        down = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
+        tied = join_counted(large, down, "b")
         small = tied.select(F.col("m").alias("lo"), F.explode(F.array("a", "b")).alias("hi")).where("lo < hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-        edges = checkpointed(small.distinct())
+        edges = stored(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -149,34 +129,32 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, text_hash, fp, root (a fingerprint that names the class), component_id of every row of ``docs``."""
-    marked = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints(F.col("text")).alias("fp")))
-    firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tree = components(links(firsts.select("fp"), crowd))
-    linked = firsts.join(tree.hint("shuffle_merge"), F.col("fp") == F.col("node")).select("fp", "root", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("least")).hint("shuffle_merge")
-    joined = linked.select("fp", "root").join(least, "root").select(F.col("fp").alias("linked_fp"), "root", "least")
-    alone = F.col("linked_fp").isNull()
-    known = firsts.join(joined.hint("shuffle_merge"), F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("known_fp"),
-        F.coalesce("root", "fp").alias("root"),
-        F.when(alone, F.col("first")).otherwise(F.col("least")).alias("component_id"),
-    )
-    return marked.join(known.hint("shuffle_merge"), F.col("fp") == F.col("known_fp"), "left").drop("known_fp")
-
-
-def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def classes(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the class), component_id and the ``carry`` columns of every row of ``docs``."""
+    carry = carry or {}
+    marked = stored(docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), *[c.alias(name) for name, c in carry.items()]))
+    firsts = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    tree = components(links(firsts.select("fp")))
+    linked = stored(firsts.join(tree.hint("shuffle_merge"), F.col("fp") == F.col("node")).select("fp", "root", "first", "n"))
+    least = linked.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    rooted = join_counted(linked.withColumnRenamed("n", "rows"), least, "root").select("fp", "root", F.col("least").alias("component_id"), F.col("rows").alias("n"))
+    alone = firsts.join(rooted.select(F.col("fp").alias("_fp")).hint("shuffle_merge"), F.col("fp") == F.col("_fp"), "left_anti")
+    known = alone.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"), "n").unionByName(rooted)
+    return join_counted(marked, known, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs`` (doc_id, text)."""
-    return classes(docs, crowd).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class of ``docs``: of the smallest doc_id, null ids last; all columns."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    kept = stored(classes(docs, crowd).groupBy("root").agg(best).select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_hash").alias("kept_hash")))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash"))
-    rows = hashed.join(kept.hint("shuffle_merge"), same, "left_semi")
-    once = Window.partitionBy("doc_id", "_hash").orderBy(F.lit(1))
+    hashes = {"_hash": F.xxhash64("text"), "_rest": F.xxhash64(*docs.columns)}
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_rest")).alias("best")
+    kept = stored(classes(docs, hashes).groupBy("root").agg(best).select(F.col("best.doc_id").alias("kept_id"), F.col("best._hash").alias("kept_hash"), F.col("best._rest").alias("kept_rest")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")) & (F.col("_rest") == F.col("kept_rest"))
+    rows = docs.withColumns(hashes).join(kept.hint("shuffle_merge"), same, "left_semi")
+    # rows alike in all columns are one
+    once = Window.partitionBy("doc_id", "_hash", "_rest").orderBy("_rest")
     return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*docs.columns)
