@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import geo
+from freshet.operators.ordering import quantiles, running
+from freshet.session import stored
 
 
 def summary_by(df: DataFrame, keys: Sequence[str], value: str, flag: Column) -> DataFrame:
@@ -136,20 +138,9 @@ def decile_rates(df: DataFrame, score: str, ident: str, flooded: Column, weight:
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> tuple[DataFrame, int]:
-    """``df`` with each row's place (from 0) in a total order, and the number of rows.
-
-    A range shuffle, a count of each partition, and row numbers inside partitions. The
-    partitioned rows are persisted, so both passes see the same partitions.
-    """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
-    before, pairs = 0, []
-    for part in sorted(sizes):
-        pairs += [F.lit(part), F.lit(before)]
-        before += sizes[part]
-    inside = Window.partitionBy("_part").orderBy(*order)
-    offset = F.try_element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0)
-    return ranged.withColumn(name, (F.row_number().over(inside) - 1 + offset).cast("long")).drop("_part"), before
+    """``df`` with each row's place (from 0) in a total order, and the number of rows."""
+    placed = stored(running(df, order, {name: F.lit(1).cast("long")}))
+    return placed.withColumn(name, F.col(name) - 1), placed.count()
 
 
 def cell_sum(df: DataFrame, row: str, col: str, area: str, cell_area: float, largest: float) -> DataFrame:
@@ -200,7 +191,7 @@ def zonal(df: DataFrame, keys: Sequence[str], score: str, rain: str, built: str,
 def band_cutoffs(df: DataFrame, score: str, percentiles: dict[str, float], triggers: dict[str, str]) -> DataFrame:
     """A row for each band: its least score and the rain that triggers it. NULL scores don't count."""
     names = list(percentiles)
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(percentiles[n]) for n in names])).alias("_cuts"))
+    cuts = quantiles(df, score, [percentiles[n] for n in names]).select(F.col("q").alias("_cuts"))
     rows = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(percentiles[n]).alias("percentile"), F.lit(triggers[n]).alias("rain_trigger"), F.lit(i).alias("i")) for i, n in enumerate(names)])
     return cuts.withColumn("_r", F.explode(rows)).select("_r.level", "_r.percentile", "_r.rain_trigger", F.element_at("_cuts", F.col("_r.i") + 1).alias("min_score"))
 
@@ -212,11 +203,11 @@ def paint_share(level: float) -> float:
 
 def paint(df: DataFrame, score: str, level: str, levels: Sequence[float]) -> DataFrame:
     """Class 0 to 4 of each row by its level's own quantiles."""
-    shares = {lv: paint_share(lv) for lv in levels}
-    quantile = lambda lv: F.percentile(score, F.array(*[F.lit(1 - shares[lv] / d) for d in (1, 2, 4, 10)]))
-    # one aggregation for all levels, one row a level: small by construction
-    cuts = df.groupBy(level).agg(F.coalesce(*[F.when(F.first(level) == lv, quantile(lv)) for lv in levels]).alias("_cuts"))
-    cuts = F.broadcast(cuts.where(F.col(level).isin(*levels)).withColumnRenamed(level, "_level"))
+    parts = (1, 2, 4, 10)
+    shares = [1 - paint_share(lv) / d for lv in levels for d in parts]
+    found = quantiles(df.where(F.col(level).isin(*levels)), score, shares, level)
+    own = F.coalesce(*[F.when(F.col(level) == lv, F.slice("q", 1 + i * len(parts), len(parts))) for i, lv in enumerate(levels)])
+    cuts = F.broadcast(found.select(F.col(level).alias("_level"), own.alias("_cuts")))  # a row a level
     over = lambda i: F.when(F.col(score) >= F.element_at("_cuts", i), 1).otherwise(0)
     return df.join(cuts, F.col(level) == F.col("_level")).withColumn("paint", over(1) + over(2) + over(3) + over(4)).drop("_cuts", "_level")
 
@@ -249,27 +240,29 @@ def compare_cols(df: DataFrame, a: str, b: str) -> DataFrame:
     """How two columns agree, over rows where both are known."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     gap = F.abs(F.col(a) - F.col(b))
-    return known.agg(
-        F.count(F.lit(1)).alias("rows"), F.corr(a, b).alias("r"), F.percentile(a, F.lit(0.5)).alias("median_a"), F.percentile(b, F.lit(0.5)).alias("median_b"),
-        F.max(gap).alias("gap_max"), F.avg(gap).alias("gap_mean"),
-    )
+    median = lambda c: F.broadcast(quantiles(known, c, [0.5]).select(F.get("q", F.lit(0)).alias(f"_{c}")))  # noqa: E731  one row
+    sums = known.agg(F.count(F.lit(1)).alias("rows"), F.corr(a, b).alias("r"), F.max(gap).alias("gap_max"), F.avg(gap).alias("gap_mean"))
+    return sums.crossJoin(median(a)).crossJoin(median(b)).select("rows", "r", F.col(f"_{a}").alias("median_a"), F.col(f"_{b}").alias("median_b"), "gap_max", "gap_mean")
 
 
-def compare_layers(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+def compare_layers(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
     """Share of equal cells, quantiles of both versions of a layer and the largest gap."""
-    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys))
-    return both.agg(
+    both = stored(a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), list(keys)))
+    out = both.agg(
         F.count(F.lit(1)).alias("cells"),
         F.avg(F.when(F.col("_a") == F.col("_b"), 100.0).otherwise(0.0)).alias("equal_pct"),
-        *[F.percentile(c, F.lit(q)).alias(f"{c[1]}_q{round(q * 100)}") for q in quantiles for c in ("_a", "_b")],
         F.max(F.abs(F.col("_a") - F.col("_b"))).alias("gap_max"),
     )
+    for side in ("a", "b"):
+        out = out.crossJoin(F.broadcast(quantiles(both, f"_{side}", shares).select(F.col("q").alias(f"_q{side}"))))  # one row
+    named = [F.get(f"_q{side}", F.lit(i)).alias(f"{side}_q{round(q * 100)}") for i, q in enumerate(shares) for side in ("a", "b")]
+    return out.select("cells", "equal_pct", *named, "gap_max")
 
 
 def median_fill(df: DataFrame, column: str, fit_on: Column | None = None) -> DataFrame:
     """Missing values of a column get its median (over the rows ``fit_on`` holds for, if given)."""
     fitted = df.where(fit_on) if fit_on is not None else df
-    median = F.broadcast(fitted.agg(F.percentile(column, F.lit(0.5)).alias("_median")))  # one row
+    median = F.broadcast(quantiles(fitted, column, [0.5]).select(F.get("q", F.lit(0)).alias("_median")))  # one row
     return df.crossJoin(median).withColumn(column, F.coalesce(F.col(column), F.col("_median"))).drop("_median")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.session import checkpointed
+from freshet.session import shared_dir, stored
 
 
 def risk_cost(length: Column, high_m: Column, very_high_m: Column) -> Column:
@@ -18,27 +20,51 @@ def simplest(edges: DataFrame, weight: str) -> DataFrame:
     return best.select("src", "dst", F.col("_b.w").alias("w"), F.col("_b.e").alias("edge_id"))
 
 
+def distances(roads: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
+    """(node, dist, via, hop): least weight from ``source``, the last edge of such a path and the round that found it.
+
+    A round relaxes only the edges of nodes that improved in the last one. Improvements are
+    appended to the shared folder; each round compares its few reached nodes with the best
+    so far and writes no node that didn't improve. Ties go to the smaller edge id.
+    """
+    spark = roads.sparkSession
+    path = f"{shared_dir(spark)}/freshet-{uuid.uuid4().hex}"
+    schema = "node long, dist double, via long, hop int"
+    spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("hop")).write.parquet(f"{path}/hop=0")
+    read = lambda: spark.read.schema(schema).parquet(path)
+    for hop in range(1, max_rounds + 1):
+        known = read()
+        front = known.where(F.col("hop") == hop - 1).select(F.col("node").alias("src"), "dist")
+        reach = front.join(roads.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("via"))).alias("n"))
+        seen = known.join(reach.select(F.col("node").alias("_at")).hint("shuffle_hash"), F.col("node") == F.col("_at"), "left_semi").groupBy(F.col("node").alias("_node")).agg(F.min("dist").alias("_dist"))
+        better = reach.join(seen.hint("shuffle_hash"), F.col("node") == F.col("_node"), "left").where(F.col("_dist").isNull() | (F.col("n.dist") < F.col("_dist")))
+        better.select("node", "n.dist", "n.via").write.parquet(f"{path}/hop={hop}")
+        if read().where(F.col("hop") == hop).limit(1).count() == 0:
+            best = F.min(F.struct("dist", "hop", "via")).alias("b")
+            return read().groupBy("node").agg(best).select("node", "b.dist", "b.via", "b.hop")
+    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+
+
 def sssp(edges: DataFrame, source: int, weight: str = "len", avoid_blocked: bool = False, max_rounds: int = 10_000) -> DataFrame:
     """(node, dist, path): least total weight from ``source``, and the edge ids of such a path.
 
-    Each round relaxes the edges of the nodes that improved in the last one; it ends when
-    nothing improves. Ties go to the smaller path array.
+    Distances come first, with the last edge of each path; paths are then put together by
+    doubling, from the last edges back to the source, in as many rounds as the longest
+    path's length has binary digits. Weights must not be negative.
     """
     usable = edges.where(~F.col("blocked")) if avoid_blocked else edges
-    roads = checkpointed(simplest(usable, weight))
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist"), F.array().cast("array<long>").alias("path"), F.lit(True).alias("fresh"))
-    known = checkpointed(start)
-    for _ in range(max_rounds):
-        front = known.where("fresh").select(F.col("node").alias("src"), "dist", "path")
-        reach = front.join(roads, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("edge_id")).alias("path"))).alias("_n"))
-        both = known.join(reach, "node", "full")
-        better = F.col("_n").isNotNull() & (F.col("dist").isNull() | (F.col("_n.dist") < F.col("dist")))
-        known = checkpointed(
-            both.select("node", F.when(better, F.col("_n.dist")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("_n.path")).otherwise(F.col("path")).alias("path"), F.coalesce(better, F.lit(False)).alias("fresh"))
-        )
-        if known.where("fresh").limit(1).count() == 0:
-            return known.drop("fresh")
-    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+    roads = stored(simplest(usable, weight))
+    found = stored(distances(roads, source, max_rounds))
+    came = roads.select(F.col("edge_id").alias("_via"), F.col("src").alias("up"))
+    # path: the edges between ``up`` and the node
+    now = stored(
+        found.join(came.hint("shuffle_hash"), F.col("via") == F.col("_via"), "left").select("node", "dist", "up", F.when(F.col("via").isNotNull(), F.array("via")).otherwise(F.array().cast("array<long>")).alias("path"))
+    )
+    while now.where("up is not null").limit(1).count():
+        above = now.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("path").alias("_path")).hint("shuffle_hash")
+        far = now.join(above, F.col("up") == F.col("_node"), "left")
+        now = stored(far.select("node", "dist", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.array().cast("array<long>")), "path").alias("path")))
+    return now.select("node", "dist", "path")
 
 
 def route_metrics(paths: DataFrame, edges: DataFrame, measures: dict[str, Column] | None = None) -> DataFrame:

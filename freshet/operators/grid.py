@@ -1,20 +1,22 @@
 """Neighbourhood filters, hydrology and resampling on cell tables (row, col, layers).
 
 Filters are separable windows over rows, then columns. Iterative jobs (filling, flow
-accumulation) join each cell with its neighbours, once a round, with reliable
-checkpoints; run them inside ``tiled`` where the grid is large.
+accumulation) go in rounds: they join only cells that have further to go
+or that change, and write each round to the shared folder.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from freshet.functions import geo
-from freshet.session import checkpointed
+from freshet.session import shared_dir, stored
 
 D8 = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
@@ -154,45 +156,56 @@ def fill(cells: DataFrame, value: str, eps: float = 0.0, keys: Sequence[str] = (
     """``cells`` with ``filled``: depressions raised so that every cell drains, by ``eps`` a step.
 
     From the border (cells with a missing neighbour) inwards, w = max(z, least neighbour's
-    w + eps), until nothing changes.
+    w + eps), until nothing changes. A round sends on only the cells that sank in the last
+    one, and writes only those that sink in it; a cell's level is its least one written.
     """
     ids = [*keys, "row", "col"]
-    ground = cells.where(F.col(value).isNotNull()).select(*ids, F.col(value).alias("_z"))
-    count = _around(ground, keys).groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
-    start = ground.join(count, ids, "left")
-    now = start.select(*ids, "_z", F.when(F.coalesce("_n", F.lit(0)) < 8, F.col("_z")).alias("_w"))
-    now = checkpointed(now)
-    for _ in range(max_rounds):
-        least = _around(now.where("_w is not null").select(*ids, "_w"), keys).groupBy(*ids).agg(F.min("_w").alias("_l"))
-        raised = F.when(F.col("_l").isNotNull(), F.greatest("_z", F.col("_l") + eps))
-        after = now.join(least, ids, "left").select(*ids, "_z", F.col("_w").alias("_old"), F.coalesce(F.least("_w", raised), F.col("_w"), raised).alias("_w"))
-        after = checkpointed(after)
-        changed = after.where(~F.col("_w").eqNullSafe(F.col("_old"))).limit(1).count()
-        now = after.drop("_old")
-        if not changed:
-            return cells.join(now.select(*ids, F.col("_w").alias("filled")), ids, "left")
+    spark = cells.sparkSession
+    ground = stored(cells.where(F.col(value).isNotNull()).select(*ids, F.col(value).cast("double").alias("_z")))
+    count = _around(ground.select(*ids), keys).groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
+    border = ground.join(count.hint("shuffle_hash"), ids, "left").where(F.coalesce("_n", F.lit(0)) < 8).select(*ids, F.col("_z").alias("_w"))
+    path = f"{shared_dir(spark)}/freshet-{uuid.uuid4().hex}"
+    schema = StructType([*border.schema.fields, StructField("hop", IntegerType())])
+    border.write.parquet(f"{path}/hop=0")
+    read = lambda: spark.read.schema(schema).parquet(path)
+    for hop in range(1, max_rounds + 1):
+        known = read()
+        least = _around(known.where(F.col("hop") == hop - 1).select(*ids, "_w"), keys).groupBy(*ids).agg((F.min("_w") + eps).alias("_l"))
+        reach = least.join(ground.hint("shuffle_hash"), ids).select(*ids, F.greatest("_z", "_l").alias("_w"))
+        held = known.join(least.select(*ids).hint("shuffle_hash"), ids, "left_semi").groupBy(*ids).agg(F.min("_w").alias("_old"))
+        sunk = reach.join(held.hint("shuffle_hash"), ids, "left").where(F.col("_old").isNull() | (F.col("_w") < F.col("_old")))
+        sunk.select(*ids, "_w").write.parquet(f"{path}/hop={hop}")
+        if read().where(F.col("hop") == hop).limit(1).count() == 0:
+            levels = read().groupBy(*ids).agg(F.min("_w").alias("filled"))
+            return cells.join(levels.hint("shuffle_hash"), ids, "left")
     raise RuntimeError(f"filling did not settle in {max_rounds} rounds")
 
 
-def flow_acc(directed: DataFrame, keys: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
+def flow_acc(directed: DataFrame, keys: Sequence[str] = (), max_rounds: int = 40) -> DataFrame:
     """(keys, row, col, acc): cells that drain through each cell, itself included.
 
-    ``directed`` has ``d8``. Every cell starts with one unit; each round moves all units one
-    cell down, and a cell's total over the rounds is its accumulation. The number of rounds is
-    the longest path; more than ``max_rounds`` is an error (a cycle, or tiles too large).
+    ``directed`` has ``d8``. By doubling: before round i, acc counts the cells at most
+    2^i - 1 steps above and each cell knows the one 2^i steps below, to which it adds its
+    acc. A cell whose target is beyond the end has counted in; after as many rounds as the
+    longest path's length has binary digits no targets are left. More than ``max_rounds``
+    is an error (a cycle).
     """
     ids = [*keys, "row", "col"]
     step = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in D8]), F.col("d8") + 1)
-    down = checkpointed(directed.where("d8 is not null").select(*[F.col(c).alias(f"_from_{c}") for c in ids], (F.col("row") + step(0)).alias("_r"), (F.col("col") + step(1)).alias("_c")))
-    units = checkpointed(directed.select(*ids, F.lit(1).cast("long").alias("acc")))
-    here = [F.col(c) == F.col(f"_from_{c}") for c in ids]
-    moved, total = units, units
+    cell = F.struct(*ids)
+    here = stored(directed.select(cell.alias("cell"), "d8", *ids))
+    below = F.when(F.col("d8").isNotNull(), F.struct(*keys, (F.col("row") + step(0)).cast("int").alias("row"), (F.col("col") + step(1)).cast("int").alias("col")))
+    now = here.select(F.struct(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).alias("cell"), below.alias("down"), F.lit(1).cast("long").alias("acc"))
+    known = now.select(F.col("cell").alias("_c"))
+    # a direction out of the grid is no target
+    now = stored(now.join(known.hint("shuffle_hash"), F.col("down") == F.col("_c"), "left").select("cell", F.col("_c").alias("down"), "acc"))
     for _ in range(max_rounds):
-        passed = moved.join(down, here).groupBy(*keys, F.col("_r").alias("row_to"), F.col("_c").alias("col_to")).agg(F.sum("acc").alias("acc"))
-        moved = checkpointed(passed.select(*keys, F.col("row_to").alias("row"), F.col("col_to").alias("col"), "acc"))
-        if moved.limit(1).count() == 0:
-            return total.groupBy(*ids).agg(F.sum("acc").alias("acc"))
-        total = total.unionByName(moved)
+        if now.where("down is not null").limit(1).count() == 0:
+            return now.select("cell.*", "acc")
+        given = now.where("down is not null").groupBy(F.col("down").alias("_to")).agg(F.sum("acc").alias("_more"))
+        above = now.select(F.col("cell").alias("_cell"), F.col("down").alias("_down"))
+        added = now.join(given.hint("shuffle_hash"), F.col("cell") == F.col("_to"), "left").withColumn("acc", F.col("acc") + F.coalesce("_more", F.lit(0)))
+        now = stored(added.join(above.hint("shuffle_hash"), F.col("down") == F.col("_cell"), "left").select("cell", F.col("_down").alias("down"), "acc"))
     raise RuntimeError(f"flow did not settle in {max_rounds} rounds")
 
 

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.ordering import quantiles, running
+
 
 def rule_score(df: DataFrame, column: str, name: str = "score") -> DataFrame:
     """A single column as a risk score: negated; missing values score as the median."""
-    median = F.broadcast(df.agg(F.percentile(column, F.lit(0.5)).alias("_m")))  # one row
+    median = F.broadcast(quantiles(df, column, [0.5]).select(F.get("q", F.lit(0)).alias("_m")))  # one row
     return df.crossJoin(median).withColumn(name, -F.coalesce(F.col(column), F.col("_m"))).drop("_m")
 
 
@@ -24,18 +26,28 @@ def _by_score(df: DataFrame, y: str, s: str, w: str | None, keys: Sequence[str])
 
 
 def avg_precision(df: DataFrame, y: str, s: str, w: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Weighted average precision: recall steps times precision, scores falling."""
-    run = Window.partitionBy(*keys).orderBy(F.desc("_s"))
-    whole = Window.partitionBy(*keys)
-    steps = _by_score(df, y, s, w, keys).withColumn("_precision", F.sum("_p").over(run) / F.sum("_w").over(run)).withColumn("_recall", F.col("_p") / F.sum("_p").over(whole))
-    return steps.groupBy(*keys).agg(F.sum(F.col("_recall") * F.col("_precision")).alias("avg_precision"))
+    """Weighted average precision: recall steps times precision, scores falling.
+
+    Without keys the running sums go over range partitions of the scores; with keys, over
+    the distinct scores of a key.
+    """
+    scores = _by_score(df, y, s, w, keys)
+    if keys:
+        run, whole = Window.partitionBy(*keys).orderBy(F.desc("_s")), Window.partitionBy(*keys)
+        steps = scores.withColumns({"_up": F.sum("_p").over(run), "_uw": F.sum("_w").over(run), "_all": F.sum("_p").over(whole)})
+        return steps.groupBy(*keys).agg(F.sum(F.col("_p") / F.col("_all") * F.col("_up") / F.col("_uw")).alias("avg_precision"))
+    steps = running(scores, [F.desc("_s")], {"_up": F.col("_p"), "_uw": F.col("_w")})
+    return steps.agg((F.sum(F.col("_p") * F.col("_up") / F.col("_uw")) / F.nullif(F.sum("_p"), F.lit(0.0))).alias("avg_precision"))
 
 
 def roc_auc(df: DataFrame, y: str, s: str, w: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Weighted ROC area: pairs of a positive above a negative, ties half."""
-    below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    """Weighted ROC area: pairs of a positive above a negative, ties half. Keys as in ``avg_precision``."""
     steps = _by_score(df, y, s, w, keys).withColumn("_n", F.col("_w") - F.col("_p"))
-    won = steps.withColumn("_won", F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0.0)) + F.col("_n") / 2))
+    if keys:
+        upto = steps.withColumn("_un", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_s")))
+    else:
+        upto = running(steps, [F.col("_s")], {"_un": F.col("_n")})
+    won = upto.withColumn("_won", F.col("_p") * (F.col("_un") - F.col("_n") / 2))
     return won.groupBy(*keys).agg((F.sum("_won") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("auc"))
 
 

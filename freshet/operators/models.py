@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.risk import calibrate
 from freshet.operators import metrics
+from freshet.operators.ordering import quantiles
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
@@ -26,8 +27,8 @@ class Filled:
     """Medians of the training rows; fills missing values and flags them."""
 
     def __init__(self, df: DataFrame, features: Sequence[str]):
-        row = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in features]).first()
-        self.medians = {c: row[c] if row[c] is not None else 0.0 for c in features}
+        found = {c: quantiles(df.select(c), c, [0.5]).first() for c in features}
+        self.medians = {c: row["q"][0] if row["n"] else 0.0 for c, row in found.items()}
         self.columns = [*(f"_f_{c}" for c in features), *(f"_m_{c}" for c in features)]
 
     def __call__(self, df: DataFrame) -> DataFrame:

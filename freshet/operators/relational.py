@@ -109,7 +109,7 @@ def cascade_join(names: DataFrame, reference: DataFrame, name: str = "name") ->
     ``reference`` is (key, value).
     """
     words = F.split(F.trim(name), r"\s+")
-    tries = [F.trim(name), F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, -1), F.array_join(F.slice(words, 2, 1000), " ")]
+    tries = [F.trim(name), F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, -1), F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")]
     cand = names.select(name).distinct().withColumn("_t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(tries)])))
     hit = cand.join(reference, F.col("_t.t") == F.col("key")).groupBy(name).agg(F.min(F.struct(F.col("_t.i").alias("step"), F.col("value"))).alias("_b"))
     return names.select(name).distinct().join(hit, name, "left").select(name, F.col("_b.value").alias("value"), F.col("_b.step").alias("step"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.ordering import running
+
 HOURS = (1, 3, 6, 12, 24)
 
 
@@ -137,11 +139,12 @@ def region_quantile(df: DataFrame, region: str, value: str, edges: int = 101, le
 
 
 def rank_average(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average rank of ties over the number of rows, by counts of distinct values."""
+    """Average rank of ties over the number of rows, by running counts of distinct values."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(F.col(value).alias("_v"), ((F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2) / F.sum("_c").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias(name))
-    return df.join(ranked, F.col(value) == F.col("_v")).drop("_v")
+    upto = running(counts, [F.col(value)], {"_upto": F.col("_c")})
+    rows = F.broadcast(upto.agg(F.sum("_c").alias("_rows")))  # one row
+    ranked = upto.crossJoin(rows).select(F.col(value).alias("_v"), ((F.col("_upto") - (F.col("_c") - 1) / 2) / F.col("_rows")).alias(name))
+    return df.join(ranked.hint("shuffle_merge"), F.col(value) == F.col("_v")).drop("_v")
 
 
 def label_upto(cells: DataFrame, hours: DataFrame) -> DataFrame:

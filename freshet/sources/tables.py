@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freshet.session import stored
+
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, encoding: str = "UTF-8", columns: Sequence[str] | None = None, sep: str = ",") -> DataFrame:
     """Delimited text, plain or gzip, with a header; blank fields are NULL, a byte-order mark is dropped."""
@@ -20,18 +22,20 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType, encod
     return df.select(*columns) if columns else df
 
 
-FEATURE = "struct<type:string,features:array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>>"
-
-
-def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, properties: str, by_line: bool = False) -> DataFrame:
     """A row for each GeoJSON feature: properties (by a schema), rings and geometry_ok.
 
     Polygons and multi-polygons become one array of rings of struct(x, y); a geometry that
-    can't be read has NULL rings and geometry_ok false.
+    can't be read has NULL rings and geometry_ok false. With ``by_line`` the file has a feature
+    a line, as writers of large collections do (a comma may follow, other lines are passed
+    over), and Spark splits it; otherwise a file is one document, read by one task.
     """
-    text = spark.read.text(path, wholetext=True)
-    whole = F.from_json("value", "features array<struct<properties:string,geometry:string>>")
-    feature = text.select(F.explode(whole["features"]).alias("f"))
+    shape = "properties string, geometry string"
+    if by_line:
+        feature = spark.read.text(path).where(F.col("value").rlike(r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,')).select(F.from_json(F.regexp_replace("value", r",\s*$", ""), shape).alias("f"))
+    else:
+        whole = F.from_json("value", f"features array<struct<{shape.replace(' string', ':string')}>>")
+        feature = spark.read.text(path, wholetext=True).select(F.explode(whole["features"]).alias("f"))
     geometry = F.from_json("f.geometry", "type string, coordinates string")
     kind, coords = geometry["type"], geometry["coordinates"]
     poly = F.from_json(coords, "array<array<array<double>>>")
@@ -46,7 +50,7 @@ def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
 def ring_edges(features: DataFrame, ident: str, order: str) -> DataFrame:
     """Edge table (zone, ord, ring, i, x1, y1, x2, y2) of features with rings; repeated last vertices are dropped."""
     rings = features.where("rings is not null").select(F.col(ident).alias("zone"), F.col(order).alias("ord"), F.posexplode("rings").alias("ring", "_r"))
-    following = F.concat(F.slice("_r", 2, 1_000_000), F.slice("_r", 1, 1))
+    following = F.concat(F.slice("_r", F.lit(2), F.size("_r")), F.slice("_r", 1, 1))
     pairs = F.arrays_zip(F.col("_r").alias("a"), following.alias("b"))
     edges = rings.select("zone", "ord", "ring", F.posexplode(pairs).alias("i", "_e"))
     out = edges.select("zone", "ord", "ring", "i", F.col("_e.a.x").alias("x1"), F.col("_e.a.y").alias("y1"), F.col("_e.b.x").alias("x2"), F.col("_e.b.y").alias("y2"))
@@ -109,7 +113,7 @@ def gate_complete(df: DataFrame, requested: DataFrame, share: float = 0.9, key:
 
 def publish(df: DataFrame, path: str, order: Sequence[str], sample: int, drop: Sequence[str] = ()) -> None:
     """Sorted zstd Parquet, a gzip CSV without nested columns, and a sample of the first rows."""
-    ordered = df.orderBy(*order)
+    ordered = stored(df).orderBy(*order)  # the input is computed once
     flat = ordered.drop(*drop)
     ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/table")
     flat.write.mode("overwrite").options(header=True, compression="gzip").csv(f"{path}/csv")
@@ -166,9 +170,13 @@ def unpack_grid(packed: DataFrame) -> DataFrame:
 def tiles(pixels: DataFrame, value: str) -> DataFrame:
     """(level, z, tx, ty, band): a 256 x 256 array in row order for each tile with any value above 0."""
     kept = pixels.where(F.col(value) > 0)
-    put = kept.groupBy("level", "z", "tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct((F.col("py") * 256 + F.col("px")).cast("int").alias("k"), F.col(value).cast("int").alias("v")))).alias("_m"))
-    band = F.transform(F.sequence(F.lit(0), F.lit(65535)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0)))
-    return put.select("level", "z", "tx", "ty", band.alias("band"))
+    at = (F.col("py") * 256 + F.col("px")).cast("int")
+    # at most 65,536 entries a tile; sorted, each is preceded by the zeros since the last one
+    put = kept.groupBy("level", "z", "tx", "ty").agg(F.array_sort(F.collect_list(F.struct(at.alias("k"), F.col(value).cast("int").alias("v")))).alias("_e"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("_e", i - 1)["k"])
+    runs = F.transform("_e", lambda e, i: F.concat(F.array_repeat(F.lit(0), e["k"] - before(i) - 1), F.array(e["v"])))
+    rest = F.array_repeat(F.lit(0), F.lit(65535) - F.element_at("_e", -1)["k"])
+    return put.select("level", "z", "tx", "ty", F.concat(F.flatten(runs), rest).alias("band"))
 
 
 def conform(df: DataFrame, schema: T.StructType, ident: str, kinds: dict[str, Sequence[str]], ranges: dict[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
