@@ -33,7 +33,7 @@ def _dense(cells: DataFrame, keys: Sequence[str], r: int) -> DataFrame:
     ids = [*keys, "row", "col"]
     spans = cells.groupBy(*keys, "row").agg((F.min("col") - r).alias("_a"), (F.max("col") + r).alias("_b"))
     places = spans.select(*keys, "row", F.explode(F.sequence("_a", "_b")).alias("col"))
-    return places.join(cells.withColumn("_real", F.lit(True)), ids, "left")
+    return places.join(cells.withColumn("_real", F.lit(True)).hint("shuffle_hash"), ids, "left")
 
 
 def window_min(cells: DataFrame, value: str, r: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -94,7 +94,7 @@ def local_min(df: DataFrame, x: str, y: str, value: str, bin_size: float) -> Dat
     least = binned.groupBy("_bx", "_by").agg(F.min(value).alias("_m"))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     around = least.withColumn("_o", F.explode(steps)).groupBy((F.col("_bx") + F.col("_o.a")).alias("_bx"), (F.col("_by") + F.col("_o.b")).alias("_by")).agg(F.min("_m").alias("local_min"))
-    return binned.join(around, ["_bx", "_by"], "left").withColumn("rel_local", F.col(value) - F.col("local_min")).drop("_bx", "_by")
+    return binned.join(around.hint("shuffle_hash"), ["_bx", "_by"], "left").withColumn("rel_local", F.col(value) - F.col("local_min")).drop("_bx", "_by")
 
 
 def d8(cells: DataFrame, value: str, cell_m: float = 1.0) -> DataFrame:
@@ -105,11 +105,11 @@ def d8(cells: DataFrame, value: str, cell_m: float = 1.0) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(D8)])
     out = cells.select("row", "col", F.col(value).alias("_z")).withColumn("_o", F.explode(steps))
     lower = cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_z2"))
-    met = out.join(lower, (F.col("row") + F.col("_o.a") == F.col("_r")) & (F.col("col") + F.col("_o.b") == F.col("_c")))
+    met = out.join(lower.hint("shuffle_hash"), (F.col("row") + F.col("_o.a") == F.col("_r")) & (F.col("col") + F.col("_o.b") == F.col("_c")))
     length = F.when((F.col("_o.a") != 0) & (F.col("_o.b") != 0), math.sqrt(2)).otherwise(1.0) * cell_m
     drop = (F.col("_z") - F.col("_z2")) / length
     best = met.withColumn("_d", drop).where("_d > 0").groupBy("row", "col").agg(F.max_by("_o.k", F.struct("_d", -F.col("_o.k"))).alias("d8"), F.max("_d").alias("drop"))
-    return cells.join(best, ["row", "col"], "left")
+    return cells.join(best.hint("shuffle_hash"), ["row", "col"], "left")
 
 
 def dist_to_seed(cells: DataFrame, seed: Column, cap: int, cell_m: float) -> DataFrame:
@@ -142,7 +142,7 @@ def reproject(cells: DataFrame, source: geo.Grid, target: geo.Grid, tm: geo.Tm,
     ll = keys.withColumn("_m", geo.centre_of(F.col("row"), F.col("col"), target)).withColumn("_ll", geo.from_3857(F.col("_m.x"), F.col("_m.y")))
     at = ll.withColumn("_t", geo.to_tm(F.col("_ll.lon"), F.col("_ll.lat"), tm)).withColumn("_c", geo.cell_of(F.col("_t.x"), F.col("_t.y"), source)).where("_c is not null")
     src = cells.select(F.col("row").alias("_r"), F.col("col").alias("_k"), *cols)
-    return at.select("row", "col", F.col("_c.row").alias("_sr"), F.col("_c.col").alias("_sc")).join(src, (F.col("_sr") == F.col("_r")) & (F.col("_sc") == F.col("_k"))).select("row", "col", *cols)
+    return at.select("row", "col", F.col("_c.row").alias("_sr"), F.col("_c.col").alias("_sc")).join(src.hint("shuffle_hash"), (F.col("_sr") == F.col("_r")) & (F.col("_sc") == F.col("_k"))).select("row", "col", *cols)
 
 
 def _around(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import geo
+from freshet.operators.aggregates import global_rank
+from freshet.session import stored
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -111,8 +113,8 @@ def cascade_join(names: DataFrame, reference: DataFrame, name: str = "name") ->
     words = F.split(F.trim(name), r"\s+")
     tries = [F.trim(name), F.array_join(F.slice(words, 1, 2), " "), F.element_at(words, -1), F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")]
     cand = names.select(name).distinct().withColumn("_t", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("t")) for i, t in enumerate(tries)])))
-    hit = cand.join(reference, F.col("_t.t") == F.col("key")).groupBy(name).agg(F.min(F.struct(F.col("_t.i").alias("step"), F.col("value"))).alias("_b"))
-    return names.select(name).distinct().join(hit, name, "left").select(name, F.col("_b.value").alias("value"), F.col("_b.step").alias("step"))
+    hit = cand.join(reference.hint("shuffle_merge"), F.col("_t.t") == F.col("key")).groupBy(name).agg(F.min(F.struct(F.col("_t.i").alias("step"), F.col("value"))).alias("_b"))
+    return names.select(name).distinct().join(hit.hint("shuffle_hash"), name, "left").select(name, F.col("_b.value").alias("value"), F.col("_b.step").alias("step"))
 
 
 def article_bags(articles: DataFrame, regions: DataFrame, pattern: str) -> DataFrame:
@@ -124,7 +126,7 @@ def article_bags(articles: DataFrame, regions: DataFrame, pattern: str) -> DataF
     of_name = Window.partitionBy("name")
     named = regions.withColumn("_n", F.count(F.lit(1)).over(of_name))
     tokens = articles.withColumn("_id", F.xxhash64("day", "text")).withColumn("_t", F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    met = tokens.withColumn("_name", F.explode("_t")).join(named, F.col("_name") == F.col("name"))
+    met = tokens.withColumn("_name", F.explode("_t")).join(named.hint("shuffle_hash"), F.col("_name") == F.col("name"))
     sure = met.where((F.col("_n") == 1) | F.array_contains("_t", F.col("qualifier"))).select("day", "region", "_id").distinct()
     both = sure.unionByName(sure.withColumn("day", F.date_sub("day", 1)))
     return both.groupBy("region", "day").agg(F.count_distinct("_id").alias("articles"))
@@ -168,7 +170,7 @@ def edge_exposure(edges: DataFrame, risk: DataFrame, buffer: float, step: float)
     near = pairs_within(pieces, risk.select("id", "x", "y", "level"), buffer)
     worst = near.groupBy("edge_id", "id", "length").agg(F.max(F.when(F.col("q_level") == "VERY_HIGH", 2).otherwise(1)).alias("_w"))
     lengths = worst.groupBy("edge_id").agg(F.sum(F.when(F.col("_w") == 1, F.col("length")).otherwise(0.0)).alias("high_m"), F.sum(F.when(F.col("_w") == 2, F.col("length")).otherwise(0.0)).alias("very_high_m"))
-    return edges.select("edge_id").join(lengths, "edge_id", "left").na.fill(0.0, ["high_m", "very_high_m"])
+    return edges.select("edge_id").join(lengths.hint("shuffle_hash"), "edge_id", "left").na.fill(0.0, ["high_m", "very_high_m"])
 
 
 # --- samples -------------------------------------------------------------------------
@@ -184,8 +186,6 @@ def top_fraction(df: DataFrame, score: str, ident: Sequence[str], f: float, floo
 
     A threshold from sorted partitions: rows are placed in a global order by range.
     """
-    from freshet.operators.aggregates import global_rank
-
     placed, n = global_rank(df, [F.col(score).desc_nulls_last(), *[F.col(i) for i in ident]], "_place")
     k = max(int(n * f) if floor else round(n * f), 1)
     return placed.where(F.col("_place") < k).drop("_place")
@@ -199,8 +199,6 @@ def nearest_list(df: DataFrame, x: float | None, y: float | None, n: int = 20) -
 
 def systematic(df: DataFrame, positive: Column, order: Sequence[Column], n: int) -> DataFrame:
     """All positives (weight 1) and every n-th negative in order (weight n)."""
-    from freshet.operators.aggregates import global_rank
-
     placed, _ = global_rank(df.where(~positive), list(order), "_place")
     kept = placed.where(F.col("_place") % n == 0).drop("_place").withColumn("weight", F.lit(float(n)))
     return df.where(positive).withColumn("weight", F.lit(1.0)).unionByName(kept)
@@ -236,7 +234,7 @@ def grid_sample(cells: DataFrame, positives: DataFrame, dilation: int, times: in
     steps = [(a, b) for a in range(-dilation, dilation + 1) for b in range(-dilation, dilation + 1) if abs(a) + abs(b) <= dilation]
     grown = positives.select("row", "col").withColumn("_o", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])))
     near = grown.select((F.col("row") + F.col("_o.a")).alias("row"), (F.col("col") + F.col("_o.b")).alias("col")).distinct()
-    pool = cells.join(near, ["row", "col"], "left_anti")
+    pool = cells.join(near.hint("shuffle_hash"), ["row", "col"], "left_anti")
     n_pool, n_pos = pool.count(), positives.count()
     share = min(1.0, times * n_pos / n_pool) if n_pool else 0.0
     picked = pool.where(draw("row", "col", seed=seed) < share).withColumn("weight", F.lit(1 / share if share else 0.0)).withColumn("y", F.lit(0))
@@ -248,23 +246,51 @@ def fraction(df: DataFrame, ident: Sequence[str], f: float, seed: int = 0) -> Da
     return df.where(draw(*ident, seed=seed) < f)
 
 
+def _filled(loads: Sequence[int], size: int, items: int) -> list[int]:
+    """How many of ``items`` equal items each bin gets if each goes to the least loaded (the first of equals)."""
+    if size == 0:
+        least = loads.index(min(loads))
+        return [items if j == least else 0 for j in range(len(loads))]
+    upto = lambda level: [max(0, (level - x) // size + 1) for x in loads]  # noqa: E731  items placed on loads up to a level
+    lo, hi = min(loads) - 1, max(loads) + size * items
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if sum(upto(mid)) <= items else (lo, mid)
+    given = upto(lo)
+    left = items - sum(given)
+    for j, x in enumerate(loads):  # the next items sit on loads of the next level exactly
+        if left and x <= hi and (hi - x) % size == 0:
+            given[j], left = given[j] + 1, left - 1
+    return given
+
+
 def balanced_folds(df: DataFrame, group: str, positive: Column, k: int) -> DataFrame:
-    """(group, positives, fold): groups by falling positives, each into the least loaded fold.
+    """(group, positives, fold): groups by falling positives, each into the least loaded fold. Ties by group, then fold.
 
-    The groups' totals are one ordered array, folded with the k loads.
+    The driver sees one row for each different number of positives (at most the root of
+    twice their sum), and counts how many such groups each fold gets. A fold's t-th group of
+    p positives comes after as many groups as the folds have with less load then, which gives
+    its place among the groups of p; groups get their places by range partitions.
     """
-    totals = df.groupBy(group).agg(F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("p"))
-    listed = totals.agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("m"), F.col(group).alias("g")))).alias("gs"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("loads"), F.array().cast(f"array<struct<g:{dict(totals.dtypes)[group]},p:bigint,fold:int>>").alias("out"))
-
-    def place(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int")
-        loads = F.transform(acc["loads"], lambda v, i: F.when(i + 1 == at, v - x["m"]).otherwise(v))
-        row = F.struct(x["g"].alias("g"), (-x["m"]).alias("p"), (at - 1).alias("fold"))
-        return F.struct(loads.alias("loads"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = listed.select(F.explode(F.aggregate("gs", start, place)["out"]).alias("r"))
-    return folded.select(F.col("r.g").alias(group), F.col("r.p").alias("positives"), F.col("r.fold").alias("fold"))
+    totals = stored(df.groupBy(group).agg(F.sum(F.when(positive, 1).otherwise(0)).cast("long").alias("positives")))
+    sizes = totals.groupBy("positives").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("positives")).collect()
+    loads, plan, before = [0] * k, [], 0
+    for p, n in sizes:
+        given = _filled(loads, p, n)
+        plan += [(p, j, before, loads[j], given[j], list(loads)) for j in range(k) if given[j]]
+        loads = [x + p * g for x, g in zip(loads, given, strict=True)]
+        before += n
+    spark, chunk = df.sparkSession, 100_000
+    steps = spark.createDataFrame(plan, "p long, fold int, before long, load long, given long, loads array<long>")
+    parts = steps.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("given") - 1) / chunk)))).repartition("p", "fold", "c")
+    turns = parts.withColumn("t", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("given")) - 1)))
+    level = F.col("load") + F.col("t") * F.col("p")
+    later = lambda j: F.when(j >= F.col("fold"), 1).otherwise(0)
+    ahead = F.transform("loads", lambda x, j: F.greatest(F.lit(0).cast("long"), F.floor((level - x - later(j)) / F.col("p")) + 1))
+    rank = F.when(F.col("p") == 0, F.col("t")).otherwise(F.aggregate(ahead, F.lit(0).cast("long"), lambda s, x: s + x))
+    places = turns.select((F.col("before") + rank).alias("_at"), "fold")
+    placed, _ = global_rank(totals, [F.desc("positives"), F.col(group)], "_place")
+    return placed.join(places.hint("shuffle_hash"), F.col("_place") == F.col("_at")).select(group, "positives", "fold")
 
 
 # --- sets ----------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions import geo
-from freshet.session import checkpointed
+from freshet.session import stored
 
 
 def bucketed(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -54,27 +54,38 @@ def nearest(p: DataFrame, q: DataFrame, max_dist: float, ident: str = "id", keys
     on = F.col(ident) == F.col("_id")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
-    return p.join(best, on, "left").drop("_id", *[f"_k_{k}" for k in keys])
+    return p.join(best.hint("shuffle_hash"), on, "left").drop("_id", *[f"_k_{k}" for k in keys])
 
 
-def nearest_any(p: DataFrame, q: DataFrame, reach: float, grow: float = 4.0, rounds: int = 6) -> DataFrame:
-    """The nearest ``q`` of each ``p`` at any distance: (id, q_id, dist).
+def nearest_any(p: DataFrame, q: DataFrame, reach: float, grow: float = 4.0, fine: int = 8) -> DataFrame:
+    """The nearest ``q`` of each ``p`` at any distance: (id, q_id, dist). Ties by q's id.
 
-    Reach by reach on the rows still unmatched; a hit is final, as it lies within the
-    searched reach. The last round searches all of the plane that holds both tables.
+    Reach by reach on the rows still unmatched, until none is left or the reach holds both
+    tables; a hit is final, as it lies within the searched reach. In a round a row first
+    meets the occupied squares (``fine`` to a reach) around it. A square all of which is
+    farther than the whole of another can't hold the nearest, so only the points of the
+    few squares left are met.
     """
-    found, rest = None, p.select("id", "x", "y")
-    box = p.select("x", "y").unionByName(q.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    out, rest = None, stored(p.select("id", "x", "y"))
+    box = rest.select("x", "y").unionByName(q.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     widest = (box[0] or 0.0) + (box[1] or 0.0) + reach
-    for i in range(rounds):
-        last = i == rounds - 1 or reach >= widest
-        hit = nearest(rest, q, widest if last else reach).where("q_id is not null").select("id", "q_id", "dist")
-        found = hit if found is None else found.unionByName(hit)
-        if last:
-            break
-        rest = checkpointed(rest.join(hit, "id", "left_anti"))
+    while True:
+        side = reach / fine
+        points = q.select(F.col("id").alias("q_id"), F.col("x").alias("_qx"), F.col("y").alias("_qy"), F.floor(F.col("x") / side).alias("_sx"), F.floor(F.col("y") / side).alias("_sy"))
+        squares = points.select("_sx", "_sy").distinct().select("_sx", "_sy", ((F.col("_sx") + 0.5) * side).alias("x"), ((F.col("_sy") + 0.5) * side).alias("y"))
+        around = neighbours(squares, "x", "y", reach + side, reach).withColumnsRenamed({"x": "_mx", "y": "_my"})
+        met = bucketed(rest, "x", "y", reach).join(around.hint("shuffle_hash"), ["_bx", "_by"])
+        gap = lambda v, m: F.greatest(F.abs(F.col(v) - F.col(m)) - side / 2, F.lit(0.0))
+        far = lambda v, m: F.abs(F.col(v) - F.col(m)) + side / 2
+        met = met.select("id", "x", "y", "_sx", "_sy", F.hypot(gap("x", "_mx"), gap("y", "_my")).alias("_least"), F.hypot(far("x", "_mx"), far("y", "_my")).alias("_most"))
+        bound = met.withColumn("_bound", F.min("_most").over(Window.partitionBy("id"))).where(F.col("_least") <= F.least(F.col("_bound") * (1 + 1e-9), F.lit(float(reach))))
+        pairs = bound.join(points.hint("shuffle_hash"), ["_sx", "_sy"]).withColumn("dist", F.hypot(F.col("_qx") - F.col("x"), F.col("_qy") - F.col("y"))).where(F.col("dist") <= reach)
+        hit = stored(pairs.groupBy("id").agg(F.min(F.struct("dist", "q_id")).alias("_b")).select("id", "_b.q_id", "_b.dist"))
+        out = hit if out is None else out.unionByName(hit)
+        rest = stored(rest.join(hit.hint("shuffle_hash"), "id", "left_anti"))
+        if reach >= widest or rest.limit(1).count() == 0:
+            return out
         reach *= grow
-    return found
 
 
 def within_topk(p: DataFrame, q: DataFrame, reach: float, k: int) -> DataFrame:
@@ -84,35 +95,45 @@ def within_topk(p: DataFrame, q: DataFrame, reach: float, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "q_id", "dist", "rank")
 
 
-def _crossing(x: Column, y: Column) -> Column:
+def _crossing(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Does a ray from (x, y) to the right cross the edge (x1, y1)-(x2, y2)? Half-open in y."""
-    spans = (F.col("y1") > y) != (F.col("y2") > y)
-    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1")
+    spans = (y1 > y) != (y2 > y)
+    at = (x2 - x1) * (y - y1) / F.when(y2 != y1, y2 - y1) + x1
     return F.when(spans & (x < at), 1).otherwise(0)
 
 
 def points_in_polygons(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """(id, zone, ord) for each point strictly inside a zone of the edge table (holes by parity).
 
-    Points meet only the edges whose rows of buckets and whose polygon's box they share:
-    the edges are spread over bands of height ``size``, and a point counts the crossings
-    of its band.
+    A ray to the right from a point crosses the edges of its row of squares. Edges are put
+    once in each row of squares they reach, and a square of points meets those of a zone as
+    one row, if it lies between their ends: edges of the row's full height that are to its
+    right come as a count, those in it and those that end in the row one by one.
     """
-    box = edges.groupBy("zone").agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_xm"))
-    boxed = edges.join(box.withColumnRenamed("zone", "_zone"), F.col("zone") == F.col("_zone")).drop("_zone")
-    side = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
-    banded = boxed.withColumn("_by", F.explode(side(F.least("y1", "y2"), F.greatest("y1", "y2"))))
-    banded = banded.withColumn("_bx", F.explode(side(F.col("_x0"), F.col("_xm"))))
-    left = bucketed(p.select("id", "x", "y"), "x", "y", size)
-    met = left.join(banded.hint("shuffle_hash"), ["_bx", "_by"])
-    hits = met.groupBy("id", "zone", "ord").agg(F.sum(_crossing(F.col("x"), F.col("y"))).alias("_n"))
-    return hits.where("_n % 2 = 1").select("id", "zone", "ord")
+    bands = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
+    low, high = F.col("_by") * size, (F.col("_by") + 1) * size
+    whole = (F.least("y1", "y2") <= low) & (F.greatest("y1", "y2") >= high)
+    # where the edge is inside its row of squares
+    at = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    a, b = at(F.greatest(low, F.least("y1", "y2"))), at(F.least(high, F.greatest("y1", "y2")))
+    cut = bands.where("y1 <> y2").withColumns({"_whole": whole, "_left": F.floor((F.least(a, b) - size * 1e-9) / size), "_right": F.floor((F.greatest(a, b) + size * 1e-9) / size)})
+    cut = cut.select("zone", "ord", "_by", "_whole", "_left", "_right", "x1", "y1", "x2", "y2")
+    points = bucketed(p.select("id", "x", "y"), "x", "y", size)
+    here = points.select("_bx", "_by").distinct()
+    row = cut.groupBy("_by", "zone", "ord").agg(F.array_sort(F.collect_list(F.when(F.col("_whole"), F.col("_left")))).alias("_lefts"), F.collect_list(F.struct("_whole", "_left", "_right", "x1", "y1", "x2", "y2")).alias("_edges"), F.min("_left").alias("_from"), F.max("_right").alias("_to"))
+    near = lambda e: (e["_right"] >= F.col("_bx")) & ~(e["_whole"] & (e["_left"] > F.col("_bx")))
+    squares = here.join(row.hint("shuffle_hash"), "_by").where("_bx between _from and _to").select(
+        "_bx", "_by", "zone", "ord", F.size(F.filter("_lefts", lambda x: x > F.col("_bx"))).alias("_beyond"), F.filter("_edges", near).alias("_near")
+    )
+    crossed = F.aggregate("_near", F.lit(0), lambda n, e: n + _crossing(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"]))
+    hits = points.join(squares.hint("shuffle_hash"), ["_bx", "_by"]).where((F.col("_beyond") + crossed) % 2 == 1)
+    return hits.select("id", "zone", "ord")
 
 
 def assign_zone(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """``p`` with the zone that holds each point; the last in order wins, else NULL."""
     inside = points_in_polygons(p, edges, size).groupBy("id").agg(F.max_by("zone", "ord").alias("zone"))
-    return p.join(inside.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
+    return p.join(inside.withColumnRenamed("id", "_id").hint("shuffle_hash"), F.col("id") == F.col("_id"), "left").drop("_id")
 
 
 def edge_distances(p: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
@@ -135,7 +156,7 @@ def dist_to_polygon(p: DataFrame, edges: DataFrame, reach: float, size: float) -
     """``p`` with the distance to the nearest zone: 0 inside, NULL beyond ``reach``."""
     inside = points_in_polygons(p, edges, size).select("id", F.lit(0.0).alias("dist"))
     near = edge_distances(p, edges, reach).select("id", "dist").unionByName(inside).groupBy(F.col("id").alias("_id")).agg(F.min("dist").alias("dist"))
-    return p.join(near, F.col("id") == F.col("_id"), "left").drop("_id")
+    return p.join(near.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left").drop("_id")
 
 
 def nearest_line(p: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
@@ -154,8 +175,9 @@ def nearest_line(p: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
 
 def offsets(radius: int) -> Column:
     """Array of struct(dr, dc) of a disk of ``radius`` cells; its size is fixed by the radius."""
-    found = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if r * r + c * c <= radius * radius]
-    return F.transform(F.array(*[F.lit(r * 10_000 + c) for r, c in found]), lambda v: F.struct(F.round(v / 10_000).cast("int").alias("dr"), (v - F.round(v / 10_000).cast("int") * 10_000).cast("int").alias("dc")))
+    line = F.sequence(F.lit(-radius), F.lit(radius))
+    square = F.flatten(F.transform(line, lambda r: F.transform(line, lambda c: F.struct(r.alias("dr"), c.alias("dc")))))
+    return F.filter(square, lambda o: o["dr"] * o["dr"] + o["dc"] * o["dc"] <= radius * radius)
 
 
 def disk(cases: DataFrame, radius: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -169,7 +191,7 @@ def case_distance(cells: DataFrame, cases: DataFrame, radius: int, keys: Sequenc
     out = cases.select(*keys, "row", "col").distinct().withColumn("_o", F.explode(offsets(radius)))
     reach = out.select(*keys, (F.col("row") + F.col("_o.dr")).alias("row"), (F.col("col") + F.col("_o.dc")).alias("col"), F.hypot(F.col("_o.dr").cast("double"), F.col("_o.dc").cast("double")).alias("_d"))
     near = reach.groupBy(*keys, "row", "col").agg(F.min("_d").alias("case_dist"))
-    return cells.join(near, [*keys, "row", "col"], "left")
+    return cells.join(near.hint("shuffle_hash"), [*keys, "row", "col"], "left")
 
 
 def rasterize(edges: DataFrame, g: geo.Grid) -> DataFrame:
@@ -192,7 +214,7 @@ def rasterize(edges: DataFrame, g: geo.Grid) -> DataFrame:
     inside = pairs.withColumn("_c0", first_centre(F.get("_xs", F.col("_i") * 2))).withColumn("_c1", first_centre(F.get("_xs", F.col("_i") * 2 + 1)) - 1)
     cells = inside.where("_c0 <= _c1").select("zone", "ord", "row", F.explode(F.sequence("_c0", "_c1")).alias("col"))
     box = outer.groupBy("zone", "ord").agg(F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("xm"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("ym"))
-    middle = box.join(cells.select("zone").distinct(), "zone", "left_anti").select("zone", "ord", row_of((F.col("y0") + F.col("ym")) / 2).alias("row"), col_of((F.col("x0") + F.col("xm")) / 2).alias("col"))
+    middle = box.join(cells.select("zone").distinct().hint("shuffle_hash"), "zone", "left_anti").select("zone", "ord", row_of((F.col("y0") + F.col("ym")) / 2).alias("row"), col_of((F.col("x0") + F.col("xm")) / 2).alias("col"))
     within = F.col("row").between(0, g.rows - 1) & F.col("col").between(0, g.cols - 1)
     return cells.unionByName(middle).where(within)
 
