@@ -134,7 +134,7 @@ def centre_of(row: Column, col: Column, g: Grid) -> Column:
 
 def _edges(ring: Column) -> Column:
     """Pairs (p, q) of neighbouring vertices of a ring, closed."""
-    following = F.concat(F.slice(ring, 2, 1_000_000), F.slice(ring, 1, 1))
+    following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
     return F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 

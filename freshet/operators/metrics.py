@@ -6,12 +6,14 @@ run over distinct scores and not over rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.operators.ordering import quantiles, running
+from freshet.operators.relational import draw
 
 
 def rule_score(df: DataFrame, column: str, name: str = "score") -> DataFrame:
@@ -35,7 +37,7 @@ def avg_precision(df: DataFrame, y: str, s: str, w: str | None = None, keys: Seq
     if keys:
         run, whole = Window.partitionBy(*keys).orderBy(F.desc("_s")), Window.partitionBy(*keys)
         steps = scores.withColumns({"_up": F.sum("_p").over(run), "_uw": F.sum("_w").over(run), "_all": F.sum("_p").over(whole)})
-        return steps.groupBy(*keys).agg(F.sum(F.col("_p") / F.col("_all") * F.col("_up") / F.col("_uw")).alias("avg_precision"))
+        return steps.groupBy(*keys).agg(F.sum(F.col("_p") / F.nullif("_all", F.lit(0.0)) * F.col("_up") / F.col("_uw")).alias("avg_precision"))
     steps = running(scores, [F.desc("_s")], {"_up": F.col("_p"), "_uw": F.col("_w")})
     return steps.agg((F.sum(F.col("_p") * F.col("_up") / F.col("_uw")) / F.nullif(F.sum("_p"), F.lit(0.0))).alias("avg_precision"))
 
@@ -78,19 +80,26 @@ def paired(df: DataFrame, fold: str, arm: str, value: str, a: str, b: str) -> Da
     return out.withColumn("verdict", F.when(F.abs("mean") <= 2 * F.col("se"), "no difference").when(F.col("mean") > 0, "better").otherwise("worse"))
 
 
-def bootstrap_diff(df: DataFrame, y: str, a: str, b: str, ident: Sequence[str], replicates: int = 50, seed: int = 0) -> DataFrame:
+def poisson_steps(mean: float = 1.0) -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... events, until a double holds no more."""
+    term, steps = math.exp(-mean), []
+    while not steps or (1.0 - steps[-1] > 1e-15 and term > 1e-17):
+        steps.append((steps[-1] if steps else 0.0) + term)
+        term *= mean / len(steps)
+    return steps
+
+
+def bootstrap_diff(df: DataFrame, y: str, a: str, b: str, ident: Sequence[str], replicates: int = 200, seed: int = 0) -> DataFrame:
     """Difference of two scores' average precision over Poisson bootstrap replicates.
 
     Each row draws its number of copies in each replicate from a hash: one pass, no join.
+    The percentiles are over one row for each replicate.
     """
-    # cumulative Poisson(1) probabilities
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    reps = df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64("_r", *ident, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    copies = sum((F.when(u >= c, 1.0).otherwise(0.0) for c in cuts[1:]), F.when(u >= cuts[0], 1.0).otherwise(0.0))
+    reps = df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", draw("_r", *ident, seed=seed))
+    copies = F.size(F.filter(F.array(*map(F.lit, poisson_steps())), lambda c: F.col("_u") >= c)).cast("double")
     drawn = reps.withColumn("_copies", copies).where("_copies > 0")
     one = lambda s, name: avg_precision(drawn, y, s, "_copies", ["_r"]).withColumnRenamed("avg_precision", name)
-    gap = one(a, "_a").join(one(b, "_b"), "_r").withColumn("_g", F.col("_b") - F.col("_a"))
+    gap = one(a, "_a").join(one(b, "_b").hint("shuffle_hash"), "_r").withColumn("_g", F.col("_b") - F.col("_a"))
     return gap.agg(F.avg("_g").alias("mean"), F.percentile("_g", F.lit(0.025)).alias("low"), F.percentile("_g", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("_g") > 0, 1.0).otherwise(0.0)).alias("wins"))
 
 

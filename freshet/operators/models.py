@@ -99,7 +99,9 @@ def splits(df: DataFrame, kind: str, year: str = "year", ident: Sequence[str] =
     elif kind == "random":
         part = F.when(draw(*ident) < 0.7, "train").otherwise("test")
     elif kind == "block":
-        part = F.pmod(F.xxhash64(*[F.floor(F.col(c) / size) for c in block]), F.lit(folds)).cast("string")
+        blocks = {f"_b_{c}": F.floor(F.col(c) / size) for c in block}
+        part = F.floor(draw(*blocks) * folds).cast("string")
+        return df.withColumns(blocks).withColumn("part", part).drop(*blocks)
     else:
         raise ValueError(f"unknown split {kind}")
     return df.withColumn("part", part)

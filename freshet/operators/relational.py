@@ -177,8 +177,9 @@ def edge_exposure(edges: DataFrame, risk: DataFrame, buffer: float, step: float)
 
 
 def draw(*cols: str, seed: int = 0) -> Column:
-    """A number in [0, 1) from a hash of columns: the same row draws the same number anywhere."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) from the first 52 bits of an MD5 of columns: the same row draws the same number anywhere."""
+    hashed = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
 def top_fraction(df: DataFrame, score: str, ident: Sequence[str], f: float, floor: bool = False) -> DataFrame:
@@ -214,7 +215,7 @@ def to_pos_rate(df: DataFrame, positive: Column, ident: Sequence[str], rate: flo
 
 def sample_per_group(df: DataFrame, group: str, ident: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """``n`` rows of each group (all, if fewer), by hash order."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(*[F.col(i) for i in ident], F.lit(seed)), *ident)
+    w = Window.partitionBy(group).orderBy(draw(*ident, seed=seed), *ident)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 

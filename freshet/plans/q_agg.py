@@ -174,10 +174,10 @@ def g14(spark, sf):
 
 @query(
     "G15_cell_sums",
-    "select (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col, count(*) as pieces, sum(l_quantity) as area, round(greatest(0, least(1, sum(l_quantity) / 900)), 6) as share from lineitem where l_quantity <= 45 group by 1, 2",
+    "select (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col, count(*) as pieces, sum(l_quantity) as area, round(greatest(0, least(1, sum(l_quantity) / 900)), 6) as share from lineitem where l_quantity <= 45 group by 1, 2",
 )
 def g15(spark, sf):
-    df = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"), F.col("l_quantity").alias("area"))
+    df = table(spark, sf, "lineitem").select((F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col"), F.col("l_quantity").alias("area"))
     return rounded(ag.cell_sum(df, "row", "col", "area", 900.0, 45.0), "share")
 
 
@@ -196,9 +196,9 @@ def g17b(spark, sf):
     return ag.block_max(fx.cells(spark, sf), 8, "score")
 
 
-@query("G18_max_depth", "select (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col, max(l_quantity) as depth from lineitem where l_returnflag = 'R' group by 1, 2")
+@query("G18_max_depth", "select (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col, max(l_quantity) as depth from lineitem where l_returnflag = 'R' group by 1, 2")
 def g18(spark, sf):
-    df = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"), F.col("l_quantity").alias("depth"))
+    df = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col"), F.col("l_quantity").alias("depth"))
     return ag.max_depth(df, "depth")
 
 

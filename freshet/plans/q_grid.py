@@ -93,7 +93,13 @@ def r07b(spark, sf):
     return grid.reproject(fx.cells(spark, sf), source, target, geo.TM_5179, ["z"])
 
 
-@query("R08_fill")
+@query(
+    "R08_fill",
+    fx.sql("cells").replace("with ", "with recursive ", 1) + ", " + _STEPS + """, border as (select row, col, z from cells c where (select count(*) from cells n where n.row between c.row - 1 and c.row + 1 and n.col between c.col - 1 and c.col + 1) < 9),
+      f(row, col, w) using key (row, col) as (select row, col, z from border union
+        select c.row, c.col, min(greatest(c.z, f.w + 0.001)) from f join steps on true join cells c on c.row = f.row + dr and c.col = f.col + dc left join recurring.f as old on old.row = c.row and old.col = c.col where old.w is null or greatest(c.z, f.w + 0.001) < old.w group by 1, 2)
+      select c.row, c.col, round(w, 6) as filled, round(w - z, 6) as sink from cells c left join f using (row, col)""",
+)
 def r08(spark, sf):
     out = grid.fill(fx.cells(spark, sf).select("row", "col", "z"), "z", 0.001)
     return out.select("row", "col", F.round("filled", 6).alias("filled"), F.round(F.col("filled") - F.col("z"), 6).alias("sink"))

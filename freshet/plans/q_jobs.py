@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freshet.functions import geo
 from freshet.plans import fixtures as fx
 from freshet.plans import jobs
+from freshet.plans.q_rel import annulus_sql
 from freshet.plans.q_spatial import _INSIDE, _SEG
 from freshet.plans.registration import Registry
 from freshet.session import table
@@ -20,12 +21,12 @@ def rounded(df, digits=6):
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_CASES = "select month(l_shipdate)::int as event, (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col from lineitem where l_quantity = 50 and l_discount = 0.1"
+_CASES = "select month(l_shipdate)::int as event, (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col from lineitem where l_quantity = 50 and l_discount = 0.1"
 
 
 def _census_inputs(spark, sf):
     li = table(spark, sf, "lineitem")
-    place = [F.month("l_shipdate").alias("event"), (F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col")]
+    place = [F.month("l_shipdate").alias("event"), (F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col")]
     cases = li.where("l_quantity = 50 and l_discount = 0.1").select(*place)
     flooded = li.where("l_quantity >= 49 and l_returnflag = 'R'").select(*place).where("event <> 2")
     rain = li.groupBy(*place).agg((F.max("l_extendedprice") / 2000).alias("rain_6h"))
@@ -33,8 +34,8 @@ def _census_inputs(spark, sf):
     return cases, flooded, layers, rain
 
 
-_CENSUS = fx.sql("cells") + f""", cases as ({_CASES}), fl as (select distinct month(l_shipdate)::int as event, (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col from lineitem where l_quantity >= 49 and l_returnflag = 'R' and month(l_shipdate) <> 2),
-      rain as (select month(l_shipdate)::int as event, (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col, max(l_extendedprice) / 2000 as rain_6h from lineitem group by 1, 2, 3),
+_CENSUS = fx.sql("cells") + f""", cases as ({_CASES}), fl as (select distinct month(l_shipdate)::int as event, (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col from lineitem where l_quantity >= 49 and l_returnflag = 'R' and month(l_shipdate) <> 2),
+      rain as (select month(l_shipdate)::int as event, (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col, max(l_extendedprice) / 2000 as rain_6h from lineitem group by 1, 2, 3),
       ring as (select distinct c.event, k.row, k.col from cases c join cells k on pow(k.row - c.row, 2) + pow(k.col - c.col, 2) <= 16),
       own as (select distinct event, row, col from cases), far as (select row, col from cells k where not exists (select 1 from cases c where pow(k.row - c.row, 2) + pow(k.col - c.col, 2) <= 4)),
       marked as (select r.*, case when r.event in (select event from fl) then (fl.row is not null)::int else (own.row is not null)::int end as flooded, far.row is not null as far from ring r left join fl using (event, row, col) left join own using (event, row, col) left join far using (row, col)),
@@ -48,14 +49,14 @@ def c01(spark, sf):
 
 @query(
     "C02_ring_census_timed",
-    _CENSUS + """, t as (select month(l_shipdate)::int as event, (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col, min(l_suppkey % 24)::int as f from lineitem where l_quantity >= 49 and l_returnflag = 'R' group by 1, 2, 3),
+    _CENSUS + """, t as (select month(l_shipdate)::int as event, (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col, min(l_suppkey % 24)::int as f from lineitem where l_quantity >= 49 and l_returnflag = 'R' group by 1, 2, 3),
       e as (select c.event, h, row, col, (coalesce(f <= h, false))::int as flooded from census c cross join (select unnest([6, 18]) as h) left join t using (event, row, col)), n as (select event, h, count(*) as rows, sum(flooded)::bigint as positives from e group by 1, 2)
       select event || '_' || lpad(h::varchar, 2, '0') as event, rows, positives from n where rows >= 20 and positives >= 1""",
 )
 def c02(spark, sf):
     census = jobs.ring_census(*_census_inputs(spark, sf), 4, 2, dry_mm=20.0)
     li = table(spark, sf, "lineitem").where("l_quantity >= 49 and l_returnflag = 'R'")
-    timed = li.select(F.month("l_shipdate").alias("event"), (F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"), (F.col("l_suppkey") % 24).alias("hour"))
+    timed = li.select(F.month("l_shipdate").alias("event"), (F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col"), (F.col("l_suppkey") % 24).alias("hour"))
     hours = census.select("event").distinct().withColumn("hour", F.explode(F.array(F.lit(6), F.lit(18))))
     out = jobs.ring_census_timed(census, timed, hours, 20, 1)
     return out.groupBy("event").agg(F.count(F.lit(1)).alias("rows"), F.sum("flooded").alias("positives"))
@@ -70,8 +71,8 @@ def c03(spark, sf):
     return rounded(jobs.event_table(frames, at, places))
 
 
-def _zones(spark):
-    return fx.zone_edges(spark)
+def _zones(spark, sf):
+    return fx.zone_edges(spark, sf)
 
 
 def _station_rain(spark, sf):
@@ -88,14 +89,20 @@ def _station_rain(spark, sf):
       select n.id, n.event, flood, round(d, 6) as flood_dist, q_id, rain_24h from n join st on st.station = q_id and st.event = n.event""",
 )
 def c04(spark, sf):
-    return rounded(jobs.building_event_table(fx.xy(spark, sf), _zones(spark), _station_rain(spark, sf), 1.5, 2.0, 5.0))
+    return rounded(jobs.building_event_table(fx.xy(spark, sf), _zones(spark, sf), _station_rain(spark, sf), 1.5, 2.0, 5.0))
 
 
-@query("C05_matched_controls")
+@query(
+    "C05_matched_controls",
+    fx.sql("xy", "cells") + ", cases as (select * from xy where id % 5 = 0), " + annulus_sql(3, "f.kind = 'flood' and f.id % 3 = 0") + """,
+      placed as (select row_number() over () as n, * from (select case_id, x, y, 0::int as label from controls union all select id, x, y, 1 from cases)),
+      wet as (select b.*, (select arg_min(q.label * 7.0::double, (sqrt(pow(q.x + 0.1 - b.x, 2) + pow(q.y - b.y, 2)), q.id)) from xy q where sqrt(pow(q.x + 0.1 - b.x, 2) + pow(q.y - b.y, 2)) <= 1) as rain_6h from placed b)
+      select case_id, w.label, round(x, 6) as x, round(y, 6) as y, rain_6h, z from wet w join cells on row = floor((10 - y) / 0.5) and col = floor((x + 10) / 0.5) where rain_6h is not null and z > 0 and row < 40 and col < 40""",
+)
 def c05(spark, sf):
     p = fx.xy(spark, sf)
     rain = p.select((F.col("id") + 10**6).alias("id"), (F.col("x") + 0.1).alias("x"), "y", (F.col("label") * 7.0).alias("rain_6h"))
-    return rounded(jobs.matched_controls(p.where("id % 5 = 0"), p.where("kind = 'flood' and id % 3 = 0"), rain, fx.cells(spark, sf).select("row", "col", "z"), GRID, 3, 0.3, 2.0, 1.0))
+    return rounded(jobs.matched_controls(p.where("id % 5 = 0"), p.where("kind = 'flood' and id % 3 = 0"), rain, fx.cells(spark, sf).select("row", "col", "z"), GRID, 3, 0.3, 2.0, 1.0)).drop("id")
 
 
 @query(
@@ -104,7 +111,7 @@ def c05(spark, sf):
       select distinct id, 1::int as flooded, 1.0::double as sample_weight from inside union all select id, 0, 6.0 from dry where r % 6 = 0""",
 )
 def c06(spark, sf):
-    return jobs.building_sample(fx.xy(spark, sf), _zones(spark), 1.0, 2.0, 6)
+    return jobs.building_sample(fx.xy(spark, sf), _zones(spark, sf), 1.0, 2.0, 6)
 
 
 @query(
@@ -114,8 +121,8 @@ def c06(spark, sf):
 )
 def c07(spark, sf):
     b = fx.xy(spark, sf).withColumns({"province": F.col("label") % 4, "approved": 2000 + F.col("label") * 3})
-    years = spark.createDataFrame([("a", 2005), ("b", 2012), ("c", 2020)], "zone string, year int")
-    return jobs.basement_overlap(b, _zones(spark), years, 2.0)
+    years = _zones(spark, sf).select("zone").distinct().withColumn("year", F.when(F.col("zone") == "a", 2005).when(F.col("zone") == "b", 2012).otherwise(2020))
+    return jobs.basement_overlap(b, _zones(spark, sf), years, 2.0)
 
 
 @query(
@@ -127,7 +134,7 @@ def c07(spark, sf):
 )
 def c08(spark, sf):
     p = fx.xy(spark, sf)
-    out = jobs.parking_risk(p.where("id % 4 = 0"), p.where("id % 4 <> 0").withColumn("rel", F.col("label") * 3.0), _zones(spark), 0.6, 2.0, 2.0, 1000.0)
+    out = jobs.parking_risk(p.where("id % 4 = 0"), p.where("id % 4 <> 0").withColumn("rel", F.col("label") * 3.0), _zones(spark, sf), 0.6, 2.0, 2.0, 1000.0)
     return rounded(out.select("id", "rel", "band", "flood_m", "risk"))
 
 
@@ -170,17 +177,42 @@ def c11(spark, sf):
     return out.select("id", "risk", "level", "alert")
 
 
-def _lines(spark):
-    e = fx.zone_edges(spark)
+def _lines(spark, sf):
+    e = fx.zone_edges(spark, sf)
     return e.select(F.when(F.col("ord") == 2, "major").otherwise("minor").alias("kind"), F.concat("zone", F.col("ring").cast("string"), F.lit("-"), F.col("i").cast("string")).alias("line"), "x1", "y1", "x2", "y2")
 
 
-@query("R11_risk_surface")
+def _river(points: str, reach: int) -> str:
+    """Heights of ``points`` (id, x, y, z) above the ground at the nearest line of each class."""
+    return f"""foot as (select *, x1 + t * (x2 - x1) as fx, y1 + t * (y2 - y1) as fy from (
+        select p.id, p.x, p.y, p.z, case when ord = 2 then 'major' else 'minor' end as kind, zone || ring || '-' || i as line, x1, y1, x2, y2,
+          greatest(0, least(1, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) as t from {points} p, zone_edges)),
+      near as (select id, kind, any_value(z) as z, arg_min((fx, fy), (sqrt(pow(x - fx, 2) + pow(y - fy, 2)), line)) as f from foot where sqrt(pow(x - fx, 2) + pow(y - fy, 2)) <= {reach} group by 1, 2),
+      above as (select id, max(near.z - c.z) filter (kind = 'major') as above_major, max(near.z - c.z) filter (kind = 'minor') as above_minor from near
+        left join cells c on c.row = floor((10 - f[2]) / 0.5) and c.col = floor((f[1] + 10) / 0.5) and c.row < 40 and c.col < 40 group by 1)"""
+
+
+def _rel(radii) -> str:
+    """Heights of cells over the lowest ground of windows."""
+    return "rels as (select a.row, a.col, " + ", ".join(f"a.z - min(b.z) filter (abs(b.row - a.row) <= {r} and abs(b.col - a.col) <= {r}) as rel_{r}" for r in radii) + f" from cells a join cells b on b.row between a.row - {max(radii)} and a.row + {max(radii)} and b.col between a.col - {max(radii)} and a.col + {max(radii)} group by a.row, a.col, a.z)"
+
+
+@query(
+    "R11_risk_surface",
+    fx.sql("cells", "zone_edges") + ", " + _rel((1, 2, 4, 8)) + """, pts as (select row::bigint * 40 + col as id, row, col, z, -10 + (col + 0.5) * 0.5 as x, 10 - (row + 0.5) * 0.5 as y from cells), xy as (select * from pts), """ + _INSIDE + ", " + _SEG + ", " + _river("pts", 3) + """,
+      fl as (select id, min(d) as d from (select id, d from seg where d <= 3 union all select id, 0 from inside) group by 1)
+      select p.id, p.row, p.col, p.z, p.x, p.y, """ + ", ".join(f"round(rel_{r}, 6) as rel_{r}" for r in (1, 2, 4, 8)) + """, round(fl.d, 6) as flood_dist, round(above_major, 6) as above_major, round(above_minor, 6) as above_minor, round(1 / (1 + greatest(rel_2, 0)), 6) as score
+      from pts p join rels using (row, col) left join fl using (id) left join above using (id)""",
+)
 def r11(spark, sf):
     score = 1 / (1 + F.greatest(F.col("rel_2"), F.lit(0.0)))
-    return rounded(jobs.risk_surface(fx.cells(spark, sf).select("row", "col", "z"), _lines(spark), fx.zone_edges(spark), GRID, [1, 2, 4, 8], 3.0, 2.0, score))
+    return rounded(jobs.risk_surface(fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), fx.zone_edges(spark, sf), GRID, [1, 2, 4, 8], 3.0, 2.0, score))
 
 
-@query("R12_building_features")
+@query(
+    "R12_building_features",
+    fx.sql("xy", "cells", "zone_edges") + ", " + _rel((1, 3)) + """, b as (select id, x, y, c.z, rel_1, rel_3 from xy left join cells c on c.row = floor((10 - y) / 0.5) and c.col = floor((x + 10) / 0.5) and c.row < 40 and c.col < 40 left join rels using (row, col)), """ + _river("b", 4) + """
+      select id, round(x, 6) as x, round(y, 6) as y, z, round(rel_1, 6) as rel_1, round(rel_3, 6) as rel_3, round(above_major, 6) as above_major, round(above_minor, 6) as above_minor from b left join above using (id)""",
+)
 def r12(spark, sf):
-    return rounded(jobs.building_features(fx.xy(spark, sf), fx.cells(spark, sf).select("row", "col", "z"), _lines(spark), GRID, [1, 3], 4.0))
+    return rounded(jobs.building_features(fx.xy(spark, sf), fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), GRID, [1, 3], 4.0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import metrics as m
 from freshet.plans import fixtures as fx
+from freshet.plans.q_rel import DRAW_SQL
 from freshet.plans.registration import Registry
 
 query = Registry()
@@ -61,9 +62,18 @@ def m13(spark, sf):
     return rounded(m.paired(arms, "fold", "arm", "v", "a", "b"))
 
 
-@query("M14_bootstrap")
+_REPLICATE_AP = lambda s: f"(select r, sum(p / nullif(tp, 0) * up / uw) as ap from (select r, p, sum(p) over (partition by r order by s desc) as up, sum(w) over (partition by r order by s desc) as uw, sum(p) over (partition by r) as tp from (select r, {s} as s, sum(c * y) as p, sum(c) as w from d where c > 0 group by 1, 2)) group by 1)"
+
+
+@query(
+    "M14_bootstrap",
+    fx.sql("scores") + f""", d as (select *, len(list_filter([{', '.join(f'{c!r}::double' for c in m.poisson_steps())}], lambda x: u >= x)) as c from (select *, {DRAW_SQL('r, id')} as u from scores, (select unnest(range(200)) as r))),
+      g as (select b.ap - a.ap as g from {_REPLICATE_AP('s')} a join {_REPLICATE_AP('s2')} b using (r))
+      select round(avg(g), 6) as mean, round(quantile_cont(g, 0.025), 6) as low, round(quantile_cont(g, 0.975), 6) as high, avg(coalesce(g > 0, false)::int) as wins from g""",
+)
 def m14(spark, sf):
-    return m.bootstrap_diff(fx.scores(spark, sf), "y", "s", "s2", ["id"], 50)
+    out = m.bootstrap_diff(fx.scores(spark, sf), "y", "s", "s2", ["id"], 200)
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "wins")
 
 
 @query(

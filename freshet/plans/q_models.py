@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from freshet.operators import metrics, models
 from freshet.operators import relational as rel
 from freshet.operators.series import rank_average
 from freshet.plans import fixtures as fx
+from freshet.plans.q_rel import DRAW_SQL
 from freshet.plans.registration import Registry
-from freshet.session import checkpointed, table
+from freshet.session import checkpointed, shared_dir, table
 from freshet.streaming import rain
 
 query = Registry()
@@ -53,10 +56,16 @@ def m09(spark, sf):
     return models.evaluate(models.group_cv(_rows(spark, sf), _folds(spark, sf), "storm", _fit()), "fold")
 
 
-@query("M10_temporal_split", "select case when year(o_orderdate) + 22 <= 2018 then 'train' else 'test' end as part, count(*) as rows from orders group by 1")
+@query(
+    "M10_splits",
+    f"""select 'temporal' as kind, case when year(o_orderdate) + 22 <= 2018 then 'train' else 'test' end as part, count(*) as rows from orders group by 2 union all
+      select 'random', case when {DRAW_SQL('o_orderkey')} < 0.7 then 'train' else 'test' end, count(*) from orders group by 2 union all
+      select 'block', floor({DRAW_SQL('o_custkey // 10, o_orderkey // 10')} * 5)::bigint::varchar, count(*) from orders group by 2""",
+)
 def m10(spark, sf):
-    df = table(spark, sf, "orders").select((F.year("o_orderdate") + 22).alias("year"))
-    return models.splits(df, "temporal").groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.year("o_orderdate") + 22).alias("year"), F.col("o_custkey").alias("row"), F.col("o_orderkey").alias("col"))
+    parts = [models.splits(df, k).groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("kind"), "part", "rows") for k in ("temporal", "random", "block")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("M11_compare_tables")
@@ -115,10 +124,22 @@ def m23(spark, sf):
 
 def _gauges(spark, sf):
     e = table(spark, sf, "events")
-    hourly = e.groupBy((F.col("user_id") % 10).alias("station_id"), F.date_trunc("hour", "ts").alias("obs_ts")).agg((F.sum("value") / 10).alias("mm"))
+    hourly = e.groupBy((F.col("user_id") % fx.stations(spark, sf)).alias("station_id"), F.date_trunc("hour", "ts").alias("obs_ts")).agg((F.sum("value") / 10).alias("mm"))
     return hourly.unionByName(hourly.where("station_id = 3"))  # one station sends everything twice
 
 
+@query("X06_ingest", fx.sql("frames") + " select event, count(*) as frames, round(sum(rate), 6) as rate from frames group by 1")
+def x06(spark, sf):
+    """Frames that arrive in several files, a third of them twice, in batches of two files."""
+    place = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    f = fx.frames(spark, sf).select("event", "pt", "stamp", "span_min", "rate")
+    f.repartition(3, "pt").write.parquet(f"{place}/in")
+    f.where("stamp % 3 = 0").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    rain.ingest(spark, f"{place}/in", f.schema, f"{place}/out", f"{place}/checkpoint", once=["event", "pt", "stamp", "span_min"], files_per_batch=2).awaitTermination()
+    got = spark.read.schema(f.select("pt", "stamp", "span_min", "rate", "event").schema).parquet(f"{place}/out")
+    return got.groupBy("event").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("rate"), 6).alias("rate"))
+
+
 _SEEN = ", ".join(f"round(sum(mm) filter (h > until_hour - {h}), 6) as seen_{h}h, count(*) filter (h > until_hour - {h}) as hours_{h}h" for h in rain.HOURS)
 _ROLLING = fx.sql("obs") + f""", w as (select station as station_id, hour as h, mm, hour + i as until_hour from obs, (select unnest(range(12)) as i)), r as (select station_id, until_hour, {_SEEN} from w group by 1, 2)"""
 

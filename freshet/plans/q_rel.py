@@ -62,10 +62,10 @@ def j06b(spark, sf):
     return rel.coverage(out, ["z", "land"]).select(F.round("z", 6).alias("z"), F.round("land", 6).alias("land"))
 
 
-@query("J18_label_cells", fx.sql("cells") + ", f as (select distinct (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col from lineitem where l_quantity = 50 and l_discount = 0.1) select cells.row, cells.col, (f.row is not null)::int as flooded from cells left join f using (row, col)")
+@query("J18_label_cells", fx.sql("cells") + ", f as (select distinct (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col from lineitem where l_quantity = 50 and l_discount = 0.1) select cells.row, cells.col, (f.row is not null)::int as flooded from cells left join f using (row, col)")
 def j18(spark, sf):
     li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
-    f = li.select((F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"))
+    f = li.select((F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col"))
     return rel.label_cells(fx.cells(spark, sf).select("row", "col"), f, ["row", "col"])
 
 
@@ -205,42 +205,60 @@ def t04(spark, sf):
     return rel.systematic(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == "P", [F.col("o_orderkey")], 7).select("o_orderkey", "weight")
 
 
-@query("T05_to_pos_rate")
+DRAW_SQL = lambda cols, seed=0: f"(('0x' || substr(md5(concat_ws('|', {cols}, '{seed}')), 1, 13))::bigint / 4503599627370496.0::double)"
+
+
+@query("T05_to_pos_rate", f"with c as (select count(*) filter (o_orderstatus = 'P') as p, count(*) filter (o_orderstatus <> 'P') as n from orders) select o_orderkey, o_orderstatus from orders, c where o_orderstatus = 'P' or {DRAW_SQL('o_orderkey')} < least(1, p * (1 - 0.6::double) / 0.6::double / n)")
 def t05(spark, sf):
     return rel.to_pos_rate(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus") == "P", ["o_orderkey"], 0.6)
 
 
-@query("T06_sample_per_group")
+@query("T06_sample_per_group", f"select o_orderkey, o_orderpriority from (select *, row_number() over (partition by o_orderpriority order by {DRAW_SQL('o_orderkey')}, o_orderkey) as r from orders) where r <= 40")
 def t06(spark, sf):
     return rel.sample_per_group(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 40)
 
 
-@query("T07_annulus_controls")
+def annulus_sql(k: int, floods: str) -> str:
+    """Controls of the table ``cases``: drawn, and those far from ``floods``."""
+    return f"""d as (select id as case_id, x, y, k, {DRAW_SQL('id, k')} * 6.283185307179586::double as a, sqrt({DRAW_SQL('id, k', 1)} * (4 - 0.09::double) + 0.09::double) as r from cases, (select unnest(range({k})) as k)),
+      drawn as (select case_id, k, x + r * cos(a) as x, y + r * sin(a) as y from d), controls as (select * from drawn where not exists (select 1 from xy f where {floods} and sqrt(pow(f.x - drawn.x, 2) + pow(f.y - drawn.y, 2)) <= 0.3))"""
+
+
+@query("T07_annulus_controls", fx.sql("xy") + f", cases as (select * from xy where kind = 'control'), {annulus_sql(5, "f.kind = 'flood'")} select case_id, round(x, 6) as x, round(y, 6) as y from controls")
 def t07(spark, sf):
     p = fx.xy(spark, sf)
-    return rel.annulus_controls(p.where("kind = 'control'"), p.where("kind = 'flood'"), 5, 0.3, 2.0)
+    out = rel.annulus_controls(p.where("kind = 'control'"), p.where("kind = 'flood'"), 5, 0.3, 2.0)
+    return out.select("case_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("T08_grid_sample")
+@query(
+    "T08_grid_sample",
+    fx.sql("cells") + f""", pos as (select row, col from cells where land % 97 = 0), pool as (select row, col, z from cells c where not exists (select 1 from pos p where abs(p.row - c.row) + abs(p.col - c.col) <= 2)),
+      n as (select least(1, 3.0::double * (select count(*) from pos) / count(*)) as share from pool)
+      select row, col, z, 1.0::double as weight, 1::int as y from cells where land % 97 = 0 union all select row, col, z, 1 / share, 0 from pool, n where {DRAW_SQL('row, col')} < share""",
+)
 def t08(spark, sf):
     c = fx.cells(spark, sf)
     return rel.grid_sample(c.select("row", "col", "z"), c.where("land % 97 = 0").select("row", "col"), 2, 3)
 
 
-@query("T09_fraction")
+@query("T09_fraction", f"select o_orderkey from orders where {DRAW_SQL('o_orderkey')} < 0.1")
 def t09(spark, sf):
     return rel.fraction(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 0.1)
 
 
-@query("T10_balanced_folds", "select case user_id when 0 then 0 end::int as fold, 0::bigint as positives, 0::bigint as groups from events where false")
+@query(
+    "T10_balanced_folds",
+    """with recursive g as (select row_number() over (order by p desc, user_id) as i, p from (select user_id, count(*) filter (value > 100) as p from events group by 1)),
+      r(i, loads, counts) as (select 0::bigint, [0, 0, 0, 0, 0]::bigint[], [0, 0, 0, 0, 0]::bigint[]
+        union all select g.i, list_transform(loads, lambda x, j: x + case when j = list_position(loads, list_min(loads)) then g.p else 0 end), list_transform(counts, lambda x, j: x + (j = list_position(loads, list_min(loads)))::bigint) from r join g on g.i = r.i + 1)
+      select k::int - 1 as fold, loads[k]::bigint as positives, counts[k]::bigint as groups from (select * from r order by i desc limit 1), (select unnest(range(1, 6)) as k) where counts[k] > 0""",
+)
 def t10(spark, sf):
     folds = rel.balanced_folds(table(spark, sf, "events"), "user_id", F.col("value") > 100, 5)
     return folds.groupBy("fold").agg(F.sum("positives").alias("positives"), F.count(F.lit(1)).alias("groups"))
 
 
-del ORACLES["T10_balanced_folds"]  # a greedy fold is no SQL; tests hold it against a loop
-
-
 @query(
     "U01_merge_labels",
     "select id, year, depth, source, precision from (select o_orderkey as id, year(o_orderdate)::int as year, null::double as depth, 'survey' as source, 'polygon' as precision from orders union all select l_orderkey * 10 + l_linenumber, null, l_quantity, 'report', 'parcel' from lineitem union all select c_custkey, null, null, 'line', 'point' from customer)",
@@ -263,9 +281,9 @@ def u02(spark, sf):
     return rel.merge_cells(a, b, ["event", "cell"])
 
 
-@query("U03_positives", fx.sql("cells") + " select (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col from lineitem where l_quantity = 50 and l_discount = 0.1 union select row, col from cells where land % 50 = 0")
+@query("U03_positives", fx.sql("cells") + " select (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col from lineitem where l_quantity = 50 and l_discount = 0.1 union select row, col from cells where land % 50 = 0")
 def u03(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.1").select((F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"))
+    li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.1").select((F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col"))
     return rel.positives(li, fx.cells(spark, sf).withColumn("d", F.col("land") % 50), "d")
 
 

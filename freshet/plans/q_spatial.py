@@ -25,17 +25,17 @@ def _kinds(spark, sf):
 
 @query("J07_points_in_polygons", fx.sql("xy", "zone_edges") + ", " + _INSIDE + " select id, zone, ord from inside")
 def j07(spark, sf):
-    return sp.points_in_polygons(fx.xy(spark, sf), fx.zone_edges(spark), 2.0)
+    return sp.points_in_polygons(fx.xy(spark, sf), fx.zone_edges(spark, sf), 2.0)
 
 
 @query("J08_assign_zone", fx.sql("xy", "zone_edges") + ", " + _INSIDE + " select xy.id, arg_max(zone, ord) as zone from xy left join inside using (id) group by 1")
 def j08(spark, sf):
-    return sp.assign_zone(fx.xy(spark, sf), fx.zone_edges(spark), 2.0).select("id", "zone")
+    return sp.assign_zone(fx.xy(spark, sf), fx.zone_edges(spark, sf), 2.0).select("id", "zone")
 
 
 @query("J09_within_of_polygon", fx.sql("xy", "zone_edges") + ", " + _INSIDE + ", " + _SEG + " select id, zone from inside union select id, zone from seg where d <= 1")
 def j09(spark, sf):
-    return sp.within_of_polygon(fx.xy(spark, sf), fx.zone_edges(spark), 1.0, 2.0)
+    return sp.within_of_polygon(fx.xy(spark, sf), fx.zone_edges(spark, sf), 1.0, 2.0)
 
 
 @query(
@@ -43,7 +43,7 @@ def j09(spark, sf):
     fx.sql("xy", "zone_edges") + ", " + _INSIDE + ", " + _SEG + ", n as (select id, min(d) as d from (select id, d from seg where d <= 3 union all select id, 0 from inside) group by 1) select xy.id, round(n.d, 6) as dist from xy left join n using (id)",
 )
 def j10(spark, sf):
-    return sp.dist_to_polygon(fx.xy(spark, sf), fx.zone_edges(spark), 3.0, 2.0).select("id", F.round("dist", 6).alias("dist"))
+    return sp.dist_to_polygon(fx.xy(spark, sf), fx.zone_edges(spark, sf), 3.0, 2.0).select("id", F.round("dist", 6).alias("dist"))
 
 
 _PAIRS = "pairs as (select p.id, q.id as q_id, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) as dist from xy p join xy q on p.kind = 'control' and q.kind = 'flood')"
@@ -91,7 +91,7 @@ def j13(spark, sf):
       select id, kind, round(min(d), 6) as dist from d where d <= 4 group by 1, 2""",
 )
 def j14(spark, sf):
-    e = fx.zone_edges(spark)
+    e = fx.zone_edges(spark, sf)
     lines = e.select(F.when(F.col("ord") == 2, "major").otherwise("minor").alias("kind"), F.concat("zone", F.col("ring").cast("string"), F.lit("-"), F.col("i").cast("string")).alias("line"), "x1", "y1", "x2", "y2")
     return sp.nearest_line(fx.xy(spark, sf), lines, 4.0).select("id", "kind", F.round("dist", 6).alias("dist"))
 
@@ -105,14 +105,14 @@ def j15(spark, sf):
     return sp.within_topk(p, q, 2.0, 3).withColumn("dist", F.round("dist", 6))
 
 
-_CASES = "cases as (select distinct (l_orderkey % 40)::int as row, (l_partkey % 40)::int as col from lineitem where l_quantity = 50 and l_discount = 0.1), offs as (select r::int as dr, c::int as dc from (select unnest(range(-3, 4)) as r), (select unnest(range(-3, 4)) as c) where r * r + c * c <= 9)"
+_CASES = "cases as (select distinct (l_orderkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as row, (l_partkey % (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem))::int as col from lineitem where l_quantity = 50 and l_discount = 0.1), offs as (select r::int as dr, c::int as dc from (select unnest(range(-3, 4)) as r), (select unnest(range(-3, 4)) as c) where r * r + c * c <= 9)"
 
 
 def _cases(spark, sf):
     from freshet.session import table
 
     li = table(spark, sf, "lineitem").where("l_quantity = 50 and l_discount = 0.1")
-    return li.select((F.col("l_orderkey") % 40).cast("int").alias("row"), (F.col("l_partkey") % 40).cast("int").alias("col"))
+    return li.select((F.col("l_orderkey") % fx.side(spark, sf)).cast("int").alias("row"), (F.col("l_partkey") % fx.side(spark, sf)).cast("int").alias("col"))
 
 
 @query("J16_disk", f"with {_CASES} select distinct row + dr as row, col + dc as col from cases, offs")
@@ -144,18 +144,18 @@ _RASTER = """g as (select r as row, c as col, -10 + (c + 0.5) * 0.5 as x, 14 - (
 
 @query("R01_rasterize", fx.sql("zone_edges") + ", " + _RASTER + " select zone, ord, row, col from k")
 def r01(spark, sf):
-    return sp.rasterize(fx.zone_edges(spark), GRID)
+    return sp.rasterize(fx.zone_edges(spark, sf), GRID)
 
 
 @query("R02_rasterize_timed", fx.sql("zone_edges") + ", " + _RASTER + " select (10 + ord) % 24 as hour, row, col, count(*) as zones from k where ord <> 3 group by 1, 2, 3")
 def r02(spark, sf):
-    timed = fx.zone_edges(spark).where("ord <> 3")  # zone c has no time
+    timed = fx.zone_edges(spark, sf).where("ord <> 3")  # zone c has no time
     return sp.rasterize(timed, GRID).groupBy(((10 + F.col("ord")) % 24).alias("hour"), "row", "col").agg(F.count(F.lit(1)).alias("zones"))
 
 
 @query("R03_zone_cells", fx.sql("zone_edges") + ", " + _RASTER + " select row, col, arg_min(zone, ord) as first_zone, arg_max(zone, ord) as last_zone from k group by 1, 2")
 def r03(spark, sf):
-    e = fx.zone_edges(spark)
+    e = fx.zone_edges(spark, sf)
     first = sp.zone_cells(e, GRID).withColumnRenamed("zone", "first_zone")
     return first.join(sp.zone_cells(e, GRID, last_wins=True).withColumnRenamed("zone", "last_zone"), ["row", "col"])
 

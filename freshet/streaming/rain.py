@@ -7,7 +7,9 @@ which is how the tests compare a stream's output with the batch result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,21 +95,37 @@ def alert_stream(stream: DataFrame, places: DataFrame, path: str, checkpoint: st
     return rolling_rain(stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(publish).start()
 
 
-def ingest(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, key: str = "event"):
+def ingest(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, key: str = "event", once: Sequence[str] | None = None, files_per_batch: int | None = None):
     """Frames from a folder into a table by event, each frame once, resumable.
 
-    A batch that is run again overwrites its own partition (event, batch), so a retry
-    after a crash leaves no second copy.
+    A frame is what its ``once`` columns say (all, by default). A frame that another batch
+    has written is left out, so one that arrives in two files lands once. A batch that is
+    run again overwrites its own partition (event, batch).
     """
-    frames = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    frames = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
+    names = list(once or frames.columns)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.dropDuplicates().withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, "batch").parquet(path)
+        new = batch.dropDuplicates(names)
+        try:
+            there = batch.sparkSession.read.parquet(path).where(F.col("batch") != batch_id).select(*[F.col(c).alias(f"_{c}") for c in names])
+        except AnalysisException as e:  # the first batch: nothing is there yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        else:
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}").cast(t)) for c, t in new.select(*names).dtypes])
+            new = new.join(there.hint("shuffle_hash"), same, "left_anti")
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, "batch").parquet(path)
 
     return frames.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def dropped_late(query) -> int:
+    """Rows that a running or ended query left out as too late, over the progress it keeps."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def storm_sessions(stream: DataFrame, key: str, gap: str = "36 hours", delay: str = DELAY) -> DataFrame:
     """Storms on a stream: days at most one apart chain together in a session window."""
     marked = stream.withWatermark("day", delay) if stream.isStreaming else stream
