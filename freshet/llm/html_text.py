@@ -1,13 +1,15 @@
 """Main text of web pages by removing site templates.
 
-Each page is read once: every element's subtree is hashed (tag, own text and children's
-hashes), and the page becomes a list of text blocks, each with the hashes of the elements
-around it. Spark counts in how many different pages of a host each subtree occurs, where
-pages with the same main text (copies under other addresses, mirrored posts) are one;
-subtrees that recur in ``min_pages`` or more of them are template, and the blocks inside
-them are deleted. Then what is boilerplate by its mark-up goes, recurring or not: menus,
-headers, footers, sidebars, notices, adverts, forms, comments (by tag, ARIA role and words
-of class and id). Where a page has an article or main element, only blocks inside count.
+Every element's subtree is hashed (tag, own text and children's hashes), and the page
+becomes a list of text blocks with the block range of every subtree.
+Spark counts in how many different pages of a host each subtree occurs, where pages with
+the same main text (copies under other addresses, mirrored posts) are one. Subtrees that
+recur in ``MIN_PAGES`` or more of them, and in the square root of the host's number of
+different pages, are template: all blocks inside go first, whatever they are
+(``n_template``). Of the blocks left, those go that are boilerplate by their mark-up but
+differ from page to page: menus, headers, footers, sidebars, notices, adverts, forms,
+comments, by tag, ARIA role and words of class and id (``n_markup``). Where a page has an
+article or main element, only blocks inside count.
 
 Prose inside an article (paragraphs, headings, lists, tables, quotes, inline mark-up), the
 article itself, every element that has an article or main element inside, and elements of
@@ -17,38 +19,41 @@ without article and main the innermost one stands for the article, or the paragr
 below body do. So copies of an article on one host keep their text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
-joined in page order by two line feeds. Nothing is capped.
-
-Defined results: null html is empty and has empty text; a page whose url is
-null or has no host belongs to no site, so nothing of it is template; broken mark-up is read as far as it goes (unclosed elements end with their parent, a
-stray ``<`` is text); repeated rows are pages of their own; an empty table gives an empty
-result. Output columns replace input columns of the same name.
+joined in page order by two line feeds. Nothing is capped, and reading takes time in
+proportion to the page, broken or deeply nested ones included.
+
+Defined results: null html is empty and has empty text; a page whose url is null or has no
+host belongs to no site, so nothing of it is template; broken mark-up is read as far as it
+goes (unclosed elements end with their parent, a ``<`` that starts no tag is text, and after
+a tag whose quotes never close, quotes no longer hold a ``>``); repeated rows are pages of
+their own; an empty table gives an empty result. Output columns replace input columns of the
+same name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import stored
+from freshet.llm.common import join_counted, stored
 from freshet.llm.url_filter import split_url
 
-MIN_PAGES = 10
+MIN_PAGES = 3
 #: From so many characters on, text without paragraphs can be the main text of a page.
 MAIN_CHARS = 200
-#: Recurring subtrees up to this many rows are broadcast, more are joined by a shuffle.
-BROADCAST_SUBTREES = 20_000
 
 # Elements by role in HTML.
-_RAW = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video|select"
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg|canvas|audio|video|select|annotation|annotation-xml"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -63,6 +68,11 @@ _WORDS = frozenset(
     "footer masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related "
     "share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that make no other sense of a class or id beside one of ``_WORDS`` (related-posts, but not related-work).
+_COMPANIONS = frozenset(
+    "area bar block bottom box buttons container content fixed form global group icon icons inline inner item items left link links list main mobile "
+    "page panel post posts primary right section signup site slot sticky text top unit wrap wrapper".split()
+)
 _CLOSES = {  # an open element of the key's kind ends where one of its value starts
     "p": _BLOCK - {"html", "body", "head"},
     "li": frozenset({"li"}),
@@ -74,15 +84,55 @@ _CLOSES = {  # an open element of the key's kind ends where one of its value sta
     "option": frozenset({"option"}),
 }
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_RAW_TAGS = frozenset(_RAW.split("|"))
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW_TAGS}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) of a page in order: text, start, end; scripts and the like, comments and declarations are passed over."""
+    at, last, quotes = 0, source.rfind(">"), True
+    while at < len(source):
+        open_ = source.find("<", at)
+        if open_ < 0:
+            open_ = len(source)
+        if open_ > at:
+            yield "text", source[at:open_], ""
+        if open_ == len(source):
+            return
+        at = open_ + 1
+        if source.startswith("!--", at):
+            end = source.find("-->", at)
+            at = end + 3 if end >= 0 else len(source)
+        elif at > last:  # no tag can end any more
+            yield "text", "<", ""
+        elif source[at] in "!?":
+            at = source.index(">", at) + 1
+        elif named := _NAME.match(source, at):
+            rest = _REST.match(source, named.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else source.find(">", named.end()) + 1
+            if not end:
+                yield "text", "<", ""
+                continue
+            name, attrs = named[0].lower(), source[named.end() : end - 1]
+            at = end
+            if name[0] == "/":
+                yield "end", name[1:], ""
+            elif name in _RAW_TAGS:
+                closed = _RAW_END[name].search(source, at)
+                at = closed.end() if closed else len(source)
+            else:
+                yield "start", name, attrs
+        elif source.startswith("/", at):
+            at = source.index(">", at) + 1
+        else:
+            yield "text", "<", ""
+
+
 class _Element:
     __slots__ = ("tag", "kids", "first", "end", "dropped", "content", "fixed", "main", "prose", "top", "value")
 
@@ -95,6 +145,18 @@ class _Element:
         self.kids: list[bytes] = []
 
 
+def _named_boilerplate(value: str, inside: bool) -> bool:
+    """Do the words of a class or id name boilerplate? Inside an article each name must have no other sense."""
+    if not inside:
+        words = set(_SPLIT.split(value))
+        return not words.isdisjoint(_WORDS) or "header" in words
+    for name in value.split():
+        words = set(filter(None, _SPLIT.split(name)))
+        if not words.isdisjoint(_WORDS) and words <= _WORDS | _COMPANIONS:
+            return True
+    return False
+
+
 def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
     """Is an element boilerplate by its mark-up; is it a container of main content."""
     drop, content = tag in _DROPPED or (tag == "header" and not inside), tag in ("article", "main")
@@ -102,8 +164,7 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id"):
-                words = set(_SPLIT.split(value))
-                drop = drop or not words.isdisjoint(_WORDS) or (not inside and "header" in words)
+                drop = drop or _named_boilerplate(value, inside)
             elif name == "role":
                 drop, content = drop or value in _ROLES, content or value == "main"
             elif name == "itemprop":
@@ -117,29 +178,29 @@ class Page:
     """Blocks and subtree hashes of one page."""
 
     def __init__(self, source: str):
-        self.blocks: list[list] = []  # [text, hashes around it, boilerplate, inside main content]
-        self.subtrees: set[int] = set()
+        self.blocks: list[tuple[str, bool, bool]] = []  # text, boilerplate, inside main content
+        self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, block after the last
         self.closed: list[_Element] = []
         self.stack = [_Element("", 0, False, False, True)]
+        self.open: Counter = Counter()  # open elements of each tag
+        self.block_at = [0]  # places of block elements in the stack
         self.pieces: list[str] = []
-        for m in _TOKEN.finditer(source):
-            if m["text"] is not None:
-                self.pieces.append(m["text"])
-            elif m["raw"] is None and m["tag"]:
-                tag = m["tag"].lower()
-                if m["end"]:
-                    self._end(tag)
-                else:
-                    self._start(tag, m["attrs"] or "")
+        for kind, name, rest in tokens(source):
+            if kind == "text":
+                self.pieces.append(name)
+            elif kind == "end":
+                self._end(name)
+            else:
+                self._start(name, rest)
         while len(self.stack) > 1:
             self._close()
         self._flush()
         self._settle()
 
     def _settle(self) -> None:
-        """Hashes of the elements that can be template go to their blocks; ``key`` is the hash of the main text."""
-        inside = any(b[3] and not b[2] for b in self.blocks)
-        main = [b[0] if not b[2] and (b[3] or not inside) else "" for b in self.blocks]
+        """``subtrees`` are the elements that can be template; ``key`` is the hash of the main text."""
+        inside = any(content and not dropped for _, dropped, content in self.blocks)
+        main = [text if not dropped and (content or not inside) else "" for text, dropped, content in self.blocks]
         self.key = xxhash.xxh3_64_intdigest("\n".join(filter(None, main)).encode("utf-8", "replace")) - (1 << 63)
         chars = list(accumulate(map(len, main), initial=0))
         size = lambda e: chars[e.end] - chars[e.first]
@@ -151,9 +212,7 @@ class Page:
         for i, e in enumerate(self.closed):
             prose = e.tag in _PROSE or e.tag not in _BLOCK
             if not (e.fixed or most[i] or (i < body and e.first >= first and (prose or e.prose)) or (below and e.top and prose)):
-                self.subtrees.add(e.value)
-                for block in self.blocks[e.first : e.end]:
-                    block[1].append(e.value)
+                self.subtrees.append((e.value, e.first, e.end))
 
     def _flush(self) -> None:
         if self.pieces:
@@ -162,7 +221,7 @@ class Page:
             if text:
                 top = self.stack[-1]
                 top.kids.append(text.encode("utf-8", "replace"))
-                self.blocks.append([text, [], top.dropped, top.content])
+                self.blocks.append((text, top.dropped, top.content))
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in _VOID:
@@ -176,27 +235,27 @@ class Page:
             self._close()
         if tag in _BLOCK:
             # inline elements left open in a paragraph end with it
-            open_p = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag in _BLOCK), 0)
+            open_p = self.block_at[-1]
             if open_p and tag in _CLOSES.get(self.stack[open_p].tag, ()):
                 self._flush()
                 while len(self.stack) > open_p:
                     self._close()
             self._flush()
-        else:
-            top = self.stack[-1]
-            drop, _ = _boilerplate(tag, attrs, top.content)
-            if drop and not top.dropped:
-                self._flush()
         top = self.stack[-1]
         drop, content = _boilerplate(tag, attrs, top.content)
+        if tag not in _BLOCK and drop and not top.dropped:
+            self._flush()
         inside = top.content or content
         fixed = tag in ("html", "body", "article", "main") or content or (top.content and (tag in _PROSE or tag not in _BLOCK))
         below = top.tag in ("", "html", "body")
+        if tag in _BLOCK:
+            self.block_at.append(len(self.stack))
+        self.open[tag] += 1
         self.stack.append(_Element(tag, len(self.blocks), top.dropped or drop, inside, fixed, content, below))
 
     def _end(self, tag: str) -> None:
-        if any(e.tag == tag for e in self.stack[1:]):
-            if tag in _BLOCK or next(e for e in reversed(self.stack) if e.tag == tag).dropped != self.stack[0].dropped:
+        if self.open[tag]:
+            if tag in _BLOCK or self.stack[-1].dropped:
                 self._flush()
             while self.stack[-1].tag != tag:
                 self._close()
@@ -207,7 +266,9 @@ class Page:
     def _close(self) -> None:
         if self.stack[-1].tag in _BLOCK:
             self._flush()
+            self.block_at.pop()
         e = self.stack.pop()
+        self.open[e.tag] -= 1
         if not e.kids:
             return
         value = xxhash.xxh3_64_intdigest(e.tag.encode("utf-8", "replace") + b"\x00" + b"\x01".join(e.kids)) - (1 << 63)
@@ -220,71 +281,110 @@ class Page:
             self.closed.append(e)
 
 
-def page_blocks(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """page_id, url, host, packed, around, content, subtrees and key of every page.
+def packed_page(page: Page, pack) -> bytes:
+    """A page's blocks and block ranges, compressed: numbers, then texts, which hold no line feeds, joined by line feeds.
 
-    The blocks that mark-up doesn't rule out travel packed: their texts, which hold no line
-    feeds, joined by line feeds and compressed, so that the join with the templates moves
-    less. ``around`` and ``content`` have an entry for each of them; ``subtrees`` are all of
-    the page's subtrees that can be template, ``key`` is the hash of its main text.
+    Texts travel only of blocks that mark-up leaves, a flag for each block tells which these
+    are. A subtree's range is its first block, counted from the one before, and its length.
+    """
+    firsts, ends = [s[1] for s in page.subtrees], [s[2] for s in page.subtrees]
+    inside = any(content and not dropped for _, dropped, content in page.blocks)
+    left = [not dropped and (content or not inside) for _, dropped, content in page.blocks]
+    numbers = np.array([*np.diff(firsts, prepend=0), *np.subtract(ends, firsts), *left], dtype="<i4")
+    head = np.array([len(page.subtrees), len(page.blocks)], dtype="<i4").tobytes()
+    small = bool(np.abs(numbers).max(initial=0) < 128)
+    body = numbers.astype("<i1" if small else "<i4").tobytes()
+    return pack(head + bytes([small]) + body + "\n".join(b[0] for b, k in zip(page.blocks, left, strict=True) if k).encode("utf-8", "replace"))
+
+
+def kept_text(data: bytes, template: list[int] | None) -> tuple[str, int, int]:
+    """Text of a packed page without its ``template`` subtrees (places), and the blocks gone as template and by mark-up."""
+    subtrees, blocks = np.frombuffer(data, "<i4", 2).tolist()
+    numbers = np.frombuffer(data, "<i1" if data[8] else "<i4", 2 * subtrees + blocks, offset=9)
+    first = np.cumsum(numbers[:subtrees], dtype="int64")
+    end = first + numbers[subtrees : 2 * subtrees]
+    left = numbers[2 * subtrees :] == 1
+    at = np.array(template if template is not None else [], dtype="int64")
+    depth = np.zeros(blocks + 1, dtype="int64")
+    np.add.at(depth, first[at], 1)
+    np.add.at(depth, end[at], -1)
+    gone = np.cumsum(depth)[:-1] > 0
+    texts = data[9 + numbers.nbytes :].decode().split("\n") if left.any() else []
+    text = "\n\n".join(t for t, g in zip(texts, gone[left].tolist(), strict=True) if not g)
+    return text, int(gone.sum()), int((~gone & ~left).sum())
+
+
+def _identity(url: str, source: str) -> dict[str, Column]:
+    """uid and check: what page_id, address and mark-up hash to. Rows alike in all three have the same result."""
+    parts = ["page_id", F.col(url), F.col(source)]
+    return {"uid": F.xxhash64(*parts), "check": F.hash(*parts)}
+
+
+def page_subtrees(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """uid, check, site, subtrees and key of every page.
+
+    ``subtrees`` are the hashes, with the host's, of all subtrees that can be template (none
+    without a host); ``key`` is the hash of the main text.
     """
     host, _ = split_url(F.col(url))
 
-    @F.pandas_udf("packed binary, around array<array<long>>, content array<boolean>, subtrees array<long>, key long")
+    @F.pandas_udf("subtrees array<long>, key long")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=6).compress
         for sources in batches:
-            rows = []
-            for source in sources:
-                page = Page(source or "")
-                kept = [b for b in page.blocks if not b[2]]
-                text = "\n".join(b[0] for b in kept).encode("utf-8", "replace")
-                rows.append((pack(text), [b[1] for b in kept], [b[3] for b in kept], sorted(page.subtrees), page.key))
-            yield pd.DataFrame(rows, columns=["packed", "around", "content", "subtrees", "key"])
+            rows = [([s[0] for s in page.subtrees], page.key) for page in (Page(source or "") for source in sources)]
+            yield pd.DataFrame(rows, columns=["subtrees", "key"])
 
-    return pages.select("page_id", F.col(url).alias("url"), host.alias("host"), read(F.col(source)).alias("page")).select("page_id", "url", "host", "page.*")
+    parts = pages.select(*[c.alias(n) for n, c in _identity(url, source).items()], host.alias("host"), read(F.col(source)).alias("page"))
+    known = F.when(F.col("host") != "", F.transform("page.subtrees", lambda s: F.xxhash64("host", s))).otherwise(F.array().cast("array<long>"))
+    return parts.select("uid", "check", F.xxhash64("host").alias("site"), known.alias("subtrees"), "page.key")
 
 
-def unpacked(packed: Column, keep: Column) -> Column:
-    """The blocks of a page for which ``keep`` (array<boolean>) holds, joined by two line feeds."""
+def page_texts(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """page_id, url, uid, check and packed blocks of every page."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for packs, kept in batches:
-            yield pd.Series(["\n\n".join(b for b, k in zip(unpack(p).decode().split("\n"), ks, strict=False) if k) for p, ks in zip(packs, kept, strict=True)], dtype="object")
+    @F.pandas_udf("binary")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pack = zstandard.ZstdCompressor(level=6, write_content_size=True).compress
+        for sources in batches:
+            yield pd.Series([packed_page(Page(source or ""), pack) for source in sources], dtype="object")
 
-    return text(packed, keep)
+    return pages.select("page_id", F.col(url).alias("url"), *[c.alias(n) for n, c in _identity(url, source).items()], packed(F.col(source)).alias("packed"))
 
 
 def template_subtrees(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtree) of the subtrees in ``min_pages`` or more pages of their host with different main texts."""
-    each = read.where("host <> ''").select("host", F.explode("subtrees").alias("subtree"), "key").distinct()
-    return each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages).select("host", "subtree")
+    """(subtree, n): the subtrees that recur, and the rows of ``read`` that hold them.
+
+    Recurring is in ``min_pages`` or more pages of the host with different main texts, and
+    in the square root or more of the number of those pages.
+    """
+    some = read.where(F.size("subtrees") > 0)
+    sites = some.groupBy("site", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"), F.sum("n").alias("n"))
+    each = some.select("site", "key", F.explode(F.array_distinct("subtrees")).alias("subtree"))
+    # a subtree's hash holds its host's, so it has one site
+    pages = each.groupBy("subtree", "key").agg(F.count(F.lit(1)).alias("n"), F.first("site").alias("site"))
+    counts = pages.groupBy("subtree").agg(F.first("site").alias("site"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("rows")).where(F.col("pages") >= min_pages)
+    judged = join_counted(stored(counts), sites, "site")
+    return judged.where(F.col("pages") * F.col("pages") >= F.col("site_pages")).select("subtree", F.col("rows").alias("n"))
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_template (blocks deleted as template) of every page.
+    """page_id, url, text, n_chars, n_template and n_markup (blocks gone as template, and then by mark-up) of every page.
 
-    Subtrees of all pages are counted. Only pages with a block inside a deletable subtree
-    go through the join with the templates; the others' blocks can't be deleted by it.
+    Pages are read twice, for their subtrees and for their texts, so that no copy of the
+    texts is written; only packed blocks are shuffled, once.
     """
-    read = stored(page_blocks(pages, url, source).withColumn("uid", F.monotonically_increasing_id()))
-    template = stored(template_subtrees(read, min_pages))
-    small = template.count() <= BROADCAST_SUBTREES
-    hinted = F.broadcast(template) if small else template.hint("shuffle_merge")
-    open_to = F.exists("around", lambda a: F.size(a) > 0)
-    asked = read.where(open_to)
-    own = asked.select("uid", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree")).join(hinted, ["host", "subtree"])
-    marked = own.groupBy("uid").agg(F.collect_list("subtree").alias("template")).withColumnRenamed("uid", "marked_uid")
-    columns = ["page_id", "url", "packed", "around", "content"]
-    joined = asked.select("uid", *columns).join(marked.hint("shuffle_hash"), F.col("uid") == F.col("marked_uid"), "left").select(*columns, "template")
-    settled = read.where(~open_to).select(*columns, F.lit(None).cast("array<long>").alias("template"))
-    gone = F.transform("around", lambda a: F.coalesce(F.arrays_overlap(a, F.col("template")), F.lit(False)))
-    keep = F.zip_with("gone", "content", lambda g, c: ~g & (c | ~F.col("inside")))
-    texts = (
-        joined.unionByName(settled)
-        .withColumns({"inside": F.exists("content", lambda c: c), "gone": gone})
-        .select("page_id", "url", unpacked(F.col("packed"), keep).alias("text"), F.size(F.filter("gone", lambda g: g)).cast("long").alias("n_template"))
-    )
-    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
+    read = stored(page_subtrees(pages, url, source))
+    held = read.select("uid", "check", F.posexplode("subtrees").alias("place", "subtree"))
+    own = join_counted(held, template_subtrees(read, min_pages), "subtree")
+    marked = own.groupBy(F.col("uid").alias("_uid"), F.col("check").alias("_check")).agg(F.collect_set("place").alias("template"))
+    joined = page_texts(pages, url, source).join(marked.hint("shuffle_hash"), (F.col("uid") == F.col("_uid")) & (F.col("check") == F.col("_check")), "left")
+
+    @F.pandas_udf("text string, n_template long, n_markup long")
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for packs, places in batches:
+            rows = [kept_text(unpack(p), t) for p, t in zip(packs, places, strict=True)]
+            yield pd.DataFrame(rows, columns=["text", "n_template", "n_markup"])
+
+    texts = joined.select("page_id", "url", kept(F.col("packed"), F.col("template")).alias("kept")).select("page_id", "url", "kept.*")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_markup")

@@ -1,6 +1,7 @@
 """Decontamination, language ID, HTML extraction, URL filter and token counts."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,7 +81,7 @@ def test_posteriors_equal_enumeration():
     import itertools
 
     rng = np.random.default_rng(3)
-    model = language_id.Crf(["a", "b", "c"], {})
+    model = language_id.Crf(["a", "b", "c"], np.zeros(0, dtype="uint64"), [])
     lengths = np.array([4, 1, 6, 2])
     scores, moves = rng.normal(size=(lengths.sum(), 3)), rng.normal(size=(3, 3))
     got = model.posteriors(scores, lengths, moves)
@@ -247,7 +248,7 @@ def test_pieces_of_chunks_add_up():
     assert count.cuttable
     rng = random.Random(11)
     for _ in range(300):
-        chunk = "".join(rng.choice(NASTY) for _ in range(token_counts.SHORT_CHUNK + rng.randrange(1, 30)))
+        chunk = "".join(rng.choice(NASTY) for _ in range(rng.randrange(1, 130)))
         want = count._encoded([chunk[:j] for j in range(1, len(chunk) + 1)])
         assert count.chunk_table(chunk).tolist() == want, chunk
         for budget in (0, 1, want[-1] // 2, want[-1] - 1, want[-1]):
@@ -270,3 +271,118 @@ def test_long_chunks_are_counted_a_few_prefixes_at_a_time(monkeypatch, kind):
     fit = count.longest_within(text, 200)
     assert encoded([text[:fit]])[0] <= 200 < encoded([text[: fit + 1]])[0]
     assert max(calls) <= token_counts.BATCH_CHARS and sum(calls) < 1_000_000
+
+
+def test_prefixes_of_long_pieces_come_from_the_merges(monkeypatch):
+    count = token_counts.PrefixCounter(token_counts.vocabulary_path())
+    rng = random.Random(5)
+    words = ["".join(rng.choices(kind, k=rng.randrange(1, 90))) for kind in ("abcdefghijklmnopqrstuvwxyz", "aab", "éèabçñö", "日本語文字列", "#$%&*.,;<|>", "ABcdEF") for _ in range(60)]
+    for w in words:
+        assert list(count.piece_counts(w)) == count._encoded([w[:j] for j in range(1, len(w) + 1)]), w
+    monkeypatch.setattr(count, "_in_batches", lambda texts: [1 for _ in range(sum(1 for _ in texts))] if isinstance(texts, list) else pytest.fail("encoded again"))
+    began = time.time()
+    text = "".join(rng.choices("etaoinshrdlu", k=1_000_000))
+    fit = count.longest_within(text, 2048)
+    assert 2048 < fit < 30_000 and time.time() - began < 30
+
+
+def test_other_vocabularies_are_counted_whole():
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path("byte_bpe_50k.json")
+    library, count = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    texts = ["two  words", " lead", "", "a b  c d" * 20]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert count.counts(texts)[0] == want
+    assert count.table(texts[0]).tolist() == [len(library.encode(texts[0][:j], add_special_tokens=False).ids) for j in range(11)]
+
+
+def test_html_template_counts_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        site = rng.choice(["a", "a", "a", "b", "c"])
+        nav = "".join(f"<li>{rng.choice(['Home', 'News', 'Shop', str(i)])}</li>" for _ in range(rng.randrange(4)))
+        body = f"<div><p>Text {i % 120} of the page, long enough to be most of it, {'word ' * 20}</p></div>"
+        html = f"<body><ul>{nav}</ul><div class=box><span>{rng.choice(['one', 'two', str(i)])}</span></div><article>{body}</article><div>{rng.choice(['foot', str(i)])}</div></body>"
+        rows.append((i, f"http://{site}.example/{i}" if rng.random() < 0.9 else None, html))
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = {i: html_text.Page(html) for i, _, html in rows}
+    host = {i: url.split("/")[2] if url else "" for i, url, _ in rows}
+    different = lambda test: len({pages[i].key for i in pages if test(i)})
+    n_template = 0
+    for i, page in pages.items():
+        same_host = [j for j in pages if host[j] == host[i]] if host[i] else []
+        size, gone = different(lambda j: j in same_host), set()
+        for value, first, end in page.subtrees:
+            recurs = different(lambda j: j in same_host and any(value == s[0] for s in pages[j].subtrees))
+            if recurs >= html_text.MIN_PAGES and recurs**2 >= size:
+                gone |= set(range(first, end))
+        kept = [t for k, (t, dropped, content) in enumerate(page.blocks) if k not in gone and content and not dropped]
+        assert (got[i].text, got[i].n_template) == ("\n\n".join(kept), len(gone)), i
+        assert got[i].n_template + got[i].n_markup + len(kept) == len(page.blocks)
+        n_template += len(gone)
+    assert n_template > 100
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a \"" * 40_000, "<script \"" * 40_000, "<a \"'>'" * 40_000, "<a \"'>'" * 40_001 + ">", "<b>" * 40_000 + "<div></div>" * 40_000, "<div>" * 40_000 + "</span>" * 40_000, "<p><i>x" * 40_000, "<!--" * 40_000, "</ " * 40_000],
+    ids=range(9),
+)
+def test_html_broken_pages_take_linear_time(source):
+    began = time.time()
+    html_text.Page(source)
+    assert time.time() - began < 10
+
+
+def test_html_keeps_article_text_whatever_holds_it():
+    page = lambda body: html_text.kept_text(html_text.packed_page(html_text.Page(f"<article>{body}</article>"), bytes), None)[0]
+    assert page("<p>Energy <math><mi>E</mi></math> = 3 <object>three</object></p>") == "Energy E = 3 three"
+    assert page("<p class='share-holder-news'>Kept</p><p class='related-work'>too</p><div class='related-posts'>gone</div><p class='site_ad box'>gone</p>") == "Kept\n\ntoo"
+    assert page("<p>a < b <svg><text>label</text></svg> c") == "a < b c"
+
+
+def test_grams_equal_a_plain_loop():
+    words = ["a", "ab", "straße", "日本", "नमस्ते", "abcdefgh"]
+    hashed, begins = language_id.grams_of(words)
+    of = lambda gram: language_id.grams_of([gram])[0]
+    seen = {}
+    for w, at in zip(words, begins, strict=True):
+        edged = f"^{w}$"
+        for i in range(len(edged)):
+            for c, n in enumerate((2, 3, 4, 5)):
+                gram = edged[i : i + n]
+                wanted = len(gram) == n and (n < 5 or i == 0 or i + n == len(edged))
+                assert (hashed[at + i, c] != 0) == wanted
+                if wanted:
+                    assert seen.setdefault(gram, hashed[at + i, c]) == hashed[at + i, c]
+    assert len(set(seen.values())) == len(seen) and len(of("ab")) == 4
+
+
+def test_words_are_letters_and_marks(spark):
+    assert language_id.words_of("Über ² ½ ① x1y _z नमस्ते") == ["über", "x", "y", "z", "नमस्ते"]
+    rows = [(i, "the cat and dog", "en") for i in range(9)] + [(i, "der hund und die katze", "de") for i in range(20, 29)] + [(50, "² ½ ①", None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[50] == "und" and got[3] == "en" and got[25] == "de"
+
+
+def test_language_of_long_texts_and_long_labelled_documents(spark):
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    en, de, xx = "the of and to in that is was for it", "der die und in den von zu das mit sich", "qo wex zud jop vak"
+    rows = [(i, say(en, 30), "en") for i in range(40)] + [(i, say(de, 30), "de") for i in range(40, 80)]
+    rows += [(i, say(xx, 5000), "xx") for i in range(80, 90)]  # all longer than a training window
+    rows += [(100, say(en, 60_000) + " " + say(de, 20_000), None)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if lang)
+    assert got[100].lang_pred == "en" and abs(got[100].score - 0.75) < 0.05
+
+
+def test_more_than_two_hundred_languages_are_learned(spark):
+    rows = [(i * 10 + j, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)} x", f"l{i}") for i in range(250) for j in range(6)]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len({lang for _, lang in sample}) > 240
+    model = language_id.train(sample)
+    langs, _ = model.predict([f"{chr(0x4E00 + i) * 3}" for i in range(250)])
+    assert sum(lang == f"l{i}" for i, lang in enumerate(langs)) > 200
