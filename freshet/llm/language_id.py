@@ -1,69 +1,104 @@
 """Language ID by a linear-chain conditional random field over words.
 
 Every word of a text is labelled with a language by forward-backward. A word's score for a
-language adds up learned weights of its features: affixes of 1 to 3 characters, character
-n-grams of 2 to 4 with word edges, and membership in a lexicon of frequent words. Learned
-transition weights tie neighbours, so a passage in a second language inside a text is
-labelled as such. The text's language is the one with the largest mean posterior over its
-words, and that mean is the score.
-
-Training (numpy, on the driver) uses a sample of labelled documents, bounded by
-``PER_LANG`` documents of at most ``TRAIN_CHARS`` characters for each language, drawn by a
-hash of id and text from the documents that are not held out. Words first take their
-document's language; weights without transitions are fitted; forward-backward with a
-sticky prior relabels the words (documents may mix languages); then weights and transitions
-are fitted together by the gradient of the sequence likelihood.
+language adds up learned weights of its features: character n-grams of 2 to 4 with word
+edges, affixes of 1 to 4 letters (the grams that touch an edge, of up to 5 with it), and
+membership in a lexicon of frequent words. Learned transition weights tie neighbours, so a
+passage in a second language inside a text is labelled as such. Chains run over stretches
+of ``STRETCH`` words, in training and in prediction; a text of any length is read whole.
+The text's language is the one with the largest mean posterior over all its words, and that
+mean is the score.
+
+Words are a letter and the letters and combining marks after it (Unicode L and M), lower-cased.
+
+Training (numpy, on the driver) uses a bounded sample of labelled documents that are not
+held out: ``SAMPLE_DOCS`` in all and ``PER_LANG`` a language at most (expected numbers, as
+a hash of id and text draws them), ``TRAIN_CHARS`` characters of each, a window placed by
+hash where a document is longer. All labels take part; with more languages the grams kept
+are fewer (``MAX_FEATURES``, ``MAX_CELLS`` weights). Words first take their document's
+language; weights without transitions are fitted; forward-backward with a sticky prior
+relabels the words (documents may mix languages); then weights and transitions are fitted
+together by the gradient of the sequence likelihood.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing
 could be learned (no labels); a null id counts as held out; repeated rows are predicted
-alike; an empty table gives an empty result. Output columns replace input columns of the
-same name. Predictions read nothing but the text.
+alike; ties go to the language that sorts first; an empty table gives an empty result.
+Output columns replace input columns of the same name; other columns are not read by
+``identify`` and kept by ``predict``. Predictions read nothing but the text.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.common import join_counted
+
 FOLDS = 5
 PER_LANG = 300
+SAMPLE_DOCS = 3000
 TRAIN_CHARS = 6000
-#: Languages considered: the most frequent labels.
-MAX_LANGS = 200
 MAX_FEATURES = 60_000
+MAX_CELLS = 12_000_000
 LEXICON = 2000
 MEMO_WORDS = 300_000
+#: Words whose chains are held at once, for four languages; fewer for more.
 BATCH_WORDS = 400_000
+STRETCH = 256
 STICKY = 0.95
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_EDGES = (1, 2)  # code points that stand for a word's start and end
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features_of(word: str) -> list[str]:
-    """Affixes, character n-grams with edges, and the word itself (the lexicon's key)."""
-    edged = f"^{word}$"
-    grams = [edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
-    affixes = [f"<{word[:n]}" for n in (1, 2, 3)] + [f">{word[-n:]}" for n in (1, 2, 3)]
-    return [*grams, *affixes, "=" + word]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams that start at each place of each word (edges included), 0 for none; where each word begins.
+
+    Columns: grams of 2, 3 and 4, and of 5 if they touch an edge.
+    """
+    start, end = map(chr, _EDGES)
+    codes = np.frombuffer((start + (end + start).join(words) + end).encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64")
+    lengths = np.fromiter(map(len, words), "int64", len(words)) + 2
+    begins = np.cumsum(lengths) - lengths
+    left = np.repeat(begins + lengths, lengths) - np.arange(len(codes))  # places up to the word's end
+    first = np.zeros(len(codes), dtype=bool)
+    first[begins] = True
+    out = np.zeros((len(codes), 4), dtype="uint64")
+    rolling = codes + np.uint64(1)
+    for n in range(2, 6):
+        rolling = rolling[:-1] * _PRIME + codes[n - 1 :] if len(rolling) > 1 else rolling[:0]
+        m = len(rolling)
+        mixed = (rolling ^ (rolling >> np.uint64(29))) * _PRIME + np.uint64(n)
+        fits = left[:m] >= n
+        if n == 5:
+            fits &= first[:m] | (left[:m] == n)
+        out[:m, n - 2] = np.where(fits, mixed, np.uint64(0))
+    return out, begins
 
 
 class Crf:
-    """Weights of features and transitions, and forward-backward over batches of texts."""
+    """Weights of features and transitions, and forward-backward over batches of texts.
+
+    Features are numbered: grams by their sorted hashes, then the lexicon, then one without weight for all others.
+    """
 
-    def __init__(self, langs: list[str], index: dict[str, int]):
-        self.langs, self.index = langs, index
-        self.weights = np.zeros((len(index) + 1, len(langs)), dtype="float32")  # the last row: no feature
+    def __init__(self, langs: list[str], grams: np.ndarray, lexicon: list[str]):
+        self.langs, self.grams = langs, np.sort(grams)
+        self.lexicon = {w: len(grams) + i for i, w in enumerate(lexicon)}
+        self.weights = np.zeros((len(grams) + len(lexicon) + 1, len(langs)), dtype="float32")
         self.transitions = np.zeros((len(langs), len(langs)), dtype="float32")
+        self.batch_words = max(1000, BATCH_WORDS * 4 // max(4, len(langs)))
         self.memo: dict[str, int] = {}
         self.scores = np.zeros((0, len(langs)), dtype="float32")
 
@@ -71,96 +106,124 @@ class Crf:
         return self.__dict__ | {"memo": {}, "scores": self.scores[:0]}
 
     def rows_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Feature rows of words, laid end to end, and where each word's rows begin."""
-        get, rows, starts = self.index.get, [], []
-        for w in words:
-            starts.append(len(rows))
-            rows += [r for f in features_of(w) if (r := get(f)) is not None] or [len(self.index)]
-        return np.array(rows, dtype="int64"), np.array(starts, dtype="int64")
+        """Feature numbers of words, laid end to end (5 for each place of a word), and where each word's begin."""
+        hashed, begins = grams_of(words)
+        none = len(self.weights) - 1
+        rows = np.full((len(hashed), 5), none, dtype="int64")
+        if len(self.grams):
+            at = np.searchsorted(self.grams, hashed)
+            at[at == len(self.grams)] = 0
+            rows[:, :4] = np.where(self.grams[at] == hashed, at, none)
+        get = self.lexicon.get
+        rows[begins, 4] = [get(w, none) for w in words]
+        return rows.ravel(), begins * 5
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Row numbers of the words in ``self.scores``; new words are scored first."""
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.scores = {}, self.scores[:0]
         memo = self.memo
-        new = list({w for w in set(words) if w not in memo})
-        if new:
-            rows, starts = self.rows_of(new)
-            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, np.add.reduceat(self.weights[rows], starts, axis=0)])
+        new = [w for w in set(words) if w not in memo]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            rows, starts = self.rows_of(part)
+            memo.update(zip(part, range(len(memo), len(memo) + len(part)), strict=True))
+            places = self.weights[rows].reshape(-1, 5, len(self.langs)).sum(axis=1)
+            self.scores = np.concatenate([self.scores, np.add.reduceat(places, starts // 5, axis=0)])
         return np.fromiter(map(memo.__getitem__, words), dtype="int64", count=len(words))
 
-    def posteriors(self, scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-        """Posterior of each label for each word of sequences laid end to end, all at once.
+    def messages(self, scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Order of the words by place in their chain, and in that order local scores, forward and backward messages; moves.
 
-        Sequences are taken longest first, so that those still running at a step are a
-        prefix; forward and backward messages are rescaled at each step.
+        Chains are laid end to end in ``scores``. They are taken longest first, so that those
+        still running at a step are a prefix; messages are rescaled at each step.
         """
-        order = np.argsort(-lengths, kind="stable")
-        begins = (np.cumsum(lengths) - lengths)[order]
-        sizes = lengths[order]
+        by_size = np.argsort(-lengths, kind="stable")
+        sizes = lengths[by_size]
+        begins = (np.cumsum(lengths) - lengths)[by_size]
+        step = np.arange(len(scores)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = (np.repeat(begins, sizes) + step)[np.argsort(step, kind="stable")]
         running = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
-        local = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-12
+        at = np.concatenate([[0], np.cumsum(running)])
+        local = scores[order]
+        local = np.exp(local - local.max(axis=1, keepdims=True)) + np.float32(1e-12)
         move = np.exp(transitions - transitions.max())
-        alpha = np.empty_like(local)
+        alpha, beta = np.empty_like(local), np.ones_like(local)
         for t, n in enumerate(running):
-            at = begins[:n] + t
-            a = local[at] if t == 0 else (alpha[at - 1] @ move) * local[at]
-            alpha[at] = a / a.sum(axis=1, keepdims=True)
-        beta = np.ones_like(local)
+            a = local[at[t] : at[t + 1]]
+            if t:
+                a = (alpha[at[t - 1] : at[t - 1] + n] @ move) * a
+            alpha[at[t] : at[t + 1]] = a / a.sum(axis=1, keepdims=True)
+        back = move.T.copy()
         for t in range(len(running) - 2, -1, -1):
-            at = begins[: running[t + 1]] + t
-            b = (beta[at + 1] * local[at + 1]) @ move.T
-            beta[at] = b / b.sum(axis=1, keepdims=True)
+            n = running[t + 1]
+            b = (beta[at[t + 1] : at[t + 2]] * local[at[t + 1] : at[t + 2]]) @ back
+            beta[at[t] : at[t] + n] = b / b.sum(axis=1, keepdims=True)
+        return order, local, alpha, beta, move
+
+    def posteriors(self, scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+        """Posterior of each label for each word of chains laid end to end."""
+        order, _, alpha, beta, _ = self.messages(scores, lengths, transitions)
         joint = alpha * beta
-        self._last = (local, move, alpha, beta)
-        return joint / joint.sum(axis=1, keepdims=True)
+        out = np.empty_like(joint)
+        out[order] = joint / joint.sum(axis=1, keepdims=True)
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        """Language and score of each text."""
+        sums, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype="int64")
         held: list[list[str]] = []
         where: list[int] = []
         total = 0
 
         def flush() -> None:
-            if where and self.langs:
-                lengths = np.array([len(w) for w in held])
+            if held:
+                lengths = np.fromiter(map(len, held), "int64", len(held))
                 at = self.emissions([w for ws in held for w in ws])
                 post = self.posteriors(self.scores[at], lengths, self.transitions)
-                means = np.add.reduceat(post, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-                for i, row in zip(where, means, strict=True):
-                    best = int(row.argmax())
-                    langs[i], scores[i] = self.langs[best], float(min(1.0, max(0.0, row[best])))
+                np.add.at(sums, where, np.add.reduceat(post, np.cumsum(lengths) - lengths, axis=0))
             held.clear()
             where.clear()
 
-        for i, text in enumerate(texts):
-            if text and (words := words_of(text)):
-                held.append(words)
+        for i, text in enumerate(texts if self.langs else []):
+            words = words_of(text) if text else []
+            counts[i] = len(words)
+            for a in range(0, len(words), STRETCH):
+                held.append(words[a : a + STRETCH])
                 where.append(i)
-                total += len(words)
-                if total >= BATCH_WORDS:
+                total += len(held[-1])
+                if total >= self.batch_words:
                     flush()
                     total = 0
         flush()
-        return langs, scores
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        means = np.clip(sums / np.maximum(counts, 1)[:, None], 0, 1)
+        best = means.argmax(axis=1)
+        langs = [self.langs[b] if n else "und" for b, n in zip(best, counts, strict=True)]
+        return langs, [float(m[b]) if n else 0.0 for m, b, n in zip(means, best, counts, strict=True)]
+
+
+def _features(sample: list[tuple[list[str], str]], langs: int) -> tuple[np.ndarray, list[str]]:
+    """The grams kept (most frequent, at least twice) and the lexicon."""
+    counts: Counter = Counter()
+    for words, _ in sample:
+        counts.update(words)
+    lexicon = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]]
+    hashed, begins = grams_of(list(counts)) if counts else (np.zeros((0, 4), dtype="uint64"), np.zeros(0, dtype="int64"))
+    times = np.repeat(np.fromiter(counts.values(), "int64", len(counts)), np.diff(np.append(begins, len(hashed))))
+    grams, at = np.unique(hashed.ravel(), return_inverse=True)
+    number = np.bincount(at, weights=np.repeat(times, 4), minlength=len(grams))
+    usable = np.flatnonzero((grams != 0) & (number > 1))
+    most = usable[np.lexsort((grams[usable], -number[usable]))][: max(1, min(MAX_FEATURES, MAX_CELLS // max(1, langs)))]
+    return grams[most], sorted(lexicon)
 
 
 def train(sample: list[tuple[str, str]], epochs: int = 3, batch: int = 40_000, rate: float = 0.3, decay: float = 1e-4) -> Crf:
     """A field fitted to (text, lang) pairs. Deterministic."""
     sample = [(words, lang) for text, lang in sample if (words := words_of(text))]
     langs = sorted({lang for _, lang in sample})
-    counts: Counter = Counter()
-    for words, _ in sample:
-        counts.update(words)
-    lexicon = {"=" + w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]}
-    grams: Counter = Counter()
-    for w, n in counts.items():
-        for f in features_of(w):
-            if f[0] != "=" or f in lexicon:
-                grams[f] += n
-    kept = [f for f, n in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES] if n > 1]
-    model = Crf(langs, {f: i for i, f in enumerate(sorted(kept))})
+    model = Crf(langs, *_features(sample, len(langs)))
     if len(langs) < 2:
         return model
     # texts of all languages in turn, in batches of about `batch` words
@@ -170,21 +233,25 @@ def train(sample: list[tuple[str, str]], epochs: int = 3, batch: int = 40_000, r
         dealt.append((turn[lang], lang, words))
         turn[lang] += 1
     dealt.sort(key=lambda x: x[:2])
+    number_of_lang = {lang: i for i, lang in enumerate(langs)}
     batches, size = [[]], 0
     for _, lang, words in dealt:
         if size >= batch:
             batches.append([])
             size = 0
-        batches[-1].append((langs.index(lang), words))
+        batches[-1] += [(number_of_lang[lang], words[a : a + STRETCH]) for a in range(0, len(words), STRETCH)]
         size += len(words)
     number = len(langs)
     square_w, square_t = np.full_like(model.weights, 1e-6), np.full_like(model.transitions, 1e-6)
-    sticky = np.log(np.full((number, number), (1 - STICKY) / max(1, number - 1)) + np.eye(number) * (STICKY - (1 - STICKY) / max(1, number - 1)))
+    other = (1 - STICKY) / max(1, number - 1)
+    sticky = np.log(np.full((number, number), other) + np.eye(number) * (STICKY - other)).astype("float32")
 
     def step(rows, starts, gap, moves=None) -> None:
         lens = np.diff(np.append(starts, len(rows)))
-        spread = np.repeat(gap, lens, axis=0)
-        grad = np.stack([np.bincount(rows, weights=spread[:, c], minlength=len(model.weights)) for c in range(number)], axis=1)
+        word = np.repeat(np.arange(len(starts)), lens)
+        known = rows < len(model.weights) - 1
+        rows, word = rows[known], word[known]
+        grad = np.stack([np.bincount(rows, weights=gap[word, c], minlength=len(model.weights)) for c in range(number)], axis=1)
         grad = (grad / len(gap) + decay * model.weights * (grad != 0)).astype("float32")
         square_w[:] += grad**2
         model.weights -= rate * grad / np.sqrt(square_w)
@@ -217,14 +284,15 @@ def train(sample: list[tuple[str, str]], epochs: int = 3, batch: int = 40_000, r
             p[np.arange(len(ids)), labels] -= 1
             step(rows, starts, by_word(ids, len(starts), p) * (len(starts) / len(ids)))
     # words relabelled by their passage, documents may mix languages
-    relabelled = []
-    for rows, starts, ids, lengths, _ in encoded:
-        relabelled.append(model.posteriors(scored(rows, starts, ids), lengths, sticky.astype("float32")).argmax(axis=1))
+    relabelled = [model.posteriors(scored(rows, starts, ids), lengths, sticky).argmax(axis=1) for rows, starts, ids, lengths, _ in encoded]
     model.transitions[:] = sticky
     for _ in range(epochs):  # the whole chain
         for (rows, starts, ids, lengths, _), labels in zip(encoded, relabelled, strict=True):
-            p = model.posteriors(scored(rows, starts, ids), lengths, model.transitions)
-            local, move, alpha, beta = model._last
+            order, *found, move = model.messages(scored(rows, starts, ids), lengths, model.transitions)
+            local, alpha, beta = (np.empty_like(f) for f in found)
+            local[order], alpha[order], beta[order] = found
+            p = alpha * beta
+            p /= p.sum(axis=1, keepdims=True)
             inner = np.ones(len(ids), dtype=bool)
             inner[np.cumsum(lengths) - lengths] = False
             after = np.flatnonzero(inner)
@@ -235,7 +303,6 @@ def train(sample: list[tuple[str, str]], epochs: int = 3, batch: int = 40_000, r
             np.add.at(seen, (labels[after - 1], labels[after]), 1)
             p[np.arange(len(ids)), labels] -= 1
             step(rows, starts, by_word(ids, len(starts), p) * (len(starts) / len(ids)), (expected - seen) * (len(starts) / len(ids)))
-    model._last = None
     return model
 
 
@@ -243,20 +310,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)) == 0, F.lit(True))
 
 
-def training_sample(docs: DataFrame, per_lang: int = PER_LANG, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most about ``per_lang`` (text, lang) pairs for each of the ``MAX_LANGS`` most frequent labels."""
-    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") <= chars) & F.rlike("text", F.lit(r"\p{L}")) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    # a threshold for each language draws its documents by hash, in one pass
-    shares = F.broadcast(sizes.select(F.col("lang").alias("known"), (F.lit(float(per_lang)) / F.col("n")).alias("share")))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(shares, (F.col("lang") == F.col("known")) & (draw < F.col("share")))
-    return [(r["text"], r["lang"]) for r in sorted(drawn.select("doc_id", "text", "lang").collect(), key=lambda r: (r["doc_id"], r["text"]))]
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, sample_docs: int = SAMPLE_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
+    """About ``per_lang`` (text, lang) pairs of each label, ``sample_docs`` in all at most; long texts by a window of ``chars``."""
+    lettered = F.rlike("text", F.lit(r"\p{L}"))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(1 << 30))
+    usable = docs.where(F.col("lang").isNotNull() & lettered & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("rows", F.col("n"))
+    langs = sizes.count()
+    share = F.lit(float(min(per_lang, sample_docs / max(1, langs)))) / F.col("rows")
+    drawn = join_counted(usable, sizes, "lang").where(draw / float(1 << 30) < share)
+    place = F.pmod(F.xxhash64("text", "doc_id", F.lit("window")), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    window = drawn.select("doc_id", F.substr("text", place, F.lit(chars)).alias("text"), "lang")
+    return [(r["text"], r["lang"]) for r in sorted(window.collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"]))]
 
 
 def predict(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score. No shuffle."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_FEATURES rows by MAX_LANGS languages
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_CELLS weights
 
     @F.pandas_udf("lang string, score double")
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
