@@ -4,8 +4,8 @@
 returns a DataFrame, which ``run`` writes as Parquet and reads again as the next stage's
 documents. All but the last return the columns of ``documents``:
 
-1. language: documents without letters, or of which no language holds ``MIN_SCORE`` of
-   the words, go;
+1. language: documents without letters go, and those of which no language holds
+   ``least_score`` of the words; where nothing could be learned (no labels), only the first;
 2. near_dedup: one document of each group of near copies stays;
 3. decontaminate: documents that hold a benchmark item go;
 4. mix: documents are repeated or left out so that sources meet their target weights;
@@ -21,17 +21,23 @@ from pyspark.sql import functions as F
 
 from freshet.llm import common, decontaminate, language_id, mixing, sharding, simhash
 
-MIN_SCORE = 0.35
 SHARDS = 40
 
 #: SQL can express neither the trained model nor the hashes; tests hold stages against brute force.
 ORACLE_SQL: str | None = None
 
 
+def least_score(langs: int) -> float:
+    """What the language of a document must reach: 1.4 times an even share, between 0.2 and 0.9."""
+    return min(0.9, max(0.2, 1.4 / max(1, langs)))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.training_sample(docs))
+    if not model.langs:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
     marked = language_id.predict(docs.withColumn("_text", F.col("text")), model, "_text")
-    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    return marked.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(len(model.langs)))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
