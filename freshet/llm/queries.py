@@ -24,7 +24,7 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,18 +74,21 @@ def _url_oracle() -> str:
     fits = lambda rule: f"(host = '{rule[0]}' or ends_with(host, '.{rule[0]}')) and starts_with(path, '/{rule[2]}')"
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[0] != "block"))
     case = lambda i: " ".join(f"when {fits(r[1].partition('/'))} then '{r[i]}'" for r in rules)
+    decoded = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for code, c in url_filter.ENCODED:
+        decoded = f"replace({decoded}, '{code}', '{c}')"
     return f"""
     with parts as (
-      select page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+      select page_id, {decoded} as low,
         case when contains(url, '://') then translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
         case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) else '' end as path
       from pages),
     hits as (
-      select *, {count(url_filter.STRICT_TERMS)} as strict_hits, {count(url_filter.SOFT_TERMS)} as soft_hits,
+      select *, {count(url_filter.STRICT_TERMS)} as strict_hits, {count(url_filter.SUSPECT_TERMS)} as suspect_hits, {count(url_filter.SOFT_TERMS)} as weak_hits, suspect_hits + weak_hits as soft_hits, strict_hits * {url_filter.LIMIT} + suspect_hits * 2 + weak_hits as weight,
         case {case(1)} end as rule, case {case(0)} end as told from parts)
     select page_id, host, path, rule,
-      coalesce(told, case when strict_hits > 0 or soft_hits >= {url_filter.SOFT_LIMIT} then 'block' else 'allow' end) as verdict,
-      strict_hits::int as strict_hits, soft_hits::int as soft_hits from hits"""
+      coalesce(told, case when weight >= {url_filter.LIMIT} then 'block' else 'allow' end) as verdict,
+      strict_hits::int as strict_hits, soft_hits::int as soft_hits, weight::int as weight from hits"""
 
 
 _CHAT_ORACLE = r"""

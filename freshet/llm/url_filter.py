@@ -1,40 +1,72 @@
 """URL filter: ordered allow/block rules, then a weighted vocabulary.
 
-The vocabulary is matched with one Aho-Corasick pass per URL. A hit counts only
-between boundaries (no ASCII letter or digit on either side). One strict term, or
-``soft_limit`` distinct soft terms, reject the URL.
+The vocabulary is a table of terms with weights, a parameter; the default holds terms in
+English, German, French and Spanish. It is matched with one Aho-Corasick pass per URL. A hit
+counts only between boundaries (no ASCII letter or digit on either side). The weights of a
+URL's distinct terms add up; at ``LIMIT`` the URL is rejected. Strict terms weigh as much, so
+one rejects alone; soft terms weigh 1 or 2, so it takes several distinct ones.
+
+Percent-encoded letters and digits are decoded first (they mean the same in a URL), one
+character after the other.
 
 Rules are ``host/path`` strings. A rule fits its host and all its subdomains if the
 URL's path starts with the rule's path; the longest fitting rule wins, a block rule
 before an allow rule of equal length.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits
-no rule and is judged by the vocabulary alone (a null URL has no hits: allow).
-Repeated rows are judged alike, an empty table gives an empty result, and input
-columns named like an output column are replaced.
+no rule and is judged by the vocabulary alone (a null URL has no hits: allow); very long
+URLs are read whole, in one pass. Repeated rows are judged alike, an empty table gives an
+empty result, and input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LIMIT = 3
 # The default vocabulary, lower case.
 STRICT_TERMS = (
-    "adult", "casino", "cialis", "escort", "escorts", "hentai", "malware", "phishing",
-    "porn", "porno", "spam", "viagra", "warez", "webcam", "xxx",
+    # English
+    "adult", "adults", "camgirl", "camgirls", "casino", "casinos", "cialis", "erotic", "erotica", "escort", "escorts", "hentai", "hookup", "hookups",
+    "malware", "milf", "phishing", "porn", "porno", "pornography", "spam", "spyware", "viagra", "warez", "webcam", "webcams", "xxx",
+    # German
+    "erotik", "pornos", "sexkontakte", "spielbank", "spielcasino",
+    # French
+    "erotique", "pornographie", "rencontresexe",
+    # Spanish
+    "erotico", "pornografia", "putas",
+)
+#: Soft terms that weigh 2.
+SUSPECT_TERMS = (
+    # English
+    "adware", "baccarat", "betting", "bookmaker", "crack", "cracked", "doorway", "gamble", "gambling", "jackpot", "keygen", "lottery", "naked", "nude", "nudes",
+    "payday", "pills", "pirate", "poker", "roulette", "sex", "sexy", "slots", "torrent", "torrents",
+    # German
+    "gewinnspiel", "nackt", "wetten",
+    # French
+    "rencontres",
+    # Spanish
+    "apuesta", "apuestas", "desnuda", "desnudas",
 )
+#: Soft terms that weigh 1.
 SOFT_TERMS = (
-    "ads", "affiliate", "bet", "bets", "betting", "bonus", "cheap", "clickbait", "coupon",
-    "crypto", "dating", "discount", "farm", "free", "gambling", "hot", "jackpot", "keygen",
-    "loan", "loans", "lottery", "nude", "payday", "pills", "poker", "popup", "promo",
-    "replica", "sex", "slots", "torrent", "track", "tracker", "win", "winner",
+    # English
+    "ads", "affiliate", "affiliates", "bet", "bets", "bingo", "bonus", "cheap", "cheats", "clickbait", "coupon", "coupons", "crypto", "dating", "discount",
+    "farm", "followers", "forex", "free", "giveaway", "hot", "loan", "loans", "lotto", "pharmacy", "popup", "prize", "prizes", "promo", "replica", "seo",
+    "singles", "slot", "track", "tracker", "voucher", "win", "winner", "winners",
+    # German
+    "billig", "gewinn", "gewinnen", "gratis", "gutschein", "kostenlos", "kredit", "kredite", "rabatt",
+    # French
+    "cadeau", "gagner", "gratuit", "gratuits", "rencontre", "remise", "soldes",
+    # Spanish
+    "barato", "baratos", "citas", "descuento", "descuentos", "ganar", "prestamo", "prestamos", "sorteo",
 )
-SOFT_LIMIT = 2
+VOCABULARY = {t: LIMIT for t in STRICT_TERMS} | {t: 2 for t in SUSPECT_TERMS} | {t: 1 for t in SOFT_TERMS}
 RULES = (
     ("allow", "com/"),
     ("block", "example.com/en/"),
@@ -65,12 +97,23 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return name, verdict
 
 
-def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
+#: Codes of ASCII letters and digits, and the lower-case character each stands for.
+ENCODED = tuple((f"%{ord(c):02x}", c.lower()) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+def plain_url(url: str) -> str:
+    """A URL with A-Z lower-cased and percent-encoded letters and digits decoded."""
+    low = url.translate(_LOWER)
+    if "%" in low:
+        for code, c in ENCODED:
+            low = low.replace(code, c)
+    return low
+
+
+def automaton(vocabulary: Mapping[str, int], limit: int) -> ahocorasick.Automaton:
     built = ahocorasick.Automaton()
-    for term in soft:
-        built.add_word(term, (term, False))
-    for term in strict:
-        built.add_word(term, (term, True))
+    for term, weight in vocabulary.items():
+        built.add_word(term, (term, weight, weight >= limit))
     built.make_automaton()
     return built
 
@@ -79,39 +122,43 @@ def _plain(ch: str) -> bool:
     return ch.isascii() and ch.isalnum()
 
 
-def distinct_hits(built: ahocorasick.Automaton, url: str) -> tuple[int, int]:
-    """Numbers of distinct strict and soft terms of a URL, between boundaries."""
-    low = url.translate(_LOWER)
-    strict, soft = set(), set()
-    for end, (term, is_strict) in built.iter(low):
+def distinct_hits(built: ahocorasick.Automaton, url: str) -> tuple[int, int, int]:
+    """Numbers of distinct strict and soft terms of a URL, between boundaries, and the sum of their weights."""
+    low = plain_url(url)
+    found = set()
+    for end, (term, weight, strict) in built.iter(low):
         start = end - len(term) + 1
         if (start == 0 or not _plain(low[start - 1])) and (end + 1 == len(low) or not _plain(low[end + 1])):
-            (strict if is_strict else soft).add(term)
-    return len(strict), len(soft)
+            found.add((term, weight, strict))
+    strict = sum(s for _, _, s in found)
+    return strict, len(found) - strict, sum(w for _, w, _ in found)
 
 
 def judge_urls(
     df: DataFrame,
     url: str = "url",
     rules: Sequence[tuple[str, str]] = RULES,
-    strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS,
-    soft_limit: int = SOFT_LIMIT,
+    vocabulary: Mapping[str, int] = VOCABULARY,
+    limit: int = LIMIT,
 ) -> DataFrame:
-    """``df`` with host, path, strict_hits, soft_hits, rule and verdict. No shuffle."""
-    strict, soft = tuple(strict), tuple(soft)
+    """``df`` with host, path, strict_hits, soft_hits, weight, rule and verdict. No shuffle.
+
+    The rules become one expression and the vocabulary goes to the tasks whole: both are
+    hand-kept lists.
+    """
+    vocabulary = dict(vocabulary)
 
-    @F.pandas_udf("strict int, soft int")
+    @F.pandas_udf("strict int, soft int, weight int")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        built = automaton(strict, soft)
+        built = automaton(vocabulary, limit)
         for urls in batches:
-            found = [distinct_hits(built, u) if u else (0, 0) for u in urls]
-            yield pd.DataFrame(found, columns=["strict", "soft"], dtype="int32")
+            found = [distinct_hits(built, u) if u else (0, 0, 0) for u in urls]
+            yield pd.DataFrame(found, columns=["strict", "soft", "weight"], dtype="int32")
 
     host, path = split_url(F.col(url))
     out = df.withColumns({"host": host, "path": path, "_hits": hits(F.col(url))})
     rule, told = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = F.when((F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_limit), "block").otherwise("allow")
+    judged = F.when(F.col("_hits.weight") >= limit, "block").otherwise("allow")
     return out.withColumns(
-        {"strict_hits": F.col("_hits.strict"), "soft_hits": F.col("_hits.soft"), "rule": rule, "verdict": F.coalesce(told, judged)}
+        {"strict_hits": F.col("_hits.strict"), "soft_hits": F.col("_hits.soft"), "weight": F.col("_hits.weight"), "rule": rule, "verdict": F.coalesce(told, judged)}
     ).drop("_hits")

@@ -191,7 +191,7 @@ def test_html_copies_inside_other_elements_keep_their_text(spark):
 def test_url_rules_and_vocabulary(spark):
     rows = [
         (1, "http://a.example.com/en/1"), (2, "https://www.example.com/en/1"), (3, "http://x.net/es/9"), (4, "http://X.NET/ES/9"), (5, "ftp://casino-win.org/"),
-        (6, "http://free.org/cheap?x=bets"), (7, "http://freely.org/cheap"), (8, None), (9, "no scheme casino"), (10, "http://com"), (11, "http://pornography.org/"), (12, ""), (13, "http://notexample.com/en/"),
+        (6, "http://free.org/cheap?x=bets"), (7, "http://freely.org/cheap"), (8, None), (9, "no scheme casino"), (10, "http://com"), (11, "http://pornographer.org/"), (12, ""), (13, "http://notexample.com/en/"),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
@@ -202,6 +202,10 @@ def test_url_rules_and_vocabulary(spark):
     assert got[8] == ("", "", None, "allow") and got[9] == ("", "", None, "block")
     assert got[10] == ("com", "", None, "allow") and got[11][3] == "allow" and got[12][3] == "allow" and got[13][2] == "com/"
     assert url_filter.judge_urls(df.where("false")).collect() == []
+    assert not set(url_filter.STRICT_TERMS) & set(url_filter.SUSPECT_TERMS) and not set(url_filter.SUSPECT_TERMS) & set(url_filter.SOFT_TERMS)
+    more = [(1, "http://x.org/p%6Frn"), (2, "http://x.org/%46REE-gratis"), (3, "http://x.org/free/free/free"), (4, "http://x.org/poker-win"), (5, "http://x.org/poker"), (6, "http://x.org/" + "a-" * 100_000 + "casino"), (6, "http://x.org/" + "a-" * 100_000 + "casino")]
+    weights = {r.page_id: (r.weight, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(more, "page_id long, url string"), rules=()).collect()}
+    assert weights == {1: (3, "block"), 2: (2, "allow"), 3: (1, "allow"), 4: (3, "block"), 5: (2, "allow"), 6: (3, "block")}
 
 
 TEXTS = [
