@@ -6,7 +6,7 @@ so one more shard takes rows only into itself, about its share of all rows.
 
 ``slot`` numbers the rows of a shard from 0 without gaps. It is counted in two
 levels: rows per (shard, bucket of the key's hash), whose running totals are a table
-of at most shards x buckets rows, then a row number inside each bucket. No task gets
+of at most shards x buckets rows (the buckets grow with the rows), then a row number inside each bucket. No task gets
 a whole shard.
 
 Defined results: a null key is one key like any other; a null text has no bytes and
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that a record takes besides its text.
 RECORD_OVERHEAD = 16
-SLOT_BUCKETS = 2048
+#: Rows of all shards that share a bucket of the key's hash, about.
+BUCKET_ROWS = 500_000
 #: Running totals of more rows than this are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -42,8 +43,9 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.transform(table, cost))["i"]
 
 
-def with_slots(df: DataFrame, shard: str, key: Column, order: Sequence[Column], shards: int, buckets: int = SLOT_BUCKETS) -> DataFrame:
+def with_slots(df: DataFrame, shard: str, key: Column, order: Sequence[Column], shards: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with ``slot``: gapless from 0 in each shard, in order of bucket, then ``order``."""
+    buckets = max(64, -(-df.count() // bucket_rows))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(buckets)).cast("int"))
     totals = dealt.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
