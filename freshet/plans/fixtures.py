@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions import geo
 from freshet.session import table
 
 
@@ -68,6 +69,11 @@ def side(spark: SparkSession, sf: str) -> int:
     return max(8, int((table(spark, sf, "lineitem").count() / 30) ** 0.5))
 
 
+def grid(spark: SparkSession, sf: str) -> geo.Grid:
+    """The place of ``cells`` in the plane of ``xy``."""
+    return geo.Grid(0.5, -10.0, 10.0, side(spark, sf), side(spark, sf))
+
+
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """A grid that grows with lineitem, with layers z, land, built, acc and score."""
     li = table(spark, sf, "lineitem")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.functions import geo
 from freshet.plans import fixtures as fx
 from freshet.plans import jobs
 from freshet.plans.q_rel import annulus_sql
@@ -14,7 +13,6 @@ from freshet.session import table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
-GRID = geo.Grid(0.5, -10.0, 10.0, 40, 40)
 
 
 def rounded(df, digits=6):
@@ -97,12 +95,12 @@ def c04(spark, sf):
     fx.sql("xy", "cells") + ", cases as (select * from xy where id % 5 = 0), " + annulus_sql(3, "f.kind = 'flood' and f.id % 3 = 0") + """,
       placed as (select row_number() over () as n, * from (select case_id, x, y, 0::int as label from controls union all select id, x, y, 1 from cases)),
       wet as (select b.*, (select arg_min(q.label * 7.0::double, (sqrt(pow(q.x + 0.1 - b.x, 2) + pow(q.y - b.y, 2)), q.id)) from xy q where sqrt(pow(q.x + 0.1 - b.x, 2) + pow(q.y - b.y, 2)) <= 1) as rain_6h from placed b)
-      select case_id, w.label, round(x, 6) as x, round(y, 6) as y, rain_6h, z from wet w join cells on row = floor((10 - y) / 0.5) and col = floor((x + 10) / 0.5) where rain_6h is not null and z > 0 and row < 40 and col < 40""",
+      select case_id, w.label, round(x, 6) as x, round(y, 6) as y, rain_6h, z from wet w join cells on row = floor((10 - y) / 0.5) and col = floor((x + 10) / 0.5) where rain_6h is not null and z > 0""",
 )
 def c05(spark, sf):
     p = fx.xy(spark, sf)
     rain = p.select((F.col("id") + 10**6).alias("id"), (F.col("x") + 0.1).alias("x"), "y", (F.col("label") * 7.0).alias("rain_6h"))
-    return rounded(jobs.matched_controls(p.where("id % 5 = 0"), p.where("kind = 'flood' and id % 3 = 0"), rain, fx.cells(spark, sf).select("row", "col", "z"), GRID, 3, 0.3, 2.0, 1.0)).drop("id")
+    return rounded(jobs.matched_controls(p.where("id % 5 = 0"), p.where("kind = 'flood' and id % 3 = 0"), rain, fx.cells(spark, sf).select("row", "col", "z"), fx.grid(spark, sf), 3, 0.3, 2.0, 1.0)).drop("id")
 
 
 @query(
@@ -173,7 +171,7 @@ _ASSESS = fx.sql("xy", "cells") + """, c as (select id, x, y, floor((10 - y) / 0
 def c11(spark, sf):
     p, n = fx.xy(spark, sf), F.col("label")
     stations = p.where("id % 3 = 1 and label < 8").select("id", "x", "y", (n * 9.0).alias("mm1h"), (n * 14.0).alias("mm3h"), (n * 20.0).alias("mm12h"))
-    out = jobs.assess(p.where("id % 3 = 0"), fx.cells(spark, sf), GRID, stations, p.where("id % 3 = 2"), [("VERY_HIGH", 0.95), ("HIGH", 0.9)], 0.8, 1.5)
+    out = jobs.assess(p.where("id % 3 = 0"), fx.cells(spark, sf), fx.grid(spark, sf), stations, p.where("id % 3 = 2"), [("VERY_HIGH", 0.95), ("HIGH", 0.9)], 0.8, 1.5)
     return out.select("id", "risk", "level", "alert")
 
 
@@ -189,7 +187,7 @@ def _river(points: str, reach: int) -> str:
           greatest(0, least(1, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) as t from {points} p, zone_edges)),
       near as (select id, kind, any_value(z) as z, arg_min((fx, fy), (sqrt(pow(x - fx, 2) + pow(y - fy, 2)), line)) as f from foot where sqrt(pow(x - fx, 2) + pow(y - fy, 2)) <= {reach} group by 1, 2),
       above as (select id, max(near.z - c.z) filter (kind = 'major') as above_major, max(near.z - c.z) filter (kind = 'minor') as above_minor from near
-        left join cells c on c.row = floor((10 - f[2]) / 0.5) and c.col = floor((f[1] + 10) / 0.5) and c.row < 40 and c.col < 40 group by 1)"""
+        left join cells c on c.row = floor((10 - f[2]) / 0.5) and c.col = floor((f[1] + 10) / 0.5) group by 1)"""
 
 
 def _rel(radii) -> str:
@@ -199,20 +197,20 @@ def _rel(radii) -> str:
 
 @query(
     "R11_risk_surface",
-    fx.sql("cells", "zone_edges") + ", " + _rel((1, 2, 4, 8)) + """, pts as (select row::bigint * 40 + col as id, row, col, z, -10 + (col + 0.5) * 0.5 as x, 10 - (row + 0.5) * 0.5 as y from cells), xy as (select * from pts), """ + _INSIDE + ", " + _SEG + ", " + _river("pts", 3) + """,
+    fx.sql("cells", "zone_edges") + ", " + _rel((1, 2, 4, 8)) + """, pts as (select row::bigint * (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem) + col as id, row, col, z, -10 + (col + 0.5) * 0.5 as x, 10 - (row + 0.5) * 0.5 as y from cells), xy as (select * from pts), """ + _INSIDE + ", " + _SEG + ", " + _river("pts", 3) + """,
       fl as (select id, min(d) as d from (select id, d from seg where d <= 3 union all select id, 0 from inside) group by 1)
       select p.id, p.row, p.col, p.z, p.x, p.y, """ + ", ".join(f"round(rel_{r}, 6) as rel_{r}" for r in (1, 2, 4, 8)) + """, round(fl.d, 6) as flood_dist, round(above_major, 6) as above_major, round(above_minor, 6) as above_minor, round(1 / (1 + greatest(rel_2, 0)), 6) as score
       from pts p join rels using (row, col) left join fl using (id) left join above using (id)""",
 )
 def r11(spark, sf):
     score = 1 / (1 + F.greatest(F.col("rel_2"), F.lit(0.0)))
-    return rounded(jobs.risk_surface(fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), fx.zone_edges(spark, sf), GRID, [1, 2, 4, 8], 3.0, 2.0, score))
+    return rounded(jobs.risk_surface(fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), fx.zone_edges(spark, sf), fx.grid(spark, sf), [1, 2, 4, 8], 3.0, 2.0, score))
 
 
 @query(
     "R12_building_features",
-    fx.sql("xy", "cells", "zone_edges") + ", " + _rel((1, 3)) + """, b as (select id, x, y, c.z, rel_1, rel_3 from xy left join cells c on c.row = floor((10 - y) / 0.5) and c.col = floor((x + 10) / 0.5) and c.row < 40 and c.col < 40 left join rels using (row, col)), """ + _river("b", 4) + """
+    fx.sql("xy", "cells", "zone_edges") + ", " + _rel((1, 3)) + """, b as (select id, x, y, c.z, rel_1, rel_3 from xy left join cells c on c.row = floor((10 - y) / 0.5) and c.col = floor((x + 10) / 0.5) left join rels using (row, col)), """ + _river("b", 4) + """
       select id, round(x, 6) as x, round(y, 6) as y, z, round(rel_1, 6) as rel_1, round(rel_3, 6) as rel_3, round(above_major, 6) as above_major, round(above_minor, 6) as above_minor from b left join above using (id)""",
 )
 def r12(spark, sf):
-    return rounded(jobs.building_features(fx.xy(spark, sf), fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), GRID, [1, 3], 4.0))
+    return rounded(jobs.building_features(fx.xy(spark, sf), fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), fx.grid(spark, sf), [1, 3], 4.0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.functions import geo
 from freshet.operators import relational as rel
 from freshet.plans import fixtures as fx
 from freshet.plans.registration import Registry
@@ -12,7 +11,6 @@ from freshet.session import table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
-GRID = geo.Grid(0.5, -10.0, 10.0, 40, 40)
 
 
 @query("J01_attach_labels", "with l as (select user_id, arg_max(event_type, (ts, event_id)) as label from events where value > 20 group by 1) select event_id, label from events join l using (user_id)")
@@ -52,13 +50,13 @@ def j05(spark, sf):
     fx.sql("xy", "cells") + ", c as (select id, floor((10 - y) / 0.5)::bigint as r, floor((x + 10) / 0.5)::bigint as k from xy) select id, z, case when land >= 800 then null else land end as land from c left join cells on r = row and k = col",
 )
 def j06(spark, sf):
-    out = rel.attach_layers(fx.xy(spark, sf).select("id", "x", "y"), fx.cells(spark, sf), GRID, {"z": None, "land": F.col("land") >= 800})
+    out = rel.attach_layers(fx.xy(spark, sf).select("id", "x", "y"), fx.cells(spark, sf), fx.grid(spark, sf), {"z": None, "land": F.col("land") >= 800})
     return out.select("id", "z", "land")
 
 
 @query("J06_coverage", fx.sql("xy", "cells") + ", c as (select id, floor((10 - y) / 0.5)::bigint as r, floor((x + 10) / 0.5)::bigint as k from xy) select round(count(z) * 100.0 / count(*), 6) as z, round(count(case when land < 800 then land end) * 100.0 / count(*), 6) as land from c left join cells on r = row and k = col")
 def j06b(spark, sf):
-    out = rel.attach_layers(fx.xy(spark, sf).select("id", "x", "y"), fx.cells(spark, sf), GRID, {"z": None, "land": F.col("land") >= 800})
+    out = rel.attach_layers(fx.xy(spark, sf).select("id", "x", "y"), fx.cells(spark, sf), fx.grid(spark, sf), {"z": None, "land": F.col("land") >= 800})
     return rel.coverage(out, ["z", "land"]).select(F.round("z", 6).alias("z"), F.round("land", 6).alias("land"))
 
 
