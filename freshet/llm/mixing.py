@@ -184,7 +184,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, limit: int = LIMIT) -
     turns = plan.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     order = with_slot(turns, slots, F.col("_turn"), block_words).select("_id", "_crc", "_m", F.col("first_slot").alias("_slot"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("_row_crc", crc).withColumn("_n", nth("doc_id", "_row_crc", by=[F.col("source").asc_nulls_last()]))
+    rows = docs.withColumn("_row_crc", crc).withColumn("_n", nth("doc_id", "_row_crc", by=[F.col("source").asc_nulls_last(), F.xxhash64(*docs.columns)]))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_crc") == F.col("_crc")) & (F.col("_n") == F.col("_m"))
     taken = rows.join(order.hint("shuffle_merge"), same)
     by = [F.col("_slot").asc_nulls_first(), F.col("doc_id"), F.col("_row_crc")]

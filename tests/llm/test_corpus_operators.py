@@ -168,6 +168,64 @@ def test_rendezvous_follows_weights(spark):
     assert [round(counts[i] / 20000, 1) for i in range(3)] == [0.1, 0.2, 0.6]
 
 
+def test_very_long_texts(spark):
+    from freshet.llm import decontaminate, simhash
+
+    rnd = random.Random(3)
+    words = rnd.choices([f"w{i}" for i in range(500)], k=200_000)
+    item = "a benchmark item that stands far inside of a very long document, with a typo"
+    long = " ".join([*words[:150_000], item.replace("typo", "tipo"), *words[150_000:]])
+    docs = spark.createDataFrame([(1, long), (2, long.upper()), (3, "short")], "doc_id long, text string")
+    classes = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3}
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(1, 7, 1), (2, 7, 1)}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [3]
+    talk = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|im_end|> " * 5) for t in range(1500)] + [(2, 0, "assistant", "x<|" * 500_000)]
+    table = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.render(chat.fold_events(chat.events_of(table)))).collect()}
+    assert got[1].n_turns == 1500 and got[1].loss_chars == sum(len(t) for _, n, _, t in talk[:-1] if n % 2)
+    assert got[2].loss_sha256 == hashlib.sha256(talk[-1][3].encode()).hexdigest()
+
+
+def test_decontaminated_judges_each_row(spark):
+    from freshet.llm import decontaminate
+
+    items = spark.createDataFrame([(i, f"item number {i} with quite some words of its own") for i in range(6)], "item_id long, text string")
+    rows = [(None, "item number 3 with quite some words of its own"), (None, "clean"), (5, "clean"), (5, "x item number 4 with quite some words of its own x"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hit", F.lit("clash"))
+    for group_chars in (1_000_000, 60):
+        left = decontaminate.decontaminated(docs, items, group_chars=group_chars)
+        assert left.columns == docs.columns
+        assert sorted(map(repr, [(r.doc_id, r.text) for r in left.collect()])) == sorted(map(repr, [(None, "clean"), (5, "clean"), (6, None)]))
+
+
+def test_golden_points_stay_apart(spark):
+    from fractions import Fraction
+
+    for first in (0, 10**12, 2**52 - 500):
+        got = [r.x for r in spark.range(first, first + 1000).select(mixing.golden_point(F.col("id")).alias("x")).collect()]
+        assert got == [float(Fraction(i * mixing.GOLDEN % 2**52, 2**52)) for i in range(first, first + 1000)]
+        assert len(set(got)) == 1000 and max(b - a for a, b in zip(sorted(got), sorted(got)[1:], strict=False)) < 0.003
+
+
+def test_mixed_comes_in_order_of_slots(spark):
+    rows, df = corpus(spark)
+    first = {r.doc_id: r.first_slot for r in mixing.mix(df).collect()}
+    out = [r.doc_id for r in mixing.mixed(df).where("text rlike '[a-zé]'").collect()]
+    seen = list(dict.fromkeys(out))
+    assert [first[i] for i in seen] == sorted(first[i] for i in seen) and len(set(seen)) > 100
+
+
+def test_pipeline_keeps_documents_when_nothing_can_be_learned(spark):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, "some text", None, "a"), (2, "1 2 3", None, "a"), (3, None, None, "b")], "doc_id long, text string, lang string, source string")
+    assert [r.doc_id for r in p.language(spark, docs, "").collect()] == [1]
+    assert [p.least_score(n) for n in (1, 2, 4, 100)] == [0.9, 0.7, 0.35, 0.2]
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
