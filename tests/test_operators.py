@@ -281,6 +281,7 @@ def test_stream_equals_batch(spark, tmp_path, sf):
     q = rain.rolling_rain(stream).writeStream.outputMode("append").format("memory").queryName("rolling").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("rolling").collect()}
+    assert rain.dropped_late(q) == 0
     want = {tuple(r) for r in rain.rolling_rain(df).collect()}
     assert got and got <= want and len(got) > 30
     q = rain.ingest(spark, f"{tmp_path}/in", "station_id long, obs_ts timestamp, mm double", f"{tmp_path}/out", f"{tmp_path}/cp2", "station_id")
