@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freshet.plans import fixtures as fx
 from freshet.plans import jobs
 from freshet.plans.q_rel import annulus_sql
+from freshet.plans.q_series import _accumulate_sql, _shape_sql
 from freshet.plans.q_spatial import _INSIDE, _SEG
 from freshet.plans.registration import Registry
 from freshet.session import table
@@ -60,7 +61,15 @@ def c02(spark, sf):
     return out.groupBy("event").agg(F.count(F.lit(1)).alias("rows"), F.sum("flooded").alias("positives"))
 
 
-@query("C03_event_table")
+@query(
+    "C03_event_table",
+    fx.sql("frames", "anchors") + """, a as (select event, epoch(strptime(event, '%Y%m%d'))::bigint // 60 + hour * 60 as anchor from anchors),
+      j as (select f.*, anchor, min(case when stamp > anchor then stamp end) over w as nxt, max(stamp) over w as last from frames f left join a using (event) window w as (partition by event, pt)),
+      k as (select *, coalesce(stamp <= coalesce(nxt, last), true) as keep from j), n as (select *, sum(keep::int) over (partition by event, pt) as lft from k),
+      cut as (select event, pt, stamp, span_min, rate from n where keep or lft < 2), rain as (with """ + _accumulate_sql("cut", "desc")[2:] + "), shape as (with " + _shape_sql("cut")[2:] + """),
+      own as (select distinct event, pt, case when pt % 4 = 0 then '2024010' || (1 + pt % 9) end as own_event from frames)
+      select rain.*, shape.* exclude (event, pt) from own join rain using (event, pt) join shape using (event, pt) where own_event is null or own_event = own.event""",
+)
 def c03(spark, sf):
     frames = fx.frames(spark, sf)
     at = fx.anchors(spark, sf).select("event", (F.floor(F.unix_timestamp(F.to_timestamp("event", "yyyyMMdd")) / 60) + F.col("hour") * 60).alias("anchor"))

@@ -84,12 +84,13 @@ def w04(spark, sf):
     return rounded(series.accumulate_after(fx.frames(spark, sf).join(at, "event"), _KEYS, "anchor"))
 
 
-@query(
-    "W05_storm_shape",
-    fx.sql("frames") + """, r as (select *, sum(span_min) over (partition by event, pt order by stamp rows unbounded preceding) as done, rate * span_min / 60 as mm from frames),
+def _shape_sql(source: str) -> str:
+    return f""", r as (select *, sum(span_min) over (partition by event, pt order by stamp rows unbounded preceding) as done, rate * span_min / 60 as mm from {source}),
       h as (select *, sum(mm) over (partition by event, pt order by done range between current row and 60 following) as hour_mm, max(done) over (partition by event, pt) - done as back from r)
-      select event, pt, round(max(rate), 6) as peak_rate, round(max(hour_mm), 6) as peak_hour, round(coalesce(sum(mm) filter (back >= 1440 and back < 2880), 0), 6) as rain_24_48h, round(coalesce(sum(span_min / 60) filter (rate > 1), 0), 6) as wet_hours from h group by 1, 2""",
-)
+      select event, pt, round(max(rate), 6) as peak_rate, round(max(hour_mm), 6) as peak_hour, round(coalesce(sum(mm) filter (back >= 1440 and back < 2880), 0), 6) as rain_24_48h, round(coalesce(sum(span_min / 60) filter (rate > 1), 0), 6) as wet_hours from h group by 1, 2"""
+
+
+@query("W05_storm_shape", fx.sql("frames") + _shape_sql("frames"))
 def w05(spark, sf):
     return rounded(series.storm_shape(fx.frames(spark, sf), _KEYS))
 
