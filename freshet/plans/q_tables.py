@@ -204,10 +204,22 @@ def r13b(spark, sf):
     return graph.sssp(fx.edges(spark, sf), 0, avoid_blocked=True).select("node", "dist")
 
 
-@query("R14_route_metrics", _sssp_sql("true") + " select node, dist as length from d")
+def _route_sql(where: str, d: str, t: str) -> str:
+    """Distances ``d`` and, along each path, ``t`` (node, edges, blocked): fewest edges first, then the least edge id."""
+    return f"""{d}e as (select src, dst, arg_min(edge_id, (len, edge_id)) as edge_id, min(len) as len, arg_min(blocked::int, (len, edge_id)) as blocked from edges where {where} group by 1, 2),
+      {d}(node, dist) using key (node) as (select 0::bigint, 0.0::double union (select e.dst, min(d.dist + e.len) from {d} d join {d}e e on d.node = e.src left join recurring.{d} as r on r.node = e.dst where r.dist is null or d.dist + e.len < r.dist group by e.dst)),
+      {d}t as (select e.* from {d}e e join {d} a on a.node = e.src join {d} b on b.node = e.dst where a.dist + e.len = b.dist),
+      {t}(node, edges, blocked) using key (node) as (select 0::bigint, 0::bigint, 0::bigint union (select e.dst, min(p.edges) + 1, arg_min(p.blocked + e.blocked, e.edge_id) from {t} p join {d}t e on e.src = p.node left join recurring.{t} as r on r.node = e.dst where r.node is null group by e.dst))"""
+
+
+_ROUTES = fx.sql("edges").replace("with ", "with recursive ", 1)
+
+
+@query("R14_route_metrics", _ROUTES + ", " + _route_sql("true", "d", "t") + " select node, dist as length, edges, blocked::bigint as blocked_edges, round(dist * 2, 6) as cost from d join t using (node)")
 def r14(spark, sf):
     e = fx.edges(spark, sf)
-    return graph.route_metrics(graph.sssp(e, 0), e).select("node", "length")
+    out = graph.route_metrics(graph.sssp(e, 0), e, {"cost": F.col("len") * 2})
+    return out.select("node", "length", "edges", F.col("blocked_edges").cast("long").alias("blocked_edges"), F.round("cost", 6).alias("cost"))
 
 
 @query("R15_choose_destination", _sssp_sql("not blocked") + ", c as (select node as id, node, (node * 37 % 5000)::double as dist_m from d where node % 3 = 1), n as (select * from c where dist_m <= 4000 and id % 5 <> 0 order by dist_m, id limit 25) select id, d.dist as cost from n join d using (node) order by cost, id limit 1")
@@ -223,7 +235,13 @@ def r16(spark, sf):
     return graph.nearest_safe(routes)
 
 
-@query("R17_route_doc")
+@query(
+    "R17_route_doc",
+    _ROUTES + ", " + _route_sql("true", "d", "t") + ", " + _route_sql("not blocked", "d2", "t2") + """,
+      m as (select d.node, d.dist as bm, t.blocked as bb, d2.dist as sm, t2.blocked as sb, t.blocked > 0 and t2.blocked = 0 as avoided from d join t using (node) left join d2 on d2.node = d.node left join t2 on t2.node = d.node)
+      select node, '{' || concat_ws(',', case when avoided is not null then '"avoided":' || avoided end, '"base_blocked":' || bb, case when sb is not null then '"safe_blocked":' || sb end,
+        '"base_minutes":' || greatest(1, ceil(bm / 250))::bigint, '"safe_minutes":' || coalesce(greatest(1, ceil(sm / 250)), 1)::bigint, '"status":"' || case when sm is null then 'NO_ROUTE' else 'FOUND' end || '"') || '}' as doc from m""",
+)
 def r17(spark, sf):
     e = fx.edges(spark, sf)
     base, safe = graph.sssp(e, 0), graph.sssp(e, 0, avoid_blocked=True)
