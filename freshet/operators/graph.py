@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.session import shared_dir, stored
+from freshet.session import stored
+
+#: Rounds whose results are put together, so that no round reads many tables.
+COMPACT_ROUNDS = 8
 
 
 def risk_cost(length: Column, high_m: Column, very_high_m: Column) -> Column:
@@ -23,25 +26,27 @@ def simplest(edges: DataFrame, weight: str) -> DataFrame:
 def distances(roads: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
     """(node, dist, via, hop): least weight from ``source``, the last edge of such a path and the round that found it.
 
-    A round relaxes only the edges of nodes that improved in the last one. Improvements are
-    appended to the shared folder; each round compares its few reached nodes with the best
-    so far and writes no node that didn't improve. Ties go to the smaller edge id.
+    A round relaxes only the edges of nodes that improved in the last one, compares the nodes
+    it reaches with the best so far, and writes only those that improved. Ties go to the
+    smaller edge id.
     """
-    spark = roads.sparkSession
-    path = f"{shared_dir(spark)}/freshet-{uuid.uuid4().hex}"
-    schema = "node long, dist double, via long, hop int"
-    spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("hop")).write.parquet(f"{path}/hop=0")
-    read = lambda: spark.read.schema(schema).parquet(path)
+    start = roads.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("hop"))
+    front = base = stored(start)
+    later: list[DataFrame] = []
+    best = F.min(F.struct("dist", "hop", "via")).alias("b")
+    settled = lambda df: df.groupBy("node").agg(best).select("node", "b.dist", "b.via", "b.hop")
     for hop in range(1, max_rounds + 1):
-        known = read()
-        front = known.where(F.col("hop") == hop - 1).select(F.col("node").alias("src"), "dist")
-        reach = front.join(roads.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("via"))).alias("n"))
+        known = reduce(DataFrame.unionByName, later, base)
+        reach = front.select(F.col("node").alias("src"), "dist").join(roads.hint("shuffle_hash"), "src")
+        reach = reach.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("via"))).alias("n"))
         seen = known.join(reach.select(F.col("node").alias("_at")).hint("shuffle_hash"), F.col("node") == F.col("_at"), "left_semi").groupBy(F.col("node").alias("_node")).agg(F.min("dist").alias("_dist"))
         better = reach.join(seen.hint("shuffle_hash"), F.col("node") == F.col("_node"), "left").where(F.col("_dist").isNull() | (F.col("n.dist") < F.col("_dist")))
-        better.select("node", "n.dist", "n.via").write.parquet(f"{path}/hop={hop}")
-        if read().where(F.col("hop") == hop).limit(1).count() == 0:
-            best = F.min(F.struct("dist", "hop", "via")).alias("b")
-            return read().groupBy("node").agg(best).select("node", "b.dist", "b.via", "b.hop")
+        front = stored(better.select("node", "n.dist", "n.via", F.lit(hop).alias("hop")))
+        if front.limit(1).count() == 0:
+            return settled(known)
+        later.append(front)
+        if len(later) == COMPACT_ROUNDS:
+            base, later = stored(settled(reduce(DataFrame.unionByName, later, base))), []
     raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
 
 

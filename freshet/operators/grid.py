@@ -8,15 +8,17 @@ or that change, and write each round to the shared folder.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from freshet.functions import geo
-from freshet.session import shared_dir, stored
+from freshet.session import stored
+
+#: Rounds whose results are put together, so that no round reads many tables.
+COMPACT_ROUNDS = 8
 
 D8 = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
@@ -160,24 +162,22 @@ def fill(cells: DataFrame, value: str, eps: float = 0.0, keys: Sequence[str] = (
     one, and writes only those that sink in it; a cell's level is its least one written.
     """
     ids = [*keys, "row", "col"]
-    spark = cells.sparkSession
     ground = stored(cells.where(F.col(value).isNotNull()).select(*ids, F.col(value).cast("double").alias("_z")))
     count = _around(ground.select(*ids), keys).groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
-    border = ground.join(count.hint("shuffle_hash"), ids, "left").where(F.coalesce("_n", F.lit(0)) < 8).select(*ids, F.col("_z").alias("_w"))
-    path = f"{shared_dir(spark)}/freshet-{uuid.uuid4().hex}"
-    schema = StructType([*border.schema.fields, StructField("hop", IntegerType())])
-    border.write.parquet(f"{path}/hop=0")
-    read = lambda: spark.read.schema(schema).parquet(path)
-    for hop in range(1, max_rounds + 1):
-        known = read()
-        least = _around(known.where(F.col("hop") == hop - 1).select(*ids, "_w"), keys).groupBy(*ids).agg((F.min("_w") + eps).alias("_l"))
+    front = stored(ground.join(count.hint("shuffle_hash"), ids, "left").where(F.coalesce("_n", F.lit(0)) < 8).select(*ids, F.col("_z").alias("_w")))
+    base, later = front, []
+    for _ in range(max_rounds):
+        known = reduce(DataFrame.unionByName, later, base)
+        least = _around(front, keys).groupBy(*ids).agg((F.min("_w") + eps).alias("_l"))
         reach = least.join(ground.hint("shuffle_hash"), ids).select(*ids, F.greatest("_z", "_l").alias("_w"))
         held = known.join(least.select(*ids).hint("shuffle_hash"), ids, "left_semi").groupBy(*ids).agg(F.min("_w").alias("_old"))
         sunk = reach.join(held.hint("shuffle_hash"), ids, "left").where(F.col("_old").isNull() | (F.col("_w") < F.col("_old")))
-        sunk.select(*ids, "_w").write.parquet(f"{path}/hop={hop}")
-        if read().where(F.col("hop") == hop).limit(1).count() == 0:
-            levels = read().groupBy(*ids).agg(F.min("_w").alias("filled"))
-            return cells.join(levels.hint("shuffle_hash"), ids, "left")
+        front = stored(sunk.select(*ids, "_w"))
+        if front.limit(1).count() == 0:
+            return cells.join(known.groupBy(*ids).agg(F.min("_w").alias("filled")).hint("shuffle_hash"), ids, "left")
+        later.append(front)
+        if len(later) == COMPACT_ROUNDS:
+            base, later = stored(reduce(DataFrame.unionByName, later, base).groupBy(*ids).agg(F.min("_w").alias("_w"))), []
     raise RuntimeError(f"filling did not settle in {max_rounds} rounds")
 
 
