@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import chat, common, decontaminate, html_text, language_id, mixing, sharding, simhash, token_counts, topk_search, url_filter
+from freshet.llm import alignment, chat, common, decontaminate, html_text, language_id, mixing, sharding, simhash, token_counts, token_files, topk_search, url_filter, vector_codes
 
 
 def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +59,25 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_files.write_documents(common.documents(spark, sf_dir), token_files.scratch(spark))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", F.col("size").alias("frame_bytes"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_maxscore_topk, op2_simhash_near_dedup, op3_html_main_text, op4_url_filter, op5_language_id,
         op6_rendezvous_sharding, op7_token_counts, op8_decontamination, op9_chat_format, op10_source_mix,
+        op11_vector_codes, op12_token_alignment, op13_token_files,
     )
 }
 
@@ -115,4 +129,35 @@ _SEARCH_ORACLE = """
     select query_id, rank::int as rank, vec_id, score from (
       select *, row_number() over (partition by query_id order by score desc, vec_id nulls last) as rank from s) where rank <= 5"""
 
-ORACLES = {"op1_maxscore_topk": _SEARCH_ORACLE, "op4_url_filter": _url_oracle(), "op9_chat_format": _CHAT_ORACLE}
+
+def _codes_oracle() -> str:
+    """The rounds written out, each an assignment of all parts and a mean of each entry's."""
+    n, rounds, entries = vector_codes.PARTS, vector_codes.ROUNDS, vector_codes.ENTRIES
+    steps = [f"b0 as materialized (select part, r - 1 as entry, sub as centre from p where r <= {entries})"]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} as materialized (
+            select r, part, arg_min(entry, (far, entry)) as entry, min(far) as far from (
+              select r, p.part, entry, coalesce(list_sum(list_transform(range(1, len(sub) + 1), lambda i: (sub[i] - centre[i]) * (sub[i] - centre[i]))), 0)::bigint as far from p join b{k} b on p.part = b.part)
+            group by r, part)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} as materialized (
+            select b.part, b.entry, coalesce(m.centre, b.centre) as centre from b{k} b left join (
+              select part, entry, list(mean order by i) as centre from (
+                select part, entry, i, floor(sum(sub[i])::double / count(*))::bigint as mean from (
+                  select a.part, a.entry, p.sub, unnest(range(1, len(p.sub) + 1)) as i from a{k} a join p on a.r = p.r and a.part = p.part)
+                group by part, entry, i)
+              group by part, entry) m on m.part = b.part and m.entry = b.entry)""")
+    return f"""
+    with v as materialized (
+      select row_number() over (order by vec_id nulls last, vec) as r, * from (
+        select vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::double)::bigint) as vec from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = len(embedding))),
+    p as materialized (select r, part, list_slice(vec, part * (len(vec) // {n}) + 1, (part + 1) * (len(vec) // {n})) as sub from v, (select unnest(range({n})) as part)),
+    {", ".join(steps)},
+    c as (select r, string_agg(printf('%02x', entry), '' order by part) as code, sum(far)::bigint as error from a{rounds} group by r)
+    select vec_id, label, code, error, (sum(error) over (partition by label))::bigint as label_error,
+      (select sha256(string_agg(array_to_string(centre, ','), ',' order by part, entry)) from b{rounds}) as codebooks_sha256
+    from v join c using (r)"""
+
+
+ORACLES = {"op1_maxscore_topk": _SEARCH_ORACLE, "op4_url_filter": _url_oracle(), "op9_chat_format": _CHAT_ORACLE, "op11_vector_codes": _codes_oracle()}
