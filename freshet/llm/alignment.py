@@ -43,8 +43,10 @@ from freshet.llm import common, encoders
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Characters of a block's texts, about: the block ends with the document that reaches them.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 BLOCK_DOCUMENTS = 50_000
+#: Bits for the end in a (document, end) key: texts of up to a terabyte, 2^23 documents a block.
+END_BITS = 40
 
 _LISTS = ("n_a", "n_b", "n_groups", "n_links")
 #: One block: its documents in order; its different pairs with the documents that hold them;
@@ -63,30 +65,31 @@ def _lists(packed: list[bytes], dtype: np.dtype) -> pa.ListArray:
 
 
 def tokens_table(lists: pa.ListArray, lengths: np.ndarray, name: str) -> pa.Table:
-    """(doc, end, name) of each token: flattened ids, parent indices, and end offsets by segmented cumulative sums."""
+    """(key, name) of each token: flattened ids, and (document, end) as one number, from parent indices and segmented cumulative sums."""
     ids, docs = pc.list_flatten(lists), pc.list_parent_indices(lists)
     total = pc.cumulative_sum(pc.take(pa.array(lengths), ids))
     sums = pa.concat_arrays([pa.array([0], pa.int64()), total])
     before = pc.take(sums, lists.offsets.slice(0, len(lists)))  # the sum where each document starts
     ends = pc.subtract(total, pc.take(before, docs))
-    return pa.table({"doc": docs, "end": ends, name: ids})
+    return pa.table({"key": pc.add(pc.shift_left(docs.cast(pa.int64()), END_BITS), ends), name: ids})
 
 
 def linked(a: pa.Table, b: pa.Table) -> pa.Table:
-    """(doc, end, a, b, shared), a row for each link in byte order; ``shared``: both tokens end here."""
-    met = a.join(b, ["doc", "end"], join_type="full outer").sort_by([("doc", "ascending"), ("end", "ascending")]).combine_chunks()
-    shared = pc.and_(pc.is_valid(met["a"]), pc.is_valid(met["b"]))
+    """(doc, a, b, a_end, b_end), a row for each link in byte order; ``a_end``: a token of A ends with it."""
+    met = a.join(b, "key", join_type="full outer").sort_by("key").combine_chunks()
     # an end of one side alone lies in the other's next token; a document's last end is shared
-    return pa.table({"doc": met["doc"], "end": met["end"], "a": pc.fill_null_backward(met["a"]), "b": pc.fill_null_backward(met["b"]), "shared": shared})
+    return pa.table(
+        {
+            "doc": pc.shift_right(met["key"], END_BITS), "a": pc.fill_null_backward(met["a"]), "b": pc.fill_null_backward(met["b"]),
+            "a_end": pc.is_valid(met["a"]), "b_end": pc.is_valid(met["b"]),
+        }
+    )
 
 
-def _group_texts(lists: pa.ListArray, tokens: pa.Table, ends: pa.Table) -> pa.Array:
-    """The tokens of each group, joined by commas; ``ends`` are the groups' ends, in order."""
-    n = len(tokens)
-    at = tokens.append_column("at", pa.array(np.arange(n, dtype="int32"))).join(ends, ["doc", "end"], join_type="inner")["at"]
-    stops = np.sort(at.to_numpy())
-    offsets = pa.array(np.concatenate([[0], stops + 1]).astype("int32"))
-    groups = pa.ListArray.from_arrays(offsets, pc.list_flatten(lists).cast(pa.string()))
+def _group_texts(lists: pa.ListArray, ended: pa.ChunkedArray, shared: pa.ChunkedArray) -> pa.Array:
+    """The tokens of each group, joined by commas: a group has the tokens that ended up to its last link."""
+    stops = pc.filter(pc.cumulative_sum(ended.cast(pa.int32())), shared).to_numpy()
+    groups = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype("int32")), pc.list_flatten(lists).cast(pa.string()))
     return pc.binary_join(groups, ",")
 
 
@@ -95,21 +98,15 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = encoders.encoder(path_a, True), encoders.encoder(path_b, True)
-        self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
 
     def encoded(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Packed ids of both sides; nothing for texts without tokens."""
-        spaced = [" " + t if t else "" for t in texts]
-        a, b = self._side(self.a, self.bytes_a, spaced), self._side(self.b, self.bytes_b, spaced)
+        a, b = self._side(self.a, texts), self._side(self.b, texts)
         return [x if y else b"" for x, y in zip(a, b, strict=True)], [y if x else b"" for x, y in zip(a, b, strict=True)]
 
-    def _side(self, encoder: encoders.Encoder, stand: list[bytes], spaced: list[str]) -> list[bytes]:
-        known = [i for i, t in enumerate(spaced) if t]
-        out = [b""] * len(spaced)
-        for i, ids in zip(known, encoder.encode([spaced[i] for i in known]), strict=True):
-            whole = b"".join(map(stand.__getitem__, np.frombuffer(ids, encoder.dtype).tolist()))
-            out[i] = ids if whole == spaced[i].encode() else b""
-        return out
+    def _side(self, encoder: encoders.Encoder, texts: list[str | None]) -> list[bytes]:
+        found = iter(encoder.encode([" " + t for t in texts if t], exact=True))
+        return [next(found) if t else b"" for t in texts]
 
     def block(self, doc_ids: list, texts: list[str | None]) -> dict:
         """The row of a block of documents."""
@@ -118,10 +115,10 @@ class Aligner:
         lists_a, lists_b = _lists(packed_a, self.a.dtype), _lists(packed_b, self.b.dtype)
         table_a, table_b = tokens_table(lists_a, self.a.lengths, "a"), tokens_table(lists_b, self.b.lengths, "b")
         links = linked(table_a, table_b)
-        ends = links.filter(links["shared"]).select(["doc", "end"])
-        per_doc = np.bincount(ends["doc"].to_numpy(), minlength=n)
+        shared = pc.and_(links["a_end"], links["b_end"])
+        per_doc = np.bincount(pc.filter(links["doc"], shared).to_numpy(), minlength=n)
         n_links = np.bincount(links["doc"].to_numpy(), minlength=n)
-        sides = pc.binary_join_element_wise(_group_texts(lists_a, table_a, ends), _group_texts(lists_b, table_b, ends), "|")
+        sides = pc.binary_join_element_wise(_group_texts(lists_a, links["a_end"], shared), _group_texts(lists_b, links["b_end"], shared), "|")
         whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype("int32")), sides), ";")
         pair = pc.add(pc.multiply(links["a"].cast(pa.int64()), 1 << 32), links["b"].cast(pa.int64()))
         by_doc = pa.table({"doc": links["doc"], "pair": pair}).group_by(["doc", "pair"]).aggregate([([], "count_all")]).sort_by([("doc", "ascending"), ("pair", "ascending")])

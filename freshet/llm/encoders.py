@@ -35,8 +35,8 @@ from itertools import chain
 import numpy as np
 
 #: Distinct chunks, and their characters, that a worker remembers before it starts afresh.
-MEMO_CHUNKS = 500_000
-MEMO_CHARS = 20_000_000
+MEMO_CHUNKS = 400_000
+MEMO_CHARS = 10_000_000
 #: Characters of chunks that go to the library at once (one chunk at least).
 BATCH_CHARS = 500_000
 #: Words of certain letters; punctuation before white space; else up to white space (a run that
@@ -97,7 +97,10 @@ class Encoder:
         #: a space at the end of a text, to which the library gives nothing when it stands alone
         self.fixed = {" ": np.array([self.library.piece_to_id(_SPACE_SIGN)], dtype=self.dtype).tobytes()} if self.pieces else {}
         self.memo.update(self.fixed)
-        self.lengths = np.array([len(t) for t in self.token_bytes()], dtype="int64")
+        #: the bytes of each id
+        self.stand = self.token_bytes()
+        self.lengths = np.array([len(t) for t in self.stand], dtype="int64")
+        self.lossy: set[str] = set()
 
     def _pieces_cuttable(self) -> bool:
         names = self.library.id_to_piece(list(range(self.size)))
@@ -139,35 +142,49 @@ class Encoder:
             return None
         return (_PIECE_CHUNK if self.pieces else _BYTE_CHUNK).findall(text)
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Puts chunks that are not yet known into the memo."""
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The packed ids of different chunks; new ones go into the memo, and into ``lossy`` if their tokens stand for other bytes."""
         if len(self.memo) > self.memo_chunks or self.memo_chars > MEMO_CHARS:
-            self.memo, self.memo_chars = dict(self.fixed), 0
+            self.memo, self.memo_chars, self.lossy = dict(self.fixed), 0, set()
         memo = self.memo
-        for batch in _batches({c for c in chunks if c not in memo}):
+        for batch in _batches(chunks.difference(memo)):
             self.memo_chars += sum(map(len, batch))
             apart = [c for c in batch if c[0] not in " \n" or c[-1].isspace()]
             beside = [c for c in batch if c[0] in " \n" and not c[-1].isspace()]
-            memo.update(zip(apart, self._whole(apart), strict=True))
-            if beside:
-                memo.update(zip(beside, self._joined(beside), strict=True))
+            for part, ids in ((apart, self._whole(apart)), (beside, self._joined(beside) if beside else [])):
+                memo.update(zip(part, ids, strict=True))
+                if not self.stands(b"".join(ids), "".join(part)):
+                    self.lossy.update(c for c, i in zip(part, ids, strict=True) if not self.stands(i, c))
+        return {c: memo[c] for c in chunks}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts. For pieces a text starts with the space that the library would put before it."""
+    def stands(self, ids: bytes, text: str) -> bool:
+        """Do the tokens stand for the bytes of the text?"""
+        return b"".join(map(self.stand.__getitem__, np.frombuffer(ids, self.dtype).tolist())) == text.encode()
+
+    def encode(self, texts: list[str], exact: bool = False) -> list[bytes]:
+        """Packed ids of texts. For pieces a text starts with the space that the library would put before it.
+
+        ``exact``: nothing for texts whose tokens stand for other bytes.
+        """
         out: list[bytes] = []
-        held: list[list[str]] = []
+        held: list[tuple[str, list[str]]] = []
         chars = 0
         for text in [*texts, None]:
             cut = None if text is None else self.chunks(text)
             if cut is not None:
-                held.append(cut)
+                held.append((text, cut))
                 chars += len(text)
             if cut is None or chars > BATCH_CHARS:
-                self.learn(chain.from_iterable(held))
-                out += [b"".join(map(self.memo.__getitem__, c)) for c in held]
+                known = self.learn(set(chain.from_iterable(c for _, c in held)))
+                for t, c in held:
+                    ids = b"".join(map(known.__getitem__, c))
+                    # where no chunk is lossy the whole is right; where one is, another may make up for it
+                    sure = not exact or not self.lossy or self.lossy.isdisjoint(c) or self.stands(ids, t)
+                    out.append(ids if sure else b"")
                 held, chars = [], 0
             if cut is None and text is not None:
-                out += self._whole([text])
+                (ids,) = self._whole([text])
+                out.append(ids if not exact or self.stands(ids, text) else b"")
         return out
 
     def token_bytes(self) -> list[bytes]:

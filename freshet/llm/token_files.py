@@ -53,7 +53,7 @@ SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 #: Bytes of a file and of a block, about: a block ends with the document that reaches them.
-FILE_BYTES = 64 * 1024 * 1024
+FILE_BYTES = 32 * 1024 * 1024
 BLOCK_BYTES = 4 * 1024 * 1024
 BLOCK_DOCUMENTS = 4096
 #: Files (a row each) up to which totals are broadcast.
