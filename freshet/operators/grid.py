@@ -159,7 +159,9 @@ def fill(cells: DataFrame, value: str, eps: float = 0.0, keys: Sequence[str] = (
 
     From the border (cells with a missing neighbour) inwards, w = max(z, least neighbour's
     w + eps), until nothing changes. A round sends on only the cells that sank in the last
-    one, and writes only those that sink in it; a cell's level is its least one written.
+    one, and writes only those that sink in it; a cell's level is its least one written. It
+    reads all cells, and rounds grow with the grid's side: this form is for many small grids
+    by ``keys``; ``hydrology.fill`` fills one large grid in tiles.
     """
     ids = [*keys, "row", "col"]
     ground = stored(cells.where(F.col(value).isNotNull()).select(*ids, F.col(value).cast("double").alias("_z")))
@@ -188,7 +190,7 @@ def flow_acc(directed: DataFrame, keys: Sequence[str] = (), max_rounds: int = 40
     2^i - 1 steps above and each cell knows the one 2^i steps below, to which it adds its
     acc. A cell whose target is beyond the end has counted in; after as many rounds as the
     longest path's length has binary digits no targets are left. More than ``max_rounds``
-    is an error (a cycle).
+    is an error (a cycle). ``hydrology.flow_acc`` doubles over tiles' outlets only.
     """
     ids = [*keys, "row", "col"]
     step = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in D8]), F.col("d8") + 1)
@@ -199,9 +201,14 @@ def flow_acc(directed: DataFrame, keys: Sequence[str] = (), max_rounds: int = 40
     known = now.select(F.col("cell").alias("_c"))
     # a direction out of the grid is no target
     now = stored(now.join(known.hint("shuffle_hash"), F.col("down") == F.col("_c"), "left").select("cell", F.col("_c").alias("down"), "acc"))
+    return _doubled(now, max_rounds).select("cell.*", "acc")
+
+
+def _doubled(now: DataFrame, max_rounds: int) -> DataFrame:
+    """(cell, down, acc) with the acc of all cells above each cell added to its own."""
     for _ in range(max_rounds):
         if now.where("down is not null").limit(1).count() == 0:
-            return now.select("cell.*", "acc")
+            return now
         given = now.where("down is not null").groupBy(F.col("down").alias("_to")).agg(F.sum("acc").alias("_more"))
         above = now.select(F.col("cell").alias("_cell"), F.col("down").alias("_down"))
         added = now.join(given.hint("shuffle_hash"), F.col("cell") == F.col("_to"), "left").withColumn("acc", F.col("acc") + F.coalesce("_more", F.lit(0)))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import geo
-from freshet.operators import grid
+from freshet.operators import grid, hydrology
 from freshet.plans import fixtures as fx
 from freshet.plans.registration import Registry
+from freshet.session import stored
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -88,20 +89,34 @@ def r07(spark, sf):
 
 @query("R07_reproject")
 def r07b(spark, sf):
-    source = geo.Grid(1000.0, 980_000.0, 1_820_000.0, 40, 40)
-    target = geo.Grid(1250.0, 14_165_000.0, 4_330_000.0, 50, 50)
+    side = fx.side(spark, sf)
+    source = geo.Grid(1000.0, 980_000.0, 1_820_000.0, side, side)
+    # a target of the same plane, over all the source: its corner and its span in Mercator metres
+    target = geo.Grid(1250.0, 14_165_000.0 - 1250.0 * side, 4_330_000.0 + 1250.0 * side, 4 * side, 4 * side)
     return grid.reproject(fx.cells(spark, sf), source, target, geo.TM_5179, ["z"])
 
 
-@query(
-    "R08_fill",
-    fx.sql("cells").replace("with ", "with recursive ", 1) + ", " + _STEPS + """, border as (select row, col, z from cells c where (select count(*) from cells n where n.row between c.row - 1 and c.row + 1 and n.col between c.col - 1 and c.col + 1) < 9),
-      f(row, col, w) using key (row, col) as (select row, col, z from border union
-        select c.row, c.col, min(greatest(c.z, f.w + 0.001)) from f join steps on true join cells c on c.row = f.row + dr and c.col = f.col + dc left join recurring.f as old on old.row = c.row and old.col = c.col where old.w is null or greatest(c.z, f.w + 0.001) < old.w group by 1, 2)
-      select c.row, c.col, round(w, 6) as filled, round(w - z, 6) as sink from cells c left join f using (row, col)""",
+#: Cells on the side of a tile of the registered queries: their grids have some 40 to 140 a side.
+TILE = 32
+_FILLED = (
+    fx.sql("cells").replace("with ", "with recursive ", 1)
+    + ", "
+    + _STEPS
+    + """, border as (
+        select row, col, z from cells c
+        where (select count(*) from cells n where n.row between c.row - 1 and c.row + 1 and n.col between c.col - 1 and c.col + 1) < 9),
+      f(row, col, w) using key (row, col) as (
+        select row, col, z from border
+        union
+        select c.row, c.col, min(greatest(c.z, f.w + 0.001)) from f join steps on true join cells c on c.row = f.row + dr and c.col = f.col + dc
+          left join recurring.f as old on old.row = c.row and old.col = c.col
+        where old.w is null or greatest(c.z, f.w + 0.001) < old.w - 1e-9 group by 1, 2)"""
 )
+
+
+@query("R08_fill", _FILLED + " select c.row, c.col, round(w, 6) as filled, round(w - z, 6) as sink from cells c left join f using (row, col)")
 def r08(spark, sf):
-    out = grid.fill(fx.cells(spark, sf).select("row", "col", "z"), "z", 0.001)
+    out = hydrology.fill(fx.cells(spark, sf).select("row", "col", "z"), "z", 0.001, TILE)
     return out.select("row", "col", F.round("filled", 6).alias("filled"), F.round(F.col("filled") - F.col("z"), 6).alias("sink"))
 
 
@@ -115,6 +130,25 @@ def r09(spark, sf):
     return grid.flow_acc(grid.d8(fx.cells(spark, sf).select("row", "col", "z"), "z"))
 
 
+@query(
+    "R10_filled_flow",
+    _FILLED
+    + """, w as (select c.row, c.col, round(w, 6) as z from cells c join f using (row, col)),
+      d as (
+        select a.row, a.col, a.row + dr as r2, a.col + dc as c2, k, (a.z - b.z) / case when dr <> 0 and dc <> 0 then sqrt(2) else 1 end as drop_m
+        from w a, steps join w b on b.row = a.row + dr and b.col = a.col + dc),
+      best as (select row, col, arg_max(k, (drop_m, -k))::int as d8, arg_max(r2, (drop_m, -k)) as r2, arg_max(c2, (drop_m, -k)) as c2 from d where drop_m > 0 group by 1, 2),
+      p as (select row, col, row as r, col as c from w union all select p.row, p.col, b.r2, b.c2 from p join best b on b.row = p.r and b.col = p.c),
+      acc as (select r as row, c as col, count(*) as acc from p group by 1, 2)
+      select w.row, w.col, w.z as filled, d8, acc from w left join best using (row, col) join acc using (row, col)""",
+)
+def r10b(spark, sf):
+    filled = hydrology.fill(fx.cells(spark, sf).select("row", "col", "z"), "z", 0.001, TILE)
+    directed = stored(grid.d8(filled.select("row", "col", F.round("filled", 6).alias("filled")), "filled"))
+    acc = hydrology.flow_acc(directed, TILE).withColumnsRenamed({"row": "_row", "col": "_col"})
+    return directed.join(acc.hint("shuffle_hash"), (F.col("row") == F.col("_row")) & (F.col("col") == F.col("_col"))).select("row", "col", "filled", "d8", "acc")
+
+
 @query("R10_tiled_rel_height", fx.sql("cells") + f" select a.row, a.col, round(a.z - min(b.z), 6) as rel_height from {_NEAR(3)} group by a.row, a.col, a.z")
 def r10(spark, sf):
     out = grid.tiled(fx.cells(spark, sf).select("row", "col", "z"), 16, 3, lambda df, keys: grid.rel_height(df, "z", 3, keys))
