@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -79,6 +80,12 @@ def _joining() -> frozenset[str]:
     return frozenset(second | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})
 
 
+@functools.cache
+def _capital_with_mark() -> re.Pattern:
+    """A-Z before a character that normalisation may join with a letter, other marks between them or not."""
+    return re.compile(f"[A-Z][^\\x00-\\x7f]*[{''.join(sorted(_joining()))}]")
+
+
 @functools.lru_cache(maxsize=50_000)
 def _kind(c: str) -> tuple[str, bool]:
     """L(etter), N(umber), S(pace), O(ther) or "" (not certain), and if a piece can start with the character.
@@ -246,8 +253,14 @@ class PrefixCounter:
         return out
 
     def _chunks(self, text: str) -> list[bytes]:
-        """The chunks of a text with A-Z lower-cased, as the normalizer does; as they are where that would make a special token."""
+        """The chunks of a text with A-Z lower-cased, as the normalizer does last.
+
+        As they are where that would make a special token, or where a mark after A-Z may be
+        composed with the small letter only: the normalizer composes before it lower-cases.
+        """
         data = text.encode()
+        if not text.isascii() and _capital_with_mark().search(text):
+            return data.split()
         low = data.lower()
         return (data if any(w.encode() in low for w in self.special) else low).split()
 
