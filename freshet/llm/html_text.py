@@ -71,7 +71,7 @@ _WORDS = frozenset(
 #: Words that make no other sense of a class or id beside one of ``_WORDS`` (related-posts, but not related-work).
 _COMPANIONS = frozenset(
     "area bar block bottom box buttons container content fixed form global group icon icons inline inner item items left link links list main mobile "
-    "page panel post posts primary right section signup site slot sticky text top unit wrap wrapper".split()
+    "page panel post posts primary right section signup site slot sticky text thread top unit user users reader readers visitor visitors wrap wrapper".split()
 )
 _CLOSES = {  # an open element of the key's kind ends where one of its value starts
     "p": _BLOCK - {"html", "body", "head"},
@@ -87,14 +87,33 @@ _CLOSES = {  # an open element of the key's kind ends where one of its value sta
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _RAW_TAGS = frozenset(_RAW.split("|"))
+#: Of these, elements with mark-up inside, which can hold one of their own kind.
+_NESTED = frozenset("noscript template svg canvas audio video select annotation annotation-xml".split())
+#: Elements that end where they start if written so (``<svg/>``).
+_FOREIGN = frozenset("svg annotation annotation-xml".split())
+_SAME = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in _NESTED}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW_TAGS}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def _spans(source: str, tag: str, last: int) -> dict[int, int]:
+    """Where each element of a kind that is closed starts and ends, its own kind inside it counted."""
+    out, open_ = {}, []
+    for m in _SAME[tag].finditer(source, 0, last + 1):
+        if not m[1]:
+            if not (tag in _FOREIGN and m[0].endswith("/>")):
+                open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) of a page in order: text, start, end; scripts and the like, comments and declarations are passed over."""
     at, last, quotes = 0, source.rfind(">"), True
+    spans: dict[str, dict[int, int]] = {}
+    never: set[str] = set()  # raw elements that are not closed any more
     while at < len(source):
         open_ = source.find("<", at)
         if open_ < 0:
@@ -122,9 +141,18 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
             at = end
             if name[0] == "/":
                 yield "end", name[1:], ""
+            elif name in _NESTED:
+                if name not in spans:
+                    spans[name] = _spans(source, name, last)
+                at = max(at, spans[name].get(open_, at))  # one that is never closed hides nothing
             elif name in _RAW_TAGS:
-                closed = _RAW_END[name].search(source, at)
-                at = closed.end() if closed else len(source)
+                closed = None if name in never else _RAW_END[name].search(source, at)
+                if closed:
+                    at = closed.end()
+                elif name in ("script", "style"):
+                    at = len(source)
+                else:
+                    never.add(name)
             else:
                 yield "start", name, attrs
         elif source.startswith("/", at):
@@ -243,6 +271,8 @@ class Page:
             self._flush()
         top = self.stack[-1]
         drop, content = _boilerplate(tag, attrs, top.content)
+        if tag == "article" and self.open["article"] and any(e.prose for e in self.stack):
+            drop, content = True, False  # after the text of an article: a comment on it
         if tag not in _BLOCK and drop and not top.dropped:
             self._flush()
         inside = top.content or content
