@@ -122,7 +122,7 @@ def _merged(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
 
 
 def item_groups(items: DataFrame, group_chars: int = GROUP_CHARS) -> list[DataFrame]:
-    """``items`` in groups of about ``group_chars`` characters, by a hash of the id."""
+    """Different ``items`` in groups of about ``group_chars`` characters, by a hash of id and text; one longer item is a group of its own size."""
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-chars // group_chars))
     group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
@@ -137,7 +137,7 @@ def contaminated(
     With several groups each one's hits are written before the next is collected, and the
     plan that comes back reads the hits alone.
     """
-    groups = item_groups(items.select("item_id", "text"), group_chars)
+    groups = item_groups(items.select("item_id", "text").dropDuplicates(), group_chars)
     path = f"{shared_dir(docs.sparkSession)}/freshet-{uuid.uuid4().hex}" if len(groups) > 1 else None
     for group in groups:
         held = [(r["item_id"], r["text"]) for r in group.collect()]  # at most a group's characters
@@ -177,7 +177,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE,
 
     With several groups, what one leaves is written before the next is collected.
     """
-    groups = item_groups(items.select("item_id", "text"), group_chars)
+    groups = item_groups(items.select("item_id", "text").dropDuplicates(), group_chars)
     for i, group in enumerate(groups):
         held = [(r["item_id"], r["text"]) for r in group.collect()]  # at most a group's characters
         docs = docs.where(~_holds(held, rate)(F.col("text")))
