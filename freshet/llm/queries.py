@@ -91,6 +91,7 @@ def _url_oracle() -> str:
     decoded = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     for code, c in url_filter.ENCODED:
         decoded = f"replace({decoded}, '{code}', '{c}')"
+    decoded = f"regexp_replace({decoded}, '%[0-9a-f]{{2}}', ' ', 'g')"
     return f"""
     with parts as (
       select page_id, {decoded} as low,

@@ -21,6 +21,7 @@ empty result, and input columns named like an output column are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import ahocorasick
@@ -32,8 +33,8 @@ LIMIT = 3
 # The default vocabulary, lower case.
 STRICT_TERMS = (
     # English
-    "adult", "adults", "camgirl", "camgirls", "casino", "casinos", "cialis", "erotic", "erotica", "escort", "escorts", "hentai", "hookup", "hookups",
-    "malware", "milf", "phishing", "porn", "porno", "pornography", "spam", "spyware", "viagra", "warez", "webcam", "webcams", "xxx",
+    "camgirl", "camgirls", "casino", "casinos", "cialis", "erotic", "erotica", "hentai", "hookup", "hookups",
+    "milf", "porn", "porno", "pornography", "viagra", "warez", "xxx",
     # German
     "erotik", "pornos", "sexkontakte", "spielbank", "spielcasino",
     # French
@@ -44,8 +45,8 @@ STRICT_TERMS = (
 #: Soft terms that weigh 2.
 SUSPECT_TERMS = (
     # English
-    "adware", "baccarat", "betting", "bookmaker", "crack", "cracked", "doorway", "gamble", "gambling", "jackpot", "keygen", "lottery", "naked", "nude", "nudes",
-    "payday", "pills", "pirate", "poker", "roulette", "sex", "sexy", "slots", "torrent", "torrents",
+    "adult", "adults", "adware", "baccarat", "betting", "bookmaker", "crack", "cracked", "doorway", "escort", "escorts", "gamble", "gambling", "jackpot", "keygen", "lottery", "malware", "naked", "nude", "nudes",
+    "payday", "phishing", "pills", "pirate", "poker", "roulette", "sex", "sexy", "slots", "spam", "spyware", "torrent", "torrents", "webcam", "webcams",
     # German
     "gewinnspiel", "nackt", "wetten",
     # French
@@ -101,12 +102,16 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 ENCODED = tuple((f"%{ord(c):02x}", c.lower()) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
+_ESCAPE = re.compile("%[0-9a-f]{2}")
+
+
 def plain_url(url: str) -> str:
-    """A URL with A-Z lower-cased and percent-encoded letters and digits decoded."""
+    """A URL with A-Z lower-cased, percent-encoded letters and digits decoded, and other escapes as a boundary."""
     low = url.translate(_LOWER)
     if "%" in low:
         for code, c in ENCODED:
             low = low.replace(code, c)
+        low = _ESCAPE.sub(" ", low)
     return low
 
 
