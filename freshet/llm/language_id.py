@@ -4,8 +4,10 @@ Every word of a text is labelled with a language by forward-backward. A word's s
 language adds up learned weights of its features: character n-grams of 2 to 4 with word
 edges, affixes of 1 to 4 letters (the grams that touch an edge, of up to 5 with it), and
 membership in a lexicon of frequent words. Learned transition weights tie neighbours, so a
-passage in a second language inside a text is labelled as such. Chains run over stretches
-of ``STRETCH`` words, in training and in prediction; a text of any length is read whole.
+passage in a second language inside a text is labelled as such. A text of any length is read
+whole: for prediction its chain is worked on in stretches of ``STRETCH`` words, with ``BESIDE``
+words of the text on both sides, whose own posteriors are left out, so that messages come in
+from both sides; training cuts its windows into chains of ``STRETCH`` words.
 The text's language is the one with the largest mean posterior over all its words, and that
 mean is the score.
 
@@ -51,6 +53,8 @@ MEMO_WORDS = 300_000
 #: Words whose chains are held at once, for four languages; fewer for more.
 BATCH_WORDS = 400_000
 STRETCH = 256
+#: Words on both sides of a stretch that it is read with.
+BESIDE = 32
 STICKY = 0.95
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -174,6 +178,7 @@ class Crf:
         sums, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype="int64")
         held: list[list[str]] = []
         where: list[int] = []
+        cores: list[tuple[int, int]] = []
         total = 0
 
         def flush() -> None:
@@ -181,16 +186,24 @@ class Crf:
                 lengths = np.fromiter(map(len, held), "int64", len(held))
                 at = self.emissions([w for ws in held for w in ws])
                 post = self.posteriors(self.scores[at], lengths, self.transitions)
-                np.add.at(sums, where, np.add.reduceat(post, np.cumsum(lengths) - lengths, axis=0))
+                begins = np.cumsum(lengths) - lengths
+                first, size = np.array(cores).T
+                # a sum over each core, which is not empty; what lies between two cores is passed over
+                edges = np.stack([begins + first, begins + first + size], axis=1).ravel()
+                padded = np.concatenate([post, np.zeros((1, post.shape[1]))])
+                np.add.at(sums, where, np.add.reduceat(padded, edges, axis=0)[::2])
             held.clear()
             where.clear()
+            cores.clear()
 
         for i, text in enumerate(texts if self.langs else []):
             words = words_of(text) if text else []
             counts[i] = len(words)
             for a in range(0, len(words), STRETCH):
-                held.append(words[a : a + STRETCH])
+                lead = max(0, a - BESIDE)
+                held.append(words[lead : a + STRETCH + BESIDE])
                 where.append(i)
+                cores.append((a - lead, min(STRETCH, len(words) - a)))
                 total += len(held[-1])
                 if total >= self.batch_words:
                     flush()
