@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.operators.ordering import running
 from freshet.session import stored
 
 #: Rounds whose results are put together, so that no round reads many tables.
 COMPACT_ROUNDS = 8
+#: Edges of a block of nodes, and sources that a task follows at once.
+BLOCK_EDGES = 1_000_000
+SOURCES_TOGETHER = 64
+#: The last edge of a path without edges.
+NO_EDGE = -(1 << 63)
+
+_REACHED = "source long, node long, dist double, via long, hop long, block long, grp long, own boolean"
 
 
 def risk_cost(length: Column, high_m: Column, very_high_m: Column) -> Column:
@@ -23,35 +34,104 @@ def simplest(edges: DataFrame, weight: str) -> DataFrame:
     return best.select("src", "dst", F.col("_b.w").alias("w"), F.col("_b.e").alias("edge_id"))
 
 
-def distances(roads: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
-    """(node, dist, via, hop): least weight from ``source``, the last edge of such a path and the round that found it.
+def _blocked(roads: DataFrame, block_edges: int) -> tuple[DataFrame, list[float]]:
+    """``roads`` with ``block``, ranges of node ids with about ``block_edges`` edges each, and the ranges' starts but the first."""
+    blocks = max(1, -(-roads.count() // block_edges))
+    starts = sorted(set(roads.approxQuantile("src", [i / blocks for i in range(1, blocks)], 1 / (10 * blocks)))) if blocks > 1 else []
+
+    @F.pandas_udf("long")
+    def block(nodes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, nodes.to_numpy(), side="right"))
+
+    return stored(roads.withColumn("block", block("src") if starts else F.lit(0).cast("long"))), starts
+
 
-    A round relaxes only the edges of nodes that improved in the last one, compares the nodes
-    it reaches with the best so far, and writes only those that improved. Ties go to the
-    smaller edge id.
+def distances_from(roads: DataFrame, sources: DataFrame, bound: float | None = None, block_edges: int = BLOCK_EDGES, together: int = SOURCES_TOGETHER, max_rounds: int = 10_000) -> DataFrame:
+    """(source, node, dist, via, hop): least weight from every ``source`` up to ``bound``, the last edge of such a path and its number of edges.
+
+    Nodes are cut into blocks by ranges of ids, sources into groups of ``together``. A round
+    takes each block and group that something new has reached, with the best so far there,
+    settles it by least (weight, edges, last edge), and sends what leaves it to other blocks:
+    rounds follow the blocks on a path, not its edges, and only what is reached is shuffled
+    beside the blocks it reaches. Memory of a task: a block's edges and ``together`` sources.
     """
-    start = roads.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("via"), F.lit(0).alias("hop"))
-    front = base = stored(start)
-    later: list[DataFrame] = []
-    best = F.min(F.struct("dist", "hop", "via")).alias("b")
-    settled = lambda df: df.groupBy("node").agg(best).select("node", "b.dist", "b.via", "b.hop")
-    for hop in range(1, max_rounds + 1):
-        known = reduce(DataFrame.unionByName, later, base)
-        reach = front.select(F.col("node").alias("src"), "dist").join(roads.hint("shuffle_hash"), "src")
-        reach = reach.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("edge_id").alias("via"))).alias("n"))
-        seen = known.join(reach.select(F.col("node").alias("_at")).hint("shuffle_hash"), F.col("node") == F.col("_at"), "left_semi").groupBy(F.col("node").alias("_node")).agg(F.min("dist").alias("_dist"))
-        better = reach.join(seen.hint("shuffle_hash"), F.col("node") == F.col("_node"), "left").where(F.col("_dist").isNull() | (F.col("n.dist") < F.col("_dist")))
-        front = stored(better.select("node", "n.dist", "n.via", F.lit(hop).alias("hop")))
-        if front.limit(1).count() == 0:
-            return settled(known)
-        later.append(front)
-        if len(later) == COMPACT_ROUNDS:
-            base, later = stored(settled(reduce(DataFrame.unionByName, later, base))), []
+    edges, starts = _blocked(roads.select("src", "dst", "w", "edge_id"), block_edges)
+    most = float("inf") if bound is None else bound
+
+    def settle(edges: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in _REACHED.split(", ")]
+        if held.empty:
+            return pd.DataFrame([], columns=names)
+        block, group = int(held["block"].iloc[0]), int(held["grp"].iloc[0])
+        out: dict[int, list[tuple[int, float, int]]] = {}
+        for s, d, w, e in zip(edges["src"].tolist(), edges["dst"].tolist(), edges["w"].tolist(), edges["edge_id"].tolist(), strict=True):
+            out.setdefault(s, []).append((d, w, e))
+        home = dict(zip((ends := edges["dst"].unique()).tolist(), np.searchsorted(starts, ends, side="right").tolist(), strict=True)) if len(edges) else {}
+        rows = []
+        for source, mine in held.groupby("source"):
+            known: dict[int, tuple] = {}
+            new = []
+            for n, d, h, v, fresh in zip(mine["node"].tolist(), mine["dist"].tolist(), mine["hop"].tolist(), mine["via"].tolist(), mine["fresh"].tolist(), strict=True):
+                if fresh:
+                    new.append((d, h, v, n))
+                else:
+                    known[n] = min(known.get(n, (d, h, v)), (d, h, v))
+            heapq.heapify(new)
+            sent: dict[int, tuple] = {}
+            better: dict[int, tuple] = {}
+            while new:
+                d, h, v, n = heapq.heappop(new)
+                if n in known and known[n] <= (d, h, v):
+                    continue
+                known[n] = better[n] = (d, h, v)
+                for to, w, e in out.get(n, ()):
+                    step = (d + w, h + 1, e)
+                    if step[0] > most:
+                        continue
+                    if home[to] != block:
+                        sent[to] = min(sent.get(to, step), step)
+                    elif to not in known or step < known[to]:
+                        heapq.heappush(new, (*step, to))
+            rows += [(source, n, d, v, h, block, group, True) for n, (d, h, v) in better.items()]
+            rows += [(source, n, d, v, h, home[n], group, False) for n, (d, h, v) in sent.items()]
+        return pd.DataFrame(rows, columns=names)
+
+    numbered = running(sources.select(F.col("source").cast("long").alias("source")).distinct(), [F.col("source")], {"_n": F.lit(1)})
+    at = F.pandas_udf(lambda nodes: pd.Series(np.searchsorted(starts, nodes.to_numpy(), side="right")), "long")("source")
+    fresh = numbered.select(
+        "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(NO_EDGE).alias("via"), F.lit(0).cast("long").alias("hop"), at.alias("block"), F.floor((F.col("_n") - 1) / together).alias("grp")
+    )
+    fresh = stored(fresh)
+    parts: list[DataFrame] = []
+    keys = ["block", "grp"]
+    for _ in range(max_rounds):
+        active = fresh.select(*keys).distinct()
+        if active.limit(1).count() == 0:
+            best = reduce(DataFrame.unionByName, parts, fresh).groupBy("source", "node").agg(F.min(F.struct("dist", "hop", "via")).alias("b"))
+            return best.select("source", "node", "b.dist", F.nullif("b.via", F.lit(NO_EDGE)).alias("via"), "b.hop")
+        pairs = active.select(F.col("block").alias("_block"), F.col("grp").alias("_grp")).hint("shuffle_hash")
+        held = fresh.withColumn("fresh", F.lit(True))
+        if parts:
+            before = reduce(DataFrame.unionByName, parts).join(pairs, (F.col("block") == F.col("_block")) & (F.col("grp") == F.col("_grp")), "left_semi")
+            held = held.unionByName(before.withColumn("fresh", F.lit(False)))
+        sent = edges.join(pairs, F.col("block") == F.col("_block")).select("src", "dst", "w", "edge_id", F.col("block").alias("e_block"), F.col("_grp").alias("e_grp"))
+        reached = stored(sent.groupBy("e_block", "e_grp").cogroup(held.groupBy(*keys)).applyInPandas(settle, _REACHED))
+        parts.append(reached.where("own").drop("own"))
+        left = reached.where("not own").groupBy("source", "node", *keys).agg(F.min(F.struct("dist", "hop", "via")).alias("b"))
+        fresh = stored(left.select("source", "node", "b.dist", "b.via", "b.hop", *keys))
+        if len(parts) == COMPACT_ROUNDS:
+            best = reduce(DataFrame.unionByName, parts).groupBy("source", "node", *keys).agg(F.min(F.struct("dist", "hop", "via")).alias("b"))
+            parts = [stored(best.select("source", "node", "b.dist", "b.via", "b.hop", *keys))]
     raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
 
 
-def sssp(edges: DataFrame, source: int, weight: str = "len", avoid_blocked: bool = False, max_rounds: int = 10_000) -> DataFrame:
-    """(node, dist, path): least total weight from ``source``, and the edge ids of such a path.
+def distances(roads: DataFrame, source: int, **kw) -> DataFrame:
+    """(node, dist, via, hop) from one source."""
+    return distances_from(roads, roads.sparkSession.range(1).select(F.lit(source).cast("long").alias("source")), **kw).drop("source")
+
+
+def routes(edges: DataFrame, sources: DataFrame, weight: str = "len", avoid_blocked: bool = False, bound: float | None = None, **kw) -> DataFrame:
+    """(source, node, dist, path): least total weight from every source, and the edge ids of such a path.
 
     Distances come first, with the last edge of each path; paths are then put together by
     doubling, from the last edges back to the source, in as many rounds as the longest
@@ -59,17 +139,21 @@ def sssp(edges: DataFrame, source: int, weight: str = "len", avoid_blocked: bool
     """
     usable = edges.where(~F.col("blocked")) if avoid_blocked else edges
     roads = stored(simplest(usable, weight))
-    found = stored(distances(roads, source, max_rounds))
+    found = stored(distances_from(roads, sources, bound, **kw))
     came = roads.select(F.col("edge_id").alias("_via"), F.col("src").alias("up"))
+    nothing = F.array().cast("array<long>")
     # path: the edges between ``up`` and the node
-    now = stored(
-        found.join(came.hint("shuffle_hash"), F.col("via") == F.col("_via"), "left").select("node", "dist", "up", F.when(F.col("via").isNotNull(), F.array("via")).otherwise(F.array().cast("array<long>")).alias("path"))
-    )
+    now = stored(found.join(came.hint("shuffle_hash"), F.col("via") == F.col("_via"), "left").select("source", "node", "dist", "up", F.when(F.col("via").isNotNull(), F.array("via")).otherwise(nothing).alias("path")))
     while now.where("up is not null").limit(1).count():
-        above = now.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("path").alias("_path")).hint("shuffle_hash")
-        far = now.join(above, F.col("up") == F.col("_node"), "left")
-        now = stored(far.select("node", "dist", F.col("_up").alias("up"), F.concat(F.coalesce("_path", F.array().cast("array<long>")), "path").alias("path")))
-    return now.select("node", "dist", "path")
+        above = now.select(F.col("source").alias("_source"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("path").alias("_path")).hint("shuffle_hash")
+        far = now.join(above, (F.col("source") == F.col("_source")) & (F.col("up") == F.col("_node")), "left")
+        now = stored(far.select("source", "node", "dist", F.col("_up").alias("up"), F.concat(F.coalesce("_path", nothing), "path").alias("path")))
+    return now.select("source", "node", "dist", "path")
+
+
+def sssp(edges: DataFrame, source: int, weight: str = "len", avoid_blocked: bool = False, **kw) -> DataFrame:
+    """(node, dist, path) from one source; see ``routes``."""
+    return routes(edges, edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("source")), weight, avoid_blocked, **kw).drop("source")
 
 
 def route_metrics(paths: DataFrame, edges: DataFrame, measures: dict[str, Column] | None = None) -> DataFrame:
@@ -97,6 +181,15 @@ def choose_destination(paths: DataFrame, candidates: DataFrame, inside_risk: Dat
     return near.join(cost, "node").orderBy("cost", "id").limit(1)
 
 
+def choose_destinations(routes: DataFrame, candidates: DataFrame, inside_risk: DataFrame, radius: float, nearest: int = 25) -> DataFrame:
+    """(source, id, cost): of each source's ``nearest`` candidates (source, id, node, dist_m) within ``radius`` and outside risk, the reachable one of least cost."""
+    near = candidates.where(F.col("dist_m") <= radius).join(inside_risk.select("id").hint("shuffle_hash"), "id", "left_anti")
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("dist_m", "id"))).where(F.col("_n") <= nearest)
+    cost = routes.select("source", "node", F.col("dist").alias("cost"))
+    best = ranked.select("source", "node", "id").join(cost.hint("shuffle_hash"), ["source", "node"]).groupBy("source").agg(F.min(F.struct("cost", "id")).alias("_b"))
+    return best.select("source", F.col("_b.id").alias("id"), F.col("_b.cost").alias("cost"))
+
+
 def nearest_safe(routes: DataFrame, least_m: float = 25.0) -> DataFrame:
     """For each origin, the nearest route end at least ``least_m`` away: (origin, id, length)."""
     best = routes.where(F.col("length") >= least_m).groupBy("origin").agg(F.min(F.struct("length", "id")).alias("_b"))

@@ -10,7 +10,7 @@ from freshet.functions import geo
 from freshet.operators import graph
 from freshet.plans import fixtures as fx
 from freshet.plans.registration import Registry
-from freshet.session import checkpointed, shared_dir, table
+from freshet.session import checkpointed, shared_dir, stored, table
 from freshet.sources import tables as src
 
 query = Registry()
@@ -196,12 +196,51 @@ def _sssp_sql(where: str) -> str:
 
 @query("R13_sssp", _sssp_sql("true") + " select node, dist from d")
 def r13(spark, sf):
-    return graph.sssp(fx.edges(spark, sf), 0).select("node", "dist")
+    return graph.distances(graph.simplest(fx.edges(spark, sf), "len"), 0).select("node", "dist")
 
 
 @query("R13_sssp_avoiding", _sssp_sql("not blocked") + " select node, dist from d")
 def r13b(spark, sf):
-    return graph.sssp(fx.edges(spark, sf), 0, avoid_blocked=True).select("node", "dist")
+    return graph.distances(graph.simplest(fx.edges(spark, sf).where("not blocked"), "len"), 0).select("node", "dist")
+
+
+#: A road in every seventh order's place runs through high risk for half its length, in every eleventh through very high.
+_RISKY = "len + 5 * (case when edge_id % 7 = 0 then len / 2 else 0 end) + 12 * (case when edge_id % 11 = 0 then len / 2 else 0 end)"
+
+
+def _risky(edges):
+    part = lambda k: F.when(F.col("edge_id") % k == 0, F.col("len") / 2).otherwise(0.0)
+    return edges.withColumn("cost", graph.risk_cost(F.col("len"), part(7), part(11)))
+
+
+def _many_sql(weight: str, where: str, bound: float) -> str:
+    """d (source, node, dist): from every hundredth node, up to a bound."""
+    return (
+        fx.sql("edges").replace("with ", "with recursive ", 1)
+        + f""", e as (select src, dst, min({weight}) as w from edges where {where} group by 1, 2),
+      d(source, node, dist) using key (source, node) as (
+        select distinct src, src, 0.0::double from e where src % 100 = 0
+        union
+        select d.source, e.dst, min(d.dist + e.w) from d join e on d.node = e.src
+          left join recurring.d as r on r.source = d.source and r.node = e.dst
+        where d.dist + e.w <= {bound} and (r.dist is null or d.dist + e.w < r.dist) group by d.source, e.dst)"""
+    )
+
+
+def _many(edges, weight: str, bound: float):
+    roads = graph.simplest(edges, weight)
+    return graph.distances_from(roads, roads.where("src % 100 = 0").select(F.col("src").alias("source")).distinct(), bound)
+
+
+@query("R13_risk_cost", _many_sql(_RISKY, "not blocked", 4000) + " select source, node, round(dist, 6) as cost from d")
+def r13c(spark, sf):
+    found = _many(_risky(fx.edges(spark, sf)).where("not blocked"), "cost", 4000.0)
+    return found.select("source", "node", F.round("dist", 6).alias("cost"))
+
+
+@query("R13_many_sources", _many_sql("len", "true", 4000) + " select source, node, dist from d")
+def r13d(spark, sf):
+    return _many(fx.edges(spark, sf), "len", 4000.0).select("source", "node", "dist")
 
 
 def _route_sql(where: str, d: str, t: str) -> str:
@@ -229,10 +268,24 @@ def r15(spark, sf):
     return graph.choose_destination(paths, c, c.where("id % 5 = 0"), 4000.0).select("id", "cost")
 
 
-@query("R16_nearest_safe", "select o_custkey as origin, arg_min(o_orderkey, (round(o_totalprice / 100), o_orderkey)) as id, min(round(o_totalprice / 100)) as length from orders where round(o_totalprice / 100) >= 25 group by 1")
+@query(
+    "R15_choose_destinations",
+    _many_sql(_RISKY, "not blocked", 4000)
+    + """, c as (select source, node as id, node, ((node * 37 + source * 11) % 5000)::double as dist_m from d where node % 3 = 1),
+      n as (select *, row_number() over (partition by source order by dist_m, id) as n from c where dist_m <= 4000 and id % 5 <> 0)
+      select source, arg_min(id, (d.dist, id)) as id, round(min(d.dist), 6) as cost from n join d using (source, node) where n <= 25 group by source""",
+)
+def r15b(spark, sf):
+    paths = stored(_many(_risky(fx.edges(spark, sf)).where("not blocked"), "cost", 4000.0))
+    c = paths.where("node % 3 = 1").select("source", F.col("node").alias("id"), "node", ((F.col("node") * 37 + F.col("source") * 11) % 5000).cast("double").alias("dist_m"))
+    inside = c.where("id % 5 = 0").select("id").distinct()
+    return graph.choose_destinations(paths, c, inside, 4000.0).select("source", "id", F.round("cost", 6).alias("cost"))
+
+
+@query("R16_nearest_safe", _many_sql("len", "not blocked", 4000) + " select source as origin, arg_min(node, (dist, node)) as id, min(dist) as length from d where dist >= 25 and node % 5 <> 0 group by 1")
 def r16(spark, sf):
-    routes = table(spark, sf, "orders").select(F.col("o_custkey").alias("origin"), F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 100).alias("length"))
-    return graph.nearest_safe(routes)
+    found = _many(fx.edges(spark, sf).where("not blocked"), "len", 4000.0)
+    return graph.nearest_safe(found.where("node % 5 <> 0").select(F.col("source").alias("origin"), F.col("node").alias("id"), F.col("dist").alias("length")))
 
 
 @query(
