@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from freshet.functions import geo
 from freshet.session import stored
 
+#: Blocks of squares inside a zone have up to 2^MOST_LEVELS squares a row.
+MOST_LEVELS = 40
+
 
 def bucketed(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
     """``df`` with the bucket (_bx, _by) of a point."""
@@ -102,32 +105,76 @@ def _crossing(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Colu
     return F.when(spans & (x < at), 1).otherwise(0)
 
 
+def _dyadic(low: Column, high: Column) -> Column:
+    """[low, high] as array<struct<level, block>>: at most two blocks of 2^level squares for each level."""
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    piece = lambda k, c, when: F.when(when, F.array(F.struct(k.cast("int").alias("level"), c.cast("bigint").alias("block")))).otherwise(none)
+
+    def step(acc: Column, k: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        first = (lo <= hi) & (lo.bitwiseAND(F.lit(1)) == 1)
+        after = F.when(first, lo + 1).otherwise(lo)
+        last = (after <= hi) & (hi.bitwiseAND(F.lit(1)) == 0)
+        until = F.when(last, hi - 1).otherwise(hi)
+        left = after <= until  # else an empty range, which stays empty
+        return F.struct(F.when(left, F.shiftright(after, 1)).otherwise(1).alias("lo"), F.when(left, F.shiftright(until, 1)).otherwise(0).alias("hi"), F.concat(acc["out"], piece(k, lo, first), piece(k, hi, last)).alias("out"))
+
+    start = F.struct(low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_LEVELS)), start, step)["out"]
+
+
+def covering(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Squares of zones: (zone, ord, _bx, _by, _beyond, _edges) of a border, and (zone, ord, _by, level, block) of the inside.
+
+    A border square has the edges that touch it and how many edges a ray to the right from the
+    middle of its right side crosses. Runs of squares between two border squares of a row hold
+    no edge, so one of their points tells for all; a run inside comes as blocks of 2^level squares.
+    """
+    bands = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size - 1e-9), F.floor(F.greatest("y1", "y2") / size + 1e-9))))
+    low, high, middle = F.col("_by") * size, (F.col("_by") + 1) * size, (F.col("_by") + 0.5) * size
+    # where the edge is inside its row of squares; a level edge over its whole length
+    at = lambda y, level: F.coalesce(F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)), level)
+    upper, lower = F.least(high, F.greatest("y1", "y2")), F.greatest(low, F.least("y1", "y2"))
+    a, b = at(lower, F.col("x1")), at(upper, F.col("x2"))
+    ends = {"_from": F.floor(F.least(a, b) / size - 1e-9), "_to": F.floor(F.greatest(a, b) / size + 1e-9)}
+    spans = (F.col("y1") > middle) != (F.col("y2") > middle)
+    cut = bands.withColumns(ends | {"_at": F.when(spans, at(middle, F.col("x1")))}).select("zone", "ord", "_by", "_from", "_to", "_at", "x1", "y1", "x2", "y2")
+    cut = stored(cut)
+    rows = cut.groupBy("zone", "ord", "_by").agg(F.collect_list("_at").alias("_ats")).withColumnsRenamed({"zone": "_zone", "ord": "_ord", "_by": "_row"})
+    squares = cut.withColumn("_bx", F.explode(F.sequence("_from", "_to"))).groupBy("zone", "ord", "_by", "_bx").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    same = (F.col("zone") == F.col("_zone")) & F.col("ord").eqNullSafe(F.col("_ord")) & (F.col("_by") == F.col("_row"))
+    squares = squares.withColumn("_next", F.lead("_bx").over(Window.partitionBy("zone", "ord", "_by").orderBy("_bx"))).join(rows.hint("shuffle_hash"), same)
+    right = lambda bx: F.size(F.filter("_ats", lambda x: x > (bx + 1) * size))
+    squares = squares.withColumns({"_beyond": right(F.col("_bx")), "_gap": (F.col("_next") > F.col("_bx") + 1) & (right(F.col("_bx") + 0.5) % 2 == 1)})
+    squares = stored(squares.select("zone", "ord", "_by", "_bx", "_next", "_edges", "_beyond", "_gap"))
+    runs = squares.where("_gap").select("zone", "ord", "_by", F.explode(_dyadic(F.col("_bx") + 1, F.col("_next") - 1)).alias("_p"))
+    return squares.select("zone", "ord", "_bx", "_by", "_beyond", "_edges"), stored(runs.select("zone", "ord", "_by", "_p.level", "_p.block"))
+
+
 def points_in_polygons(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """(id, zone, ord) for each point strictly inside a zone of the edge table (holes by parity).
 
-    A ray to the right from a point crosses the edges of its row of squares. Edges are put
-    once in each row of squares they reach, and a square of points meets those of a zone as
-    one row, if it lies between their ends: edges of the row's full height that are to its
-    right come as a count, those in it and those that end in the row one by one.
+    Zones are covered by squares (``covering``). A square of points inside a zone is found by
+    one lookup for each level of blocks, whatever a zone's width, and answers at once. A point
+    in a border square counts the square's own edges: to the right side of the square on its
+    own height, then up or down that side to the middle, from where the count is known.
     """
-    bands = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))))
-    low, high = F.col("_by") * size, (F.col("_by") + 1) * size
-    whole = (F.least("y1", "y2") <= low) & (F.greatest("y1", "y2") >= high)
-    # where the edge is inside its row of squares
-    at = lambda y: F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
-    a, b = at(F.greatest(low, F.least("y1", "y2"))), at(F.least(high, F.greatest("y1", "y2")))
-    cut = bands.where("y1 <> y2").withColumns({"_whole": whole, "_left": F.floor((F.least(a, b) - size * 1e-9) / size), "_right": F.floor((F.greatest(a, b) + size * 1e-9) / size)})
-    cut = cut.select("zone", "ord", "_by", "_whole", "_left", "_right", "x1", "y1", "x2", "y2")
+    border, inner = covering(edges, size)
     points = bucketed(p.select("id", "x", "y"), "x", "y", size)
-    here = points.select("_bx", "_by").distinct()
-    row = cut.groupBy("_by", "zone", "ord").agg(F.array_sort(F.collect_list(F.when(F.col("_whole"), F.col("_left")))).alias("_lefts"), F.collect_list(F.struct("_whole", "_left", "_right", "x1", "y1", "x2", "y2")).alias("_edges"), F.min("_left").alias("_from"), F.max("_right").alias("_to"))
-    near = lambda e: (e["_right"] >= F.col("_bx")) & ~(e["_whole"] & (e["_left"] > F.col("_bx")))
-    squares = here.join(row.hint("shuffle_hash"), "_by").where("_bx between _from and _to").select(
-        "_bx", "_by", "zone", "ord", F.size(F.filter("_lefts", lambda x: x > F.col("_bx"))).alias("_beyond"), F.filter("_edges", near).alias("_near")
-    )
-    crossed = F.aggregate("_near", F.lit(0), lambda n, e: n + _crossing(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"]))
-    hits = points.join(squares.hint("shuffle_hash"), ["_bx", "_by"]).where((F.col("_beyond") + crossed) % 2 == 1)
-    return hits.select("id", "zone", "ord")
+    here = stored(points.select("_bx", "_by").distinct())
+    levels = sorted(r["level"] for r in inner.select("level").distinct().collect())  # at most MOST_LEVELS + 1
+    at = here.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    blocks = inner.withColumnsRenamed({"_by": "_row", "level": "_level"})
+    shifted = F.expr("shiftright(_bx, level)")
+    whole = at.join(blocks.hint("shuffle_hash"), (F.col("_by") == F.col("_row")) & (F.col("level") == F.col("_level")) & (shifted == F.col("block")))
+    inside = points.join(whole.select("_bx", "_by", "zone", "ord").hint("shuffle_hash"), ["_bx", "_by"]).select("id", "zone", "ord")
+    side, middle = (F.col("_bx") + 1) * size, (F.col("_by") + 0.5) * size
+    up = lambda e: F.when((e["x1"] > side) != (e["x2"] > side), e["y1"] + (e["y2"] - e["y1"]) * (side - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)))
+    passed = lambda e: F.when((up(e) > F.col("y")) != (up(e) > middle), 1).otherwise(0)
+    beside = lambda e: _crossing(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"]) - _crossing(side, F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])
+    crossed = F.aggregate("_edges", F.lit(0), lambda n, e: n + passed(e) + beside(e))
+    near = points.join(border.hint("shuffle_hash"), ["_bx", "_by"]).where(F.pmod(F.col("_beyond") + crossed, F.lit(2)) == 1)
+    return inside.unionByName(near.select("id", "zone", "ord"))
 
 
 def assign_zone(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
