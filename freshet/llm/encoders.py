@@ -34,8 +34,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Distinct chunks, and their characters, that a worker remembers before it starts afresh.
-MEMO_CHUNKS = 400_000
+#: Distinct chunks, and their characters, that a worker remembers before it starts another memo; it keeps the one before.
+MEMO_CHUNKS = 300_000
 MEMO_CHARS = 10_000_000
 #: Characters of chunks that go to the library at once (one chunk at least).
 BATCH_CHARS = 500_000
@@ -69,12 +69,13 @@ def _batches(chunks: Iterable[str]) -> Iterator[list[str]]:
 class Encoder:
     """Ids of texts for one vocabulary file, without begin, end or added special tokens.
 
-    ``special_as_text`` reads the strings of special tokens in texts as ordinary text; else
+    An encoder is used with ``exact`` always or never. ``special_as_text`` reads the strings of special tokens in texts as ordinary text; else
     they are handled as the library does by default.
     """
 
     def __init__(self, path: str, special_as_text: bool = False, memo_chunks: int = MEMO_CHUNKS):
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the memo before this one
         self.memo_chunks, self.memo_chars = memo_chunks, 0
         self.pieces = path.endswith(".model")
         if self.pieces:
@@ -142,18 +143,21 @@ class Encoder:
             return None
         return (_PIECE_CHUNK if self.pieces else _BYTE_CHUNK).findall(text)
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The packed ids of different chunks; new ones go into the memo, and into ``lossy`` if their tokens stand for other bytes."""
+    def learn(self, chunks: set[str], exact: bool) -> dict[str, bytes]:
+        """The packed ids of different chunks; new ones go into the memo, and if ``exact`` into ``lossy`` if their tokens stand for other bytes."""
         if len(self.memo) > self.memo_chunks or self.memo_chars > MEMO_CHARS:
-            self.memo, self.memo_chars, self.lossy = dict(self.fixed), 0, set()
-        memo = self.memo
-        for batch in _batches(chunks.difference(memo)):
+            self.older, self.memo, self.memo_chars = self.memo, dict(self.fixed), 0
+        memo, older = self.memo, self.older
+        new = chunks.difference(memo)
+        again = new.intersection(older)
+        memo.update((c, older[c]) for c in again)
+        for batch in _batches(new - again):
             self.memo_chars += sum(map(len, batch))
             apart = [c for c in batch if c[0] not in " \n" or c[-1].isspace()]
             beside = [c for c in batch if c[0] in " \n" and not c[-1].isspace()]
             for part, ids in ((apart, self._whole(apart)), (beside, self._joined(beside) if beside else [])):
                 memo.update(zip(part, ids, strict=True))
-                if not self.stands(b"".join(ids), "".join(part)):
+                if exact and not self.stands(b"".join(ids), "".join(part)):
                     self.lossy.update(c for c, i in zip(part, ids, strict=True) if not self.stands(i, c))
         return {c: memo[c] for c in chunks}
 
@@ -175,7 +179,7 @@ class Encoder:
                 held.append((text, cut))
                 chars += len(text)
             if cut is None or chars > BATCH_CHARS:
-                known = self.learn(set(chain.from_iterable(c for _, c in held)))
+                known = self.learn(set(chain.from_iterable(c for _, c in held)), exact)
                 for t, c in held:
                     ids = b"".join(map(known.__getitem__, c))
                     # where no chunk is lossy the whole is right; where one is, another may make up for it

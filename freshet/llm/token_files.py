@@ -79,7 +79,11 @@ def meta_of(dictionary: bytes, width: int, end_id: int = END_ID) -> Meta:
 
 @functools.lru_cache(maxsize=2)
 def _shared(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if not dictionary:
+        return None
+    shared = zstandard.ZstdCompressionDict(dictionary)
+    shared.precompute_compress(level=LEVEL)  # else each document would load it anew
+    return shared
 
 
 def sample(docs: DataFrame) -> list[str]:
