@@ -12,7 +12,7 @@ from freshet.operators.series import rank_average
 from freshet.plans import fixtures as fx
 from freshet.plans.q_rel import DRAW_SQL
 from freshet.plans.registration import Registry
-from freshet.session import checkpointed, shared_dir, table
+from freshet.session import checkpointed, shared_dir, stored, table
 from freshet.streaming import rain
 
 query = Registry()
@@ -187,6 +187,45 @@ def x04(spark, sf):
     return rain.alerts(_places(spark, sf), rain.late_policy(rain.latest_rain(rain.rolling_rain(_gauges(spark, sf)))))
 
 
+_NEWEST = ", ".join(f"sum(mm) filter (hour > newest - {h}) as seen_{h}h, count(mm) filter (hour > newest - {h}) as hours_{h}h" for h in rain.HOURS)
+
+
+@query(
+    "X04_live_alerts",
+    fx.sql("obs")
+    + f""", o as (select station as station_id, hour, mm, max(hour) over (partition by station) as newest, max(hour) over () as last from obs),
+      r as (select station_id, newest + 3 < last - 2 as silent, {_NEWEST} from o where hour > newest - 12 group by station_id, newest, last),
+      l as (select station_id, {_LEVEL.replace("seen_1h", "coalesce(seen_1h, 0)").replace("seen_3h", "coalesce(seen_3h, 0)").replace("seen_12h", "coalesce(seen_12h, 0)")} as level from r where not silent),
+      p as (
+        select vec_id as place_id, case when label = 0 then 'UNKNOWN' when label < 5 then 'HIGH' else 'LOW' end as risk,
+          case when vec_id % 11 <> 0 then case when k = 0 then vec_id % 14 else vec_id % 3 end end as st, k
+        from embeddings, (select unnest([0, 1]) as k)),
+      t as (select p.*, l.station_id is not null as ok, l.level from p left join l on l.station_id = p.st),
+      b as (
+        select place_id, risk, arg_min(case when ok then st end, (not ok, k)) filter (ok) as station_id, arg_min(level, (not ok, k)) filter (ok) as level, bool_or(ok) as ok
+        from t group by 1, 2),
+      g as (
+        select *, case level when 'NONE' then 0 when 'ADVISORY' then 1 when 'WARNING' then 2 else 3 end - case risk when 'HIGH' then 1 when 'LOW' then 3 else 2 end as gap from b)
+      select place_id, station_id, level,
+        case when risk = 'UNKNOWN' or not ok then 'UNKNOWN' when level = 'NONE' then 'CALM' when gap >= 2 then 'EVACUATE' when gap = 1 then 'PREPARE' else 'WATCH' end as alert from g""",
+)
+def x04b(spark, sf):
+    """The feed in four files, one after the other, and each place's last change."""
+    place = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    feed = stored(_gauges(spark, sf).select("station_id", "obs_ts", "mm", F.unix_timestamp("obs_ts").alias("t")))
+    first, last = feed.agg(F.min("t"), F.max("t")).first()
+    feed = feed.withColumn("part", F.floor(4 * (F.col("t") - first) / (last - first + 1))).drop("t")
+    for k in range(4):  # files arrive in order of time
+        feed.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema("station_id long, obs_ts timestamp, mm double").option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    places = stored(_places(spark, sf))
+    rain.alert_stream(stream, places, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    changes = spark.read.schema("place_id long, station_id long, level string, alert string, batch long").parquet(f"{place}/out/alerts")
+    last = changes.groupBy(F.col("place_id").alias("_p")).agg(F.max_by(F.struct("station_id", "level", "alert"), "batch").alias("_s"))
+    every = places.select("place_id").distinct().join(last.hint("shuffle_hash"), F.col("place_id") == F.col("_p"), "left")
+    return every.select("place_id", "_s.station_id", "_s.level", F.coalesce("_s.alert", F.lit("UNKNOWN")).alias("alert"))
+
+
 @query("X05_availability", _ROLLING + ", l as (select distinct station_id from r), p as (select vec_id as place_id, case when vec_id % 11 <> 0 then vec_id % 14 end as st from embeddings) select place_id, case when st is null then 'NO_STATION' when station_id is null then 'NO_DATA' else 'OK' end as state from p left join l on station_id = st")
 def x05(spark, sf):
     latest = rain.late_policy(rain.latest_rain(rain.rolling_rain(_gauges(spark, sf))))

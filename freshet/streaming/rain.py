@@ -6,12 +6,13 @@ which is how the tests compare a stream's output with the batch result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from freshet.functions import risk
 
@@ -85,38 +86,126 @@ def latest_rain(rain: DataFrame) -> DataFrame:
     return rain.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def alert_stream(stream: DataFrame, places: DataFrame, path: str, checkpoint: str):
-    """A running query: each batch of rolling totals updates the places' alerts under ``path``."""
+_FEED = (
+    "station_id long, at timestamp, " + ", ".join(f"rain_{h}h double" for h in HOURS) + ", " + ", ".join(f"{n}_{h}h {t}" for n, t in (("seen", "double"), ("hours", "int")) for h in HOURS)
+)
 
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        out = alerts(places, late_policy(latest_rain(batch))).withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    return rolling_rain(stream).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(publish).start()
+def station_feed(stream: DataFrame, silent_hours: int = 3, hours: Sequence[int] = HOURS, delay: str = DELAY) -> DataFrame:
+    """Totals of each station as of its newest reading, told again when readings come, and without any when none come.
+
+    Keyed state holds the last ``max(hours)`` hours of a station, one reading for each hour (the
+    first). A timer in event time goes off ``silent_hours`` after the newest reading: the
+    station is told with no hours available, without a reading of its own. Readings later than
+    the watermark are left out.
+    """
+    longest, hour_s = max(hours), 3600
+
+    def told(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (station,) = key
+        if state.hasTimedOut:
+            state.remove()
+            at = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            row = {"station_id": station, "at": at} | {f"{n}_{h}h": None for n in ("rain", "seen") for h in hours} | {f"hours_{h}h": 0 for h in hours}
+            yield pd.DataFrame([row])[[c.split()[0] for c in _FEED.split(", ")]]
+            return
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for part in parts:
+            for ts, mm in zip(part["obs_ts"], part["mm"], strict=True):
+                held.setdefault(int(ts.timestamp()) // hour_s, None if pd.isna(mm) else float(mm))
+        newest = max(held)
+        held = {h: mm for h, mm in held.items() if h > newest - longest}
+        state.update((list(held), list(held.values())))
+        state.setTimeoutTimestamp((newest + silent_hours) * hour_s * 1000)
+        row = {"station_id": station, "at": pd.Timestamp((newest + 1) * hour_s, unit="s")}
+        for h in hours:
+            mine = [mm for k, mm in held.items() if k > newest - h and mm is not None]
+            row |= {f"seen_{h}h": sum(mine) if mine else None, f"hours_{h}h": len(mine)}
+            row[f"rain_{h}h"] = row[f"seen_{h}h"] if len(mine) == h else None
+        yield pd.DataFrame([row])[[c.split()[0] for c in _FEED.split(", ")]]
+
+    marked = stream.withWatermark("obs_ts", delay).select("station_id", "obs_ts", "mm")
+    return marked.groupBy("station_id").applyInPandasWithState(told, _FEED, "hour array<long>, mm array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+_SNAPSHOT = _FEED + ", level string, partial boolean, state string"
+
+
+def alert_stream(stream: DataFrame, places: DataFrame, path: str, checkpoint: str, silent_hours: int = 3):
+    """A running query that writes each change of a place's alert once, under ``path``/alerts by batch.
+
+    A batch's stations go into ``path``/stations/<batch>, what is known of every station (a row
+    each); the places that have one of them in their list are judged before and after it, and
+    those whose alert, level or station differs are written (place_id, station_id, level, alert).
+    Before any reading a place has no station and alert UNKNOWN. A batch that is run again
+    starts from the one before and overwrites its own output.
+    """
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        was, now = f"{path}/stations/{batch_id - 1}", f"{path}/stations/{batch_id}"
+        fresh = late_policy(batch)
+        before = spark.read.schema(_SNAPSHOT).parquet(was) if _exists(spark, was) else spark.createDataFrame([], _SNAPSHOT)
+        latest = fresh.withColumn("_new", F.lit(1)).unionByName(before.withColumn("_new", F.lit(0)))
+        names = [F.col(c.split()[0]) for c in _SNAPSHOT.split(", ")]
+        known = latest.groupBy("station_id").agg(F.max_by(F.struct(*names), F.struct("_new", "at")).alias("_s")).select("_s.*")
+        known.write.mode("overwrite").parquet(now)
+        known = spark.read.schema(_SNAPSHOT).parquet(now)
+        told = known.where(F.col("at").isNotNull()).join(before.select(F.col("station_id").alias("_s"), F.struct("at", "level", "state").alias("_was")), F.col("station_id") == F.col("_s"), "left")
+        changed = told.where(~F.struct("at", "level", "state").eqNullSafe(F.col("_was"))).select(F.col("station_id").alias("_c"))
+        touched = places.join(changed.hint("shuffle_hash"), F.col("station_id") == F.col("_c"), "left_semi").select(F.col("place_id").alias("_p")).distinct()
+        mine = places.join(touched.hint("shuffle_hash"), F.col("place_id") == F.col("_p"), "left_semi")
+        old = alerts(mine, before).select(F.col("place_id").alias("_p"), F.struct("station_id", "level", "alert").alias("_old"))
+        new = alerts(mine, known).join(old.hint("shuffle_hash"), F.col("place_id") == F.col("_p"))
+        out = new.where(~F.struct("station_id", "level", "alert").eqNullSafe(F.col("_old"))).drop("_p", "_old").withColumn("batch", F.lit(batch_id))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/alerts")
+
+    feed = station_feed(stream, silent_hours)
+    return feed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(publish).start()
+
+
+def _slot(key: str) -> Column:
+    """A folder name for a value of ``key``."""
+    return F.md5(F.coalesce(F.concat(F.lit("v"), F.col(key).cast("string")), F.lit("null")))
+
+
+def known_frames(spark: SparkSession, keys: str, slots: Sequence[str], schema: str) -> DataFrame:
+    """The frame keys that have been written for the events of ``slots``: their folders alone are listed and read."""
+    folders = [f for s in slots if _exists(spark, f := f"{keys}/slot={s}")]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", keys).parquet(*folders)
 
 
 def ingest(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, key: str = "event", once: Sequence[str] | None = None, files_per_batch: int | None = None):
     """Frames from a folder into a table by event, each frame once, resumable.
 
-    A frame is what its ``once`` columns say (all, by default). A frame that another batch
-    has written is left out, so one that arrives in two files lands once. A batch that is
-    run again overwrites its own partition (event, batch).
+    A frame is what its ``once`` columns say (all, by default). The keys of the frames written
+    stand in ``path``-keys, by event: a batch reads those of its own events (a batch holds few)
+    and leaves out what another batch has written, so a frame that arrives in two files lands
+    once, and what a batch reads does not grow with the archive. A batch that is run again
+    overwrites its own partitions of both tables.
     """
     reader = spark.readStream.schema(schema)
     frames = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
     names = list(once or frames.columns)
+    keys = f"{path}-keys"
+    told = ", ".join(f"`_{c}` {t}" for c, t in frames.select(*names).dtypes) + ", slot string, batch long"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(names)
-        try:
-            there = batch.sparkSession.read.parquet(path).where(F.col("batch") != batch_id).select(*[F.col(c).alias(f"_{c}") for c in names])
-        except AnalysisException as e:  # the first batch: nothing is there yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        else:
-            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}").cast(t)) for c, t in new.select(*names).dtypes])
-            new = new.join(there.hint("shuffle_hash"), same, "left_anti")
-        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, "batch").parquet(path)
+        new = batch.dropDuplicates(names).withColumn("slot", _slot(key))
+        slots = [r["slot"] for r in new.select("slot").distinct().collect()]  # the events of one batch
+        there = known_frames(batch.sparkSession, keys, slots, told).where(F.col("batch") != batch_id)
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+        new = new.join(there.drop("slot", "batch").hint("shuffle_hash"), same, "left_anti").withColumn("batch", F.lit(batch_id).cast("long"))
+        put = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+        put(new.drop("slot"), key, "batch").parquet(path)
+        put(new.select(*[F.col(c).alias(f"_{c}") for c in names], "slot", "batch"), "slot", "batch").parquet(keys)
 
     return frames.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
