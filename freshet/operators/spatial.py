@@ -8,6 +8,7 @@ nested loop, no broadcast of a side whose size is unknown.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from freshet.session import stored
 
 #: Blocks of squares inside a zone have up to 2^MOST_LEVELS squares a row.
 MOST_LEVELS = 40
+#: Points of a square that is not split, and how often a square may be split.
+LEAF_POINTS = 32
+MOST_SPLITS = 24
 
 
 def bucketed(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -49,11 +53,78 @@ def pairs_within(p: DataFrame, q: DataFrame, reach: float, keys: Sequence[str] =
     return met.withColumn("dist", F.hypot(F.col(f"q_{px}") - F.col(px), F.col(f"q_{py}") - F.col(py))).where(F.col("dist") <= reach)
 
 
+def _leaves(q: DataFrame, keys: Sequence[str], side: float) -> tuple[list[DataFrame], DataFrame]:
+    """Occupied squares (keys, _cx, _cy, _n) of each level, and ``q`` with the square it is kept in.
+
+    Level k has squares of side / 2^k. A square of over ``LEAF_POINTS`` points is split in four,
+    as long as that helps; a point is kept in its first square that is not split.
+    """
+    levels, kept, rest = [], [], q
+    while True:
+        k = len(levels)
+        at = rest.withColumns({"_cx": F.floor(F.col("x") / (side / 2**k)), "_cy": F.floor(F.col("y") / (side / 2**k))})
+        counts = stored(at.groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")))
+        levels.append(counts)
+        full = counts.where(F.col("_n") > LEAF_POINTS)
+        if k == MOST_SPLITS or full.limit(1).count() == 0:
+            kept.append(at.withColumn("_level", F.lit(k)))
+            return levels, reduce(DataFrame.unionByName, kept)
+        on = [*keys, "_cx", "_cy"]
+        split = at.join(full.select(*on).hint("shuffle_hash"), on, "left_semi")
+        kept.append(at.join(full.select(*on).hint("shuffle_hash"), on, "left_anti").withColumn("_level", F.lit(k)))
+        rest = stored(split.drop("_cx", "_cy"))
+
+
+def _candidates(p: DataFrame, levels: list[DataFrame], keys: Sequence[str], side: float, reach: float, k: int) -> DataFrame:
+    """(id, x, y, keys, _level, _cx, _cy): the unsplit squares that can hold one of the ``k`` nearest of each ``p``.
+
+    Down the levels: a square is left out if it is beyond the reach, or beyond the whole of
+    other squares that hold ``k`` points.
+    """
+    on = [*keys, "_cx", "_cy"]
+    around = neighbours(p, "x", "y", reach, side).withColumnsRenamed({"_bx": "_cx", "_by": "_cy"})
+    met = around.join(levels[0].hint("merge"), on).withColumn("_level", F.lit(0))
+    for depth, counts in enumerate(levels):
+        width = F.lit(side) / F.pow(F.lit(2.0), F.col("_level"))
+        gap = lambda v, c, w=width: F.greatest(F.col(c) * w - F.col(v), F.col(v) - (F.col(c) + 1) * w, F.lit(0.0))
+        far = lambda v, c, w=width: F.greatest(F.abs(F.col(c) * w - F.col(v)), F.abs((F.col(c) + 1) * w - F.col(v)))
+        if depth:
+            split = met.where((F.col("_n") > LEAF_POINTS) & (F.col("_level") == depth - 1))
+            steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+            parts = split.withColumn("_o", F.explode(steps)).withColumns({"_cx": F.col("_cx") * 2 + F.col("_o.a"), "_cy": F.col("_cy") * 2 + F.col("_o.b"), "_level": F.lit(depth)})
+            parts = parts.drop("_o", "_n").join(counts.hint("merge"), on)
+            met = met.where((F.col("_n") <= LEAF_POINTS) | (F.col("_level") < depth - 1)).unionByName(parts)
+        told = met.withColumns({"_least": F.hypot(gap("x", "_cx"), gap("y", "_cy")), "_most": F.hypot(far("x", "_cx"), far("y", "_cy"))})
+        mine = Window.partitionBy("id", *keys)
+        upto = mine.orderBy("_most").rangeBetween(Window.unboundedPreceding, 0)
+        told = told.withColumn("_held", F.sum("_n").over(upto)).withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_most"))).over(mine))
+        near = F.col("_least") <= F.least(F.coalesce(F.col("_bound"), F.lit(float(reach))), F.lit(float(reach))) * (1 + 1e-9)
+        met = stored(told.where(near).drop("_least", "_most", "_held", "_bound"))
+    return met.drop("_n")
+
+
+def nearest_pairs(p: DataFrame, q: DataFrame, reach: float, k: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs (id, keys, q_id, dist) at most ``reach`` apart, among them the ``k`` nearest ``q`` of each ``p``.
+
+    Ids of ``p`` are different for equal keys. Where squares of the reach are full of points,
+    they are split by counts (``_leaves``), and each ``p`` goes down to the few that can hold its
+    nearest: what it meets does not grow with the number of points in a square. Of points at
+    one place only the ``k`` smallest ids are met.
+    """
+    place = Window.partitionBy(*keys, "x", "y").orderBy("id")
+    few = stored(q.select("id", "x", "y", *keys).withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= k).drop("_k"))
+    levels, kept = _leaves(few, keys, reach)
+    squares = _candidates(p.select("id", "x", "y", *keys), levels, keys, reach, reach, k)
+    points = kept.select(F.col("id").alias("q_id"), F.col("x").alias("_qx"), F.col("y").alias("_qy"), *keys, "_level", "_cx", "_cy")
+    met = squares.join(points.hint("merge"), [*keys, "_level", "_cx", "_cy"])
+    return met.withColumn("dist", F.hypot(F.col("_qx") - F.col("x"), F.col("_qy") - F.col("y"))).where(F.col("dist") <= reach).select("id", *keys, "q_id", "dist")
+
+
 def nearest(p: DataFrame, q: DataFrame, max_dist: float, ident: str = "id", keys: Sequence[str] = ()) -> DataFrame:
     """The nearest ``q`` of each ``p`` within ``max_dist`` (q_id, dist), else NULLs. Ties by q's id."""
-    pairs = pairs_within(p.select(ident, "x", "y", *keys), q.select(ident, "x", "y", *keys), max_dist, keys)
-    best = pairs.groupBy(ident, *keys).agg(F.min(F.struct("dist", f"q_{ident}")).alias("_best"))
-    best = best.select(F.col(ident).alias("_id"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(f"_best.q_{ident}").alias(f"q_{ident}"), F.col("_best.dist").alias("dist"))
+    named = lambda df: df.select(F.col(ident).alias("id"), "x", "y", *keys)
+    best = nearest_pairs(named(p).distinct(), named(q), max_dist, 1, keys).groupBy("id", *keys).agg(F.min(F.struct("dist", "q_id")).alias("_best"))
+    best = best.select(F.col("id").alias("_id"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_best.q_id").alias(f"q_{ident}"), F.col("_best.dist").alias("dist"))
     on = F.col(ident) == F.col("_id")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
@@ -93,7 +164,7 @@ def nearest_any(p: DataFrame, q: DataFrame, reach: float, grow: float = 4.0, fin
 
 def within_topk(p: DataFrame, q: DataFrame, reach: float, k: int) -> DataFrame:
     """The ``k`` nearest ``q`` of each ``p`` within ``reach``: (id, q_id, dist, rank)."""
-    pairs = pairs_within(p.select("id", "x", "y"), q.select("id", "x", "y"), reach)
+    pairs = nearest_pairs(p.select("id", "x", "y"), q, reach, k)
     order = Window.partitionBy("id").orderBy("dist", "q_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "q_id", "dist", "rank")
 
