@@ -118,6 +118,17 @@ def win_rate(df: DataFrame, group: str, case: Column, score: str) -> DataFrame:
     return won.agg(n.cast("long").alias("cases"), mean.alias("win_rate"), F.sqrt(F.greatest(var, F.lit(0.0)) / n).alias("se"))
 
 
+def rivals(df: DataFrame, group: str, case: Column, scores: Sequence[str]) -> DataFrame:
+    """(score, cases, win_rate, se, auc): each score by its win rate within groups, and its area over all rows together."""
+    y = df.withColumn("_y", F.when(case, 1).otherwise(0))
+    out = None
+    for s in scores:
+        one = F.broadcast(win_rate(df, group, case, s)).crossJoin(F.broadcast(roc_auc(y, "_y", s)))  # one row each
+        one = one.select(F.lit(s).alias("score"), "cases", "win_rate", "se", "auc")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def hit_eval(df: DataFrame, y: str, s: str, ident: Sequence[str], subsets: dict[str, Column], f: float = 0.05) -> DataFrame:
     """(subset, rows, base, auc, precision, lift): a score against hits, for each subset."""
     from freshet.operators.relational import top_fraction

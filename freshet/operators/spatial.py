@@ -337,6 +337,20 @@ def rasterize(edges: DataFrame, g: geo.Grid) -> DataFrame:
     return cells.unionByName(middle).where(within)
 
 
+def rasterize_timed(edges: DataFrame, times: DataFrame, g: geo.Grid) -> DataFrame:
+    """(event, hour, row, col, zones, dropped): zones over each cell by event and hour.
+
+    ``times`` has (zone, event, hour). Zones without an event or hour, or without a row there,
+    are dropped; their number comes along with every row.
+    """
+    known = times.where("event is not null and hour is not null").select(F.col("zone").alias("_zone"), "event", "hour").distinct()
+    cells = rasterize(edges, g).join(known.hint("shuffle_hash"), F.col("zone") == F.col("_zone"))
+    without = edges.select("zone").distinct().join(known.select("_zone").distinct().hint("shuffle_hash"), F.col("zone") == F.col("_zone"), "left_anti")
+    dropped = without.agg(F.count(F.lit(1)).alias("dropped"))
+    counted = cells.groupBy("event", "hour", "row", "col").agg(F.count(F.lit(1)).alias("zones"))
+    return counted.crossJoin(F.broadcast(dropped))  # one row
+
+
 def zone_cells(edges: DataFrame, g: geo.Grid, last_wins: bool = False) -> DataFrame:
     """(row, col, zone): one zone for each cell; the first in order wins, or the last."""
     pick = F.max_by if last_wins else F.min_by

@@ -84,6 +84,26 @@ def m15(spark, sf):
     return rounded(m.win_rate(fx.scores(spark, sf), "grp", F.col("y") == 1, "s"))
 
 
+_RIVALS = ("s", "s2", "id")
+
+
+@query(
+    "M15_rivals",
+    fx.sql("scores")
+    + """, t as (select id, grp, y, unnest(['s', 's2', 'id']) as score, unnest([s, s2, id::double]) as v from scores),
+      p as (
+        select a.score, a.id, avg(case when b.v < a.v then 1 when b.v = a.v then 0.5::double else 0 end) as share
+        from t a join t b on a.score = b.score and a.grp = b.grp and a.y = 1 and b.y = 0 group by 1, 2),
+      w as (select score, count(*) as cases, round(avg(share), 6) as win_rate, round(stddev_samp(share) / sqrt(count(*)), 6) as se from p group by 1),
+      u as (
+        select a.score, round(avg(case when b.v < a.v then 1 when b.v = a.v then 0.5::double else 0 end), 6) as auc
+        from t a join t b on a.score = b.score and a.y = 1 and b.y = 0 group by 1)
+      select score, cases, win_rate, se, auc from w join u using (score)""",
+)
+def m15b(spark, sf):
+    return rounded(m.rivals(fx.scores(spark, sf).withColumn("id", F.col("id").cast("double")), "grp", F.col("y") == 1, _RIVALS))
+
+
 @query(
     "M16_hit_eval",
     fx.sql("scores") + """, t as (select 'all' as subset, * from scores union all select 'heavy', * from scores where w > 1 union all select 'odd', * from scores where id % 2 = 1), r as (select *, row_number() over (partition by subset order by s desc, id) as r, count(*) over (partition by subset) as n from t),

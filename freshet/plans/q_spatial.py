@@ -147,10 +147,20 @@ def r01(spark, sf):
     return sp.rasterize(fx.zone_edges(spark, sf), GRID)
 
 
-@query("R02_rasterize_timed", fx.sql("zone_edges") + ", " + _RASTER + " select (10 + ord) % 24 as hour, row, col, count(*) as zones from k where ord <> 3 group by 1, 2, 3")
+@query(
+    "R02_rasterize_timed",
+    fx.sql("zone_edges")
+    + ", "
+    + _RASTER
+    + """ select case when ord % 2 = 0 then 'e0' else 'e1' end as event, ((10 + ord) % 24)::int as hour, row, col, count(*) as zones,
+        (select count(distinct zone) from zone_edges where ord = 3 or ord % 10 = 7) as dropped
+      from k where ord <> 3 and ord % 10 <> 7 group by all""",
+)
 def r02(spark, sf):
-    timed = fx.zone_edges(spark, sf).where("ord <> 3")  # zone c has no time
-    return sp.rasterize(timed, GRID).groupBy(((10 + F.col("ord")) % 24).alias("hour"), "row", "col").agg(F.count(F.lit(1)).alias("zones"))
+    edges = fx.zone_edges(spark, sf)
+    # zone c has no row of times, zones of an order that ends in 7 have no hour
+    times = edges.where("ord <> 3").select("zone", F.when(F.col("ord") % 2 == 0, "e0").otherwise("e1").alias("event"), F.when(F.col("ord") % 10 != 7, (10 + F.col("ord")) % 24).alias("hour"))
+    return sp.rasterize_timed(edges, times, GRID)
 
 
 @query("R03_zone_cells", fx.sql("zone_edges") + ", " + _RASTER + " select row, col, arg_min(zone, ord) as first_zone, arg_max(zone, ord) as last_zone from k group by 1, 2")

@@ -125,6 +125,18 @@ def s11(spark, sf):
     return src.manifest(df, F.col("flooded"), "event", ["rel", "rain"]).withColumn("rate", F.round("rate", 9))
 
 
+@query(
+    "S11_manifest_by_event",
+    fx.sql("census")
+    + """ select event, count(*) as rows, sum(flooded::int)::bigint as positives, round(avg(flooded::int), 9) as rate,
+        count(case when id % 9 <> 0 then rel end) as known_rel, round(avg(case when id % 9 <> 0 then rel end), 6) as mean_rel from census group by 1""",
+)
+def s11b(spark, sf):
+    df = fx.census(spark, sf).withColumn("rel", F.when(F.col("id") % 9 != 0, F.col("rel")))
+    out = src.manifest_by_event(df, F.col("flooded"), "event", ["rel"])
+    return out.withColumns({"rate": F.round("rate", 9), "mean_rel": F.round("mean_rel", 6)})
+
+
 @query("S12_fingerprint", "select count(*) as rows, sum(('0x' || substr(md5(concat_ws('|', o_custkey, o_orderkey, coalesce(case when o_custkey % 7 <> 0 then o_orderstatus end, '\\N'))), 1, 15))::bigint)::varchar as content from orders")
 def s12(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
@@ -136,6 +148,17 @@ def s13(spark, sf):
     return src.profile_tables({n: table(spark, sf, n) for n in ("orders", "customer", "nation")}).select("name", "rows", "columns")
 
 
+@query(
+    "S13_catalog",
+    """select 'cells' as name, 'OK' as status, (select count(*) from lineitem) as rows, 'EPSG:5179' as crs
+      union all select 'gone', 'MISSING', null, 'EPSG:4326' union all select 'points', 'OK', (select count(*) from embeddings), 'EPSG:4326' union all select 'people', 'OK', (select count(*) from customer), null""",
+)
+def s13b(spark, sf):
+    at = lambda n: f"{sf}/{n}.parquet"
+    found = src.catalog(spark, {"cells": (at("lineitem"), "EPSG:5179"), "points": (at("embeddings"), "EPSG:4326"), "people": (at("customer"), None), "gone": (at("no_such_table"), "EPSG:4326")})
+    return found.where("status = 'MISSING' or bytes > 0").select("name", "status", "rows", "crs")
+
+
 _PACK = """, t as (select row, col, case when land % 97 = 0 then null else least(score, 1) end as score, case when land % 7 = 0 then null else z end as z, acc * 40.0 as dist_m from cells),
       p as (select row, col, case when score is null then 0 else greatest(1, least(255, round_even(score * 254, 0) + 1)) end::int as score_u8, case when z is null then -32768 else round_even(round_even(z, 1) * 10, 0) end::int as z_dm, case when dist_m <= 1500 then round_even(dist_m / 20, 0) else 65535 end::int as dist_20m from t)"""
 

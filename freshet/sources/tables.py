@@ -130,6 +130,13 @@ def manifest(df: DataFrame, positive: Column, event: str, columns: Sequence[str]
     return F.broadcast(base).crossJoin(F.broadcast(by))  # one row each
 
 
+def manifest_by_event(df: DataFrame, positive: Column, event: str, columns: Sequence[str]) -> DataFrame:
+    """A row for each event: rows, positives, rate, known values of columns and their means."""
+    pos = F.sum(F.when(positive, 1).otherwise(0))
+    each = [a for c in columns for a in (F.count(c).alias(f"known_{c}"), F.avg(c).alias(f"mean_{c}"))]
+    return df.groupBy(event).agg(F.count(F.lit(1)).alias("rows"), pos.alias("positives"), (pos / F.count(F.lit(1))).alias("rate"), *each)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: rows and an order-free hash of all contents, independent of files and partitions."""
     values = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
@@ -146,6 +153,29 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def catalog(spark: SparkSession, assets: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """A row for each asset, name -> (path of a Parquet table, CRS or None): status, rows, columns, bytes, files, crs, schema.
+
+    Status is OK, EMPTY (no rows) or MISSING (nothing at the path); a missing asset has NULLs.
+    Bytes and files come from the store's own listing, on any store that Spark reads.
+    """
+    out = None
+    for name, (path, crs) in sorted(assets.items()):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.exists(place):
+            df, held = spark.read.parquet(path), store.getContentSummary(place)
+            schema = ", ".join(f"{c}:{t}" for c, t in df.dtypes)
+            rows = F.count(F.lit(1)).alias("rows")
+            known = [F.lit(len(df.columns)).alias("columns"), F.lit(held.getLength()).cast("long").alias("bytes"), F.lit(held.getFileCount()).cast("long").alias("files"), F.lit(crs).cast("string").alias("crs"), F.lit(schema).alias("schema")]
+            one = df.agg(rows).select(F.lit(name).alias("name"), F.when(F.col("rows") > 0, "OK").otherwise("EMPTY").alias("status"), "rows", *known)
+        else:
+            none = "cast(null as bigint) as rows, cast(null as int) as columns, cast(null as bigint) as bytes, cast(null as bigint) as files"
+            one = spark.range(1).select(F.lit(name).alias("name"), F.lit("MISSING").alias("status"), *[F.expr(e) for e in none.split(", ")], F.lit(crs).cast("string").alias("crs"), F.lit(None).cast("string").alias("schema"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def pack_grid(cells: DataFrame, surveyed_m: float) -> DataFrame:
     """Cells as small integers: score 1..255 (0 no data), decimetres, 20 m steps near surveys."""
     code = F.greatest(F.lit(1), F.least(F.lit(255), F.bround(F.col("score") * 254, 0) + 1))
@@ -169,8 +199,8 @@ def unpack_grid(packed: DataFrame) -> DataFrame:
 
 
 def tiles(pixels: DataFrame, value: str) -> DataFrame:
-    """(level, z, tx, ty, band): a 256 x 256 array in row order for each tile with any value above 0."""
-    kept = pixels.where(F.col(value) > 0)
+    """(level, z, tx, ty, band): a 256 x 256 array in row order for each tile with any value above 0; of several values of a pixel the largest."""
+    kept = pixels.where(F.col(value) > 0).groupBy("level", "z", "tx", "ty", "px", "py").agg(F.max(value).alias(value))
     at = (F.col("py") * 256 + F.col("px")).cast("int")
     # at most 65,536 entries a tile; sorted, each is preceded by the zeros since the last one
     put = kept.groupBy("level", "z", "tx", "ty").agg(F.array_sort(F.collect_list(F.struct(at.alias("k"), F.col(value).cast("int").alias("v")))).alias("_e"))
