@@ -12,16 +12,26 @@ from freshet.operators.ordering import quantiles, running
 from freshet.session import stored
 
 
+def with_quantile(grouped: DataFrame, df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """``grouped``, a row for each of the ``keys`` of ``df``, with the exact quantile of a value of its rows.
+
+    By range partitions of (keys, value): a group of any size is in no single task.
+    """
+    known = df.select(F.struct(*keys).alias("_g"), F.col(value))
+    cut = quantiles(known, value, [share], group="_g").select("_g", F.get("q", F.lit(0)).alias(name))
+    return grouped.withColumn("_k", F.struct(*keys)).join(cut.hint("shuffle_hash"), F.col("_k").eqNullSafe(F.col("_g")), "left").drop("_k", "_g")
+
+
 def summary_by(df: DataFrame, keys: Sequence[str], value: str, flag: Column) -> DataFrame:
     """Rows, non-null values, min, median, max and flagged rows of each group."""
-    return df.groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(value).alias("known"),
         F.min(value).alias("least"),
-        F.percentile(value, F.lit(0.5)).alias("median"),
         F.max(value).alias("most"),
         F.sum(F.when(flag, 1).otherwise(0)).alias("flagged"),
     )
+    return with_quantile(out, df, keys, value, 0.5, "median").select(*keys, "rows", "known", "least", "median", "most", "flagged")
 
 
 def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -176,9 +186,8 @@ def max_depth(cells: DataFrame, depth: str) -> DataFrame:
 
 
 def zonal(df: DataFrame, keys: Sequence[str], score: str, rain: str, built: str, cuts: Sequence[float] = (0.05, 0.10)) -> DataFrame:
-    return df.groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         F.max(score).alias("score_max"),
-        F.percentile(score, F.lit(0.99)).alias("score_p99"),
         F.avg(score).alias("score_mean"),
         *[F.avg(F.when(F.col(score) >= c, 1.0).otherwise(0.0)).alias(f"over_{round(c * 100)}") for c in cuts],
         F.max(rain).alias("rain_max"),
@@ -186,6 +195,7 @@ def zonal(df: DataFrame, keys: Sequence[str], score: str, rain: str, built: str,
         F.avg(built).alias("built_mean"),
         F.count(F.lit(1)).alias("n"),
     )
+    return with_quantile(out, df, keys, score, 0.99, "score_p99")
 
 
 def band_cutoffs(df: DataFrame, score: str, percentiles: dict[str, float], triggers: dict[str, str]) -> DataFrame:

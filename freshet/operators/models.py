@@ -27,8 +27,10 @@ class Filled:
     """Medians of the training rows; fills missing values and flags them."""
 
     def __init__(self, df: DataFrame, features: Sequence[str]):
-        found = {c: quantiles(df.select(c), c, [0.5]).first() for c in features}
-        self.medians = {c: row["q"][0] if row["n"] else 0.0 for c, row in found.items()}
+        # one pass and one order for all features
+        stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v")) for c in features]))
+        found = {r["f"]: r["q"][0] for r in quantiles(df.select(stacked.alias("_s")).select("_s.f", "_s.v"), "v", [0.5], group="f").collect()}  # a row for each feature
+        self.medians = {c: found.get(c, 0.0) for c in features}
         self.columns = [*(f"_f_{c}" for c in features), *(f"_m_{c}" for c in features)]
 
     def __call__(self, df: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from freshet.session import stored
 
+#: Shares up to which quantiles are read off in one aggregate.
+FEW_SHARES = 12
+
 
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
     """``df`` with running sums up to and with each row in a total order."""
@@ -48,8 +51,27 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], group: str |
     first = last - F.col("_c") + 1
     place = lambda s: (F.col("n") - 1) * F.lit(float(s))
     at = lambda p: F.max(F.when((first <= p) & (p <= last), F.col("_v")))
+    if len(shares) > FEW_SHARES:
+        return _many_quantiles(placed.withColumns({"_first": first, "_last": last}), shares, groups)
     # a value holds a wanted place or none: at most two rows for each share matter
     row = placed.groupBy(*groups).agg(F.max("n").alias("n"), *[a for i, s in enumerate(shares) for a in (at(F.floor(place(s))).alias(f"_l{i}"), at(F.ceil(place(s))).alias(f"_h{i}"))])
     part = [place(s) - F.floor(place(s)) for s in shares]
-    value = [F.when(part[i] == 0, F.col(f"_l{i}")).otherwise((1 - part[i]) * F.col(f"_l{i}") + part[i] * F.col(f"_h{i}")) for i in range(len(shares))]
+    # equal neighbours give their own value, without rounding
+    value = [F.when(part[i] == 0, F.col(f"_l{i}")).otherwise(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part[i]) for i in range(len(shares))]
     return row.select(*groups, F.coalesce("n", F.lit(0)).alias("n"), F.array(*value).alias("q"))
+
+
+def _many_quantiles(placed: DataFrame, shares: Sequence[float], groups: Sequence[str]) -> DataFrame:
+    """As ``quantiles``: the few values that hold a wanted place meet the shares they hold, one row for each."""
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])
+    at = lambda e: (F.col("n") - 1) * e["s"]
+    holds = lambda k: (F.col("_first") <= k) & (k <= F.col("_last"))
+    mine = placed.select(*groups, "n", "_v", "_first", "_last", F.explode(F.filter(wanted, lambda e: holds(F.floor(at(e))) | holds(F.ceil(at(e))))).alias("_e"))
+    place = at(F.col("_e"))
+    ends = mine.groupBy(*groups, F.col("_e.i").alias("_i"), F.col("_e.s").alias("_s")).agg(
+        F.max("n").alias("n"), F.max(F.when(holds(F.floor(place)), F.col("_v"))).alias("_l"), F.max(F.when(holds(F.ceil(place)), F.col("_v"))).alias("_h")
+    )
+    part = (F.col("n") - 1) * F.col("_s") - F.floor((F.col("n") - 1) * F.col("_s"))
+    value = F.when(part == 0, F.col("_l")).otherwise(F.col("_l") + (F.col("_h") - F.col("_l")) * part)
+    row = ends.groupBy(*groups).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), value.alias("v")))).alias("_q"))
+    return row.select(*groups, F.coalesce("n", F.lit(0)).alias("n"), F.transform("_q", lambda e: e["v"]).alias("q"))

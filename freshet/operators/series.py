@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.operators.ordering import running
+from freshet.operators.ordering import quantiles, running
+from freshet.session import stored
 
 HOURS = (1, 3, 6, 12, 24)
 
@@ -121,21 +122,25 @@ def best_anchor(frames: DataFrame, flooded: Column, hours: int = 6) -> DataFrame
 def region_rank(df: DataFrame, region: str, value: str, ident: Sequence[str], least: int = 10) -> DataFrame:
     """Place of a value in its region, 0 to 1; NULL stays NULL, and so do regions with few values.
 
-    Ties go by ``ident``. Null values sort last, so they don't shift the others.
+    Ties go by ``ident``. Null values sort last, so they don't shift the others. Places are
+    those in the order of all rows, by range partitions, less the region's first one.
     """
-    order = Window.partitionBy(region).orderBy(F.col(value).asc_nulls_last(), *ident)
-    n = F.count(value).over(Window.partitionBy(region))
-    place = (F.row_number().over(order) - 1) / F.greatest(n - 1, F.lit(1))
-    return df.withColumn("region_rank", F.when(F.col(value).isNotNull() & (n >= least), place))
+    placed = stored(running(df, [F.col(region), F.col(value).asc_nulls_last(), *map(F.col, ident)], {"_place": F.lit(1)}))
+    sizes = placed.groupBy(F.col(region).alias("_region")).agg(F.count(value).alias("_known"), F.min("_place").alias("_first"))
+    # a row for each region; a region of many rows is split by the skew join
+    joined = placed.join(sizes.hint("merge"), F.col(region).eqNullSafe(F.col("_region")))
+    rank = (F.col("_place") - F.col("_first")) / F.greatest(F.col("_known") - 1, F.lit(1))
+    ranked = joined.withColumn("region_rank", F.when(F.col(value).isNotNull() & (F.col("_known") >= least), rank))
+    return ranked.drop("_place", "_region", "_known", "_first")
 
 
 def region_quantile(df: DataFrame, region: str, value: str, edges: int = 101, least: int = 20) -> DataFrame:
     """Share of its region's quantile edges that a value reaches; NULL stays NULL."""
-    q = F.array(*[F.lit(i / (edges - 1)) for i in range(edges)])
-    cut = df.groupBy(region).agg(F.percentile(value, q).alias("_q"), F.count(value).alias("_n")).where(F.col("_n") >= least)
-    joined = df.join(cut.withColumnRenamed(region, "_region"), F.col(region) == F.col("_region"), "left")
+    shares = [i / (edges - 1) for i in range(edges)]
+    cut = quantiles(df, value, shares, group=region).where(F.col("n") >= least).select(F.col(region).alias("_region"), F.col("q").alias("_q"))
+    joined = df.join(cut.hint("merge"), F.col(region) == F.col("_region"), "left")
     at = F.size(F.filter("_q", lambda e: e < F.col(value))) / (edges - 1)
-    return joined.withColumn("quantile", F.when(F.col(value).isNotNull() & F.col("_q").isNotNull(), F.least(at, F.lit(1.0)))).drop("_q", "_n", "_region")
+    return joined.withColumn("quantile", F.when(F.col(value).isNotNull() & F.col("_q").isNotNull(), F.least(at, F.lit(1.0)))).drop("_q", "_region")
 
 
 def rank_average(df: DataFrame, value: str, name: str) -> DataFrame:
