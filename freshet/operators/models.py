@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from freshet.functions.risk import calibrate
 from freshet.operators import metrics
 from freshet.operators.ordering import quantiles
+from freshet.session import stored
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
@@ -59,10 +60,26 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str = "y", weight: st
         out = model.transform(fill(other))
         return out.withColumn("score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction", *fill.columns)
 
-    score.model, score.features, score.ratio = model, list(features), ratio
+    score.model, score.features, score.ratio, score.fill = model, list(features), ratio, fill
     return score
 
 
+def staged(score: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+    """``df`` with ``stages``: the scores after 1, 2, ... trees of one fitted scorer, as running sums over its trees."""
+    assembler, boosted = score.model.stages
+    out, margin, stages = assembler.transform(score.fill(df)), F.lit(0.0), []
+    for i, (tree, weight) in enumerate(zip(boosted.trees, boosted.treeWeights, strict=True)):
+        out = tree.setFeaturesCol("_x").setPredictionCol(f"_t{i}").transform(out)
+        margin = margin + F.col(f"_t{i}") * float(weight)
+        stages.append(1 / (1 + F.exp(-2 * margin)))
+    return out.withColumn("stages", F.array(*stages)).select(*df.columns, "stages")
+
+
+def _by_trees(score: Callable[[DataFrame], DataFrame], df: DataFrame, label: str) -> DataFrame:
+    rows = staged(score, df).select(F.col(label).alias("y"), F.posexplode("stages").alias("_i", "score"))
+    return metrics.avg_precision(rows.select("y", "score", (F.col("_i") + 1).alias("trees")), "y", "score", keys=["trees"])
+
+
 def score_grid(score: Callable[[DataFrame], DataFrame], cells: DataFrame, levels: Sequence[float], cap: float = 40.0) -> DataFrame:
     """Cells x rain levels scored: each distinct effective level once, then joined to the levels."""
     effective = sorted({min(lv, cap) for lv in levels})
@@ -87,7 +104,7 @@ def logo(df: DataFrame, group: str, fit: Fit, label: str = "y", least: int = 1)
 
 def group_cv(df: DataFrame, folds: DataFrame, group: str, fit: Fit) -> DataFrame:
     """Out-of-fold scores; ``folds`` (group, fold) keeps each group in one fold."""
-    marked = df.join(folds.select(group, "fold"), group).persist()
+    marked = stored(df.join(folds.select(group, "fold"), group))
     ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     return reduce(DataFrame.unionByName, [fit(marked.where(F.col("fold") != k))(marked.where(F.col("fold") == k)) for k in ids])
 
@@ -138,10 +155,29 @@ def search(df: DataFrame, space: Sequence[dict], screen: DataFrame, confirm: Dat
     return df.sparkSession.createDataFrame([(str(space[i]), "screen", s) for s, i in screened] + confirmed, "setting string, stage string, avg_precision double")
 
 
-def curves(df: DataFrame, test: DataFrame, features: Sequence[str], trees: Sequence[int]) -> DataFrame:
-    """(trees, avg_precision) on a different region's rows for growing models."""
-    parts = [metrics.avg_precision(fit_gbt(df, features, trees=t)(test), "y", "score").withColumn("trees", F.lit(t)) for t in trees]
-    return reduce(DataFrame.unionByName, parts).select("trees", "avg_precision")
+def curves(df: DataFrame, stop: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 4, label: str = "y") -> DataFrame:
+    """(trees, stop_precision, avg_precision, chosen) for every number of trees of **one** fit on ``df``.
+
+    The number to stop at is chosen on the rows of another region (``stop``): the best there,
+    ties to fewer trees. ``avg_precision`` is that of a third region, which has no part in it.
+    """
+    score = fit_gbt(df, features, label, trees=trees, depth=depth)
+    told = stored(_by_trees(score, stop, label).select(F.col("trees").alias("_trees"), F.col("avg_precision").alias("stop_precision")))
+    best = told.agg(F.max_by("_trees", F.struct("stop_precision", -F.col("_trees"))).alias("_best"))
+    tested = _by_trees(score, test, label).join(F.broadcast(told), F.col("trees") == F.col("_trees")).crossJoin(F.broadcast(best))  # a row for each tree, and one
+    return tested.select("trees", "stop_precision", "avg_precision", (F.col("trees") == F.col("_best")).alias("chosen"))
+
+
+def storm_curve(df: DataFrame, test: DataFrame, group: str, fit: Fit, counts: Sequence[int], label: str = "y") -> DataFrame:
+    """(storms, rows, avg_precision) on ``test`` of fits on ever more storms, in an order by a hash of their ids: each adds to the one before."""
+    order = [r[0] for r in df.select(group).distinct().orderBy(F.md5(F.col(group).cast("string")), group).collect()]  # a row a storm
+    out = None
+    for n in sorted({min(c, len(order)) for c in counts}):
+        some = df.where(F.col(group).isin(order[:n]))
+        one = F.broadcast(metrics.avg_precision(fit(some)(test), label, "score")).crossJoin(F.broadcast(some.agg(F.count(F.lit(1)).alias("rows"))))  # one row each
+        one = one.select(F.lit(n).alias("storms"), "rows", "avg_precision")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def importances(scores: Sequence[Callable]) -> DataFrame:

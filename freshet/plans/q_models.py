@@ -88,7 +88,13 @@ def m18(spark, sf):
 @query("M19_curves")
 def m19(spark, sf):
     df = _rows(spark, sf)
-    return models.curves(df.where("storm < 4"), df.where("storm >= 4"), FEATURES, [1, 3, 5])
+    return models.curves(df.where("storm < 4"), df.where("storm = 4"), df.where("storm = 5"), FEATURES, trees=5, depth=3)
+
+
+@query("M19_storm_curve")
+def m19b(spark, sf):
+    df = _rows(spark, sf)
+    return models.storm_curve(df.where("storm < 4"), df.where("storm = 5"), "storm", _fit(), [1, 2, 4])
 
 
 @query("M20_principal")
