@@ -264,12 +264,13 @@ def test_pipeline_stages(spark, sf):
 def test_queries_run_and_have_the_contract_columns(spark, sf):
     from freshet.llm.queries import ORACLES, QUERIES
 
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
     want = {
         "op1": {"query_id", "rank", "vec_id", "score"}, "op2": {"doc_id", "fingerprint", "component_id"}, "op3": {"page_id", "url", "text", "n_chars"},
         "op4": {"page_id", "host", "path", "rule", "verdict"}, "op6": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
         "op7": {"doc_id", "n_bytes", "n_tokens", "over_limit"}, "op9": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
-        "op10": {"doc_id", "size", "source_size", "target", "taken"},
+        "op10": {"doc_id", "size", "source_size", "target", "taken"}, "op11": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+        "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}, "op13": {"doc_id", "start", "n_tokens", "ids_crc32"},
     }
     for name, query in QUERIES.items():
         if (key := name.split("_")[0]) in want:
