@@ -228,6 +228,13 @@ def _tm_sql() -> str:
       select id, round({tm.k0 * r!r} * (eta + {term('cos', 'sinh')}) + {tm.east!r}, 3) as x, round({tm.k0 * r!r} * (xi + {term('sin', 'cosh')}) + {tm.north - geo.meridian_offset(tm)!r}, 3) as y from u"""
 
 
+def tm_steps() -> str:
+    """Further tables of a WITH clause: placed (id, x, y), the projection of its ``points`` (id, lon, lat)."""
+    head, tail = _tm_sql()[len(fx.sql("points")) :].rsplit("select id, ", 1)
+    metres = tail.replace("round(", "(").replace(", 3) as", ") as")
+    return f"{head.rstrip()}, placed as (select id, {metres})"
+
+
 @query("P22_tm_forward", _tm_sql())
 def p22(spark, sf):
     df = fx.points(spark, sf).withColumn("p", geo.to_tm(F.col("lon"), F.col("lat")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from freshet.functions import geo
 from freshet.operators import grid, hydrology
 from freshet.plans import fixtures as fx
+from freshet.plans.q_clean import tm_steps
 from freshet.plans.registration import Registry
 from freshet.session import stored
 
@@ -87,12 +88,26 @@ def r07(spark, sf):
     return grid.resample(fx.cells(spark, sf), 3, ["z"])
 
 
-@query("R07_reproject")
+_REPROJECTED = (
+    fx.sql("cells")
+    + f""", side as (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint as n from lineitem),
+      target as (
+        select r as row, c as col, 14165000.0::double - 1250 * n + (c + 0.5) * 1250 as mx, 4360000.0::double + 1250 * n - (r + 0.5) * 1250 as my
+        from side, (select unnest(range(4 * n)) as r from side), (select unnest(range(4 * n)) as c from side)),
+      points as (
+        select row * 1000000 + col as id, mx * (180 / {geo.MERCATOR_HALF!r}) as lon, degrees(2 * atan(exp(my * (pi() / {geo.MERCATOR_HALF!r}))) - pi() / 2) as lat from target)"""
+    + tm_steps()
+    + """, met as (select id // 1000000 as row, id % 1000000 as col, floor((1820000 - y) / 1000)::bigint as r, floor((x - 980000) / 1000)::bigint as c from placed)
+      select met.row, met.col, z from met join cells on cells.row = r and cells.col = c"""
+)
+
+
+@query("R07_reproject", _REPROJECTED)
 def r07b(spark, sf):
     side = fx.side(spark, sf)
     source = geo.Grid(1000.0, 980_000.0, 1_820_000.0, side, side)
     # a target of the same plane, over all the source: its corner and its span in Mercator metres
-    target = geo.Grid(1250.0, 14_165_000.0 - 1250.0 * side, 4_330_000.0 + 1250.0 * side, 4 * side, 4 * side)
+    target = geo.Grid(1250.0, 14_165_000.0 - 1250.0 * side, 4_360_000.0 + 1250.0 * side, 4 * side, 4 * side)
     return grid.reproject(fx.cells(spark, sf), source, target, geo.TM_5179, ["z"])
 
 
