@@ -12,10 +12,10 @@ full row where most vectors have one. For one query and one shard:
    time, only for vectors whose sum plus the remaining bounds is still competitive;
 4. shards' lists are merged per query.
 
-Every vector is shuffled once, to its shard; queries go to all shards and stream past the
-shard that a task holds, a batch at a time. A shard grows with the square root of the
-number of vectors, up to ``SHARD_CELLS`` components, so that fewer copies of the queries
-are needed; ``seen`` and ``probes`` tell what the bounds save.
+Different vectors are shuffled once more, to their shards; queries go to all shards and stream
+past the shard that a task holds, a batch at a time. A shard grows with the square root of the
+number of vectors, up to ``SHARD_CELLS`` components but ``SHARD_ROWS`` vectors at least, so that
+fewer copies of the queries are needed; ``seen`` and ``probes`` tell what the bounds save.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 an empty vector scores 0 with all others; a shorter vector has weight 0 in the missing
