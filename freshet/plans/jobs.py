@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import cleaning, geo, risk
 from freshet.operators import aggregates, grid, relational, series, spatial
+from freshet.session import stored
 
 
 def ring_census(
@@ -137,16 +138,23 @@ def enrich(df: DataFrame, extra: DataFrame, keys: Sequence[str], rank: Sequence[
     return out
 
 
-def risk_surface(cells: DataFrame, lines: DataFrame, edges: DataFrame, g: geo.Grid, radii: Sequence[int], reach: float, size: float, score: Callable[[DataFrame], DataFrame] | Column, elevation: str = "z") -> DataFrame:
+def risk_surface(cells: DataFrame, lines: DataFrame, edges: DataFrame, g: geo.Grid, radii: Sequence[int], reach: float, size: float, score: Callable[[DataFrame], DataFrame] | Column, elevation: str = "z", buffer: float | None = None) -> DataFrame:
     """Per land cell: heights above several windows' lowest ground, above the nearest river of each
-    class, distance to past floods, and a score."""
+    class, distance to past floods, and a score.
+
+    ``score`` is a column or a fitted scorer. With a ``buffer`` only cells at most that far from a
+    past flood are kept, before rivers are met and scores are made; without one all are filled.
+    Heights and distances are written once each, so that what follows reads plain tables.
+    """
     out = cells.where(F.col(elevation).isNotNull())
     for r in radii:
         out = grid.rel_height(out, elevation, r).withColumnRenamed("rel_height", f"rel_{r}")
     out = out.withColumn("_m", geo.centre_of(F.col("row"), F.col("col"), g)).withColumns({"x": F.col("_m.x"), "y": F.col("_m.y"), "id": F.col("row").cast("long") * g.cols + F.col("col")}).drop("_m")
-    out = spatial.dist_to_polygon(out, edges, reach, size).withColumnRenamed("dist", "flood_dist")
+    out = stored(spatial.dist_to_polygon(stored(out), edges, reach, size).withColumnRenamed("dist", "flood_dist"))
+    if buffer is not None:
+        out = out.where(F.col("flood_dist") <= buffer)
     river = river_heights(out, cells, lines, g, reach, elevation)
-    out = out.join(river, "id", "left")
+    out = out.join(river.hint("shuffle_hash"), "id", "left")
     return out.withColumn("score", score) if isinstance(score, Column) else score(out)
 
 

@@ -204,16 +204,38 @@ def _rel(radii) -> str:
     return "rels as (select a.row, a.col, " + ", ".join(f"a.z - min(b.z) filter (abs(b.row - a.row) <= {r} and abs(b.col - a.col) <= {r}) as rel_{r}" for r in radii) + f" from cells a join cells b on b.row between a.row - {max(radii)} and a.row + {max(radii)} and b.col between a.col - {max(radii)} and a.col + {max(radii)} group by a.row, a.col, a.z)"
 
 
-@query(
-    "R11_risk_surface",
-    fx.sql("cells", "zone_edges") + ", " + _rel((1, 2, 4, 8)) + """, pts as (select row::bigint * (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem) + col as id, row, col, z, -10 + (col + 0.5) * 0.5 as x, 10 - (row + 0.5) * 0.5 as y from cells), xy as (select * from pts), """ + _INSIDE + ", " + _SEG + ", " + _river("pts", 3) + """,
+def _surface_sql(where: str) -> str:
+    rels = ", ".join(f"round(rel_{r}, 6) as rel_{r}" for r in (1, 2, 4, 8))
+    return (
+        fx.sql("cells", "zone_edges")
+        + ", "
+        + _rel((1, 2, 4, 8))
+        + """, pts as (
+        select row::bigint * (select greatest(8, floor(sqrt(count(*) / 30.0)))::bigint from lineitem) + col as id, row, col, z, -10 + (col + 0.5) * 0.5 as x, 10 - (row + 0.5) * 0.5 as y
+        from cells), xy as (select * from pts), """
+        + ", ".join((_INSIDE, _SEG, _river("pts", 3)))
+        + f""",
       fl as (select id, min(d) as d from (select id, d from seg where d <= 3 union all select id, 0 from inside) group by 1)
-      select p.id, p.row, p.col, p.z, p.x, p.y, """ + ", ".join(f"round(rel_{r}, 6) as rel_{r}" for r in (1, 2, 4, 8)) + """, round(fl.d, 6) as flood_dist, round(above_major, 6) as above_major, round(above_minor, 6) as above_minor, round(1 / (1 + greatest(rel_2, 0)), 6) as score
-      from pts p join rels using (row, col) left join fl using (id) left join above using (id)""",
-)
-def r11(spark, sf):
+      select p.id, p.row, p.col, p.z, p.x, p.y, {rels}, round(fl.d, 6) as flood_dist, round(above_major, 6) as above_major, round(above_minor, 6) as above_minor,
+        round(1 / (1 + greatest(rel_2, 0)), 6) as score
+      from pts p join rels using (row, col) left join fl using (id) left join above using (id) where {where}"""
+    )
+
+
+def _surface(spark, sf, buffer=None):
     score = 1 / (1 + F.greatest(F.col("rel_2"), F.lit(0.0)))
-    return rounded(jobs.risk_surface(fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), fx.zone_edges(spark, sf), fx.grid(spark, sf), [1, 2, 4, 8], 3.0, 2.0, score))
+    cells, lines, edges = fx.cells(spark, sf).select("row", "col", "z"), _lines(spark, sf), fx.zone_edges(spark, sf)
+    return rounded(jobs.risk_surface(cells, lines, edges, fx.grid(spark, sf), [1, 2, 4, 8], 3.0, 2.0, score, buffer=buffer))
+
+
+@query("R11_risk_surface", _surface_sql("true"))
+def r11(spark, sf):
+    return _surface(spark, sf)
+
+
+@query("R11_gated_surface", _surface_sql("fl.d <= 1.5"))
+def r11b(spark, sf):
+    return _surface(spark, sf, 1.5)
 
 
 @query(
