@@ -160,7 +160,7 @@ def route_metrics(paths: DataFrame, edges: DataFrame, measures: dict[str, Column
     """(node, edges, length, blocked_edges, measures): sums along each path."""
     measures = measures or {}
     steps = paths.select("node", F.explode_outer("path").alias("_e"))
-    met = steps.join(edges, F.col("_e") == F.col("edge_id"), "left")
+    met = steps.join(edges.hint("merge"), F.col("_e") == F.col("edge_id"), "left")
     return met.groupBy("node").agg(
         F.count("_e").alias("edges"), F.coalesce(F.sum("len"), F.lit(0.0)).alias("length"), F.coalesce(F.sum(F.when(F.col("blocked"), 1).otherwise(0)), F.lit(0)).alias("blocked_edges"),
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in measures.items()],
@@ -170,15 +170,15 @@ def route_metrics(paths: DataFrame, edges: DataFrame, measures: dict[str, Column
 def route_geometry(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, steps): the edges of each path in order, as array<struct<i, edge_id, src, dst>>."""
     steps = paths.select("node", F.posexplode("path").alias("i", "_e"))
-    met = steps.join(edges, F.col("_e") == F.col("edge_id"))
+    met = steps.join(edges.hint("merge"), F.col("_e") == F.col("edge_id"))
     return met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "edge_id", "src", "dst"))).alias("steps"))
 
 
 def choose_destination(paths: DataFrame, candidates: DataFrame, inside_risk: DataFrame, radius: float, nearest: int = 25) -> DataFrame:
     """The reachable candidate (id, node, dist_m) outside risk, among the nearest, of least cost."""
-    near = candidates.where(F.col("dist_m") <= radius).join(inside_risk.select("id"), "id", "left_anti").orderBy("dist_m", "id").limit(nearest)
+    near = candidates.where(F.col("dist_m") <= radius).join(inside_risk.select("id").hint("merge"), "id", "left_anti").orderBy("dist_m", "id").limit(nearest)
     cost = paths.select("node", F.col("dist").alias("cost"))
-    return near.join(cost, "node").orderBy("cost", "id").limit(1)
+    return near.join(cost.hint("merge"), "node").orderBy("cost", "id").limit(1)
 
 
 def choose_destinations(routes: DataFrame, candidates: DataFrame, inside_risk: DataFrame, radius: float, nearest: int = 25) -> DataFrame:

@@ -234,5 +234,5 @@ def pump_index(cells: DataFrame, pumps: DataFrame, reach: float) -> DataFrame:
 
     able = pumps.where("capacity > 0")
     near = nearest(cells, able, reach)
-    joined = near.join(able.select(F.col("id").alias("_p"), "capacity"), F.col("q_id") == F.col("_p"), "left").drop("_p")
+    joined = near.join(able.select(F.col("id").alias("_p"), "capacity").hint("merge"), F.col("q_id") == F.col("_p"), "left").drop("_p")
     return joined.withColumn("pump_index", F.coalesce(F.col("capacity") / F.greatest(F.col("dist"), F.lit(0.5)), F.lit(0.0)))

@@ -34,7 +34,7 @@ def hour_windows(ev: DataFrame, obs: DataFrame, key: Sequence[str], hours: Seque
     longest = max(hours)
     asked = ev.withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(longest - 1)))).withColumn("_at", F.col("hour") - F.col("_off"))
     seen = obs.select(F.col("station").alias("_st"), F.col("hour").alias("_h"), F.col("mm").alias("_mm")).where("_mm is not null")
-    met = asked.join(seen, (F.col("station") == F.col("_st")) & (F.col("_at") == F.col("_h")))
+    met = asked.join(seen.hint("merge"), (F.col("station") == F.col("_st")) & (F.col("_at") == F.col("_h")))
     got = met.groupBy(*key, "station", "hour").agg(
         *[F.count(F.when(F.col("_off") < h, 1)).alias(f"hours_{h}h") for h in hours], *[F.sum(F.when(F.col("_off") < h, F.col("_mm"))).alias(f"_sum_{h}") for h in hours]
     )

@@ -30,9 +30,9 @@ def ring_census(
     own = spatial.case_distance(ring, cases, 1, ["event"]).withColumnRenamed("case_dist", "own_dist")
     anyone = spatial.case_distance(own, cases, inner).withColumnRenamed("case_dist", "any_dist")
     has_set = flooded.select("event").distinct().withColumn("_set", F.lit(True))
-    marked = relational.flag_hits(anyone, flooded, ["event", "row", "col"]).join(has_set, "event", "left")
+    marked = relational.flag_hits(anyone, flooded, ["event", "row", "col"]).join(has_set.hint("merge"), "event", "left")
     label = F.when(F.col("_set"), F.col("hit")).otherwise(F.when(F.col("own_dist") < 1, 1).otherwise(0))
-    joined = marked.withColumn("flooded", label).join(layers, ["row", "col"]).join(rain, ["event", "row", "col"], "left")
+    joined = marked.withColumn("flooded", label).join(layers.hint("merge"), ["row", "col"]).join(rain.hint("merge"), ["event", "row", "col"], "left")
     keep = (F.col("flooded") == 1) | F.col("any_dist").isNull() | (F.col("rain_6h") < dry_mm)
     return joined.where(keep & (F.col(elevation) > land)).drop("own_dist", "any_dist", "hit", "_set")
 
@@ -44,7 +44,7 @@ def ring_census_timed(census: DataFrame, timed: DataFrame, hours: DataFrame, lea
     hours with too few rows or positives are left out.
     """
     first = timed.groupBy("event", "row", "col").agg(F.min("hour").alias("_first"))
-    every = census.join(hours, "event").join(first, ["event", "row", "col"], "left")
+    every = census.join(hours, "event").join(first.hint("merge"), ["event", "row", "col"], "left")
     label = F.when(F.coalesce(F.col("_first") <= F.col("hour"), F.lit(False)), 1).otherwise(0)
     out = every.withColumn("flooded", label).withColumn("event", F.concat_ws("_", F.col("event").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0"))).drop("_first", "hour")
     good = out.groupBy("event").agg(F.count(F.lit(1)).alias("_n"), F.sum("flooded").alias("_p")).where((F.col("_n") >= least_rows) & (F.col("_p") >= least_pos)).select("event")
@@ -73,10 +73,10 @@ def building_event_table(buildings: DataFrame, edges: DataFrame, rain: DataFrame
     inside = spatial.points_in_polygons(buildings, edges, size).select("id", F.col("zone").alias("event"), F.lit(1).alias("flood"), F.lit(0.0).alias("flood_dist"))
     near = spatial.edge_distances(buildings, edges, reach).select("id", F.col("zone").alias("event"), F.lit(0).alias("flood"), F.col("dist").alias("flood_dist"))
     label = inside.unionByName(near).groupBy("id", "event").agg(F.max("flood").alias("flood"), F.min("flood_dist").alias("flood_dist"))
-    placed = label.join(buildings.select("id", "x", "y"), "id")
+    placed = label.join(buildings.select("id", "x", "y").hint("merge"), "id")
     stations = rain.where(F.col("rain_24h").isNotNull()).select(F.col("station").alias("id"), "event", "x", "y", "rain_24h")
     met = spatial.nearest(placed, stations, station_reach, keys=["event"]).where("q_id is not null")
-    return met.join(stations.select(F.col("id").alias("q_id"), "event", "rain_24h"), ["q_id", "event"]).select("id", "event", "flood", "flood_dist", "q_id", "rain_24h")
+    return met.join(stations.select(F.col("id").alias("q_id"), "event", "rain_24h").hint("merge"), ["q_id", "event"]).select("id", "event", "flood", "flood_dist", "q_id", "rain_24h")
 
 
 def matched_controls(cases: DataFrame, floods: DataFrame, rain: DataFrame, layers: DataFrame, g: geo.Grid, k: int, inner: float, outer: float, rain_reach: float, elevation: str = "z") -> DataFrame:
@@ -84,7 +84,7 @@ def matched_controls(cases: DataFrame, floods: DataFrame, rain: DataFrame, layer
     names = [c for c in layers.columns if c not in ("row", "col")]
     controls = relational.annulus_controls(cases, floods, k, inner, outer).withColumn("y1", F.lit(0))
     both = controls.unionByName(cases.select("id", F.col("id").alias("case_id"), "x", "y", F.lit(1).alias("y1")))
-    wet = spatial.nearest(both, rain.select("id", "x", "y"), rain_reach).where("q_id is not null").join(rain.select(F.col("id").alias("q_id"), "rain_6h"), "q_id")
+    wet = spatial.nearest(both, rain.select("id", "x", "y"), rain_reach).where("q_id is not null").join(rain.select(F.col("id").alias("q_id"), "rain_6h").hint("merge"), "q_id")
     out = relational.attach_layers(wet, layers, g, dict.fromkeys(names))
     return out.where(F.col(elevation) > 0).select("id", "case_id", F.col("y1").alias("label"), "x", "y", "rain_6h", *names)
 
@@ -93,8 +93,8 @@ def building_sample(buildings: DataFrame, edges: DataFrame, reach: float, size:
     """(id, flooded, sample_weight): all flooded buildings, every n-th of the dry ones far from floods."""
     near = spatial.within_of_polygon(buildings, edges, reach, size).select("id").distinct()
     inside = spatial.points_in_polygons(buildings, edges, size).select("id").distinct()
-    wet = buildings.join(inside, "id", "left_semi").withColumn("flooded", F.lit(1))
-    dry = buildings.join(near, "id", "left_anti").withColumn("flooded", F.lit(0))
+    wet = buildings.join(inside.hint("merge"), "id", "left_semi").withColumn("flooded", F.lit(1))
+    dry = buildings.join(near.hint("merge"), "id", "left_anti").withColumn("flooded", F.lit(0))
     out = relational.systematic(wet.unionByName(dry), F.col("flooded") == 1, [F.col("id")], n)
     return out.select("id", "flooded", F.col("weight").alias("sample_weight"))
 
@@ -104,9 +104,9 @@ def basement_overlap(buildings: DataFrame, edges: DataFrame, years: DataFrame, s
 
     ``years`` is (zone, year); ``buildings`` has province and approved (a year).
     """
-    hit = spatial.points_in_polygons(buildings, edges, size).join(years, "zone")
+    hit = spatial.points_in_polygons(buildings, edges, size).join(years.hint("merge"), "zone")
     span = hit.groupBy("id").agg(F.count(F.lit(1)).alias("floods"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    joined = buildings.join(span, "id")
+    joined = buildings.join(span.hint("merge"), "id")
     return joined.select("id", "province", "floods", "first_year", "last_year", cleaning.existed_at_flood(F.col("approved"), F.col("first_year"), F.col("last_year")).alias("status"))
 
 
@@ -116,7 +116,7 @@ def parking_risk(parking: DataFrame, donors: DataFrame, edges: DataFrame, donor_
     The relative height comes from the nearest donor within ``donor_reach``, else UNKNOWN.
     """
     near = spatial.nearest(parking, donors.select("id", "x", "y"), donor_reach).drop("dist")
-    rel = near.join(donors.select(F.col("id").alias("q_id"), "rel"), "q_id", "left")
+    rel = near.join(donors.select(F.col("id").alias("q_id"), "rel").hint("merge"), "q_id", "left")
     dist = spatial.dist_to_polygon(rel, edges, reach, size).withColumn("flood_m", F.col("dist") * metres)
     banded = dist.withColumn("_t", risk.terrain_band(F.col("rel")))
     return banded.select("id", "rel", F.col("_t.band").alias("band"), F.col("_t.rate").alias("flood_rate"), "flood_m", risk.static_risk(F.col("_t.band"), F.col("flood_m")).alias("risk"), risk.rain_trigger(F.col("_t.band")).alias("rain_trigger"))
@@ -160,7 +160,7 @@ def risk_surface(cells: DataFrame, lines: DataFrame, edges: DataFrame, g: geo.Gr
 
 def river_heights(points: DataFrame, cells: DataFrame, lines: DataFrame, g: geo.Grid, reach: float, elevation: str = "z") -> DataFrame:
     """(id, above_<class>): height of each point above the ground at the nearest line's foot."""
-    foot = spatial.nearest_line(points, lines, reach).join(points.select("id", F.col(elevation).alias("_z")), "id")
+    foot = spatial.nearest_line(points, lines, reach).join(points.select("id", F.col(elevation).alias("_z")).hint("merge"), "id")
     ground = relational.attach_layers(foot.withColumnRenamed("foot_x", "x").withColumnRenamed("foot_y", "y"), cells.select("row", "col", elevation), g, {elevation: None})
     return ground.withColumn("_above", F.col("_z") - F.col(elevation)).groupBy("id").pivot("kind", ["major", "minor"]).agg(F.max("_above")).withColumnRenamed("major", "above_major").withColumnRenamed("minor", "above_minor")
 
@@ -171,7 +171,7 @@ def building_features(buildings: DataFrame, cells: DataFrame, lines: DataFrame,
     for r in radii:
         layers = grid.rel_height(layers, "z", r).withColumnRenamed("rel_height", f"rel_{r}")
     placed = relational.attach_layers(buildings.select("id", "x", "y"), layers, g, {"z": None} | {f"rel_{r}": None for r in radii})
-    return placed.join(river_heights(placed, cells, lines, g, reach), "id", "left")
+    return placed.join(river_heights(placed, cells, lines, g, reach).hint("merge"), "id", "left")
 
 
 def assess(points: DataFrame, cells: DataFrame, g: geo.Grid, stations: DataFrame, parking: DataFrame, cutoffs: Sequence[tuple[str, float]], station_reach: float, park_reach: float, k: int = 3) -> DataFrame:
@@ -181,12 +181,12 @@ def assess(points: DataFrame, cells: DataFrame, g: geo.Grid, stations: DataFrame
     """
     ground = relational.attach_layers(points.select("id", "x", "y"), cells.select("row", "col", "score", "z"), g, {"score": None, "z": None})
     met = spatial.nearest(ground, stations.select("id", "x", "y"), station_reach).drop("dist")
-    wet = met.join(stations.select(F.col("id").alias("q_id"), "mm1h", "mm3h", "mm12h"), "q_id", "left")
+    wet = met.join(stations.select(F.col("id").alias("q_id"), "mm1h", "mm3h", "mm12h").hint("merge"), "q_id", "left")
     band = F.coalesce(risk.band_of(F.col("score"), cutoffs, "VERY_LOW"), F.lit("UNKNOWN"))
     wet = wet.withColumns({"risk": band, "available": F.col("q_id").isNotNull(), "level": risk.warning_level(F.col("mm1h"), F.col("mm3h"), F.col("mm12h"))})
     near = spatial.within_topk(points, parking, park_reach, k).groupBy(F.col("id").alias("_p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "q_id"))), lambda s: s["q_id"]).alias("parking"))
     none = F.lit(None).cast("double")
-    return wet.join(near, F.col("id") == F.col("_p"), "left").select(
+    return wet.join(near.hint("merge"), F.col("id") == F.col("_p"), "left").select(
         "id", "risk", "level", risk.alert(F.col("risk"), F.col("available"), F.col("level"), risk.rain_trigger(F.col("risk"))).alias("alert"),
         risk.reasons(F.col("z"), none, none, F.col("available"), F.col("level")).alias("reasons"), F.coalesce("parking", F.array().cast("array<bigint>")).alias("parking"),
     )

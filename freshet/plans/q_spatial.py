@@ -167,7 +167,7 @@ def r02(spark, sf):
 def r03(spark, sf):
     e = fx.zone_edges(spark, sf)
     first = sp.zone_cells(e, GRID).withColumnRenamed("zone", "first_zone")
-    return first.join(sp.zone_cells(e, GRID, last_wins=True).withColumnRenamed("zone", "last_zone"), ["row", "col"])
+    return first.join(sp.zone_cells(e, GRID, last_wins=True).withColumnRenamed("zone", "last_zone").hint("merge"), ["row", "col"])
 
 
 @query("R04_line_cells", fx.sql("xy") + ", c as (select id % 50 as line, floor((14 - y) / 0.5)::bigint as row, floor((x + 10) / 0.5)::bigint as col from xy) select distinct line, row, col from c where row between 0 and 47 and col between 0 and 47")

@@ -63,7 +63,7 @@ def late_policy(rain: DataFrame) -> DataFrame:
 
 def availability(places: DataFrame, rain: DataFrame) -> DataFrame:
     """``places`` (place_id, station_id, ...) with their station's rain; no station or no data is never dry."""
-    joined = places.join(rain, "station_id", "left")
+    joined = places.join(rain.hint("merge"), "station_id", "left")
     state = F.when(F.col("station_id").isNull(), "NO_STATION").when(F.col("state").isNull() | (F.col("state") == "NO_DATA"), "NO_DATA").otherwise("OK")
     return joined.withColumn("state", state).withColumn("available", F.col("state") == "OK")
 
@@ -156,7 +156,7 @@ def alert_stream(stream: DataFrame, places: DataFrame, path: str, checkpoint: st
         known = latest.groupBy("station_id").agg(F.max_by(F.struct(*names), F.struct("_new", "at")).alias("_s")).select("_s.*")
         known.write.mode("overwrite").parquet(now)
         known = spark.read.schema(_SNAPSHOT).parquet(now)
-        told = known.where(F.col("at").isNotNull()).join(before.select(F.col("station_id").alias("_s"), F.struct("at", "level", "state").alias("_was")), F.col("station_id") == F.col("_s"), "left")
+        told = known.where(F.col("at").isNotNull()).join(before.select(F.col("station_id").alias("_s"), F.struct("at", "level", "state").alias("_was")).hint("merge"), F.col("station_id") == F.col("_s"), "left")
         changed = told.where(~F.struct("at", "level", "state").eqNullSafe(F.col("_was"))).select(F.col("station_id").alias("_c"))
         touched = places.join(changed.hint("shuffle_hash"), F.col("station_id") == F.col("_c"), "left_semi").select(F.col("place_id").alias("_p")).distinct()
         mine = places.join(touched.hint("shuffle_hash"), F.col("place_id") == F.col("_p"), "left_semi")
