@@ -37,7 +37,7 @@ _W02_SQL = ", ".join(f"case when count(*) filter (o.hour > e.hour - {h}) = {h} t
 def w02(spark, sf):
     obs = fx.obs(spark, sf)
     at = fx.anchors(spark, sf).select("event", (F.floor(F.unix_timestamp(F.to_timestamp("event", "yyyyMMdd")) / 3600) + F.col("hour")).alias("hour"))
-    ev = at.withColumn("station", F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>")))
+    ev = at.crossJoin(F.broadcast(obs.select("station").distinct()))  # every station at every event; one for 1,000 events
     return rounded(series.hour_windows(ev, obs, ["event"]))
 
 
