@@ -53,9 +53,10 @@ def late_policy(rain: DataFrame) -> DataFrame:
     """``rain`` with the level from the available hours, and whether it is partial or unavailable.
 
     A missing hour is never rain 0: with hours missing the level is a lower bound
-    (``partial``); with none at all the state is NO_DATA.
+    (``partial``); with none at all the state is NO_DATA. Sums are rounded to 6 digits before
+    they meet the thresholds, as the sum of 60 mm may come out below 60 in another order.
     """
-    level = risk.warning_level(F.col("seen_1h"), F.col("seen_3h"), F.col("seen_12h"))
+    level = risk.warning_level(*[F.round(f"seen_{h}h", 6) for h in (1, 3, 12)])
     partial = F.col("rain_12h").isNull()
     none = F.coalesce(F.col("hours_12h"), F.lit(0)) == 0
     return rain.withColumns({"level": F.when(none, None).otherwise(level), "partial": partial, "state": F.when(none, "NO_DATA").otherwise("OK")})
