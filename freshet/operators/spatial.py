@@ -21,6 +21,9 @@ MOST_LEVELS = 40
 #: Points of a square that is not split, and how often a square may be split.
 LEAF_POINTS = 32
 MOST_SPLITS = 24
+#: Places of a square that is not split among segments, and how often the squares of zones are halved.
+SQUARE_PLACES = 8
+ASSIGN_SPLITS, SPAN_SPLITS = 3, 5
 
 
 def bucketed(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -222,6 +225,32 @@ def covering(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     return squares.select("zone", "ord", "_bx", "_by", "_beyond", "_edges"), stored(runs.select("zone", "ord", "_by", "_p.level", "_p.block"))
 
 
+def _fine(p: DataFrame, size: float, most: int) -> float:
+    """``size``, halved up to ``most`` times while its squares hold over ``SQUARE_PLACES`` points on average."""
+    squares = lambda k: F.approx_count_distinct(F.struct(F.floor(F.col("x") / (size / 2**k)), F.floor(F.col("y") / (size / 2**k))))
+    row = p.agg(F.count(F.lit(1)), *[squares(k) for k in range(most + 1)]).first()
+    return size / 2 ** next((k for k in range(most) if row[0] <= SQUARE_PLACES * row[k + 1]), most)
+
+
+def _at_levels(here: DataFrame, inner: DataFrame) -> DataFrame:
+    """Squares ``here`` (_bx, _by) with each block of ``inner`` (_by, level, block, ...) that holds them."""
+    levels = sorted(r["level"] for r in inner.select("level").distinct().collect())  # at most MOST_LEVELS + 1
+    at = here.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    blocks = inner.withColumnsRenamed({"_by": "_row", "level": "_level"})
+    shifted = F.expr("shiftright(_bx, level)")
+    return at.join(blocks.hint("shuffle_hash"), (F.col("_by") == F.col("_row")) & (F.col("level") == F.col("_level")) & (shifted == F.col("block")))
+
+
+def _held_at_border(points: DataFrame, border: DataFrame, size: float) -> DataFrame:
+    """Points with each zone that holds them, of those whose border passes through their square."""
+    side, middle = (F.col("_bx") + 1) * size, (F.col("_by") + 0.5) * size
+    up = lambda e: F.when((e["x1"] > side) != (e["x2"] > side), e["y1"] + (e["y2"] - e["y1"]) * (side - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)))
+    passed = lambda e: F.when((up(e) > F.col("y")) != (up(e) > middle), 1).otherwise(0)
+    beside = lambda e: _crossing(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"]) - _crossing(side, F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])
+    crossed = F.aggregate("_edges", F.lit(0), lambda n, e: n + passed(e) + beside(e))
+    return points.join(border.hint("shuffle_hash"), ["_bx", "_by"]).where(F.pmod(F.col("_beyond") + crossed, F.lit(2)) == 1)
+
+
 def points_in_polygons(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """(id, zone, ord) for each point strictly inside a zone of the edge table (holes by parity).
 
@@ -233,27 +262,101 @@ def points_in_polygons(p: DataFrame, edges: DataFrame, size: float) -> DataFrame
     border, inner = covering(edges, size)
     points = bucketed(p.select("id", "x", "y"), "x", "y", size)
     here = stored(points.select("_bx", "_by").distinct())
-    levels = sorted(r["level"] for r in inner.select("level").distinct().collect())  # at most MOST_LEVELS + 1
-    at = here.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
-    blocks = inner.withColumnsRenamed({"_by": "_row", "level": "_level"})
-    shifted = F.expr("shiftright(_bx, level)")
-    whole = at.join(blocks.hint("shuffle_hash"), (F.col("_by") == F.col("_row")) & (F.col("level") == F.col("_level")) & (shifted == F.col("block")))
+    whole = _at_levels(here, inner)
     inside = points.join(whole.select("_bx", "_by", "zone", "ord").hint("shuffle_hash"), ["_bx", "_by"]).select("id", "zone", "ord")
-    side, middle = (F.col("_bx") + 1) * size, (F.col("_by") + 0.5) * size
-    up = lambda e: F.when((e["x1"] > side) != (e["x2"] > side), e["y1"] + (e["y2"] - e["y1"]) * (side - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)))
-    passed = lambda e: F.when((up(e) > F.col("y")) != (up(e) > middle), 1).otherwise(0)
-    beside = lambda e: _crossing(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"]) - _crossing(side, F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])
-    crossed = F.aggregate("_edges", F.lit(0), lambda n, e: n + passed(e) + beside(e))
-    near = points.join(border.hint("shuffle_hash"), ["_bx", "_by"]).where(F.pmod(F.col("_beyond") + crossed, F.lit(2)) == 1)
-    return inside.unionByName(near.select("id", "zone", "ord"))
+    return inside.unionByName(_held_at_border(points, border, size).select("id", "zone", "ord"))
+
+
+def last_inside(p: DataFrame, edges: DataFrame, size: float, first_found: bool = False) -> DataFrame:
+    """(id, zone, ord): zones that hold a point, among them the last in order (``first_found``: any) of each held point.
+
+    Of the zones that hold a whole square only the last one counts, and of the zones whose
+    border passes through it those after that one (``first_found``: none), so that points meet
+    few zones however many lie over each other. ``size`` is halved where squares are full.
+    """
+    size = _fine(p, size, ASSIGN_SPLITS)
+    border, inner = covering(edges, size)
+    points = bucketed(p.select("id", "x", "y"), "x", "y", size)
+    here = stored(points.select("_bx", "_by").distinct())
+    last = inner.groupBy("_by", "level", "block").agg(F.max(F.struct("ord", "zone")).alias("_last"))
+    tops = stored(_at_levels(here, last).groupBy("_bx", "_by").agg(F.max("_last").alias("_last")))
+    inside = points.join(tops.hint("shuffle_hash"), ["_bx", "_by"]).select("id", "_last.zone", "_last.ord")
+    least = tops.withColumnsRenamed({"_bx": "_tx", "_by": "_ty"})
+    later = border.join(least.hint("shuffle_hash"), (F.col("_bx") == F.col("_tx")) & (F.col("_by") == F.col("_ty")), "left")
+    later = later.where(F.col("_last").isNull() if first_found else F.col("_last").isNull() | (F.col("ord") >= F.col("_last.ord"))).drop("_tx", "_ty", "_last")
+    return inside.unionByName(_held_at_border(points, later, size).select("id", "zone", "ord"))
+
+
+def inside_any(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """(id) of the points strictly inside a zone, each once."""
+    return last_inside(p, edges.withColumn("ord", F.coalesce("ord", F.lit(-1))), size, first_found=True).select("id").distinct()
+
+
+def inside_spans(p: DataFrame, edges: DataFrame, values: DataFrame, size: float) -> DataFrame:
+    """(id, n, least, most): number and range of the ``values`` (zone, value) of the zones that hold each point, of those held.
+
+    As ``points_in_polygons``, but zones that hold a whole square are summed up by square.
+    """
+    size = _fine(p, size, SPAN_SPLITS)
+    border, inner = covering(edges, size)
+    of_zone = values.groupBy(F.col("zone").alias("_of")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    total = [F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")]
+    told = lambda df: df.join(of_zone.hint("shuffle_hash"), F.col("zone") == F.col("_of")).drop("_of")
+    points = bucketed(p.select("id", "x", "y"), "x", "y", size)
+    here = stored(points.select("_bx", "_by").distinct())
+    blocks = told(inner).groupBy("_by", "level", "block").agg(*total)
+    whole = _at_levels(here, blocks).groupBy("_bx", "_by").agg(*total)
+    inside = points.join(whole.hint("shuffle_hash"), ["_bx", "_by"]).select("id", "n", "least", "most")
+    near = _held_at_border(points, told(border), size).select("id", "n", "least", "most")
+    return inside.unionByName(near).groupBy("id").agg(*total)
 
 
 def assign_zone(p: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """``p`` with the zone that holds each point; the last in order wins, else NULL."""
-    inside = points_in_polygons(p, edges, size).groupBy("id").agg(F.max_by("zone", "ord").alias("zone"))
+    inside = last_inside(p, edges.where(F.col("ord").isNotNull()), size).groupBy("id").agg(F.max_by("zone", F.struct("ord", "zone")).alias("zone"))
     return p.join(inside.withColumnRenamed("id", "_id").hint("shuffle_hash"), F.col("id") == F.col("_id"), "left").drop("_id")
 
 
+def nearest_segments(p: DataFrame, segments: DataFrame, reach: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs (id, x, y, columns of ``segments``) among which are the nearest segments (keys, x1, y1, x2, y2, ...) of each point within ``reach``.
+
+    Squares of points and the segments around them, from squares of the reach downwards: with h
+    half a square's diagonal, a segment over 2 h farther from the middle than another of the same
+    keys, or over reach + h, is nearest to no point of the square. Squares with over
+    ``SQUARE_PLACES`` places and over ``LEAF_POINTS`` segments are split in four.
+    """
+    places = stored(p.select("x", "y").distinct())
+    at = lambda k: {"_bx": F.floor(F.col("x") / (reach / 2**k)), "_by": F.floor(F.col("y") / (reach / 2**k))}
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    box = [f(a, b) for f, a, b in ((F.least, "x1", "x2"), (F.least, "y1", "y2"), (F.greatest, "x1", "x2"), (F.greatest, "y1", "y2"))]
+    met, out = spread(segments, box[0] - reach, box[1] - reach, box[2] + reach, box[3] + reach, reach), []
+    for k in range(MOST_SPLITS + 1):
+        side = reach / 2**k
+        half = side * 0.5**0.5
+        squares = places.withColumns(at(k)).groupBy("_bx", "_by").agg(F.count(F.lit(1)).alias("_n"))
+        cx, cy = (F.col("_bx") + 0.5) * side, (F.col("_by") + 0.5) * side
+        far = geo.segment_distance(cx, cy, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))["distance"]
+        mine = Window.partitionBy(*keys, "_bx", "_by")
+        told = met.join(squares.hint("shuffle_hash"), ["_bx", "_by"]).withColumn("_far", far).where(F.col("_far") <= (reach + half) * (1 + 1e-9))
+        told = told.withColumns({"_least": F.min("_far").over(mine), "_met": F.count(F.lit(1)).over(mine)})
+        near = told.where(F.col("_far") <= (F.col("_least") + 2 * half) * (1 + 1e-9) + 1e-12 * (F.abs(cx) + F.abs(cy)))
+        split = (F.col("_n") > SQUARE_PLACES) & (F.col("_met") > LEAF_POINTS) & F.lit(k < MOST_SPLITS)
+        near = stored(near.withColumn("_split", split).drop("_n", "_far", "_least", "_met"))
+        done, rest = near.where("not _split").drop("_split"), near.where("_split").drop("_split")
+        out.append(p.select("id", "x", "y").withColumns(at(k)).join(done.hint("shuffle_hash"), ["_bx", "_by"]).drop("_bx", "_by"))
+        if rest.limit(1).count() == 0:
+            break
+        met = rest.withColumn("_o", F.explode(steps)).withColumns({"_bx": F.col("_bx") * 2 + F.col("_o.a"), "_by": F.col("_by") * 2 + F.col("_o.b")}).drop("_o")
+    return reduce(DataFrame.unionByName, out)
+
+
+def border_distance(p: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
+    """(id, dist) to the nearest border of any zone, within ``reach``."""
+    lines = edges.select("x1", "y1", "x2", "y2").distinct()
+    gap = geo.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))["distance"]
+    return nearest_segments(p, lines, reach).groupBy("id").agg(F.min(gap).alias("dist")).where(F.col("dist") <= reach)
+
+
 def edge_distances(p: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
     """(id, zone, dist) to the border of each zone within ``reach`` of a point."""
     near = spread(
@@ -272,8 +375,8 @@ def within_of_polygon(p: DataFrame, edges: DataFrame, reach: float, size: float)
 
 def dist_to_polygon(p: DataFrame, edges: DataFrame, reach: float, size: float) -> DataFrame:
     """``p`` with the distance to the nearest zone: 0 inside, NULL beyond ``reach``."""
-    inside = points_in_polygons(p, edges, size).select("id", F.lit(0.0).alias("dist"))
-    near = edge_distances(p, edges, reach).select("id", "dist").unionByName(inside).groupBy(F.col("id").alias("_id")).agg(F.min("dist").alias("dist"))
+    inside = inside_any(p, edges, size).select("id", F.lit(0.0).alias("dist"))
+    near = border_distance(p, edges, reach).unionByName(inside).groupBy(F.col("id").alias("_id")).agg(F.min("dist").alias("dist"))
     return p.join(near.hint("shuffle_hash"), F.col("id") == F.col("_id"), "left").drop("_id")
 
 
@@ -282,10 +385,9 @@ def nearest_line(p: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
 
     ``segments``: (kind, line, x1, y1, x2, y2).
     """
-    near = spread(
-        segments, F.least("x1", "x2") - reach, F.least("y1", "y2") - reach, F.greatest("x1", "x2") + reach, F.greatest("y1", "y2") + reach, reach
-    )
-    met = bucketed(p.select("id", "x", "y"), "x", "y", reach).join(near.hint("shuffle_hash"), ["_bx", "_by"])
+    # of equal segments the first line by name
+    lines = segments.groupBy("kind", "x1", "y1", "x2", "y2").agg(F.min("line").alias("line"))
+    met = nearest_segments(p, lines, reach, ["kind"])
     foot = geo.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     best = met.withColumn("_f", foot).where(F.col("_f.distance") <= reach).groupBy("id", "kind").agg(F.min(F.struct(F.col("_f.distance").alias("d"), F.col("line"), F.col("_f.x").alias("fx"), F.col("_f.y").alias("fy"))).alias("_b"))
     return best.select("id", "kind", F.col("_b.line").alias("line"), F.col("_b.d").alias("dist"), F.col("_b.fx").alias("foot_x"), F.col("_b.fy").alias("foot_y"))
