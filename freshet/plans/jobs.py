@@ -68,13 +68,15 @@ def building_event_table(buildings: DataFrame, edges: DataFrame, rain: DataFrame
 
     ``edges`` is the polygons' edge table with ``event`` as zone. Inside is 1, within
     ``reach`` of the event's polygons a weak 0, anything else unknown and left out. Rain
-    comes from the nearest station with a complete total for that event, else the row goes.
+    comes from the nearest station with a complete total for that event, else the row goes;
+    so polygons of events without such a station are left out before buildings meet them.
     """
+    stations = stored(rain.where(F.col("rain_24h").isNotNull()).select(F.col("station").alias("id"), "event", "x", "y", "rain_24h"))
+    edges = stored(edges.join(stations.select(F.col("event").alias("_event")).distinct().hint("shuffle_hash"), F.col("zone") == F.col("_event"), "left_semi"))
     inside = spatial.points_in_polygons(buildings, edges, size).select("id", F.col("zone").alias("event"), F.lit(1).alias("flood"), F.lit(0.0).alias("flood_dist"))
     near = spatial.edge_distances(buildings, edges, reach).select("id", F.col("zone").alias("event"), F.lit(0).alias("flood"), F.col("dist").alias("flood_dist"))
     label = inside.unionByName(near).groupBy("id", "event").agg(F.max("flood").alias("flood"), F.min("flood_dist").alias("flood_dist"))
     placed = label.join(buildings.select("id", "x", "y").hint("merge"), "id")
-    stations = rain.where(F.col("rain_24h").isNotNull()).select(F.col("station").alias("id"), "event", "x", "y", "rain_24h")
     met = spatial.nearest(placed, stations, station_reach, keys=["event"]).where("q_id is not null")
     return met.join(stations.select(F.col("id").alias("q_id"), "event", "rain_24h").hint("merge"), ["q_id", "event"]).select("id", "event", "flood", "flood_dist", "q_id", "rain_24h")
 
@@ -91,8 +93,8 @@ def matched_controls(cases: DataFrame, floods: DataFrame, rain: DataFrame, layer
 
 def building_sample(buildings: DataFrame, edges: DataFrame, reach: float, size: float, n: int) -> DataFrame:
     """(id, flooded, sample_weight): all flooded buildings, every n-th of the dry ones far from floods."""
-    near = spatial.within_of_polygon(buildings, edges, reach, size).select("id").distinct()
-    inside = spatial.points_in_polygons(buildings, edges, size).select("id").distinct()
+    inside = stored(spatial.inside_any(buildings, edges, size))
+    near = inside.unionByName(spatial.border_distance(buildings, edges, reach).select("id")).distinct()
     wet = buildings.join(inside.hint("merge"), "id", "left_semi").withColumn("flooded", F.lit(1))
     dry = buildings.join(near.hint("merge"), "id", "left_anti").withColumn("flooded", F.lit(0))
     out = relational.systematic(wet.unionByName(dry), F.col("flooded") == 1, [F.col("id")], n)
@@ -104,8 +106,8 @@ def basement_overlap(buildings: DataFrame, edges: DataFrame, years: DataFrame, s
 
     ``years`` is (zone, year); ``buildings`` has province and approved (a year).
     """
-    hit = spatial.points_in_polygons(buildings, edges, size).join(years.hint("merge"), "zone")
-    span = hit.groupBy("id").agg(F.count(F.lit(1)).alias("floods"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    span = spatial.inside_spans(buildings, edges, years.withColumnRenamed("year", "value"), size)
+    span = span.withColumnsRenamed({"n": "floods", "least": "first_year", "most": "last_year"})
     joined = buildings.join(span.hint("merge"), "id")
     return joined.select("id", "province", "floods", "first_year", "last_year", cleaning.existed_at_flood(F.col("approved"), F.col("first_year"), F.col("last_year")).alias("status"))
 
