@@ -18,6 +18,10 @@ COMPACT_ROUNDS = 8
 #: Edges of a block of nodes, and sources that a task follows at once.
 BLOCK_EDGES = 1_000_000
 SOURCES_TOGETHER = 64
+#: Above this share of edges that lead into another block, rounds follow edges and not blocks.
+MOST_CROSSING = 0.5
+#: Rows reached in a round up to which they are sent to the edges, not the edges to them.
+FEW_REACHED = 200_000
 #: The last edge of a path without edges.
 NO_EDGE = -(1 << 63)
 
@@ -54,9 +58,16 @@ def distances_from(roads: DataFrame, sources: DataFrame, bound: float | None = N
     settles it by least (weight, edges, last edge), and sends what leaves it to other blocks:
     rounds follow the blocks on a path, not its edges, and only what is reached is shuffled
     beside the blocks it reaches. Memory of a task: a block's edges and ``together`` sources.
+    Where over ``MOST_CROSSING`` of the edges leave their block, blocks would be sent to every
+    group for a step each: then rows meet edges by joins (``_by_steps``).
     """
     edges, starts = _blocked(roads.select("src", "dst", "w", "edge_id"), block_edges)
     most = float("inf") if bound is None else bound
+    if starts:
+        into = F.pandas_udf(lambda nodes: pd.Series(np.searchsorted(starts, nodes.to_numpy(), side="right")), "long")("dst")
+        crossing = edges.agg(F.avg((into != F.col("block")).cast("double"))).first()[0]
+        if crossing > MOST_CROSSING:
+            return _by_steps(edges.drop("block"), sources, most, max_rounds)
 
     def settle(edges: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in _REACHED.split(", ")]
@@ -125,6 +136,39 @@ def distances_from(roads: DataFrame, sources: DataFrame, bound: float | None = N
     raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
 
 
+def _by_steps(edges: DataFrame, sources: DataFrame, most: float, max_rounds: int) -> DataFrame:
+    """As ``distances_from``, a step of all paths in a round.
+
+    A round joins the rows that got better in the last one to the edges of their nodes and keeps
+    what is better than all before: it reads the edges, but shuffles them only where over
+    ``FEW_REACHED`` rows (counted) are new. Each row and edge is sent a constant number of times a
+    round, whatever the number of sources.
+    """
+    keys = ["source", "node"]
+    least = lambda df: df.groupBy(*keys).agg(F.min(F.struct("dist", "hop", "via")).alias("_b")).select(*keys, "_b.dist", "_b.hop", "_b.via")
+    front = stored(sources.select(F.col("source").cast("long").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("hop"), F.lit(NO_EDGE).alias("via")))
+    ways = edges.where(F.col("w") <= most) if most < float("inf") else edges
+    parts = [front]
+    for _ in range(max_rounds):
+        reached = front.count()
+        if not reached:
+            best = least(reduce(DataFrame.unionByName, parts))
+            return best.select(*keys, "dist", F.nullif("via", F.lit(NO_EDGE)).alias("via"), "hop")
+        at = F.broadcast(front) if reached <= FEW_REACHED else front.hint("shuffle_merge")
+        steps = ways.join(at.withColumnRenamed("node", "_at").drop("via"), F.col("src") == F.col("_at"))
+        steps = steps.select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hop") + 1).alias("hop"), F.col("edge_id").alias("via")).where(F.col("dist") <= most)
+        # both sides in one aggregate: the least new step, and the least of all before
+        told = steps.withColumn("_new", F.lit(True)).unionByName(reduce(DataFrame.unionByName, parts).withColumn("_new", F.lit(False)))
+        row = F.struct("dist", "hop", "via")
+        told = told.groupBy(*keys).agg(F.min(F.when(F.col("_new"), row)).alias("_b"), F.min(F.when(~F.col("_new"), row)).alias("_a"))
+        better = told.where(F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_b") < F.col("_a"))))
+        front = stored(better.select(*keys, "_b.dist", "_b.hop", "_b.via"))
+        parts.append(front)
+        if len(parts) > COMPACT_ROUNDS:
+            parts = [stored(least(reduce(DataFrame.unionByName, parts)))]
+    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+
+
 def distances(roads: DataFrame, source: int, **kw) -> DataFrame:
     """(node, dist, via, hop) from one source."""
     return distances_from(roads, roads.sparkSession.range(1).select(F.lit(source).cast("long").alias("source")), **kw).drop("source")
