@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.risk import calibrate
 from freshet.operators import metrics
-from freshet.operators.ordering import quantiles
+from freshet.operators.ordering import quantiles, with_groups
 from freshet.session import stored
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -102,9 +102,16 @@ def logo(df: DataFrame, group: str, fit: Fit, label: str = "y", least: int = 1)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _folded(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
+    """``df`` with the fold of each row's group, written once; rows without one go. Few groups hold many rows, so rows stay where they are."""
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
+    known = folds.select(group, "fold").join(sizes.hint("shuffle_hash"), F.col(group) == F.col("_of")).drop("_of")
+    return stored(with_groups(df, known, group, "_rows").drop("_rows"))
+
+
 def group_cv(df: DataFrame, folds: DataFrame, group: str, fit: Fit) -> DataFrame:
     """Out-of-fold scores; ``folds`` (group, fold) keeps each group in one fold."""
-    marked = stored(df.join(folds.select(group, "fold"), group))
+    marked = _folded(df, folds, group)
     ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
     return reduce(DataFrame.unionByName, [fit(marked.where(F.col("fold") != k))(marked.where(F.col("fold") == k)) for k in ids])
 
@@ -135,9 +142,10 @@ def compare_tables(a: DataFrame, b: DataFrame, test: DataFrame, group: str, fold
     """Two training tables under one fold map and the same test rows: (fold, arm, avg_precision)."""
     out = []
     ids = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    of = lambda df, k, same: df.join(folds.where((F.col("fold") == k) if same else (F.col("fold") != k)), group)
+    asked = _folded(test, folds, group)
     for arm, df in (("a", a), ("b", b)):
-        out += [fit(of(df, k, False))(of(test, k, True)).withColumn("arm", F.lit(arm)) for k in ids]
+        marked = _folded(df, folds, group)
+        out += [fit(marked.where(F.col("fold") != k))(asked.where(F.col("fold") == k)).withColumn("arm", F.lit(arm)) for k in ids]
     return metrics.avg_precision(reduce(DataFrame.unionByName, out), "y", "score", keys=["fold", "arm"])
 
 
@@ -149,7 +157,7 @@ def ablate(df: DataFrame, sets: dict[str, Sequence[str]], folds: DataFrame, grou
 
 def search(df: DataFrame, space: Sequence[dict], screen: DataFrame, confirm: DataFrame, group: str, make: Callable[[dict], Fit], keep: int = 2) -> DataFrame:
     """Settings screened on some folds; the best are confirmed on the others: (setting, stage, avg_precision)."""
-    mean = lambda p, folds: evaluate(group_cv(df.join(folds.select(group), group, "left_semi"), folds, group, make(p)), "fold").agg(F.avg("avg_precision")).first()[0]
+    mean = lambda p, folds: evaluate(group_cv(df, folds, group, make(p)), "fold").agg(F.avg("avg_precision")).first()[0]
     screened = sorted(((mean(p, screen), i) for i, p in enumerate(space)), reverse=True)
     confirmed = [(str(space[i]), "confirm", mean(space[i], confirm)) for _, i in screened[:keep]]
     return df.sparkSession.createDataFrame([(str(space[i]), "screen", s) for s, i in screened] + confirmed, "setting string, stage string, avg_precision double")

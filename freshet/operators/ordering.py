@@ -16,6 +16,25 @@ from freshet.session import stored
 
 #: Shares up to which quantiles are read off in one aggregate.
 FEW_SHARES = 12
+#: Groups of over 1 / HEAVY of all rows, which are fewer than HEAVY, are broadcast to them.
+HEAVY = 1000
+
+
+def with_groups(df: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``df`` with the columns of ``groups``, one row for each ``key`` and about ``size`` rows of ``df`` with it; other rows go.
+
+    Groups that hold much of ``df`` are broadcast, whatever the sizes, and the rows of the others
+    are shuffled: no task gets a whole heavy group.
+    """
+    groups = stored(groups.withColumnRenamed(key, "_group"))
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy, same = F.col(size) * HEAVY > total, F.col(key).eqNullSafe(F.col("_group"))
+    hot = df.join(F.broadcast(groups.where(heavy)), same).drop("_group")
+    light = groups.where(~heavy)
+    if light.limit(1).count() == 0:
+        return hot
+    rest = df.join(F.broadcast(groups.where(heavy).select("_group")), same, "left_anti")
+    return hot.unionByName(rest.join(light.hint("shuffle_hash"), same).drop("_group"))
 
 
 def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
@@ -41,10 +60,10 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], group: str |
     counts = df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     upto = running(counts, [*map(F.col, groups), F.col("_v")], {"_upto": F.col("_c")})
     sizes = counts.groupBy(*groups).agg(F.sum("_c").alias("n"))
-    starts = upto.groupBy(*groups).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"))
+    starts = upto.groupBy(*groups).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"), F.count(F.lit(1)).alias("_values"))
     if group:
-        known = sizes.join(starts.hint("shuffle_hash"), group).withColumnRenamed(group, "_group")
-        placed = upto.join(known.hint("shuffle_hash"), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+        known = sizes.withColumnRenamed(group, "_g").join(starts.hint("shuffle_hash"), F.col(group) == F.col("_g")).drop("_g")
+        placed = with_groups(upto, known, group, "_values")
     else:
         placed = upto.crossJoin(F.broadcast(sizes.crossJoin(F.broadcast(starts))))  # one row each
     last = F.col("_upto") - F.col("_start") - 1  # the value's last place in its group, from 0
