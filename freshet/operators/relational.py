@@ -125,9 +125,13 @@ def article_bags(articles: DataFrame, regions: DataFrame, pattern: str) -> DataF
     """
     of_name = Window.partitionBy("name")
     named = regions.withColumn("_n", F.count(F.lit(1)).over(of_name))
-    tokens = articles.withColumn("_id", F.xxhash64("day", "text")).withColumn("_t", F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    met = tokens.withColumn("_name", F.explode("_t")).join(named.hint("shuffle_hash"), F.col("_name") == F.col("name"))
-    sure = met.where((F.col("_n") == 1) | F.array_contains("_t", F.col("qualifier"))).select("day", "region", "_id").distinct()
+    # a row for each different word of a text, without the text's other words
+    words = articles.select("day", F.xxhash64("day", "text").alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("_word"))
+    met = words.join(named.hint("shuffle_hash"), F.col("_word") == F.col("name")).select("day", "region", "qualifier", "_n", "_id")
+    qualifiers = named.where("_n > 1").select(F.col("qualifier").alias("_q")).distinct()
+    said = words.join(qualifiers.hint("shuffle_hash"), F.col("_word") == F.col("_q")).select(F.col("_id").alias("_of"), "_q").distinct()
+    shared = met.where("_n > 1").join(said.hint("shuffle_merge"), (F.col("_id") == F.col("_of")) & (F.col("qualifier") == F.col("_q")))
+    sure = met.where("_n = 1").select("day", "region", "_id").unionByName(shared.select("day", "region", "_id")).distinct()
     both = sure.unionByName(sure.withColumn("day", F.date_sub("day", 1)))
     return both.groupBy("region", "day").agg(F.count_distinct("_id").alias("articles"))
 
