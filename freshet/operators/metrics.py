@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,14 +93,22 @@ def poisson_steps(mean: float = 1.0) -> list[float]:
 def bootstrap_diff(df: DataFrame, y: str, a: str, b: str, ident: Sequence[str], replicates: int = 200, seed: int = 0) -> DataFrame:
     """Difference of two scores' average precision over Poisson bootstrap replicates.
 
-    Each row draws its number of copies in each replicate from a hash: one pass, no join.
+    Each row draws its number of copies in each replicate from a hash, once for both scores. The
+    rows are spread over all tasks first: they are few bytes, and many once they are drawn.
     The percentiles are over one row for each replicate.
     """
-    reps = df.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_u", draw("_r", *ident, seed=seed))
-    copies = F.size(F.filter(F.array(*map(F.lit, poisson_steps())), lambda c: F.col("_u") >= c)).cast("double")
-    drawn = reps.withColumn("_copies", copies).where("_copies > 0")
-    one = lambda s, name: avg_precision(drawn, y, s, "_copies", ["_r"]).withColumnRenamed("avg_precision", name)
-    gap = one(a, "_a").join(one(b, "_b").hint("shuffle_hash"), "_r").withColumn("_g", F.col("_b") - F.col("_a"))
+    rows = df.select(F.col(y).alias("_y"), F.struct(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).alias("_both"), *ident)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    reps = rows.repartition(tasks).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # a generator keeps the draw as a column: else it is drawn again for each step that it is compared with
+    drawn = reps.select("_r", "_y", "_both", F.explode(F.array(draw("_r", *ident, seed=seed))).alias("_u")).where(F.col("_u") >= poisson_steps()[0])
+    copies = reduce(Column.__add__, [(F.col("_u") >= c).cast("double") for c in poisson_steps()])
+    arms = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(f"_both.{n}").alias("s")) for n in ("_a", "_b")]))
+    scored = drawn.select("_r", "_y", copies.alias("_copies"), arms.alias("_e")).select("_r", "_y", "_copies", "_e.*")
+    each = avg_precision(scored, "_y", "s", "_copies", ["_r", "arm"])
+    pick = lambda n: F.max(F.when(F.col("arm") == n, F.col("avg_precision")))
+    held = lambda n: F.max(F.col("arm") == n)
+    gap = each.groupBy("_r").agg((pick("_b") - pick("_a")).alias("_g"), (held("_a") & held("_b")).alias("_held")).where("_held")
     return gap.agg(F.avg("_g").alias("mean"), F.percentile("_g", F.lit(0.025)).alias("low"), F.percentile("_g", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("_g") > 0, 1.0).otherwise(0.0)).alias("wins"))
 
 
