@@ -143,6 +143,10 @@ def borrow_mode(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) ->
     return a.join(best, list(keys), "left").withColumn(value, F.coalesce(F.col(value), F.col("_mode"))).drop("_mode")
 
 
+#: Places of events (a row each) up to which their values are broadcast.
+BROADCAST_PLACES = 200_000
+
+
 def swap_partner(df: DataFrame, event: str, place: str, value: str, k: int = 3) -> DataFrame:
     """``df`` with the value that the event ``k`` further on (in order, cyclic) has at the same place."""
     events = df.select(event).distinct()
@@ -150,8 +154,11 @@ def swap_partner(df: DataFrame, event: str, place: str, value: str, k: int = 3)
     numbered = events.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     pairs = numbered.select(F.col(event).alias("_from"), F.pmod(F.col("_i") + k, F.col("_n")).alias("_j"))
     mapping = pairs.join(numbered.select(F.col(event).alias("_to"), F.col("_i")), F.col("_j") == F.col("_i")).select("_from", "_to")
-    donor = df.groupBy(F.col(event).alias("_to"), F.col(place).alias("_place")).agg(F.max(value).alias("swapped"))
-    return df.join(mapping, F.col(event) == F.col("_from")).join(donor, (mapping["_to"] == donor["_to"]) & (F.col(place) == F.col("_place")), "left").drop("_from", "_to", "_place")
+    donor = df.groupBy(F.col(event).alias("_donor"), F.col(place).alias("_place")).agg(F.max(value).alias("swapped"))
+    given = stored(donor.join(mapping.hint("shuffle_hash"), F.col("_donor") == F.col("_to")).select("_from", "_place", "swapped"))
+    # few events hold many rows: a small table of places goes to the rows, which are never shuffled by event
+    given = F.broadcast(given) if given.count() <= BROADCAST_PLACES else given.hint("shuffle_hash")
+    return df.where(F.col(event).isNotNull()).join(given, (F.col(event) == F.col("_from")) & (F.col(place) == F.col("_place")), "left").drop("_from", "_place")
 
 
 def exposure_pieces(edges: DataFrame, step: float) -> DataFrame:

@@ -124,7 +124,8 @@ def m23(spark, sf):
     df = _rows(spark, sf).withColumn("place", F.col("id") % 500)
     swapped = rel.swap_partner(df, "storm", "place", "rain", 2).withColumn("rain", F.col("swapped")).drop("swapped")
     arms = {"own": df, "swapped": swapped, "wet": df.where("rain > 10")}
-    parts = [models.evaluate(models.group_cv(t, _folds(spark, sf, 2), "storm", _fit()), "fold").withColumn("arm", F.lit(a)) for a, t in arms.items()]
+    folds = _folds(spark, sf, 2)
+    parts = [models.evaluate(models.group_cv(t, folds, "storm", _fit()), "fold").withColumn("arm", F.lit(a)) for a, t in arms.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
