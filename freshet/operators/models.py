@@ -21,6 +21,9 @@ from freshet.operators import metrics
 from freshet.operators.ordering import quantiles, with_groups
 from freshet.session import stored
 
+#: Bins of a feature, MLlib's own number.
+BINS = 32
+
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
@@ -43,17 +46,50 @@ class Filled:
         return df.withColumns(new)
 
 
+class Binned(Filled):
+    """As ``Filled``, with each feature's bin in place of its value: all values where there are at most ``BINS``, else equal parts of the training rows.
+
+    A tree of MLlib looks at no more than so many bins of a feature, at bounds from a sample of
+    about 10,000 rows. These come from all rows, and equal bins make rows that can be counted.
+    """
+
+    def __init__(self, df: DataFrame, features: Sequence[str]):
+        stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v")) for i, c in enumerate(features)]))
+        values = df.select(stacked.alias("_s")).select("_s.f", "_s.v").where("v is not null").groupBy("f", "v").agg(F.count(F.lit(1)).alias("rows"))
+        values = stored(values)
+        few = [r["f"] for r in values.groupBy("f").count().where(F.col("count") <= BINS).collect()]  # a row for each feature
+        shares = [0.5, *(i / BINS for i in range(1, BINS))]
+        found = {r["f"]: r["q"] for r in quantiles(values, "v", shares, group="f", times="rows").collect()}
+        known = {i: sorted(r["v"] for r in values.where(F.col("f") == i).select("v").collect()) for i in few}  # BINS rows at most
+        self.bounds = {c: known[i][:-1] if i in known else sorted(set(found[i][1:])) if i in found else [] for i, c in enumerate(features)}
+        self.medians = {c: found[i][0] if i in found else 0.0 for i, c in enumerate(features)}
+        self.columns = [*(f"_f_{c}" for c in features), *(f"_m_{c}" for c in features)]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        new = {}
+        for c, m in self.medians.items():
+            missing, value = F.col(c).isNull() | F.isnan(c), F.col(c).cast("double")
+            above = reduce(Column.__add__, [(value > b).cast("int") for b in self.bounds[c]], F.lit(0))
+            new[f"_f_{c}"] = F.when(missing, F.lit(float(sum(m > b for b in self.bounds[c])))).otherwise(above.cast("double"))
+            new[f"_m_{c}"] = F.when(missing, 1.0).otherwise(0.0)
+        return df.withColumns(new)
+
+
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str = "y", weight: str | None = None, trees: int = 10, depth: int = 4, seed: int = 7) -> Callable[[DataFrame], DataFrame]:
     """A scorer: adds ``score``, the probability of label 1, from trees fitted with balanced classes.
 
-    Positives weigh negatives / positives times their sample weight.
+    Positives weigh negatives / positives times their sample weight. Rows with the same bins and
+    label are one row of their weights' sum, so what the trees are fitted on does not grow with
+    the rows where there are few features.
     """
-    fill = Filled(df, features)
-    pos, n = df.agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)), F.count(F.lit(1))).first()
+    fill = Binned(df, features)
     own = F.col(weight) if weight else F.lit(1.0)
+    same = fill(df).groupBy(*fill.columns, F.col(label).cast("double").alias("_y")).agg(F.sum(own).alias("_own"), F.count(F.lit(1)).alias("_rows"))
+    same = stored(same)
+    pos, n = same.agg(F.sum(F.when(F.col("_y") == 1, F.col("_rows")).otherwise(0)), F.sum("_rows")).first()
     ratio = (n - pos) / pos if pos else 1.0
-    rows = fill(df).withColumn("_w", F.when(F.col(label) == 1, own * ratio).otherwise(own)).withColumn("_y", F.col(label).cast("double"))
-    stages = [VectorAssembler(inputCols=fill.columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0)]
+    rows = same.withColumn("_w", F.when(F.col("_y") == 1, F.col("_own") * ratio).otherwise(F.col("_own")))
+    stages = [VectorAssembler(inputCols=fill.columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, maxBins=BINS, seed=seed, subsamplingRate=1.0)]
     model = Pipeline(stages=stages).fit(rows)
 
     def score(other: DataFrame) -> DataFrame:

@@ -50,14 +50,15 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) ->
     return out.drop("_part", "_of_part", *[f"_{k}_{n}" for n in sums for k in ("of", "before")])
 
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float], group: str | None = None) -> DataFrame:
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], group: str | None = None, times: str | None = None) -> DataFrame:
     """(group,) n and q, the exact interpolated quantiles of a column's known values; a group without values has no row.
 
     Distinct values are counted first; of their running counts only the rows at the wanted
-    places are kept. Without values and group there is one row with n = 0.
+    places are kept. Without values and group there is one row with n = 0. ``times`` tells how
+    often a row counts.
     """
     groups = [group] if group else []
-    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, F.col(column).cast("double").alias("_v")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c"))
     upto = running(counts, [*map(F.col, groups), F.col("_v")], {"_upto": F.col("_c")})
     sizes = counts.groupBy(*groups).agg(F.sum("_c").alias("n"))
     starts = upto.groupBy(*groups).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"), F.count(F.lit(1)).alias("_values"))
