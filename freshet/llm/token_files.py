@@ -39,6 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,8 @@ LEVEL = 3
 FILE_BYTES = 32 * 1024 * 1024
 BLOCK_BYTES = 4 * 1024 * 1024
 BLOCK_DOCUMENTS = 4096
+#: Documents that a worker unpacks at once.
+STEP_DOCUMENTS = 250
 #: Files (a row each) up to which totals are broadcast.
 BROADCAST_FILES = 200_000
 
@@ -110,14 +113,18 @@ def train(docs: DataFrame, path: str, end_id: int = END_ID) -> Meta:
 def encode(docs: DataFrame, meta: Meta, path: str) -> DataFrame:
     """doc_id, tie (a hash of the text), n_tokens and frame of every row. No shuffle."""
 
-    @F.pandas_udf("n_tokens long, frame binary")
-    def framed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, frame binary")
+    def framed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = encoders.encoder(path)
         end = np.array([meta.end_id], dtype=encoder.dtype).tobytes()
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_shared(meta.dictionary), write_content_size=True, write_dict_id=False).compress
-        for texts in batches:
-            arrays = [ids + end for ids in encoder.encode([t or "" for t in texts])]
-            yield pd.DataFrame({"n_tokens": np.array([len(a) // meta.width for a in arrays], dtype="int64"), "frame": [pack(a) for a in arrays]})
+        for batch in batches:
+            tokens, frames = [], []
+            for at in range(0, len(batch), STEP_DOCUMENTS):  # a batch of Spark's as Python objects is large
+                arrays = [ids + end for ids in encoder.encode([t or "" for t in batch.slice(at, STEP_DOCUMENTS).to_pylist()])]
+                tokens += [len(a) // meta.width for a in arrays]
+                frames += map(pack, arrays)
+            yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(frames, pa.binary())], ["n_tokens", "frame"])
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), framed("text").alias("_c"))
     return coded.select("doc_id", "tie", "_c.n_tokens", "_c.frame")

@@ -39,6 +39,19 @@ def test_long_chunks_and_runs():
     assert [np.frombuffer(p, e.dtype).tolist() for p in e.encode(texts)] == e._library_ids(texts)
 
 
+def test_plain_words_go_to_the_model_as_the_library_cuts_them(monkeypatch):
+    e, given = encoders.Encoder(encoders.public_path("byte_bpe_50k.json")), []
+    texts = ["Straße of*** niño$$$ reeds\nOnetion&&& ÿes!\n", "a\nb \nc\n\nd", "end<|endoftext|>end*** \n<|endoftext|>\nAbc it's l'été** x×y ª÷º"]
+    for seed in range(300):
+        r = random.Random(seed)
+        texts.append("".join(r.choice(["a", "Zürich", "<|endoftext|>", "*", "$$", "'s", "'", "\n", " ", "  ", "7", "_", "×", "\u0301", "\xa0", "\x1c"]) for _ in range(r.randint(1, 20))))
+    wanted = e._library_ids(texts)
+    monkeypatch.setattr(e, "_library_ids", lambda parts, plain=e._library_ids: given.extend(parts) or plain(parts))
+    assert np.frombuffer(e.encode(texts[:1])[0], e.dtype).tolist() == wanted[0]
+    assert not any(c.isalpha() for c in "".join(given))
+    assert [np.frombuffer(p, e.dtype).tolist() for p in e.encode(texts)] == wanted
+
+
 def test_token_bytes_give_the_text_back():
     for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
         e = encoders.Encoder(encoders.public_path(name), True)
