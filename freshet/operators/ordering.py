@@ -62,7 +62,7 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], group: str |
     sizes = counts.groupBy(*groups).agg(F.sum("_c").alias("n"))
     starts = upto.groupBy(*groups).agg(F.min(F.col("_upto") - F.col("_c")).alias("_start"), F.count(F.lit(1)).alias("_values"))
     if group:
-        known = sizes.withColumnRenamed(group, "_g").join(starts.hint("shuffle_hash"), F.col(group) == F.col("_g")).drop("_g")
+        known = sizes.withColumnRenamed(group, "_sized").join(starts.hint("shuffle_hash"), F.col(group).eqNullSafe(F.col("_sized"))).drop("_sized")
         placed = with_groups(upto, known, group, "_values")
     else:
         placed = upto.crossJoin(F.broadcast(sizes.crossJoin(F.broadcast(starts))))  # one row each
