@@ -24,6 +24,11 @@ def rounded(df, *names):
     return df.select(*[R6(c) if c in names else F.col(c) for c in df.columns])
 
 
+def sql_rounded(c: str, places: int):
+    """A mean of doubles rounded as SQL does it, by its multiple: a half in decimals need not be one there."""
+    return (F.round(F.col(c) * 10.0**places) / 10.0**places).alias(c)
+
+
 def _bin_sql(column: str, edges) -> str:
     return f"case when {column} is null or {column} < {edges[0]} then null " + " ".join(f"when {column} < {e} then {i}" for i, e in enumerate(edges[1:])) + " end"
 
@@ -209,7 +214,8 @@ def g18(spark, sf):
 )
 def g19(spark, sf):
     out = ag.zonal(fx.census(spark, sf), ["zone", "event"], "built", "rain", "road")
-    return rounded(out, "score_p99", "score_mean", "over_5", "over_10", "built_mean").withColumn("rain_mean", F.round("rain_mean", 4))
+    places = {"score_p99": 6, "score_mean": 6, "over_5": 6, "over_10": 6, "rain_mean": 4, "built_mean": 6}
+    return out.select(*[sql_rounded(c, places[c]) if c in places else F.col(c) for c in out.columns])
 
 
 BANDS = {"VERY_HIGH": 0.95, "HIGH": 0.85, "MODERATE": 0.60, "LOW": 0.30}
