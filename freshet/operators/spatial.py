@@ -7,6 +7,7 @@ nested loop, no broadcast of a side whose size is unknown.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -23,7 +24,9 @@ LEAF_POINTS = 32
 MOST_SPLITS = 24
 #: Places of a square that is not split among segments, and how often the squares of zones are halved.
 SQUARE_PLACES = 8
-ASSIGN_SPLITS, SPAN_SPLITS = 3, 5
+ASSIGN_SPLITS, SPAN_SPLITS, WITHIN_SPLITS = 3, 5, 1
+#: Edges whose squares are one task's work.
+TASK_EDGES = 10_000
 
 
 def bucketed(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -179,8 +182,8 @@ def _crossing(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Colu
     return F.when(spans & (x < at), 1).otherwise(0)
 
 
-def _dyadic(low: Column, high: Column) -> Column:
-    """[low, high] as array<struct<level, block>>: at most two blocks of 2^level squares for each level."""
+def _dyadic(low: Column, high: Column, most: int = MOST_LEVELS) -> Column:
+    """[low, high], under 2^most long, as array<struct<level, block>>: at most two blocks of 2^level squares for each level."""
     none = F.array().cast("array<struct<level:int,block:bigint>>")
     piece = lambda k, c, when: F.when(when, F.array(F.struct(k.cast("int").alias("level"), c.cast("bigint").alias("block")))).otherwise(none)
 
@@ -194,7 +197,7 @@ def _dyadic(low: Column, high: Column) -> Column:
         return F.struct(F.when(left, F.shiftright(after, 1)).otherwise(1).alias("lo"), F.when(left, F.shiftright(until, 1)).otherwise(0).alias("hi"), F.concat(acc["out"], piece(k, lo, first), piece(k, hi, last)).alias("out"))
 
     start = F.struct(low.cast("bigint").alias("lo"), high.cast("bigint").alias("hi"), none.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(MOST_LEVELS)), start, step)["out"]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step)["out"]
 
 
 def covering(edges: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
@@ -367,10 +370,79 @@ def edge_distances(p: DataFrame, edges: DataFrame, reach: float) -> DataFrame:
     return met.groupBy("id", "zone").agg(F.min(gap).alias("dist")).where(F.col("dist") <= reach)
 
 
+def _reached(edges: DataFrame, reach: float, side: float, levels: int, tasks: int) -> DataFrame:
+    """(zone, _by, level, block, _edges): squares that hold a place inside a zone or at most ``reach`` from its border.
+
+    A zone has each square once. Squares all of whose places count come as blocks of 2^level squares
+    of a row, without edges; the others lie outside the zone and have the edges that can be near enough.
+    ``side`` is at most half the reach, so a square that a border passes through counts as a whole.
+    """
+    half = side * 0.5**0.5
+    pad, sure = (reach + half) * (1 + 1e-9), reach * (1 - 1e-9) - half
+    row = lambda v: F.floor(v / side)
+    bands = edges.select("zone", "ord", "x1", "y1", "x2", "y2", F.explode(F.sequence(row(F.least("y1", "y2") - pad), row(F.greatest("y1", "y2") + pad))).alias("_by"))
+    bands = bands.repartition(tasks, "zone", "_by")
+    low, high, middle = F.col("_by") * side - pad, (F.col("_by") + 1) * side + pad, (F.col("_by") + 0.5) * side
+    # where the edge is within its row's reach; a level edge over its whole length
+    at = lambda y, level: F.coalesce(F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)), level)
+    a, b = at(F.greatest(low, F.least("y1", "y2")), F.col("x1")), at(F.least(high, F.greatest("y1", "y2")), F.col("x2"))
+    spans = (F.col("y1") > middle) != (F.col("y2") > middle)
+    met = bands.withColumns({"_bx": F.explode(F.sequence(row(F.least(a, b) - pad), row(F.greatest(a, b) + pad))), "_at": F.when(spans, at(middle, F.col("x1")))})
+    met = met.withColumn("_far", geo.segment_distance((F.col("_bx") + 0.5) * side, middle, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))["distance"]).where(F.col("_far") <= pad)
+    squares = met.groupBy("zone", "_by", "_bx").agg(
+        F.min("_far").alias("_far"),
+        F.collect_list(F.when(F.col("_far") > sure, F.struct("x1", "y1", "x2", "y2"))).alias("_edges"),
+        # a crossing of the row's middle stands in the square that holds it
+        F.collect_list(F.when(row(F.col("_at")) == F.col("_bx"), F.struct("ord", "_at"))).alias("_cut"),
+    )
+    mine = Window.partitionBy("zone", "_by")
+    line = mine.orderBy("_bx")
+    odd = lambda x: F.exists(F.array_distinct(F.transform("_cuts", lambda c: c["ord"])), lambda o: F.size(F.filter("_cuts", lambda c: c["ord"].eqNullSafe(o) & (c["_at"] > x))) % 2 == 1)
+    told = squares.withColumns({"_cuts": F.flatten(F.collect_list("_cut").over(mine)), "_next": F.lead("_bx").over(line), "_last": F.lag("_bx").over(line)})
+    told = told.withColumn("_whole", F.when(F.col("_far") <= sure, F.lit(True)).otherwise(odd((F.col("_bx") + 0.5) * side)))
+    # between two squares of a row that are not neighbours no border is near, so one place tells for all
+    told = told.withColumn("_gap", F.when(F.col("_next") > F.col("_bx") + 1, odd((F.col("_bx") + 1.5) * side)).otherwise(F.lit(False)))
+    begins = F.col("_whole") & ~F.coalesce((F.col("_last") == F.col("_bx") - 1) & F.lag("_whole").over(line), F.lit(False))
+    ends = F.col("_whole") & ~F.coalesce((F.col("_next") == F.col("_bx") + 1) & F.lead("_whole").over(line), F.lit(False))
+    told = told.withColumns({"_begins": begins, "_ends": ends})
+    told = told.withColumn("_first", F.last(F.when(F.col("_begins"), F.col("_bx")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = "array<struct<level:int,block:bigint,edges:array<struct<x1:double,y1:double,x2:double,y2:double>>>>"
+    run = lambda when, lo, hi: F.when(when, F.transform(_dyadic(lo, hi, levels), lambda p: F.struct(p["level"], p["block"], F.lit(None).alias("edges"))).cast(kind)).otherwise(F.array().cast(kind))
+    part = F.when(F.col("_whole"), F.array().cast(kind)).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.col("_bx").alias("block"), F.col("_edges").alias("edges"))).cast(kind))
+    pieces = F.concat(run(F.col("_ends"), F.col("_first"), F.col("_bx")), run(F.col("_gap"), F.col("_bx") + 1, F.col("_next") - 1), part)
+    return told.select("zone", "_by", F.explode(pieces).alias("_p")).select("zone", "_by", "_p.level", "_p.block", F.col("_p.edges").alias("_edges"))
+
+
 def within_of_polygon(p: DataFrame, edges: DataFrame, reach: float, size: float) -> DataFrame:
-    """(id, zone) of points inside a zone or at most ``reach`` from its border."""
-    inside = points_in_polygons(p, edges, size).select("id", "zone")
-    return inside.unionByName(edge_distances(p, edges, reach).select("id", "zone")).distinct()
+    """(id, zone) of points inside a zone or at most ``reach`` from its border, each pair once.
+
+    There are as many pairs as zones lie over points, so no pair is shuffled: zones send their
+    squares (``_reached``), points stand in a block of each level, and a pair is made where they
+    meet. Only the pairs of ids that have several points are made distinct.
+    """
+    side = _fine(p, min(size, reach / 2), WITHIN_SPLITS)
+    x, y = [F.least(f"{c}1", f"{c}2") for c in "xy"], [F.greatest(f"{c}1", f"{c}2") for c in "xy"]
+    n, *box = edges.agg(F.count(F.lit(1)), F.min(x[0]), F.max(y[0]), F.min(x[1]), F.max(y[1])).first()
+    if not n or box[0] is None:
+        return p.select("id").crossJoin(edges.select("zone").limit(0))
+    levels = max(1, math.ceil(math.log2((box[1] - box[0] + 4 * reach) / side + 4)))
+    spark = p.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, n // TASK_EDGES)
+    known = p.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("not isnan(x) and not isnan(y)")
+    twice = stored(p.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id"))
+    known = known.join(twice.withColumn("_twice", F.lit(True)).hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id").fillna(False, ["_twice"])
+    at = known.withColumns({"_row": F.floor(F.col("y") / side), "_level": F.explode(F.sequence(F.lit(0), F.lit(levels)))})
+    at = at.withColumn("_block", F.expr(f"shiftright(floor(x / {side!r}D), _level)")).repartition(tasks, "_row", "_level", "_block")
+    near = lambda e: geo.segment_distance(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])["distance"] <= reach
+    edge = lambda i: F.get("_edges", F.lit(i))
+    # most squares have one or two edges; a lambda over more is slower
+    hit = F.col("_edges").isNull() | near(edge(0)) | (F.size("_edges") > 1) & near(edge(1)) | (F.size("_edges") > 2) & F.exists("_edges", near)
+    cover = _reached(edges, reach, side, levels, tasks).repartition(tasks, "_by", "level", "block")
+    met = cover.join(at.hint("shuffle_hash"), (F.col("_by") == F.col("_row")) & (F.col("level") == F.col("_level")) & (F.col("block") == F.col("_block")))
+    pairs = met.where(hit)
+    if twice.limit(1).count() == 0:
+        return pairs.select("id", "zone")
+    return pairs.where("not _twice").select("id", "zone").unionByName(pairs.where("_twice").select("id", "zone").distinct())
 
 
 def dist_to_polygon(p: DataFrame, edges: DataFrame, reach: float, size: float) -> DataFrame:
