@@ -6,21 +6,26 @@ missing flag. Groups (storms, provinces) are listed once; each held-out fit is a
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.risk import calibrate
 from freshet.operators import metrics
-from freshet.operators.ordering import quantiles, with_groups
+from freshet.operators.ordering import quantiles, running, with_groups
 from freshet.session import stored
 
+#: Bins of a feature that a tree looks at, MLlib's own number.
+BINS = 32
+
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
 
 
@@ -53,8 +58,7 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str = "y", weight: st
     own = F.col(weight) if weight else F.lit(1.0)
     ratio = (n - pos) / pos if pos else 1.0
     rows = fill(df).withColumn("_w", F.when(F.col(label) == 1, own * ratio).otherwise(own)).withColumn("_y", F.col(label).cast("double"))
-    stages = [VectorAssembler(inputCols=fill.columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0)]
-    model = Pipeline(stages=stages).fit(rows)
+    model = _boosted(rows, fill.columns, trees, depth, seed)
 
     def score(other: DataFrame) -> DataFrame:
         out = model.transform(fill(other))
@@ -64,6 +68,12 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str = "y", weight: st
     return score
 
 
+def _boosted(rows: DataFrame, columns: Sequence[str], trees: int, depth: int, seed: int) -> PipelineModel:
+    """Trees fitted on the ``columns`` of rows with a label ``_y`` and a weight ``_w``."""
+    stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, maxBins=BINS, seed=seed, subsamplingRate=1.0)]
+    return Pipeline(stages=stages).fit(rows)
+
+
 def staged(score: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
     """``df`` with ``stages``: the scores after 1, 2, ... trees of one fitted scorer, as running sums over its trees."""
     assembler, boosted = score.model.stages
@@ -90,9 +100,9 @@ def score_grid(score: Callable[[DataFrame], DataFrame], cells: DataFrame, levels
 
 
 def groups_of(df: DataFrame, group: str, label: str, least: int) -> list:
-    """Groups with at least ``least`` rows of each class."""
+    """Groups with at least ``least`` rows of each class; rows without a group are in none."""
     n = lambda v: F.sum(F.when(F.col(label) == v, 1).otherwise(0))
-    both = df.groupBy(group).agg(n(1).alias("p"), n(0).alias("n")).where((F.col("p") >= least) & (F.col("n") >= least))
+    both = df.where(F.col(group).isNotNull()).groupBy(group).agg(n(1).alias("p"), n(0).alias("n")).where((F.col("p") >= least) & (F.col("n") >= least))
     return [r[0] for r in both.orderBy(group).collect()]  # a row a storm or province
 
 
@@ -102,6 +112,80 @@ def logo(df: DataFrame, group: str, fit: Fit, label: str = "y", least: int = 1)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _known(c: str) -> Column:
+    """A feature as a double, NULL where it is missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def _bounds_without(df: DataFrame, group: str, ids: Sequence, features: Sequence[str]) -> list[dict[str, tuple[list[float], float]]]:
+    """For each group, the bounds and the median of each feature over the rows of all other groups.
+
+    Bounds are the values where a bin begins: every value where there are at most ``BINS``, else
+    those at equal shares of the rows. One count of the values and one order serve all groups.
+    """
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), _known(c).alias("v")) for i, c in enumerate(features)]))
+    rows = df.where(F.col(group).isNotNull()).select(group, stacked.alias("_s")).select(group, "_s.f", "_s.v").where("v is not null")
+    values = rows.groupBy("f", "v").agg(*[F.sum(F.when(F.col(group) != g, 1).otherwise(0)).alias(f"_n{k}") for k, g in enumerate(ids)])
+    upto = stored(running(values, [F.col("f"), F.col("v")], {f"_u{k}": F.col(f"_n{k}") for k in range(len(ids))}))
+    told = [a for k in range(len(ids)) for a in (F.min(F.col(f"_u{k}") - F.col(f"_n{k}")).alias(f"_start{k}"), F.max(f"_u{k}").alias(f"_end{k}"), F.sum(F.when(F.col(f"_n{k}") > 0, 1).otherwise(0)).alias(f"_values{k}"))]
+    placed = upto.join(F.broadcast(upto.groupBy(F.col("f").alias("_f")).agg(*told)), F.col("f") == F.col("_f"))  # a row for each feature
+    flags = {}
+    for k in range(len(ids)):
+        n, first, last = F.col(f"_end{k}") - F.col(f"_start{k}"), F.col(f"_u{k}") - F.col(f"_n{k}") - F.col(f"_start{k}"), F.col(f"_u{k}") - F.col(f"_start{k}")
+        here = F.col(f"_n{k}") > 0
+        # the first part that begins at this value's first place or after it
+        part = F.greatest(F.floor((first * BINS + n - 1) / n), F.lit(1))
+        flags[f"_bound{k}"] = here & ((F.col(f"_values{k}") <= BINS) | (part < BINS) & (F.floor(part * n / BINS) < last))
+        holds = lambda at, here=here, first=first, last=last: here & (first <= at) & (at < last)
+        flags[f"_low{k}"], flags[f"_high{k}"] = holds(F.floor((n - 1) / 2)), holds(F.floor(n / 2))
+    wanted = reduce(Column.__or__, map(F.col, flags))
+    found = placed.withColumns(flags).where(wanted).select("f", "v", *flags).collect()  # BINS + 2 rows at most for each group and feature
+    out = []
+    for k in range(len(ids)):
+        mine = {}
+        for i, c in enumerate(features):
+            low, high = ([r["v"] for r in found if r["f"] == i and r[f"_{n}{k}"]] for n in ("low", "high"))
+            mine[c] = sorted(r["v"] for r in found if r["f"] == i and r[f"_bound{k}"]), (low[0] + (high[0] - low[0]) * 0.5 if low else 0.0)
+        out.append(mine)
+    return out
+
+
+def logo_precision(df: DataFrame, group: str, features: Sequence[str], label: str = "y", least: int = 1, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
+    """(group, avg_precision) of every scorable group, by a model that never saw the group.
+
+    As ``evaluate`` of ``logo`` with ``fit_gbt``, in a few passes over the rows whatever the number
+    of groups: rows are counted by group, label and cell, where a cell lies between two bounds
+    of any model's bins. Each model's bins and medians come from its own training rows, and
+    are whole cells; so it is fitted and scored on counted cells, which few features keep few.
+    """
+    ids = groups_of(df, group, label, least)
+    bins = _bounds_without(df, group, ids, features)
+    cuts = {c: sorted({b for mine in bins for b in mine[c][0]}) for c in features}
+    rows = df.where(F.col(group).isNotNull()).select(group, F.col(label).cast("double").alias("_y"), *[F.coalesce(_known(c), F.lit(math.nan)).alias(f"_v_{c}") for c in features])
+    split = [c for c in features if cuts[c]]  # the others have no value
+    if split:
+        ends = [[-math.inf, *cuts[c], math.inf] for c in split]
+        rows = Bucketizer(splitsArray=ends, inputCols=[f"_v_{c}" for c in split], outputCols=[f"_c_{c}" for c in split], handleInvalid="keep").transform(rows)
+    cell = lambda c: (F.col(f"_c_{c}") if c in split else F.lit(1)).cast("int").alias(f"_c_{c}")  # noqa: E731  missing values come last
+    cells = stored(rows.select(group, "_y", *[cell(c) for c in features]).groupBy(group, "_y", *[f"_c_{c}" for c in features]).agg(F.count(F.lit(1)).alias("_rows")))
+    columns = [*(f"_f_{c}" for c in features), *(f"_m_{c}" for c in features)]
+    parts = []
+    for g, mine in zip(ids, bins, strict=True):
+        new = {}
+        for c in features:
+            bounds, median = mine[c]
+            places = [*(bisect_right(bounds, low) for low in (-math.inf, *cuts[c])), bisect_right(bounds, median)]
+            new[f"_f_{c}"] = F.element_at(F.array(*[F.lit(float(b)) for b in places]), F.col(f"_c_{c}") + 1)
+            new[f"_m_{c}"] = F.when(F.col(f"_c_{c}") == len(cuts[c]) + 1, 1.0).otherwise(0.0)
+        counted = lambda part, new=new: part.withColumns(new).groupBy(group, *columns, "_y").agg(F.sum("_rows").cast("double").alias("_rows"))
+        train = stored(counted(cells.where(F.col(group) != g).withColumn(group, F.lit(None))))
+        pos, n = train.agg(F.sum(F.when(F.col("_y") == 1, F.col("_rows")).otherwise(0.0)), F.sum("_rows")).first()
+        weighed = train.withColumn("_w", F.col("_rows") * F.when(F.col("_y") == 1, (n - pos) / pos if pos else 1.0).otherwise(1.0))
+        held = _boosted(weighed, columns, trees, depth, seed).transform(counted(cells.where(F.col(group) == g)))
+        parts.append(held.select(group, F.col("_y").alias(label), vector_to_array("probability")[1].alias("score"), "_rows"))
+    return metrics.avg_precision(reduce(DataFrame.unionByName, parts), label, "score", "_rows", keys=[group])
+
+
 def _folded(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     """``df`` with the fold of each row's group, written once; rows without one go. Few groups hold many rows, so rows stay where they are."""
     sizes = df.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))
